@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
+from tidewater.llm.decontamination import op8_benchmark_decontamination
+from tidewater.llm.mixing import op6_mixing_sources
+from tidewater.llm.quality import op9_quality_classifier
+from tidewater.llm.secrets import op1_secret_scans
 from tidewater.llm.simhash_dedup import op10_simhash_near_dedup
+from tidewater.llm.substring_dedup import op3_substring_dedup
+from tidewater.llm.suffix_dedup import op7_suffix_array_dedup
 
 QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op6_mixing_sources": op6_mixing_sources,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
