@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.base import Rolling, Words, arrow_batches, as_bytes, chunks, read
@@ -92,34 +92,41 @@ def _windows(doc: np.ndarray, items: Items, size: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _round(docs: DataFrame, items: Items, size: int, least: float) -> DataFrame:
-    share = docs.sparkSession.sparkContext.broadcast(items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = share.value
-        for b in chunks(batches):
-            w, ids, rows = Words(as_bytes(b.column("text"))), b.column("id").to_pylist(), []
-            if len(w.start) and len(known.hash):
-                h = w.hashes()
-                s = Rolling(h, 1).of(np.arange(len(h)), np.minimum(np.arange(len(h)) + size, len(h)))
-                at = np.searchsorted(known.hash, s)
-                hit = known.hash[np.minimum(at, len(known.hash) - 1)] == s
-                doc = np.searchsorted(w.before, np.flatnonzero(hit), "right") - 1
-                # documents of fewer words than a shingle are compared whole
-                for d in np.union1d(doc, np.flatnonzero((w.count > 0) & (w.count < size))).tolist():
-                    own, best = h[w.before[d] : w.before[d + 1]], {}
-                    for start, n in _windows(own, known, size):
-                        window = _shingles(own[start : start + n], size)
-                        p = simhash(window)
-                        for i in known.within(p):
-                            sim = similarity(window, known.shingles[i])
-                            if sim >= least and sim > best.get(i, (0.0,))[0]:
-                                best[i] = sim, start, n, (known.prints[i] ^ p).bit_count()
-                    rows += [(ids[d], known.ids[i], start, n, far, sim) for i, (sim, start, n, far) in sorted(best.items())]
-            names = ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 5 else pa.int64()) for k in range(6)], names)
-
-    return docs.mapInArrow(run, FOUND)
+def found_in(texts: list[bytes], known: Items, size: int, least: float) -> Iterator[tuple[int, int, int, int, int, float]]:
+    """(text, item, start, words, distance, similarity) of the best window for each item found in each text."""
+    w = Words(texts)
+    if not len(w.start) or not len(known.hash):
+        return
+    h = w.hashes()
+    at = np.arange(len(h))
+    s = Rolling(h, 1).of(at, np.minimum(at + size, len(h)))
+    hit = known.hash[np.minimum(np.searchsorted(known.hash, s), len(known.hash) - 1)] == s
+    doc = np.searchsorted(w.before, np.flatnonzero(hit), "right") - 1
+    # documents of fewer words than a shingle are compared whole
+    for d in np.union1d(doc, np.flatnonzero((w.count > 0) & (w.count < size))).tolist():
+        own, best = h[w.before[d] : w.before[d + 1]], {}
+        for start, n in _windows(own, known, size):
+            window = _shingles(own[start : start + n], size)
+            p = simhash(window)
+            for i in known.within(p):
+                sim = similarity(window, known.shingles[i])
+                if sim >= least and sim > best.get(i, (0.0,))[0]:
+                    best[i] = sim, start, n, (known.prints[i] ^ p).bit_count()
+        for i, (sim, start, n, far) in sorted(best.items()):
+            yield d, known.ids[i], start, n, far, sim
+
+
+def rounds(benchmark: DataFrame, size: int) -> Iterator[Items]:
+    """The items in rounds of ROUND_BYTES of text; items without text are left out."""
+    ids, texts, held = [], [], 0
+    for row in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").toLocalIterator():
+        ids.append(row[0])
+        texts.append(row[1].encode())
+        held += len(texts[-1])
+        if held >= ROUND_BYTES:
+            yield Items(ids, texts, size)
+            ids, texts, held = [], [], 0
+    yield Items(ids, texts, size)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -128,23 +135,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Case and marks count as they are. Null and empty texts and items match nothing; repeated items are found each by
     its item_id, repeated documents in every row, null ids stay. Documents without a finding give no row.
     """
-    spark = docs.sparkSession
-    arrow_batches(spark)
+    arrow_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out, ids, texts, held = [], [], [], 0
-    for row in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text")).toLocalIterator():
-        ids, texts, held = [*ids, row[0]], [*texts, row[1].encode()], held + len(row[1])
-        if held >= ROUND_BYTES:
-            out.append(_round(source, Items(ids, texts, size), size, least))
-            ids, texts, held = [], [], 0
-    out.append(_round(source, Items(ids, texts, size), size, least))
-    return reduce(DataFrame.union, out)
 
+    def one(items: Items) -> DataFrame:
+        share = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in chunks(batches):
+                ids = b.column("id").to_pylist()
+                rows = [(ids[d], *x) for d, *x in found_in(as_bytes(b.column("text")), share.value, size, least)]
+                names = ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 5 else pa.int64()) for k in range(6)], names)
+
+        return source.mapInArrow(run, FOUND)
+
+    return reduce(DataFrame.union, map(one, rounds(benchmark, size)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """docs without the rows in whose text an item is found; each row is judged by itself, whatever its id."""
+    arrow_batches(docs.sparkSession)
+
+    def judge(items: Items) -> Column:
+        share = docs.sparkSession.sparkContext.broadcast(items)
+
+        @F.arrow_udf("boolean")
+        def holds(text: pa.Array) -> pa.Array:
+            out, done = np.zeros(len(text), bool), 0
+            for b in chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])])):
+                for d, *_ in found_in(as_bytes(b.column("text")), share.value, size, least):
+                    out[done + d] = True
+                done += b.num_rows
+            return pa.array(out)
+
+        return holds(F.col(text_col))
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold an item; rows with a null id are judged like any other and stay only if none of them has a finding."""
-    found = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(F.col("_found")), "left_anti")
+    for items in rounds(benchmark, size):
+        docs = docs.where(~judge(items))
+    return docs
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,18 +173,34 @@ def fold(id_col: Column, k: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % k
 
 
+def trained(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Model]:
+    """The statistics of docs, and the model fit to those whose label is known and not held out."""
+    stats = materialize(statistics(docs, id_col, text_col), "statistics")
+    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("double").alias("y"))
+    train = materialize(stats.join(known, "id").where(fold(F.col("id"), 5) != 0).select("f", "y"), "labelled")
+    return stats, fit(stats, train)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Rows of labels with a null label or doc_id are left out; several labels of a document all count. Without any
     training label every score is 0.5. Null texts are empty; an empty table gives no rows.
     """
-    stats = materialize(statistics(docs), "statistics")
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("double").alias("y"))
-    train = materialize(stats.join(known, "id").where(fold(F.col("id"), 5) != 0).select("f", "y"), "labelled")
-    out = score(stats, fit(stats, train))
+    out = score(*trained(docs, labels, label))
     return out.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose own text scores THRESHOLD or more; scored in place, so that no text is shuffled."""
+    _, model = trained(docs, labels, label, text_col=text_col)
+
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores(statistics_of(as_bytes(b.column("text")))) for b in chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])])))]))
+
+    return docs.where(scored(F.col(text_col)) >= THRESHOLD)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.base import materialize, numbered, read
+from tidewater.llm.base import materialize, read
 
 #: Code points between the starts of two parts of one credential.
 SCOPE = 200
@@ -61,11 +61,11 @@ def _found(text: Column, kind: Kind) -> Column:
     return F.when(F.regexp_like(text, F.lit(kind.pattern)), F.zip_with(pieces, found, row))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_uid, doc_id, found): the matches of every kind in each row's whole text, without the text."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """(_uid, doc_id, found): the matches of every kind in each row's whole text, without the text; _uid is the key, or a row number."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = [F.struct(F.lit(i).alias("kind"), _found(text, k).alias("found")) for i, k in enumerate(KINDS)]
-    rows = numbered(docs, F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select((F.monotonically_increasing_id() if key is None else key).alias("_uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.select("_uid", "doc_id", F.filter(F.array(*found), lambda x: x["found"].isNotNull()).alias("found"))
 
 
@@ -108,11 +108,13 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     All rows and columns are kept; a null text stays null. Overlapping spans become one mask.
     """
     hidden = [i for i, k in enumerate(KINDS) if not k.weak or k.role == "secret"]
-    scanned = materialize(scan(docs, id_col, text_col), "scanned")
+    # known by id and text: rows that share both have the same cuts
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)).cast("binary"))
+    scanned = materialize(scan(docs, id_col, text_col, key).where(F.size("found") > 0).dropDuplicates(["_uid"]), "scanned")
     before = Window.partitionBy("_uid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
     cuts = spans(scanned).where(F.col("kind").isin(hidden)).withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
     cuts = cuts.groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("start", "from", "end"))).alias("_cuts"))
-    rows = docs.withColumn("_uid", F.monotonically_increasing_id()).join(cuts, "_uid", "left")
+    rows = docs.select("*", key.alias("_key")).join(cuts, F.col("_key") == F.col("_uid"), "left")
     # where a cut starts before the last one ended, it adds nothing but what it reaches beyond
     piece = lambda c: F.when(c["start"] >= c["from"], F.concat(F.substring(F.col(text_col), c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), F.lit(MASK))).otherwise(F.lit(""))
     rest = F.substring(F.col(text_col), F.array_max(F.transform("_cuts", lambda c: c["end"])).cast("int") + 1, F.length(F.col(text_col)))

@@ -180,6 +180,13 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         held = [sorted(set(bits) | set(q)) for bits in held for q in parts[_mask(bits)]]
 
 
+def grouped(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component) of every distinct fingerprint in fps; the component is one of its fingerprints."""
+    nodes = materialize(fps.select("fp").distinct(), "nodes")
+    parts = components(links(nodes, radius))
+    return nodes.join(parts, nodes.fp == parts.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -187,13 +194,28 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     doc_id keeps its row and is no component's smallest id unless no other id is there. An empty table gives none.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    parts = components(links(nodes, radius))
-    joined = nodes.join(parts, nodes.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    lowest = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = joined.join(lowest, "component").select("fp", "component_id")
+    named = grouped(fps, radius)
+    first = fps.groupBy("fp").agg(F.min("id").alias("first"))
+    lowest = named.join(first, "fp").groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(lowest, "component").select("fp", "component_id")
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest doc_id (null last), the first if rows share it."""
+    arrow_batches(docs.sparkSession)
+
+    @F.arrow_udf("bigint")
+    def print_of(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(fingerprints_of(as_bytes(b.column("text"))).view(np.int64) for b in chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])])))]))
+
+    # written with its row numbers and fingerprints: both are then the same wherever they are read
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"), print_of(F.col(text_col)).alias("fp")), "numbered")
+    named = grouped(rows, radius)
+    per_print = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("first"))
+    stays = named.join(per_print, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.at").alias("stays"))
+    return rows.join(stays, rows["at"] == stays["stays"], "left_semi").select("row.*")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read(spark, sf_dir, "documents"))
