@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from tidewater.llm.decontamination import op8_benchmark_decontamination
+from tidewater.llm.embedding_dedup import op5_embedding_near_dedup
 from tidewater.llm.mixing import op6_mixing_sources
 from tidewater.llm.quality import op9_quality_classifier
 from tidewater.llm.secrets import op1_secret_scans
 from tidewater.llm.simhash_dedup import op10_simhash_near_dedup
 from tidewater.llm.substring_dedup import op3_substring_dedup
 from tidewater.llm.suffix_dedup import op7_suffix_array_dedup
+from tidewater.llm.token_counts import op4_token_counts
+from tidewater.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_mixing_sources": op6_mixing_sources,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
