@@ -12,19 +12,28 @@ import numpy as np
 from tidewater.llm.base import Rolling, mix, sliding
 
 
+class Hashes:
+    """Two independent hashes of any range of tokens."""
+
+    def __init__(self, tokens: np.ndarray, others: np.ndarray):
+        self.first, self.second = Rolling(tokens, 0), Rolling(others, 1)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.first.of(start, end), self.second.of(start, end)
+
+
 class Windows:
-    """tokens: a 64-bit value each; doc_at: where documents start, and the end."""
+    """tokens: a 64-bit value each; doc_at: where documents start, and the end. Only the runs of windows are kept."""
 
     def __init__(self, tokens: np.ndarray, doc_at: np.ndarray, length: int, seed: int):
         n, w = len(tokens), length - seed + 1
-        self.length, self.first, self.second = length, Rolling(tokens, 0), None
-        self._tokens = tokens
+        self.length, self.n = length, n
         empty = np.zeros(0, np.int64)
         self.run_start, self.run_size, self.run_anchor, self.anchors = empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
         if n < length:
             return
         at = np.arange(n - seed + 1)
-        grams = self.first.of(at, at + seed)
+        grams = Rolling(tokens, 0).of(at, at + seed)
         least = sliding(grams, w, np.minimum)
         # windows that end beyond their document are none
         whole = np.zeros(len(least) + 1, np.int8)
@@ -34,8 +43,8 @@ class Windows:
         whole = np.cumsum(whole[:-1]) > 0
         least[~whole] = 0
         pad = np.zeros(w - 1, np.uint64)
-        #: hash of each place that is the anchor of a window
-        self.anchors = grams[grams == sliding(np.concatenate([pad, least, pad]), w, np.maximum)]
+        #: hash of each place that is the anchor of a window; least values are small, so they are mixed again to deal evenly
+        self.anchors = mix(grams[grams == sliding(np.concatenate([pad, least, pad]), w, np.maximum)])
         # runs of consecutive windows with one anchor
         doc_first = np.zeros(len(least), bool)
         doc_first[doc_at[:-1][doc_at[:-1] < len(least)]] = True
@@ -43,22 +52,16 @@ class Windows:
         size = np.diff(np.append(edge, len(least)))
         real = whole[edge]
         self.run_start, self.run_size = edge[real], size[real]
-        self.run_anchor = least[self.run_start]
+        self.run_anchor = mix(least[self.run_start])
 
     def windows(self, runs: np.ndarray) -> np.ndarray:
         """Starts of the windows of the chosen runs."""
         size = self.run_size[runs]
         return np.repeat(self.run_start[runs] - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of token ranges."""
-        if self.second is None:
-            self.second = Rolling(mix(self._tokens), 1)
-        return self.first.of(start, end), self.second.of(start, end)
-
     def covered(self, starts: np.ndarray) -> np.ndarray:
         """Mask of the tokens that the windows at `starts` cover."""
-        delta = np.zeros(len(self.first.sums), np.int32)
+        delta = np.zeros(self.n + 1, np.int32)
         np.add.at(delta, starts, 1)
         np.add.at(delta, starts + self.length, -1)
         return np.cumsum(delta[:-1]) > 0

@@ -18,17 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.ask import ELSEWHERE, KEY, answers, ask, in_rounds, part_count
-from tidewater.llm.base import Words, arrow_batches, as_bytes, chunks, numbered, read
-from tidewater.llm.repeats import Windows
+from tidewater.llm.base import Words, arrow_batches, as_bytes, chunks, mix, numbered, read
+from tidewater.llm.repeats import Hashes, Windows
 
 WINDOW_WORDS, SEED_WORDS = 35, 8
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def _chunks(table: pa.Table, length: int) -> Iterator[tuple[pa.RecordBatch, Words, Windows]]:
+Chunk = tuple[pa.RecordBatch, Words, np.ndarray, Windows]
+
+
+def _chunks(table: pa.Table, length: int) -> list[Chunk]:
+    """A part's chunks, each with its words, their hashes and its windows."""
+    out = []
     for b in chunks(iter(table.to_batches())):
         w = Words(as_bytes(b.column("text")))
-        yield b, w, Windows(w.hashes(), w.before, length, min(SEED_WORDS, length))
+        h = w.hashes()
+        out.append((b, w, h, Windows(h, w.before, length, min(SEED_WORDS, length))))
+    return out
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,19 +54,20 @@ def _keys(by: np.ndarray, own: np.ndarray) -> np.ndarray:
     return out
 
 
-def _anchors(table: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(found: list[Chunk]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct anchor hashes of a part, and how often each occurs."""
-    found = [w.anchors for _, _, w in _chunks(table, length)]
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(w.anchors for *_, w in found)]), return_counts=True)
 
 
-def _candidates(table: pa.Table, length: int, repeated: np.ndarray) -> Iterator[tuple[pa.RecordBatch, Words, Windows, np.ndarray, np.ndarray]]:
-    """Of each chunk: the windows with a repeated anchor, and their keys."""
-    for b, w, win in _chunks(table, length):
+def _candidates(found: list[Chunk], known: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each chunk: the starts of the windows with a repeated anchor, and their keys."""
+    h, n = _anchors(found)
+    repeated = h[(n > 1) | (answers(known, 1) & ELSEWHERE > 0)]
+    for _, _, words, win in found:
         at = np.minimum(np.searchsorted(repeated, win.run_anchor), max(len(repeated) - 1, 0))
         runs = np.flatnonzero(repeated[at] == win.run_anchor) if len(repeated) else np.zeros(0, np.int64)
         starts = win.windows(runs)
-        yield b, w, win, starts, _keys(*win.hashes(starts, starts + length))
+        yield starts, _keys(*Hashes(words, mix(words)).of(starts, starts + win.length))
 
 
 def _kept(w: Words, drop: np.ndarray) -> list[bytes]:
@@ -92,27 +100,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def seeds(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return ask(0, 1, np.zeros(0, KEY), parts)
-        h, _ = _anchors(table, length)
+        h, _ = _anchors(_chunks(table, length))
         return ask(table.column("part")[0].as_py(), 1, _keys(h, np.zeros_like(h)), parts)
 
-    def repeated(table: pa.Table, known: pa.Table) -> np.ndarray:
-        h, n = _anchors(table, length)
-        return h[(n > 1) | (answers(known, 1) & ELSEWHERE > 0)]
-
     def extend(table: pa.Table, known: pa.Table) -> pa.Table:
         if not table.num_rows:
             return ask(0, 2, np.zeros(0, KEY), parts)
-        keys = [k for *_, k in _candidates(table, length, repeated(table, known))]
+        keys = [k for _, k in _candidates(_chunks(table, length), known)]
         return ask(table.column("part")[0].as_py(), 2, _distinct(np.concatenate(keys))[0], parts)
 
     def cut(table: pa.Table, known: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if table.num_rows:
-            found = list(_candidates(table, length, repeated(table, known)))
-            _, at, n = _distinct(np.concatenate([k for *_, k in found]))
+            whole = _chunks(table, length)
+            found = list(_candidates(whole, known))
+            _, at, n = _distinct(np.concatenate([k for _, k in found]))
             twice = ((n > 1) | (answers(known, 2) & ELSEWHERE > 0))[at]
             done = 0
-            for b, w, win, starts, keys in found:
+            for (b, w, _, win), (starts, keys) in zip(whole, found, strict=True):
                 drop = win.covered(starts[twice[done : done + len(keys)]])
                 done += len(keys)
                 removed = np.diff(np.concatenate([[0], np.cumsum(drop)])[w.before])

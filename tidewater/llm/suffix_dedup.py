@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.ask import EARLIER, ELSEWHERE, KEY, VARIED, answers, ask, in_rounds, part_count
 from tidewater.llm.base import BYTE_VALUES, arrow_batches, as_bytes, chunks, numbered, read
-from tidewater.llm.repeats import Windows
+from tidewater.llm.repeats import Hashes, Windows
 
 LENGTH_BYTES, SEED_BYTES = 100, 32
 #: A chunk's arrays take some 100 bytes for each byte of text.
@@ -38,20 +38,26 @@ class Part:
         self.number = table.column("part")[0].as_py() if table.num_rows else 0
         self.length = length
 
-    def chunks(self) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Windows]]:
+        #: of each chunk: its rows, where its documents start, and its runs of windows
+        self.read = []
         for b in chunks(iter(self.table.combine_chunks().to_batches()), limit=CHUNK):
-            texts = as_bytes(b.column("text"))
-            buf, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            yield b, buf, at, Windows(BYTE_VALUES[0][buf], at, self.length, min(SEED_BYTES, self.length))
+            buf, at = self.bytes_of(b)
+            self.read.append((b, at, Windows(BYTE_VALUES[0][buf], at, length, min(SEED_BYTES, length))))
+
+    @staticmethod
+    def bytes_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        texts = as_bytes(b.column("text"))
+        return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+    def hashes(self, b: pa.RecordBatch) -> Hashes:
+        buf, _ = self.bytes_of(b)
+        return Hashes(BYTE_VALUES[0][buf], BYTE_VALUES[1][buf])
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct anchors, at how many places each stands, and whether one run of windows holds several."""
-        places, runs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for *_, win in self.chunks():
-            places.append(win.anchors)
-            runs.append(win.run_anchor)
-        h, n = np.unique(np.concatenate(places), return_counts=True)
-        r, m = np.unique(np.concatenate(runs), return_counts=True)
+        none = np.zeros(0, np.uint64)
+        h, n = np.unique(np.concatenate([none, *(w.anchors for *_, w in self.read)]), return_counts=True)
+        r, m = np.unique(np.concatenate([none, *(w.run_anchor for *_, w in self.read)]), return_counts=True)
         return h, n, n > m[np.searchsorted(r, h)] if len(h) else np.zeros(0, bool)
 
     def blocks(self, known: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -59,15 +65,14 @@ class Part:
         h, n, inner = self.anchors()
         keep = (n > 1) | (answers(known, 1) & ELSEWHERE > 0)
         h, inner = h[keep], inner[keep]
-        for *_, win in self.chunks():
+        for b, _, win in self.read:
             at = np.minimum(np.searchsorted(h, win.run_anchor), max(len(h) - 1, 0))
             runs = np.flatnonzero(h[at] == win.run_anchor) if len(h) else np.zeros(0, np.int64)
-            start = win.run_start[runs]
-            end = start + win.run_size[runs] - 1 + self.length
             keys = np.empty(len(runs), KEY)
-            keys["by"] = win.run_anchor[runs]
-            one, two = win.hashes(start, end)
-            keys["own"] = one * np.uint64(31) + two
+            if len(runs):
+                start = win.run_start[runs]
+                one, two = self.hashes(b).of(start, start + win.run_size[runs] - 1 + self.length)
+                keys["by"], keys["own"] = win.run_anchor[runs], one * np.uint64(31) + two
             yield runs, keys, inner[at[runs]]
 
     def firsts(self, known: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -85,10 +90,11 @@ class Part:
     def suffixes(self, single: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each chunk: the starts of the windows that are compared singly, and their keys."""
         out = []
-        for (*_, win), runs in zip(self.chunks(), single, strict=True):
+        for (b, _, win), runs in zip(self.read, single, strict=True):
             start = win.windows(runs)
             keys = np.empty(len(start), KEY)
-            keys["by"], keys["own"] = win.hashes(start, start + self.length)
+            if len(start):
+                keys["by"], keys["own"] = self.hashes(b).of(start, start + self.length)
             out.append((start, keys))
         return out
 
@@ -146,7 +152,8 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         _, at, first = distinct(np.concatenate([np.zeros(0, KEY), *(k for _, k in found)]))
         later = ~first | (answers(known, 3)[at] & EARLIER > 0)
         done = 0
-        for (b, buf, doc_at, win), runs, (start, keys) in zip(p.chunks(), again, found, strict=True):
+        for (b, doc_at, win), runs, (start, keys) in zip(p.read, again, found, strict=True):
+            buf, _ = p.bytes_of(b)
             drop = win.covered(np.concatenate([win.windows(runs), start[later[done : done + len(keys)]]]))
             done += len(keys)
             heads = drop.copy()
