@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidewater.llm.decontamination import op8_benchmark_decontamination
 from tidewater.llm.embedding_dedup import op5_embedding_near_dedup
 from tidewater.llm.mixing import op6_mixing_sources
+from tidewater.llm.oracles import ORACLE_SQL
 from tidewater.llm.quality import op9_quality_classifier
 from tidewater.llm.secrets import op1_secret_scans
 from tidewater.llm.simhash_dedup import op10_simhash_near_dedup
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
