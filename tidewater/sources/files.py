@@ -87,15 +87,15 @@ def sim_meta(config: DataFrame) -> DataFrame:
 
 
 def _section(spark: SparkSession, paths: str | list[str], title: str) -> DataFrame:
-    """(keys, file, pos, k, value): the lines behind one that contains the title, up to the next # line; k from 0.
+    """(keys, file, pos, k, value): the lines behind one that contains the title, up to the next that starts with #; k from 0.
 
-    The title may be glued to the end of a data line.
+    The title may be glued to the end of a data line, and data lines may end in a remark.
     """
     rows = _numbered(spark, paths).where(F.trim("value") != "")
     w = Window.partitionBy("file").orderBy("pos")
-    rows = rows.withColumn("_part", F.sum(F.when(F.col("value").contains("#"), 1).otherwise(0)).over(w))
+    rows = rows.withColumn("_part", F.sum(F.when(F.trim("value").startswith("#") | F.col("value").contains(title), 1).otherwise(0)).over(w))
     head = rows.where(F.col("value").contains(title)).groupBy("file").agg(F.min("_part").alias("_part"))
-    body = rows.where(~F.col("value").contains("#")).join(head, ["file", "_part"])
+    body = rows.where(~F.trim("value").startswith("#") & ~F.col("value").contains(title)).join(head, ["file", "_part"])
     return body.withColumn("k", F.row_number().over(w) - 1).drop("_part")
 
 
