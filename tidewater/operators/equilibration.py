@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.distributions import f_p_value, normal_quantile, t975, t_p_value
 from tidewater.functions.numeric import average_rank, half_even
+from tidewater.operators.estimator import block_mbar
 from tidewater.operators.series import block_average, block_gradient, discard_burn_in
 from tidewater.schema import STAGE, WINDOW
 
@@ -187,5 +188,19 @@ def brown_forsythe(table: DataFrame, group: str, value: str) -> DataFrame:
     return out.withColumn("p", f_p_value("f", "df1", "df2"))
 
 
+def paired_t_tests_mbar(samples: DataFrame, first: float = 0.1, last: float = 0.5, intervals: int = 4, n_blocks: int = 100, keys: list[str] = STAGE) -> DataFrame:
+    """paired_t_tests on blocks that are estimated by reweighting: one solve for all blocks of a start fraction; times are null."""
+    parts = []
+    for f in (float(v) for v in np.linspace(0, 1 - last, intervals)):
+        blocks = block_mbar(samples, n_blocks, f, keys=[*keys, "run"])
+        early, late = F.col("block") < round(first * n_blocks), F.col("block") >= round((1 - last) * n_blocks)
+        parts.append(blocks.groupBy(*keys, "run").agg(F.avg(F.when(early, F.col("dg"))).alias("a"), F.avg(F.when(late, F.col("dg"))).alias("b")).withColumn("fraction", F.lit(f)).withColumn("time_ns", F.lit(None).cast("double")))
+    return paired_t(reduce(DataFrame.unionByName, parts), keys)
+
+
+def equil_paired_t_mbar(samples: DataFrame, level: float = 0.05, keys: list[str] = STAGE, **options: float) -> DataFrame:
+    return _first_pass(paired_t_tests_mbar(samples, keys=keys, **options), keys, F.col("p") > level)
+
+
 #: Detectors by name: DataFrames to (keys, equilibrated, fraction) or (keys, equilibrated, equil_time_ns).
-DETECTORS = {"block_gradient": equil_block_gradient, "multiwindow": equil_multiwindow, "kpss": equil_kpss, "geweke": equil_geweke, "paired_t": equil_paired_t, "stored": read_equil_flags}
+DETECTORS = {"block_gradient": equil_block_gradient, "multiwindow": equil_multiwindow, "kpss": equil_kpss, "geweke": equil_geweke, "paired_t": equil_paired_t, "paired_t_mbar": equil_paired_t_mbar, "stored": read_equil_flags}

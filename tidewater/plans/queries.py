@@ -486,3 +486,95 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     s = samples_from_events(spark, d)
     two = s.withColumn("calc", F.when(F.col("run") <= 3, F.lit("a")).otherwise(F.lit("b")))
     return shown(estimator.comparative_convergence(two, series.lambda_weights(two), energy_time_ns=TIMESTEP_NS), "calc", "run", "frac", "dg", "time_ns")
+
+
+@query("subsample", with_samples("SELECT lam, run, step FROM samples JOIN g USING (lam, run) WHERE samples.i % CAST(floor(g) AS BIGINT) = 0", INEFFICIENCY))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(autocorrelation.decorrelated(samples_from_events(spark, d)), "lam", "run", "step")
+
+
+@query("equil_time", with_samples("SELECT round(sum(0.01 + 0.02 * lam), 6) + 0 AS equil_time_ns FROM weights"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(rollup.equil_time(_windows(samples_from_events(spark, d))), "equil_time_ns")
+
+
+@query("all_equilibrated", with_samples("SELECT bool_and(lam < 1) AS equilibrated FROM weights"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return rollup.all_equilibrated(_windows(samples_from_events(spark, d))).select("equilibrated")
+
+
+@query("read_equil_flags", with_samples("SELECT lam, lam < 1 AS equilibrated, round(0.01 + 0.02 * lam, 6) + 0 AS equil_time_ns FROM weights"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(equilibration.read_equil_flags(_windows(samples_from_events(spark, d))), "lam", "equilibrated", "equil_time_ns")
+
+
+@query("equil_vs_total", with_samples("SELECT lam, round(max(step) * 0.000004, 6) + 0 AS total_ns, round(0.01 + 0.02 * lam, 6) + 0 AS equil_time_ns FROM samples WHERE run = 1 GROUP BY lam"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = samples_from_events(spark, d)
+    simtime = s.groupBy(*STAGE, "lam", "run").agg((F.max("step") * TIMESTEP_NS).alias("simtime_ns"))
+    return shown(statistics.equil_vs_total(_windows(s), simtime), "lam", "total_ns", "equil_time_ns")
+
+
+@query("gradient_convergence", with_samples("SELECT lam, run, round(frac, 6) + 0 AS frac, round(grad - last(grad) OVER (PARTITION BY lam, run ORDER BY frac ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) + 0 AS grad_shift FROM (SELECT lam, run, f / 4.0 AS frac, avg(grad) AS grad FROM samples, range(1, 5) t(f) WHERE i < n * f / 4.0 GROUP BY lam, run, f)"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = series.indexed(samples_from_events(spark, d)).withColumn("f", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).where(F.col("i") < F.col("n") * F.col("f") / 4.0)
+    curves = rows.groupBy(*STAGE, "lam", "run", (F.col("f") / 4.0).alias("frac")).agg(F.avg("grad").alias("grad"))
+    return shown(series.gradient_convergence(curves), "lam", "run", "frac", "grad_shift")
+
+
+@query("convergence_axis", with_samples("SELECT run, round(f / 20.0, 5) + 0 AS frac, round(CASE WHEN f = 0 THEN 0 ELSE f / 20.0 * (4.0 - 0.5) + 0.5 END, 6) + 0 AS time_ns FROM (SELECT DISTINCT run FROM samples), range(0, 21) t(f)"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = samples_from_events(spark, d)
+    times = s.select(*STAGE).distinct().select(*STAGE, F.lit(4.0).alias("total_ns"), F.lit(0.1).alias("equil_ns"), F.lit(5).alias("n_runs"))
+    return shown(series.convergence_axis(estimator.ti_convergence(s, series.lambda_weights(s)), times), "run", "frac", "time_ns")
+
+
+@query("roll_up_convergence", f"WITH {HIERARCHY}, {LEG_RUNS} SELECT calc, run, round(sum((dg + run) * (CASE WHEN leg = 'NATION_0' THEN -1 ELSE 1 END)), 6) + 0 AS dg FROM lr GROUP BY calc, run")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    curves = _leg_runs(spark, d).select("calc", "leg", "run", F.lit(1.0).alias("frac"), "dg")
+    sign = curves.select("leg").distinct().withColumn("multiplier", F.when(F.col("leg") == "NATION_0", -1.0).otherwise(1.0))
+    extra = curves.select("leg", "run").distinct().withColumn("dg", F.col("run").cast("double"))
+    return shown(estimator.roll_up_convergence(curves, sign, "leg", ["calc"], extra), "calc", "run", "dg")
+
+
+@query("equil_multiwindow")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = samples_from_events(spark, d)
+    return shown(equilibration.equil_multiwindow(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS), "equilibrated", "fraction")
+
+
+@query("equil_kpss")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = samples_from_events(spark, d)
+    return shown(equilibration.equil_kpss(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS), "equilibrated", "fraction")
+
+
+@query("equil_paired_t")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = samples_from_events(spark, d)
+    return shown(equilibration.equil_paired_t(s, series.lambda_weights(s), n_blocks=BLOCKS), "equilibrated", "fraction")
+
+
+@query("gelman_rubin_equilibrated")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = samples_from_events(spark, d)
+    return shown(equilibration.gelman_rubin_equilibrated(s, _windows(s), F.lit(1.0)), "lam", "rhat", "converged")
+
+
+@query("mbar_convergence")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(estimator.convergence(states_from_embeddings(spark, d), points=5), "run", "frac", "dg")
+
+
+@query("block_mbar")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(estimator.block_mbar(states_from_embeddings(spark, d), 4), "run", "block", "dg")
+
+
+@query("stage_analyse")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of a stage's analysis, with gradients and states of the embeddings' series."""
+    s = states_from_embeddings(spark, d).drop("state").withColumn("grad", F.col("u")[3] - F.col("u")[0])
+    w = series.lambda_weights(s).withColumn("equilibrated", F.lit(True)).withColumn("equil_time_ns", F.lit(0.0))
+    none = s.select("calc", "leg", "stage", "lam", "run").distinct().withColumn("failed", F.lit(False))
+    return shown(analyse.stage_analyse(s, w, none, TIMESTEP_NS, STEP)["mean"], "n", "mean", "ci95")
