@@ -1,16 +1,17 @@
 """Multi-state reweighting (MBAR) for many problems in one job.
 
 A problem is a set of samples (key columns) with the reduced energies `u` of each sample in all K states. The free
-energies are iterated as a small table of one vector per problem; each pass is one aggregation over the samples.
+energies are iterated as a table of one vector per problem; each pass is one aggregation over the samples.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,72 +33,81 @@ def _log_denominator(u: Column, f: Column, log_n: Column) -> Column:
     return top + F.log(F.aggregate(terms, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
 
 
-def _state_table(spark: SparkSession, keys: list[str], schema: T.StructType, rows: list[tuple]) -> DataFrame:
-    fields = [schema[k] for k in keys] + [T.StructField("f", T.ArrayType(T.DoubleType())), T.StructField("log_n", T.ArrayType(T.DoubleType()))]
-    return spark.createDataFrame(rows, T.StructType(fields))
+def _partial_sums(keys: list[str], newton: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of each batch and problem: the sums of the weights w_k = exp(f_k - u_k - d), and of their products."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False):
+                f = np.asarray(part["f"].iloc[0], float)
+                w = np.exp(f - np.stack(part["u"].to_numpy()) - part["_d"].to_numpy()[:, None])
+                yield pd.DataFrame([[*key, w.sum(axis=0).tolist(), (w.T @ w).ravel().tolist() if newton else []]], columns=[*keys, "s", "g"])
+
+    return run
+
+
+def _next(f: np.ndarray, n: np.ndarray, s: np.ndarray, gram: np.ndarray | None) -> tuple[np.ndarray, bool]:
+    """The free energies after one step, the first state held at 0, and whether they have settled."""
+    step = -np.log(s)
+    if gram is not None and len(n) > 1:
+        gram, free = gram.reshape(len(n), -1), np.flatnonzero(n > 0)[1:]
+        # gradient and Hessian of the convex objective in the sampled states, the first of them held
+        grad, hess = n * (s - 1), np.diag(n * s) - n[:, None] * gram * n
+        if len(free):
+            move = np.zeros(len(n))
+            move[free] = -np.linalg.lstsq(hess[np.ix_(free, free)], grad[free], rcond=None)[0]
+            if np.abs(move).max() < 3:  # far from the solution the plain step is safer
+                step = np.where(n > 0, move, step)
+    new = f + step
+    new -= new[0]
+    return new, bool(np.abs(new - f).max() <= TOLERANCE)
+
+
+def _settled(table: DataFrame) -> DataFrame:
+    """table written to the checkpoint folder, or kept where there is none."""
+    return table.checkpoint() if table.sparkSession.sparkContext.getCheckpointDir() else table.persist()
 
 
 def solve(samples: DataFrame, keys: list[str] = RUN, state: str = "state") -> DataFrame:
     """(keys, f array, n array, passes): dimensionless free energies of all states, the first one 0, and sample counts.
 
-    samples has the sampled state's number and u. The result per problem is K numbers, so the driver holds problems x
-    K of them; the samples stay where they are. Problems that have converged leave the passes.
+    samples has the sampled state's number and u. The free energies are a table of one row per problem, joined to the
+    samples in each pass; partitions send K and K x K sums, one row per problem takes the step. Problems that have
+    converged leave the passes. Energies of different lengths, or a state beyond them, fail the query.
     """
-    spark, schema = samples.sparkSession, samples.schema
     rows = samples.select(*keys, F.col(state).cast("int").alias("_s"), "u")
-    sizes: dict[tuple, np.ndarray] = {}
-    for r in rows.groupBy(*keys, "_s", F.size("u").alias("_k")).count().collect():
-        n = sizes.setdefault(tuple(r[k] for k in keys), np.zeros(r["_k"]))
-        if len(n) != r["_k"] or not 0 <= r["_s"] < len(n):
-            raise ValueError("energies and states of a problem do not match")
-        n[r["_s"]] += r["count"]
-    f = {p: np.zeros(len(n)) for p, n in sizes.items()}
-    passes, open_ = dict.fromkeys(sizes, 0), set(sizes)
+    types = [samples.schema[k] for k in keys]
+    array = T.ArrayType(T.DoubleType())
+    counts = rows.groupBy(*keys, "_s").agg(F.count("*").alias("c"), F.min(F.size("u")).alias("k0"), F.max(F.size("u")).alias("k1"))
+    counts = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_s", F.col("c").cast("double").alias("c")))).alias("by"), F.min("k0").alias("k0"), F.max("k1").alias("k1"), F.min("_s").alias("s0"), F.max("_s").alias("s1"))
+    k = F.when((F.col("k0") == F.col("k1")) & (F.col("s0") >= 0) & (F.col("s1") < F.col("k0")), F.col("k0")).otherwise(F.raise_error(F.lit("energies and states of a problem do not match")).cast("int"))
+    states = F.sequence(F.lit(0), k - 1)
+    now = counts.select(*keys, F.transform(states, lambda i: F.lit(0.0)).alias("f"), F.transform(states, lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0.0))).alias("n"), F.lit(0).alias("passes"), F.lit(False).alias("done"))
+    now = _settled(now)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.iloc[:1].copy()
+        for c in ("s", "g"):
+            out[c] = [np.sum(np.stack(pdf[c].to_numpy()), axis=0).tolist()]
+        return out
+
+    @F.pandas_udf(T.StructType([T.StructField("f", array), T.StructField("done", T.BooleanType())]))
+    def step(f: pd.Series, n: pd.Series, s: pd.Series, g: pd.Series) -> pd.DataFrame:
+        # the plain passes send no products
+        made = [_next(*(np.asarray(x, float) for x in (a, b, c)), np.asarray(d, float) if len(d) else None) for a, b, c, d in zip(f, n, s, g, strict=True)]
+        return pd.DataFrame({"f": [m[0].tolist() for m in made], "done": [m[1] for m in made]})
+
     for turn in range(MOST_PASSES):
-        if not open_:
+        if now.where("not done").isEmpty():
             break
-        log_n = lambda p: [float(np.log(x)) if x else None for x in sizes[p]]
-        table = _state_table(spark, keys, schema, [(*p, f[p].tolist(), log_n(p)) for p in sorted(open_, key=str)])
-        dealt = rows.join(table, keys).withColumn("_d", _log_denominator(F.col("u"), F.col("f"), F.col("log_n")))
         newton = turn >= PLAIN_PASSES
-        # w_k = exp(f_k - u_k - d); sums by state, and of their products for the Newton step
-        dealt = dealt.withColumn("w", F.zip_with("f", "u", lambda a, b: a - b)).withColumn("w", F.transform("w", lambda x: F.exp(x - F.col("_d"))))
-        sums = dealt.select(*keys, F.posexplode("w").alias("i", "wi"), *(["w"] if newton else []))
-        found: dict[tuple, dict] = {}
-        if newton:
-            pairs = sums.select(*keys, "i", "wi", F.posexplode("w").alias("j", "wj")).where("j >= i").groupBy(*keys, "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("g"), F.sum("wi").alias("s"))
-            for r in pairs.collect():
-                found.setdefault(tuple(r[k] for k in keys), {})[r.i, r.j] = r.g, r.s
-        else:
-            for r in sums.groupBy(*keys, "i").agg(F.sum("wi").alias("s")).collect():
-                found.setdefault(tuple(r[k] for k in keys), {})[r.i, r.i] = None, r.s
-        for p in sorted(open_, key=str):
-            cells, n = found[p], sizes[p]
-            s = np.array([cells[i, i][1] for i in range(len(n))])
-            step = -np.log(s)
-            if newton and len(n) > 1:
-                gram = np.zeros((len(n), len(n)))
-                for (i, j), (g, _) in cells.items():
-                    gram[i, j] = gram[j, i] = g
-                has = n > 0
-                # gradient and Hessian of the convex objective in the sampled states, the first of them held
-                grad = n * (s - 1)
-                hess = np.diag(n * s) - n[:, None] * gram * n
-                free = np.flatnonzero(has)[1:]
-                if len(free):
-                    move = np.zeros(len(n))
-                    move[free] = -np.linalg.lstsq(hess[np.ix_(free, free)], grad[free], rcond=None)[0]
-                    if np.abs(move).max() < 3:  # far from the solution the plain step is safer
-                        step = np.where(has, move, step)
-            new = f[p] + step
-            new -= new[0]
-            passes[p] += 1
-            done = np.abs(new - f[p]).max() <= TOLERANCE
-            f[p] = new
-            if done:
-                open_.discard(p)
-    fields = [schema[k] for k in keys] + [T.StructField("f", T.ArrayType(T.DoubleType())), T.StructField("n", T.ArrayType(T.DoubleType())), T.StructField("passes", T.IntegerType())]
-    return spark.createDataFrame([(*p, f[p].tolist(), sizes[p].tolist(), passes[p]) for p in sorted(sizes, key=str)], T.StructType(fields))
+        log_n = F.transform("n", lambda x: F.when(x > 0, F.log(x)))
+        dealt = rows.join(now.where("not done").select(*keys, "f", log_n.alias("log_n")), keys).withColumn("_d", _log_denominator(F.col("u"), F.col("f"), F.col("log_n"))).select(*keys, "u", "f", "_d")
+        sums_schema = T.StructType([*types, T.StructField("s", array), T.StructField("g", array)])
+        sums = dealt.mapInPandas(_partial_sums(keys, newton), sums_schema).groupBy(*keys).applyInPandas(total, sums_schema)
+        moved = now.where("not done").join(sums, keys).withColumn("_m", step("f", "n", "s", "g")).select(*keys, "_m.f", "n", (F.col("passes") + 1).alias("passes"), "_m.done")
+        now = _settled(now.where("done").unionByName(moved))
+    return now.select(*keys, "f", "n", "passes")
 
 
 def fixed_passes(samples: DataFrame, passes: int, keys: list[str] = RUN, state: str = "state") -> DataFrame:
