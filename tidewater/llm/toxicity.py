@@ -21,7 +21,7 @@ from tidewater.llm.quality import fold
 
 #: Labelled documents that are trained on at most; words of a window, and between the starts of windows.
 MOST_LABELLED, WINDOW, STRIDE, THRESHOLD = 8192, 24, 12, 0.3
-TABLE_BITS, HIDDEN, ATTENTION, EPOCHS, RATE, BATCH = 18, 8, 8, 24, 0.01, 256
+TABLE_BITS, HIDDEN, ATTENTION, EPOCHS, RATE, BATCH = 18, 8, 8, 16, 0.01, 256
 PREFIXES, GRAM = tuple(range(3, 12)), 5
 CHANNELS = 5
 #: Weight of the prior in a feature's count.
@@ -154,7 +154,9 @@ class Model:
         t = Tokens(texts)
         # words that repeat in the chunk are looked up once
         _, first, back = np.unique(t.keys(), return_index=True, return_inverse=True)
-        x = channels(self.value, t.features(first))[back] if len(first) else np.zeros((0, CHANNELS), np.float32)
+        x = np.zeros((len(back) + 1, CHANNELS), np.float32)
+        if len(first):
+            x[:-1] = channels(self.value, t.features(first))[back]
         return best_windows(self.net, x, t.before)[0]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -162,10 +164,9 @@ class Model:
 
 
 def gather(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, WINDOW, channels) and the mask of the words that are there."""
+    """(windows, WINDOW, channels) and the mask of the words that are there; the last row of x, zeros, stands for none."""
     mask = np.arange(WINDOW) < size[:, None]
-    padded = np.concatenate([x, np.zeros((1, CHANNELS), np.float32)])
-    return padded[np.where(mask, start[:, None] + np.arange(WINDOW), len(x))], mask
+    return x[np.where(mask, start[:, None] + np.arange(WINDOW), len(x) - 1)], mask
 
 
 def best_windows(net: Network, x: np.ndarray, before: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,27 +184,31 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Model:
     odds = np.log(prior / (1 - prior))
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 + (1 << TABLE_BITS)), Network(seed), 0.0, float(odds))
-    size, seen, parts = 1 << TABLE_BITS, [np.zeros((2, 1 << TABLE_BITS)) for _ in range(1)][0], []
-    for i in range(0, len(texts), 512):
-        t = Tokens(texts[i : i + 512])
+    size, seen = 1 << TABLE_BITS, np.zeros((2, 1 << TABLE_BITS))
+    groups, n_words = range(0, len(texts), 64), 0
+    for i in groups:
+        t = Tokens(texts[i : i + 64])
+        n_words += len(t.start)
         doc = np.repeat(np.arange(len(t.before) - 1), np.diff(t.before))
         slots = t.features(np.arange(len(t.start)))
         pair = np.unique(np.concatenate([doc * size + slots[0], (doc[:, None] * size + slots[1])[slots[1] >= 0]]))
         for label in (0, 1):
             seen[label] += np.bincount(pair[y[i + pair // size] == label] % size, minlength=size)
-        parts.append((t.before, slots))
-    value_of = lambda toxic, clean: np.log((toxic + PRIOR * prior) / (clean + PRIOR * (1 - prior))) - odds
-    value = np.append(value_of(seen[1], seen[0]), 0)
+    value_of = lambda toxic, clean: np.append(np.log((toxic + PRIOR * prior) / (clean + PRIOR * (1 - prior))) - odds, 0).astype(np.float32)
+    value = value_of(seen[1], seen[0])
     # what a document's words are worth without itself
-    less = [np.append(value_of(seen[1], np.maximum(seen[0] - 1, 0)), 0), np.append(value_of(np.maximum(seen[1] - 1, 0), seen[0]), 0)]
-    xs, before, done = [], [0], 0
-    for k, (b, slots) in enumerate(parts):
-        label = np.repeat(y[512 * k : 512 * k + len(b) - 1], np.diff(b))
-        xs.append(np.where(label[:, None] == 1, channels(less[1], slots), channels(less[0], slots)))
-        before += (b[1:] + done).tolist()
-        done += int(b[-1])
-    x, before = np.concatenate(xs), np.array(before)
-    del parts, xs
+    less = [value_of(seen[1], np.maximum(seen[0] - 1, 0)), value_of(np.maximum(seen[1] - 1, 0), seen[0])]
+    # features are hashed anew, as only the few channels of each word have room here
+    x, before, done = np.zeros((n_words + 1, CHANNELS), np.float32), [np.zeros(1, np.int64)], 0
+    for i in groups:
+        t = Tokens(texts[i : i + 64])
+        slots = t.features(np.arange(len(t.start)))
+        label = np.repeat(y[i : i + len(t.before) - 1], np.diff(t.before))
+        x[done : done + len(label)] = np.where(label[:, None] == 1, channels(less[1], slots), channels(less[0], slots))
+        before.append(t.before[1:] + done)
+        done += int(t.before[-1])
+    before = np.concatenate(before)
+    del slots, t
     net, state, step = Network(seed), {}, 0
     all_doc, all_start, all_size = windows_of(before)
     for epoch in range(EPOCHS):
@@ -211,8 +216,9 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Model:
             if epoch == 0:
                 # at first the window with the most telling word stands for its document
                 top = np.maximum(x[:, 0], np.maximum(x[:, 1], x[:, 3]))
-                w, m = gather(np.repeat(top[:, None], CHANNELS, 1), all_start, all_size)
-                rank = np.where(m, w[:, :, 0], -9).max(axis=1)
+                top[-1] = -9
+                at = np.arange(WINDOW)
+                rank = np.concatenate([top[np.where(at < n[:, None], a[:, None] + at, len(top) - 1)].max(axis=1) for a, n in ((all_start[i : i + 8192], all_size[i : i + 8192]) for i in range(0, len(all_start), 8192))])
                 order = np.lexsort((-rank, all_doc))
                 pick = order[np.concatenate([[True], all_doc[order][1:] != all_doc[order][:-1]])]
                 start, length = all_start[pick], all_size[pick]
@@ -253,8 +259,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64("_id"), F.lit(n)) < most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(known, F.col("_doc") == F.col("_id")).select("_id", F.coalesce("text", F.lit("")).alias("text"), "_y").toPandas().sort_values(["_id", "text"])
-    return [t.encode() for t in rows["text"]], rows["_y"].to_numpy(dtype=np.int64)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(known, F.col("_doc") == F.col("_id")).select("_id", F.coalesce("text", F.lit("")).alias("text"), "_y").toArrow()
+    texts, y, ids = as_bytes(rows.column("text").combine_chunks()), rows.column("_y").to_numpy(), rows.column("_id").to_numpy()
+    del rows
+    order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+    return [texts[i] for i in order], y[order].astype(np.int64)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
