@@ -37,7 +37,7 @@ CONFIG = "### a comment\nnmoves = 25000\ntimestep = 4 * femtosecond\nnmoves = 1\
 def tree(tmp_path_factory):
     top = tmp_path_factory.mktemp("tree") / "calc" / "bound" / "restrain" / "output" / "lambda_0.105" / "run_02"
     top.mkdir(parents=True)
-    for name, text in (("simfile.dat", SIMFILE), ("mbar.dat", RESULT), ("somd.cfg", CONFIG), ("a.out", "start\nSimulation took 86 s\n"), ("b.out", "Particle coordinate is NaN\n"), ("corr.txt", "1 -7.08 kcal / mol\n2 -7.5 kcal / mol\n")):
+    for name, text in (("simfile.dat", SIMFILE), ("mbar.dat", RESULT), ("run.cfg", CONFIG), ("a.out", "start\nSimulation took 86 s\n"), ("b.out", "Particle coordinate is NaN\n"), ("corr.txt", "1 -7.08 kcal / mol\n2 -7.5 kcal / mol\n")):
         (top / name).write_text(text)
     return str(top)
 
@@ -65,11 +65,11 @@ def test_results(spark, tree):
     slopes = sorted((r.lam_mid, r.grad, r.err) for r in files.read_mbar_gradients(spark, f"{tree}/mbar.dat").collect())
     assert slopes[0] == pytest.approx((0.0045, -293.088, 0.311), rel=1e-3) and slopes[1] == pytest.approx((0.99, 27.635, 0.02), rel=1e-3)
     with pytest.raises(PySparkException):
-        files.read_mbar_result(spark, f"{tree}/somd.cfg").collect()
+        files.read_mbar_result(spark, f"{tree}/run.cfg").collect()
 
 
 def test_config(spark, tree):
-    config = files.read_config(spark, f"{tree}/somd.cfg")
+    config = files.read_config(spark, f"{tree}/run.cfg")
     assert files.config_option(config, "nmoves").first().value == "25000"
     assert files.config_option(config, "odd").first().value == "a"
     with pytest.raises(PySparkException):
