@@ -61,12 +61,16 @@ def _found(text: Column, kind: Kind) -> Column:
     return F.when(F.regexp_like(text, F.lit(kind.pattern)), F.zip_with(pieces, found, row))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
-    """(_uid, doc_id, found): the matches of every kind in each row's whole text, without the text; _uid is the key, or a row number."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def matches(text_col: str = "text") -> Column:
+    """Array of (kind, found) for the kinds that match in the text; a null text is empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     found = [F.struct(F.lit(i).alias("kind"), _found(text, k).alias("found")) for i, k in enumerate(KINDS)]
-    rows = docs.select((F.monotonically_increasing_id() if key is None else key).alias("_uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.select("_uid", "doc_id", F.filter(F.array(*found), lambda x: x["found"].isNotNull()).alias("found"))
+    return F.filter(F.array(*found), lambda x: x["found"].isNotNull())
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_uid, doc_id, found): the matches of every kind in each row's whole text, without the text; _uid numbers the rows."""
+    return docs.select(F.monotonically_increasing_id().alias("_uid"), F.col(id_col).alias("doc_id"), matches(text_col).alias("found"))
 
 
 def spans(scanned: DataFrame) -> DataFrame:
@@ -102,24 +106,25 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.select("doc_id", count(0), count(1), count(2), F.sha2(said(base), 256).alias("base_sha256"), said(all_spans).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every reported secret and access identifier masked in the text; endpoints and logins stay readable.
 
     All rows and columns are kept; a null text stays null. Overlapping spans become one mask.
     """
     hidden = [i for i, k in enumerate(KINDS) if not k.weak or k.role == "secret"]
-    # known by id and text: rows that share both have the same cuts
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)).cast("binary"))
-    scanned = materialize(scan(docs, id_col, text_col, key).where(F.size("found") > 0).dropDuplicates(["_uid"]), "scanned")
+    # written with row numbers and matches, so that only rows with a match are shuffled with their text
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("_uid"), matches(text_col).alias("found")), "scanned")
     before = Window.partitionBy("_uid").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = spans(scanned).where(F.col("kind").isin(hidden)).withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
-    cuts = cuts.groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("start", "from", "end"))).alias("_cuts"))
-    rows = docs.select("*", key.alias("_key")).join(cuts, F.col("_key") == F.col("_uid"), "left")
+    cuts = spans(rows.select("_uid", "found")).where(F.col("kind").isin(hidden)).withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
+    cuts = cuts.groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("start", "from", "end"))).alias("cuts"))
+    some = rows.where(F.size("found") > 0).select("row", "_uid").join(cuts, "_uid", "left")
+    text = F.col("row")[text_col]
     # where a cut starts before the last one ended, it adds nothing but what it reaches beyond
-    piece = lambda c: F.when(c["start"] >= c["from"], F.concat(F.substring(F.col(text_col), c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), F.lit(MASK))).otherwise(F.lit(""))
-    rest = F.substring(F.col(text_col), F.array_max(F.transform("_cuts", lambda c: c["end"])).cast("int") + 1, F.length(F.col(text_col)))
-    masked = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(F.concat(F.concat_ws("", F.transform("_cuts", piece)), rest))
-    return rows.withColumn(text_col, masked).select(*docs.columns)
+    piece = lambda c: F.when(c["start"] >= c["from"], F.concat(F.substring(text, c["from"].cast("int") + 1, (c["start"] - c["from"]).cast("int")), F.lit(MASK))).otherwise(F.lit(""))
+    rest = F.substring(text, F.array_max(F.transform("cuts", lambda c: c["end"])).cast("int") + 1, F.length(text))
+    masked = F.when(F.col("cuts").isNull(), text).otherwise(F.concat(F.concat_ws("", F.transform("cuts", piece)), rest))
+    some = some.select(F.col("row").withField(text_col, masked).alias("row"))
+    return rows.where(F.size("found") == 0).select("row").union(some).select("row.*")
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
