@@ -72,9 +72,6 @@ def answers(table: pa.Table, round_: int) -> np.ndarray:
     return np.frombuffer(b"".join(d for _, d in rows), np.uint8)
 
 
-Rounds = Callable[[pa.Table, pa.Table, int], pa.Table]
-
-
 def in_rounds(base: DataFrame, questions: list[Callable[[pa.Table, pa.Table], pa.Table]], last: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """Asks each question in turn, with the answers so far, then runs `last` with all of them, part by part.
 
