@@ -20,7 +20,7 @@ from tidewater.llm.components import components
 
 COSINE = 0.9
 #: Vectors for each pivot, pivots at most, vectors of a block, rows compared at once.
-PER_PIVOT, MOST_PIVOTS, BLOCK_ROWS, STEP = 4096, 1024, 4096, 512
+PER_PIVOT, MOST_PIVOTS, BLOCK_ROWS, STEP = 16384, 1024, 16384, 256
 #: Below this difference from the threshold, single precision doesn't decide.
 CLOSE = 1e-4
 
