@@ -1,6 +1,7 @@
 """Operators against numpy and closed forms."""
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pytest
@@ -336,3 +337,27 @@ def test_rollups(spark):
     assert (row.dg, row.er) == (1.5, 5.0)
     windows = spark.createDataFrame([("c", True, 1.0), ("c", False, 2.0)], "calc string, equilibrated boolean, equil_time_ns double")
     assert rollup.all_equilibrated(windows, ["calc"]).first().equilibrated is False and rollup.equil_time(windows, ["calc"]).first().equil_time_ns == 3.0
+
+
+def test_shapiro_wilk_keeps_every_group(spark):
+    rng = np.random.default_rng(15)
+    data = {"few": [1.0, 2.0, 4.0], "one": [1.0], "none": [None, None], "four": [1.0, 2.0, 4.0, 9.0], "most": list(rng.normal(size=5000)), "more": [*rng.normal(size=5001), None], "skewed": list(rng.exponential(size=6000))}
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, x in data.items() for v in x], "g string, v double")
+    got = {r.g: r for r in statistics.shapiro_wilk(df, ["g"], "v").collect()}
+    assert {k: r.n for k, r in got.items()} == {k: sum(v is not None for v in x) for k, x in data.items()}
+    assert all((got[k].w, got[k].p) == (None, None) for k in ("few", "one", "none"))
+    # published weights for four values
+    assert got["four"].w == pytest.approx((0.6872 * (9 - 1) + 0.1677 * (4 - 2)) ** 2 / 38, abs=2e-3) and 0 < got["four"].p < 1
+    for k in ("most", "more", "skewed"):
+        x = np.sort([v for v in data[k] if v is not None])
+        n, u = len(x), len(x) ** -0.5
+        m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+        a1 = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, m[-1] / math.sqrt(m @ m)], u)
+        a2 = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(m @ m)], u)
+        a = m / math.sqrt((m @ m - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * a1**2 - 2 * a2**2))
+        a[[0, 1, -2, -1]] = -a1, -a2, a2, a1
+        w = (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+        c = math.log(n)
+        z = (math.log(1 - w) - np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], c)) / math.exp(np.polyval([0.0030302, -0.082676, -0.4803], c))
+        assert got[k].w == pytest.approx(w, abs=1e-9) and got[k].p == pytest.approx(1 - NormalDist().cdf(z), abs=1e-6), k
+    assert got["more"].p > 1e-3 and got["skewed"].p < 1e-6

@@ -112,15 +112,17 @@ def gaussian_kde(table: DataFrame, keys: list[str], value: str, points: int = 10
 
 
 def shapiro_wilk(table: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, n, w, p): Shapiro-Wilk W by Royston's approximation for 4 to 5000 values; null otherwise.
+    """(keys, n, w, p), a row for every group: Shapiro-Wilk W by Royston's approximation; null below 4 values.
 
-    W is the squared correlation of the ordered values with weights from normal quantiles, all as aggregations.
+    W is the squared correlation of the ordered values with weights from normal quantiles, all as aggregations. The
+    approximation of p was fitted to 5000 values at most; beyond, it is carried on.
     """
     win = Window.partitionBy(*keys)
-    rows = table.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"), F.row_number().over(win.orderBy(value)).alias("k"), F.count("*").over(win).alias("n"))
-    rows = rows.withColumn("m", normal_quantile((F.col("k") - 0.375) / (F.col("n") + 0.25)))
+    # missing values stand behind the n others and take no part
+    rows = table.select(*keys, F.col(value).alias("v"), F.row_number().over(win.orderBy(F.asc_nulls_last(value))).alias("k"), F.count(value).over(win).alias("n"))
+    rows = rows.withColumn("m", F.when((F.col("n") >= 4) & (F.col("k") <= F.col("n")), normal_quantile((F.col("k") - 0.375) / (F.col("n") + 0.25))))
     rows = rows.withColumn("mm", F.sum(F.col("m") * F.col("m")).over(win)).withColumn("m1", F.max("m").over(win)).withColumn("m2", F.max(F.when(F.col("k") == F.col("n") - 1, F.col("m"))).over(win))
-    u = 1 / F.sqrt("n")
+    u = 1 / F.sqrt(F.nullif("n", F.lit(0)))
     poly = lambda cs: reduce(lambda a, c: a * u + c, cs, F.lit(0.0))
     # fixed values of the published approximation, highest power first
     last = poly([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0.0]) + F.col("m1") / F.sqrt("mm")
@@ -130,13 +132,13 @@ def shapiro_wilk(table: DataFrame, keys: list[str], value: str) -> DataFrame:
     edge = F.least(F.col("k"), F.col("n") + 1 - F.col("k"))
     size = F.when(edge == 1, F.col("a1")).when((edge == 2) & (F.col("n") > 5), F.col("a2"))
     rows = rows.withColumn("a", F.coalesce(size * F.signum(F.col("k") - (F.col("n") + 1) / 2.0), F.col("m") / F.sqrt(phi)))
-    out = rows.groupBy(*keys, "n").agg((F.sum(F.col("a") * F.col("v")) ** 2 / F.nullif(F.var_pop("v") * F.count("*"), F.lit(0.0))).alias("w"))
+    out = rows.groupBy(*keys, "n").agg((F.sum(F.col("a") * F.col("v")) ** 2 / F.nullif(F.var_pop("v") * F.count("v"), F.lit(0.0))).alias("w"))
     n, ln = F.col("n").cast("double"), F.log("n")
     small_mu, small_sd = 0.544 - 0.39978 * n + 0.025054 * n * n - 0.0006714 * n * n * n, F.exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * n * n * n)
     large_mu, large_sd = -1.5861 - 0.31082 * ln - 0.083751 * ln * ln + 0.0038915 * ln * ln * ln, F.exp(-0.4803 - 0.082676 * ln + 0.0030302 * ln * ln)
     z = F.when(n <= 11, (-F.log(-2.273 + 0.459 * n - F.log(1 - F.col("w"))) - small_mu) / small_sd).otherwise((F.log(1 - F.col("w")) - large_mu) / large_sd)
     upper = chi2_p_value(z * z, F.lit(1.0)) / 2
-    return out.where("n between 4 and 5000").select(*keys, "n", "w", z.alias("_z"), upper.alias("_u")).select(*keys, "n", "w", F.when(F.col("_z") >= 0, F.col("_u")).otherwise(1 - F.col("_u")).alias("p"))
+    return out.select(*keys, "n", "w", z.alias("_z"), upper.alias("_u")).select(*keys, "n", "w", F.when(F.col("_z") >= 0, F.col("_u")).otherwise(1 - F.col("_u")).alias("p"))
 
 
 def equil_vs_total(windows: DataFrame, simtime: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
