@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import distributions as dist
 from tidewater.operators import agreement, autocorrelation, equilibration, estimator, geometry, rollup, schedule, series, statistics
-from tidewater.plans import analyse
+from tidewater.plans import analyse, queries
+from tidewater.sources.tables import LAM
 
 
 def make(spark, arrays, lams=None):
@@ -361,3 +362,27 @@ def test_shapiro_wilk_keeps_every_group(spark):
         z = (math.log(1 - w) - np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], c)) / math.exp(np.polyval([0.0030302, -0.082676, -0.4803], c))
         assert got[k].w == pytest.approx(w, abs=1e-9) and got[k].p == pytest.approx(1 - NormalDist().cdf(z), abs=1e-6), k
     assert got["more"].p > 1e-3 and got["skewed"].p < 1e-6
+
+
+def test_chodera_query_tries_every_start(spark, tmp_path):
+    rng = np.random.default_rng(16)
+    means, rows = {}, []
+    for k, (name, lam) in enumerate(LAM.items()):
+        n = 60 + 20 * k
+        x = np.concatenate([np.linspace(3e3 if k == 1 else 9, 0, 17 + k), np.zeros(n - 17 - k)]) + rng.normal(size=(5, n))
+        means[lam] = x.mean(axis=0)
+        rows += [(len(rows) + j, name, r, j, float(x[r, j])) for r in range(5) for j in range(n)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, ts long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.lam: r for r in queries.QUERIES["chodera"](spark, str(tmp_path)).collect()}
+    assert got.keys() == means.keys()
+    for lam, x in means.items():
+        tried = [(len(x) - t + 1) / inefficiency(x[t:], fast=True) for t in range(len(x) - 1)]
+        assert got[lam].t0 == int(np.argmax(tried)) and got[lam].n_eff == pytest.approx(max(tried), abs=1e-5), lam
+
+
+def test_chodera_of_long_correlation(spark):
+    # many passes of lags, and a constant end
+    x = np.concatenate([np.sin(np.arange(700) / 250) + np.random.default_rng(17).normal(size=700) / 10, np.full(5, 0.3)])
+    got = autocorrelation.chodera_windows(make(spark, {(0, 1): x}), ["lam"]).first()
+    tried = [(len(x) - t + 1) / inefficiency(x[t:], fast=True) for t in range(len(x) - 5)]
+    assert got.t0 == int(np.argmax(tried)) and got.n_eff == pytest.approx(max(tried), rel=1e-9)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,21 +56,43 @@ def statistical_inefficiency(samples: DataFrame, keys: list[str] = SERIES, x: st
         (lag, step), count = (lags[-1][0] + lags[-1][1], lags[-1][1] + int(fast)), min(2 * count, MOST_LAGS)
 
 
-def equil_chodera(means: DataFrame, keys: list[str], stride: int = 1, least: float = 50.0, value: str = "grad", order: str = "step") -> DataFrame:
+def equil_chodera(means: DataFrame, keys: list[str], stride: int = 1, least: float = 50.0, value: str = "grad", order: str = "step", mintime: int = 3) -> DataFrame:
     """(keys, t0, g, n_eff, equilibrated): the start t0 that leaves the most effective samples (T - t0 + 1) / g(t0).
 
-    means is one series per key, the mean over its runs. Every stride-th start before T - 1 is tried; the rows after
-    each start are one series of the batched inefficiency (fast steps). A constant series gives t0 = 0, g = 1, n_eff = 1.
+    means is one series per key, the mean over its runs. Every stride-th start before T - 1 is tried; g(t0) is that of
+    the rows from t0 on (fast steps). Running sums from the end give a lag's correlation for all starts at once, so
+    a pass costs rows times lags; starts that have stopped retire, and with them the rows before the first open one. A
+    constant series gives t0 = 0, g = 1, n_eff = 1.
     """
     w = Window.partitionBy(*keys)
-    rows = means.select(*keys, F.col(order).alias("step"), F.col(value).alias("grad"), (F.row_number().over(w.orderBy(order)) - 1).alias("i"), F.count("*").over(w).alias("n"), F.var_pop(value).over(w).alias("v"))
+    from_end = w.orderBy(F.desc("i"))
+    tail = from_end.rowsBetween(Window.unboundedPreceding, 0)
+    rows = means.select(*keys, F.col(value).alias("x"), (F.row_number().over(w.orderBy(order)) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"), F.var_pop(value).over(w).alias("v"))
     flat = rows.where("v = 0 or n < 3").groupBy(*keys).agg(F.lit(0).cast("long").alias("t0"), F.lit(1.0).alias("g"), F.lit(1.0).alias("n_eff"))
-    tails = rows.where("v > 0 and n >= 3").withColumn("t0", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("i").cast("long"), F.col("n") - 2), F.lit(stride).cast("long"))))
-    varied = F.var_pop("grad").over(Window.partitionBy(*keys, "t0"))
-    tails = tails.withColumn("v", varied).where("v > 0")
-    g = statistical_inefficiency(tails, [*keys, "t0"], fast=True)
-    tried = g.withColumn("n_eff", (F.col("n") + 1) / F.col("g"))
-    best = tried.groupBy(*keys).agg(F.max_by(F.struct("t0", "g", "n_eff"), F.struct("n_eff", -F.col("t0"))).alias("b")).select(*keys, "b.*")
+    # values from the median, which is near the level of the later rows, so that the sums of products stay exact
+    middle = rows.where("v > 0 and n >= 3").groupBy(*keys).agg(F.expr("percentile(x, 0.5)").alias("mid"))
+    state = rows.join(middle, keys).select(*keys, "i", "n", (F.col("x") - F.col("mid")).alias("dx"))
+    state = state.select(*keys, "i", (F.col("n") - F.col("i")).alias("m"), "dx", F.avg("dx").over(tail).alias("mu"), F.var_pop("dx").over(tail).alias("s2"), F.lit(1.0).alias("g"))
+    state = state.withColumn("open", (F.col("i") % stride == 0) & (F.col("m") >= 2) & (F.col("s2") > 0))
+    kept = lambda df: df.checkpoint() if means.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    state, bests, lag, step, count = kept(state), [], 1, 1, FIRST_BATCH
+    m, mu = F.col("m"), F.col("mu")
+    over = lambda s: (s["t"] >= m - 1) | ((s["c"] <= 0) & (s["t"] > mintime))
+    while True:
+        lags = lag_schedule(lag, step, count, True)
+        later = state.select("*", *(F.lag("dx", t).over(from_end).alias(f"x{t}") for t, _ in lags))
+        sums = later.select(*state.columns, *(F.sum(F.col("dx") * F.col(f"x{t}")).over(tail).alias(f"p{t}") for t, _ in lags), *(F.sum(F.when(F.col(f"x{t}").isNotNull(), F.col("dx") + F.col(f"x{t}"))).over(tail).alias(f"q{t}") for t, _ in lags))
+        terms = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(float(d)).alias("d"), ((F.col(f"p{t}") - mu * F.col(f"q{t}") + (m - t) * mu * mu) / F.nullif((m - t) * F.col("s2"), F.lit(0.0))).alias("c")) for t, d in lags))
+        added = F.aggregate(terms, F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("over")), lambda a, s: F.struct(F.when(a["over"] | over(s), a["sum"]).otherwise(a["sum"] + 2 * s["c"] * (1 - s["t"] / m) * s["d"]).alias("sum"), (a["over"] | over(s)).alias("over")))
+        tried = kept(sums.select(*state.columns, F.when(F.col("open"), added).alias("_a")).select(*keys, "i", "m", "dx", "mu", "s2", (F.col("g") + F.coalesce("_a.sum", F.lit(0.0))).alias("g"), (F.col("open") & ~F.col("_a.over")).alias("open"), (F.col("open") & F.col("_a.over")).alias("stopped")))
+        g = F.greatest("g", F.lit(1.0))
+        bests.append(tried.where("stopped").select(*keys, F.col("i").alias("t0"), g.alias("g"), ((m + 1) / g).alias("n_eff")).groupBy(*keys).agg(F.max_by(F.struct("t0", "g", "n_eff"), F.struct("n_eff", -F.col("t0"))).alias("b")))
+        if tried.where("open").isEmpty():
+            break
+        first = tried.where("open").groupBy(*keys).agg(F.min("i").alias("_first"))
+        state = tried.join(first, keys).where("i >= _first").select(*state.columns)
+        (lag, step), count = (lags[-1][0] + lags[-1][1], lags[-1][1] + 1), min(2 * count, MOST_LAGS)
+    best = reduce(DataFrame.unionByName, bests).groupBy(*keys).agg(F.max_by("b", F.struct("b.n_eff", -F.col("b.t0"))).alias("b")).select(*keys, "b.*")
     return best.unionByName(flat).withColumn("equilibrated", F.col("n_eff") >= least)
 
 

@@ -329,7 +329,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("chodera")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(autocorrelation.chodera_windows(samples_from_events(spark, d), ["lam"], stride=50), "lam", "t0", "g", "n_eff", "equilibrated")
+    return shown(autocorrelation.chodera_windows(samples_from_events(spark, d), ["lam"]), "lam", "t0", "g", "n_eff", "equilibrated")
 
 
 @query("brown_forsythe", with_samples("SELECT round(((s2 - s1 * s1 / n) / (k - 1)) / (w / (n - k)), 6) + 0 AS f, CAST(k - 1 AS DOUBLE) AS df1, CAST(n - k AS DOUBLE) AS df2 FROM (SELECT sum(c * m * m) AS s2, sum(c * m) AS s1, sum(c) AS n, sum(w) AS w, count(*) AS k FROM (SELECT lam, avg(d) AS m, count(*) AS c, var_pop(d) * count(*) AS w FROM (SELECT lam, abs(grad - median(grad) OVER (PARTITION BY lam)) AS d FROM samples WHERE lam IN (0.0, 0.25)) GROUP BY lam))"))
