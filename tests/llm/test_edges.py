@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewater.llm import decontamination, embedding_dedup, mixing, quality, secrets, simhash_dedup, substring_dedup, suffix_dedup, token_counts, toxicity
 from tidewater.llm.token_counts import MODEL, Unigram
 
@@ -81,3 +82,20 @@ def test_embeddings(spark):
     want = [("1", 3, "1", True), ("2", 3, "1", False), ("2", 3, "1", False), ("10", 3, "1", False), *((str(i), 0, str(i), True) for i in (3, 4, 5, 6, 7, 8, 9)), ("None", 0, "None", True)]
     assert got == sorted(want)
     assert embedding_dedup.embedding_components(df.where("false")).collect() == []
+
+
+def test_short_items_in_long_documents(spark, tmp_path):
+    items = [(1, "red"), (2, "blue fox"), (3, "a b c"), (4, "p q r s"), (5, "x y"), (6, "one two three four five six"), (7, "fox")]
+    texts = ["w0 w1 a b c w2 w3 a b c w4", "w0 w1 w2 w3 p q r s", "blue fox w1 w2 w3 w4 w5 blue fox", "u v w red", "x", "y x x\ny", "blue w fox w w", "one two three four five six"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.item_id, r.start_word, r.n_words, r.distance, r.similarity) for r in decontamination.op8_benchmark_decontamination(spark, str(tmp_path)).collect()}
+    words, want = [t.split() for t in texts], set()
+    for i, t in items:
+        n = len(t.split())
+        for d, w in enumerate(words):
+            at = [p for p in range(len(w) - n + 1) if w[p : p + n] == t.split()]
+            want |= {(d, i, at[0], n, 0, 1.0)} if at else set()
+    assert len(want) == 8 and got == want
+    kept = corpus_pipeline.decontamination_stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {4}

@@ -60,6 +60,8 @@ class Items:
             w = Words([t])
             self.shingles.append(_shingles(w.hashes(), size))
             self.n_words.append(len(w.start))
+        #: word counts below a shingle, each with the sorted hashes of its items
+        self.short = {n: np.unique(np.concatenate([s for s, m in zip(self.shingles, self.n_words, strict=True) if m == n])) for n in sorted({n for n in self.n_words if 0 < n < size})}
         self.prints = [simhash(s) for s in self.shingles]
         h, item, at = [np.concatenate(x) for x in ([*self.shingles, np.zeros(0, np.uint64)], [*(np.full(len(s), i) for i, s in enumerate(self.shingles)), np.zeros(0, np.int64)], [*(np.arange(len(s)) for s in self.shingles), np.zeros(0, np.int64)])]
         order = np.argsort(h, kind="stable")
@@ -77,8 +79,16 @@ class Items:
         return {i for i in found if (self.prints[i] ^ p).bit_count() <= RADIUS}
 
 
-def _windows(doc: np.ndarray, items: Items, size: int) -> list[tuple[int, int]]:
-    """(start, words) of the windows of one document's word hashes that share a shingle with an item of their size."""
+def _among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of h are in the sorted, not empty known."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _windows(doc: np.ndarray, items: Items, size: int, short: bool) -> list[tuple[int, int]]:
+    """(start, words) of the windows of one document's word hashes that share a shingle with an item of their size.
+
+    An item shorter than a shingle is like an equal run of words only, so the first of equal runs is enough.
+    """
     s = _shingles(doc, size)
     lo, hi = np.searchsorted(items.hash, s, "left"), np.searchsorted(items.hash, s, "right")
     hits = np.flatnonzero(hi > lo)
@@ -89,10 +99,15 @@ def _windows(doc: np.ndarray, items: Items, size: int) -> list[tuple[int, int]]:
             # a document shorter than the item is one window
             start = min(max(p - int(items.at[k]), 0), max(len(doc) - n, 0))
             out.add((start, min(n, len(doc))))
+    for n, hashes in items.short.items() if short else ():
+        if n <= len(doc):
+            at = np.arange(len(doc) - n + 1)
+            runs, first = np.unique(Rolling(doc, 1).of(at, at + n), return_index=True)
+            out.update((p, n) for p in first[_among(hashes, runs)].tolist())
     return sorted(out)
 
 
-def found_in(texts: list[bytes], known: Items, size: int, least: float) -> Iterator[tuple[int, int, int, int, int, float]]:
+def found_in(texts: list[bytes], known: Items, size: int, least: float, short: bool = False) -> Iterator[tuple[int, int, int, int, int, float]]:
     """(text, item, start, words, distance, similarity) of the best window for each item found in each text."""
     w = Words(texts)
     if not len(w.start) or not len(known.hash):
@@ -100,12 +115,14 @@ def found_in(texts: list[bytes], known: Items, size: int, least: float) -> Itera
     h = w.hashes()
     at = np.arange(len(h))
     s = Rolling(h, 1).of(at, np.minimum(at + size, len(h)))
-    hit = known.hash[np.minimum(np.searchsorted(known.hash, s), len(known.hash) - 1)] == s
+    hit = _among(known.hash, s)
+    for n, hashes in known.short.items() if short else ():
+        hit |= _among(hashes, Rolling(h, 1).of(at, np.minimum(at + n, len(h))))
     doc = np.searchsorted(w.before, np.flatnonzero(hit), "right") - 1
     # documents of fewer words than a shingle are compared whole
     for d in np.union1d(doc, np.flatnonzero((w.count > 0) & (w.count < size))).tolist():
         own, best = h[w.before[d] : w.before[d + 1]], {}
-        for start, n in _windows(own, known, size):
+        for start, n in _windows(own, known, size, short):
             window = _shingles(own[start : start + n], size)
             p = simhash(window)
             for i in known.within(p):
@@ -129,11 +146,14 @@ def rounds(benchmark: DataFrame, size: int) -> Iterator[Items]:
     yield Items(ids, texts, size)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY, short: bool = False) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, distance, similarity): the best window of each item found in a document.
 
     Case and marks count as they are. Null and empty texts and items match nothing; repeated items are found each by
     its item_id, repeated documents in every row, null ids stay. Documents without a finding give no row.
+
+    An item of fewer words than a shingle is one shingle of all its words. With short, it is looked up among all runs
+    of as many words, so it is found wherever it stands verbatim; without, only in documents that are as short.
     """
     arrow_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -144,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches):
                 ids = b.column("id").to_pylist()
-                rows = [(ids[d], *x) for d, *x in found_in(as_bytes(b.column("text")), share.value, size, least)]
+                rows = [(ids[d], *x) for d, *x in found_in(as_bytes(b.column("text")), share.value, size, least, short)]
                 names = ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 5 else pa.int64()) for k in range(6)], names)
 
@@ -153,8 +173,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return reduce(DataFrame.union, map(one, rounds(benchmark, size)))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """docs without the rows in whose text an item is found; each row is judged by itself, whatever its id."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY, short: bool = False) -> DataFrame:
+    """docs without the rows in whose text an item is found; each row is judged by itself, whatever its id (short: as in contaminated)."""
     arrow_batches(docs.sparkSession)
 
     def judge(items: Items) -> Column:
@@ -164,7 +184,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: i
         def holds(text: pa.Array) -> pa.Array:
             out, done = np.zeros(len(text), bool), 0
             for b in chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])])):
-                for d, *_ in found_in(as_bytes(b.column("text")), share.value, size, least):
+                for d, *_ in found_in(as_bytes(b.column("text")), share.value, size, least, short):
                     out[done + d] = True
                 done += b.num_rows
             return pa.array(out)
@@ -177,4 +197,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: i
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short=True)
