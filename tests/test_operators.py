@@ -386,3 +386,12 @@ def test_chodera_of_long_correlation(spark):
     got = autocorrelation.chodera_windows(make(spark, {(0, 1): x}), ["lam"]).first()
     tried = [(len(x) - t + 1) / inefficiency(x[t:], fast=True) for t in range(len(x) - 5)]
     assert got.t0 == int(np.argmax(tried)) and got.n_eff == pytest.approx(max(tried), rel=1e-9)
+
+
+def test_queries_on_single_series_keep_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(18)
+    sizes = {1: 30, 2: 6, 3: 1}
+    rows = [(i, "click", run - 1, i, float(rng.normal())) for run, n in sizes.items() for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, ts long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.run: r.n for r in queries.QUERIES["shapiro_wilk"](spark, str(tmp_path)).collect()} == sizes
+    assert {r.run: r["count"] for r in queries.QUERIES["probability_plot"](spark, str(tmp_path)).groupBy("run").count().collect()} == sizes

@@ -274,7 +274,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("probability_plot")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(statistics.probability_plot(samples_from_events(spark, d), ["lam", "run"], "grad"))
+    return shown(statistics.probability_plot(samples_from_events(spark, d, cut=False), ["lam", "run"], "grad"))
 
 
 @query("gaussian_kde", with_samples("SELECT e.lam, e.run, round(lo + (hi - lo) / 99 * k, 6) + 0 AS x, round(sum(exp(-0.5 * pow((lo + (hi - lo) / 99 * k - grad) / h, 2))) / (e.n * h * sqrt(2 * pi())), 6) + 0 AS density FROM (SELECT lam, run, min(grad) AS lo, max(grad) AS hi, count(*) AS n, stddev_samp(grad) * pow(count(*), -0.2) AS h FROM samples GROUP BY lam, run) e, range(0, 100) t(k), samples s WHERE s.lam = e.lam AND s.run = e.run GROUP BY e.lam, e.run, k, lo, hi, e.n, h"))
@@ -284,7 +284,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("shapiro_wilk")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(statistics.shapiro_wilk(samples_from_events(spark, d), ["lam", "run"], "grad"))
+    return shown(statistics.shapiro_wilk(samples_from_events(spark, d, cut=False), ["lam", "run"], "grad"))
 
 
 @query("half_difference_tests", with_samples(f"SELECT fraction, round(avg(s) * 1e6, 4) + 0 AS gradient, round({T4} * stddev_samp(s) / sqrt(count(*)) * 1e6, 4) + 0 AS ci95 FROM (SELECT fraction, run, (avg(CASE WHEN block >= mid THEN dg END) - avg(CASE WHEN block < mid THEN dg END)) / any_value(gap) AS s FROM (SELECT b.run, b.block, b.dg, f / 100.0 AS fraction, f + round_even((100 - f) / 2.0, 0) AS mid, (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f + round_even((100 - f) / 2.0, 0)) - (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f) AS gap FROM blocks b, (VALUES (0), (10), (30), (60)) c(f) WHERE b.block >= f) GROUP BY fraction, run) GROUP BY fraction", blocks_sql("blocks")))

@@ -14,14 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """samples of one stage: windows by event type, runs by user, values in order of time, cut to a window's shortest run."""
+def samples_from_events(spark: SparkSession, sf_dir: str, cut: bool = True) -> DataFrame:
+    """samples of one stage: windows by event type, runs by user, values in order of time.
+
+    With cut, the runs of a window end with the shortest of them, as means across runs need it; without, all rows stay.
+    """
     lam = F.create_map(*(x for k, v in LAM.items() for x in (F.lit(k), F.lit(v))))[F.col("event_type")]
     rows = table(spark, sf_dir, "events").where(F.col("event_type").isin(list(LAM)) & F.col("user_id").isNotNull())
     rows = rows.select(lam.alias("lam"), (F.pmod("user_id", F.lit(N_RUNS)) + 1).cast("int").alias("run"), "ts", "event_id", F.col("value").alias("grad"))
     shortest = rows.groupBy("lam", "run").count().groupBy("lam").agg(F.min("count").alias("_n"))
     rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("lam", "run").orderBy("ts", "event_id")) - 1)
-    rows = rows.join(shortest, "lam").where("i < _n")
+    if cut:
+        rows = rows.join(shortest, "lam").where("i < _n")
     return rows.select(F.lit("events").alias("calc"), F.lit("free").alias("leg"), F.lit("all").alias("stage"), "lam", "run", ((F.col("i") + 1) * STEP).cast("long").alias("step"), "grad")
 
 
