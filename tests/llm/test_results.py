@@ -143,6 +143,37 @@ def test_secrets(write_docs):
     assert hidden[9] == "🙂 [REDACTED]'" and hidden[6] == docs[6]
 
 
+def plain_spans(text):
+    """Base and weak spans of one text by comparing every two parts."""
+    found = []
+    for i, k in enumerate(secrets.KINDS):
+        for m in re.finditer(k.pattern, text):
+            if len(m[k.group]) >= k.least and all(re.search(h, m[0]) for h in k.holds):
+                found.append((m.start(), i, m.end()))
+    wide = [f for f in found if secrets.KINDS[f[1]].name in ("login", "endpoint")]
+    found = [f for f in found if secrets.KINDS[f[1]].name != "mixed" or not any(w[0] <= f[0] and f[2] <= w[2] for w in wide)]
+    secret = lambda f: secrets.KINDS[f[1]].role == "secret"
+    apart = lambda f, g: f[2] <= g[0] or g[2] <= f[0]
+    kept = [f for f in found if not secrets.KINDS[f[1]].weak or any(secret(f) != secret(g) and apart(f, g) and abs(f[0] - g[0]) <= secrets.SCOPE for g in found)]
+    return ",".join(f"{secrets.KINDS[i].name}:{a}:{b}" for a, i, b in sorted(kept))
+
+
+URLS = ["see https://example.com/Assets/Images2024/headerLogo for it", "https://en.example.org/wiki/List_of_Painters_1850s and https://b.example/Xx1Yy2Zz3Xx1Yy2Zz3Xx1Yy2", "user: Zz9Zz9Zz9Zz9Zz9Zz9Zz9", "login: alice at https://host.example/Path/To/Release2024Final"]
+
+
+def test_weak_parts_against_brute_force(write_docs):
+    r = random.Random(12)
+    pieces = [*URLS, "login: alice", "user=Bob_77", "https://h.example/x", "postgres://db.example:5432", "Zz9" * 9, "aB3" * 8 + "==", "password = hunter2secret", "token: abc", "AKIA" + "Q7" * 9, "0f" * 14, "access_key_id: AKIA" + "Z" * 16, "client_secret=Aa1Aa1Aa1Aa1Aa1Aa1Aa1", "🙂", "plain words", '"', "'", " " * 90, "\n", "x" * 150, "secret=abc0123456789abcdef0123456789abcdef"]
+    docs = [*URLS, *("".join(r.choice(pieces) + r.choice(["", " ", ",", "  "]) for _ in range(r.randint(1, 14))) for _ in range(300))]
+    got = {x.doc_id: x.spans for x in secrets.secret_report(write_docs(docs)).collect()}
+    want = {i: plain_spans(t) for i, t in enumerate(docs)}
+    assert got == want
+    assert all(want[i] == "" for i in range(len(URLS)))
+    assert any("mixed" in w for w in want.values()) and any("login" in w for w in want.values()) and any("endpoint" in w for w in want.values())
+    hidden = {x.doc_id: x.text for x in secrets.redact(write_docs(URLS)).collect()}
+    assert hidden == dict(enumerate(URLS))
+
+
 def test_token_counts():
     u = token_counts.Unigram({"▁": -2.0, "a": -1.0, "b": -1.0, "ab": -2.0, "▁a": -3.0, "▁ab": -4.0, "ba": -2.0, "abab": -4.0})
     peer = Tokenizer(models.Unigram([("<unk>", 0.0), *u.pieces.items()], 0, False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.llm.secrets import KINDS, SCOPE
+from tidewater.llm.secrets import KINDS, MIXED, SCOPE, WIDE
 
 
 def _quoted(s: str) -> str:
@@ -16,8 +16,9 @@ def secrets_sql() -> str:
         long = f"len(regexp_extract(m, {_quoted(k.pattern)}, {k.group})) >= {k.least}" if k.group else "true"
         holds = " AND ".join([long, *(f"regexp_matches(m, {_quoted(p)})" for p in k.holds)])
         parts.append(f"SELECT doc_id, {i} AS kind, '{k.name}' AS name, {k.weak} AS weak, '{'secret' if k.role == 'secret' else 'other'}' AS part, e - len(m) AS s, e FROM (SELECT doc_id, m, sum(len(gap) + len(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(gaps[1:len(ms)]) AS gap, unnest(ms) AS m FROM (SELECT doc_id, string_split_regex({text}, {_quoted(k.pattern)}) AS gaps, regexp_extract_all({text}, {_quoted(k.pattern)}) AS ms FROM documents))) WHERE {holds}")
-    found = "f AS (" + " UNION ALL ".join(parts) + ")"
-    linked = f"l AS (SELECT * FROM f WHERE NOT weak UNION ALL SELECT * FROM f WHERE weak AND EXISTS (SELECT 1 FROM f g WHERE g.doc_id = f.doc_id AND g.part <> f.part AND abs(g.s - f.s) <= {SCOPE}))"
+    wide = ", ".join(map(str, WIDE))
+    found = "a AS (" + " UNION ALL ".join(parts) + f"), f AS (SELECT * FROM a WHERE kind <> {MIXED} OR NOT EXISTS (SELECT 1 FROM a o WHERE o.doc_id = a.doc_id AND o.kind IN ({wide}) AND o.s <= a.s AND o.e >= a.e))"
+    linked = f"l AS (SELECT * FROM f WHERE NOT weak UNION ALL SELECT * FROM f WHERE weak AND EXISTS (SELECT 1 FROM f g WHERE g.doc_id = f.doc_id AND g.part <> f.part AND (g.e <= f.s OR f.e <= g.s) AND abs(g.s - f.s) <= {SCOPE}))"
     said = "name || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
     counts = ", ".join(f"CAST(count(*) FILTER (kind = {i}) AS BIGINT) AS n_{k.name}" for i, k in enumerate(KINDS[:3]))
     return f"WITH {found}, {linked} SELECT d.doc_id, {counts}, sha256(coalesce(string_agg({said}, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg({said}, ',' ORDER BY s, kind) FILTER (kind IS NOT NULL), '') AS spans FROM documents d LEFT JOIN l USING (doc_id) GROUP BY d.doc_id"

@@ -2,7 +2,8 @@
 
 Some patterns are findings by themselves (`BASE`). Others are weak: an access identifier, a mixed token or an endpoint
 alone says little. These are reported only when a complementary part (identifier or endpoint with a secret) lies
-within the same scope, found by joining parts on scope buckets of the document and comparing their distance.
+within the same scope and apart from it, found by joining parts on scope buckets of the document and comparing their
+places. A mixed token inside an endpoint or a login is a piece of that part (a path, a name) and no candidate.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ KINDS = (
     Kind("endpoint", r"""(?:https?|ftp|jdbc:[a-z]+|postgres|mysql|redis|mongodb)://[^\x20\x09-\x0D"'<>]+""", "endpoint", weak=True),
 )
 
+#: Kinds whose matches can hold a mixed token that is only a piece of them.
+MIXED = [k.name for k in KINDS].index("mixed")
+WIDE = [i for i, k in enumerate(KINDS) if k.name in ("login", "endpoint")]
+
 
 def _found(text: Column, kind: Kind) -> Column:
     """Array of (gap before, length, ok) of the kind's matches from left to right; null without any."""
@@ -78,13 +83,18 @@ def spans(scanned: DataFrame) -> DataFrame:
     kinds = scanned.select("_uid", F.explode("found").alias("k")).select("_uid", F.col("k.kind").alias("kind"), F.posexplode("k.found").alias("i", "m"))
     so_far = Window.partitionBy("_uid", "kind").orderBy("i")
     placed = kinds.withColumn("end", F.sum(F.col("m.gap") + F.col("m.length")).over(so_far)).where("m.ok").select("_uid", "kind", (F.col("end") - F.col("m.length")).alias("start"), "end")
+    # how far the wide parts that start here or before reach; the wide kinds stand first where starts are equal
+    wide = F.col("kind").isin(WIDE)
+    reach = F.max(F.when(wide, F.col("end"))).over(Window.partitionBy("_uid").orderBy("start", F.when(wide, 0).otherwise(1)))
+    placed = placed.withColumn("inside", F.coalesce((F.col("kind") == MIXED) & (reach >= F.col("end")), F.lit(False))).where("not inside").drop("inside")
     parts = materialize(placed, "parts")
     weak = [i for i, k in enumerate(KINDS) if k.weak]
     role = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(i), F.lit("secret" if k.role == "secret" else "other"))))[F.col("kind")]
     bucket = F.floor(F.col("start") / SCOPE)
     left = parts.where(F.col("kind").isin(weak)).withColumn("role", role).withColumn("bucket", F.explode(F.sequence(bucket - 1, bucket + 1)))
-    right = parts.select(F.col("_uid").alias("u"), F.col("start").alias("at"), role.alias("other"), bucket.alias("b"))
-    near = (left["_uid"] == right["u"]) & (left["bucket"] == right["b"]) & (left["role"] != right["other"]) & (F.abs(left["start"] - right["at"]) <= SCOPE)
+    right = parts.select(F.col("_uid").alias("u"), F.col("start").alias("at"), F.col("end").alias("to"), role.alias("other"), bucket.alias("b"))
+    apart = (left["end"] <= right["at"]) | (right["to"] <= left["start"])
+    near = (left["_uid"] == right["u"]) & (left["bucket"] == right["b"]) & (left["role"] != right["other"]) & apart & (F.abs(left["start"] - right["at"]) <= SCOPE)
     linked = left.join(right, near, "left_semi").select("_uid", "kind", "start", "end").distinct()
     return parts.where(~F.col("kind").isin(weak)).union(linked)
 
@@ -93,7 +103,9 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: doc_id, counts of the certain kinds, base_sha256, spans (kind:start:end, in code points).
 
     Null and empty texts have no spans, counts of zero and the hash of the empty string; rows that repeat, also by
-    doc_id, are reported each by themselves; a null doc_id is kept. Other columns of docs are not looked at.
+    doc_id, are reported each by themselves; a null doc_id is kept; spans that start together stand in the order of
+    KINDS. An empty table gives no rows. Whole texts are searched, however long: a text's matches are one array of
+    offsets, its parts meet by scope bucket. Other columns of docs are not looked at, whatever their names.
     """
     scanned = materialize(scan(docs, id_col, text_col), "scanned")
     each = spans(scanned).groupBy("_uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
@@ -109,7 +121,8 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every reported secret and access identifier masked in the text; endpoints and logins stay readable.
 
-    All rows and columns are kept; a null text stays null. Overlapping spans become one mask.
+    All rows and columns are kept, repeated rows each by themselves; null and empty texts stay as they are, and an empty
+    table stays empty. Overlapping spans become one mask. Columns may have any names.
     """
     hidden = [i for i, k in enumerate(KINDS) if not k.weak or k.role == "secret"]
     # written with row numbers and matches, so that only rows with a match are shuffled with their text
