@@ -1,18 +1,19 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, weighted-shingle verification.
 
-A window of a document can only be like an item if they share a shingle, and that shingle says where the window has to
-start. Windows so placed get a SimHash over their shingles. The items' SimHashes stand in one table for each of several
-bit blocks; whatever is within the radius agrees with the window in some block up to radius // blocks bits, so probing
-the blocks finds every item within the radius. Each candidate is then verified by the exact weighted similarity: the
-sum of the smaller over the sum of the larger shingle weights. Items are taken in rounds of bounded size, one pass over
-the documents each, so that what a task holds does not grow with the benchmark.
+An item of n words is compared with windows of n words. A window can only be like it if they share a shingle, and the
+shingle says where the window has to start, so windows are placed by a join on shingles. Windows so placed, and items,
+get a SimHash. Fingerprints within RADIUS bits agree, in one of BLOCKS blocks, up to RADIUS // BLOCKS bits; items and
+windows are written under every value of a block within half of these bits each, and joined on size, block and value: no
+fingerprint within the radius is lost, whatever the number of items. Each candidate is then verified by the exact
+weighted similarity: the sum of the smaller over the sum of the larger shingle weights.
+
+Every step on items is a Spark job. What tasks hold of the benchmark is a bitmap of its shingles' hashes, of at most
+2 ** MOST_BITS bits, that says which documents need a look; what it lets through in vain, the join drops.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,18 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.base import Rolling, Words, arrow_batches, as_bytes, chunks, read
+from tidewater.llm.base import Rolling, Words, arrow_batches, as_bytes, chunks, materialize, read
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits in which fingerprints may differ, and blocks of the index: 8 blocks of 8 bits, each probed within 3 bits.
-RADIUS, BLOCKS = 28, 8
-#: Bytes of item text in one round.
-ROUND_BYTES = 16 << 20
+#: Bits in which fingerprints may differ; blocks of the index; bits of a block turned over on either side of the join.
+RADIUS, BLOCKS, FLIPS = 19, 4, 2
+#: The bitmap has 64 bits for each shingle between these powers of two; it is built in segments of this power.
+LEAST_BITS, MOST_BITS, SEGMENT_BITS = 19, 30, 19
 FOUND = "doc_id long, item_id long, start_word long, n_words long, distance long, similarity double"
 
 
-def _shingles(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the runs of `size` words; fewer words are one shingle of all of them."""
+def shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of `size` words of word hashes; fewer words are one shingle of all of them."""
     n = len(h)
     if not n:
         return h
@@ -39,162 +40,212 @@ def _shingles(h: np.ndarray, size: int) -> np.ndarray:
     return Rolling(h, 1).of(at, np.minimum(at + size, n))
 
 
-def simhash(shingles: np.ndarray) -> int:
+def simhash(s: np.ndarray) -> int:
     """64-bit SimHash in which a shingle counts as often as it occurs."""
-    bits = np.unpackbits(shingles.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return sum(1 << int(b) for b in np.flatnonzero(2 * bits.sum(axis=0, dtype=np.int64) > len(shingles)))
+    bits = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(s), bitorder="little").view(np.uint64)[0])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two lists of shingles; the weight is the number of occurrences."""
-    x, y = Counter(a.tolist()), Counter(b.tolist())
-    return sum((x & y).values()) / max(sum((x | y).values()), 1)
-
-
-class Items:
-    """The items of one round: where each shingle stands in them, and the block index over their SimHashes."""
-
-    def __init__(self, ids: list[int], texts: list[bytes], size: int):
-        self.ids, self.shingles, self.n_words = ids, [], []
-        for t in texts:
-            w = Words([t])
-            self.shingles.append(_shingles(w.hashes(), size))
-            self.n_words.append(len(w.start))
-        #: word counts below a shingle, each with the sorted hashes of its items
-        self.short = {n: np.unique(np.concatenate([s for s, m in zip(self.shingles, self.n_words, strict=True) if m == n])) for n in sorted({n for n in self.n_words if 0 < n < size})}
-        self.prints = [simhash(s) for s in self.shingles]
-        h, item, at = [np.concatenate(x) for x in ([*self.shingles, np.zeros(0, np.uint64)], [*(np.full(len(s), i) for i, s in enumerate(self.shingles)), np.zeros(0, np.int64)], [*(np.arange(len(s)) for s in self.shingles), np.zeros(0, np.int64)])]
-        order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.at = h[order], item[order].astype(np.int64), at[order].astype(np.int64)
-        width = 64 // BLOCKS
-        self.width, self.near = width, [sum(1 << b for b in f) for d in range(RADIUS // BLOCKS + 1) for f in combinations(range(width), d)]
-        self.index: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for i, p in enumerate(self.prints):
-            for b in range(BLOCKS):
-                self.index[b].setdefault(p >> b * width & (1 << width) - 1, []).append(i)
-
-    def within(self, p: int) -> set[int]:
-        """Every item whose SimHash is within RADIUS of p."""
-        found = {i for b, table in enumerate(self.index) for m in self.near for i in table.get((p >> b * self.width & (1 << self.width) - 1) ^ m, ())}
-        return {i for i in found if (self.prints[i] ^ p).bit_count() <= RADIUS}
-
-
-def _among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of h are in the sorted, not empty known."""
-    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
-
-
-def _windows(doc: np.ndarray, items: Items, size: int, short: bool) -> list[tuple[int, int]]:
-    """(start, words) of the windows of one document's word hashes that share a shingle with an item of their size.
-
-    An item shorter than a shingle is like an equal run of words only, so the first of equal runs is enough.
-    """
-    s = _shingles(doc, size)
-    lo, hi = np.searchsorted(items.hash, s, "left"), np.searchsorted(items.hash, s, "right")
-    hits = np.flatnonzero(hi > lo)
-    out = set()
-    for p in hits.tolist():
-        for k in range(lo[p], hi[p]):
-            n = items.n_words[items.item[k]]
-            # a document shorter than the item is one window
-            start = min(max(p - int(items.at[k]), 0), max(len(doc) - n, 0))
-            out.add((start, min(n, len(doc))))
-    for n, hashes in items.short.items() if short else ():
-        if n <= len(doc):
-            at = np.arange(len(doc) - n + 1)
-            runs, first = np.unique(Rolling(doc, 1).of(at, at + n), return_index=True)
-            out.update((p, n) for p in first[_among(hashes, runs)].tolist())
-    return sorted(out)
-
-
-def found_in(texts: list[bytes], known: Items, size: int, least: float, short: bool = False) -> Iterator[tuple[int, int, int, int, int, float]]:
-    """(text, item, start, words, distance, similarity) of the best window for each item found in each text."""
-    w = Words(texts)
-    if not len(w.start) or not len(known.hash):
-        return
-    h = w.hashes()
-    at = np.arange(len(h))
-    s = Rolling(h, 1).of(at, np.minimum(at + size, len(h)))
-    hit = _among(known.hash, s)
-    for n, hashes in known.short.items() if short else ():
-        hit |= _among(hashes, Rolling(h, 1).of(at, np.minimum(at + n, len(h))))
-    doc = np.searchsorted(w.before, np.flatnonzero(hit), "right") - 1
-    # documents of fewer words than a shingle are compared whole
-    for d in np.union1d(doc, np.flatnonzero((w.count > 0) & (w.count < size))).tolist():
-        own, best = h[w.before[d] : w.before[d + 1]], {}
-        for start, n in _windows(own, known, size, short):
-            window = _shingles(own[start : start + n], size)
-            p = simhash(window)
-            for i in known.within(p):
-                sim = similarity(window, known.shingles[i])
-                if sim >= least and sim > best.get(i, (0.0,))[0]:
-                    best[i] = sim, start, n, (known.prints[i] ^ p).bit_count()
-        for i, (sim, start, n, far) in sorted(best.items()):
-            yield d, known.ids[i], start, n, far, sim
-
-
-def rounds(benchmark: DataFrame, size: int) -> Iterator[Items]:
-    """The items in rounds of ROUND_BYTES of text; items without text are left out."""
-    ids, texts, held = [], [], 0
-    for row in benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1].encode())
-        held += len(texts[-1])
-        if held >= ROUND_BYTES:
-            yield Items(ids, texts, size)
-            ids, texts, held = [], [], 0
-    yield Items(ids, texts, size)
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY, short: bool = False) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, distance, similarity): the best window of each item found in a document.
+    values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = np.bincount(at[: len(a)], minlength=len(values)), np.bincount(at[len(a) :], minlength=len(values))
+    return float(np.minimum(x, y).sum() / max(np.maximum(x, y).sum(), 1))
 
-    Case and marks count as they are. Null and empty texts and items match nothing; repeated items are found each by
-    its item_id, repeated documents in every row, null ids stay. Documents without a finding give no row.
 
-    An item of fewer words than a shingle is one shingle of all its words. With short, it is looked up among all runs
-    of as many words, so it is found wherever it stands verbatim; without, only in documents that are as short.
+def items_of(benchmark: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(item, item_id, n, fp, data): number, words, SimHash and packed shingles of each item that has a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            w = Words(as_bytes(b.column("text")))
+            h, some = w.hashes(), np.flatnonzero(w.count)
+            own = [shingles(h[w.before[d] : w.before[d + 1]], size) for d in some.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column("item").take(pa.array(some)), b.column("item_id").take(pa.array(some)), pa.array(w.count[some], pa.int32()), pa.array(np.array([simhash(s) for s in own], np.uint64).view(np.int64)), pa.array([s.tobytes() for s in own], pa.binary())], ["item", "item_id", "n", "fp", "data"])
+
+    source = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), "text")
+    return materialize(source.mapInArrow(run, "item long, item_id long, n int, fp long, data binary"), "items")
+
+
+def postings(items: DataFrame) -> DataFrame:
+    """(h, n, at): which shingle stands at which place of items of n words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(x, np.int64) for x in b.column("data").to_pylist()]
+            many = [len(s) for s in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(np.repeat(b.column("n").to_numpy(), many)), pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(m, dtype=np.int32) for m in many)]))], ["h", "n", "at"])
+
+    return materialize(items.select("n", "data").mapInArrow(run, "h long, n int, at int").distinct(), "postings")
+
+
+class Known:
+    """A bitmap of the hashes of all shingles, and how many words shingles have."""
+
+    def __init__(self, items: DataFrame, posts: DataFrame, size: int):
+        self.sizes = sorted(r[0] for r in items.select(F.least("n", F.lit(size))).distinct().collect())
+        n = posts.select("h").distinct().count()
+        self.bits = bits = min(max(LEAST_BITS, int(64 * n).bit_length()), MOST_BITS)
+
+        def run(table: pa.Table) -> pa.Table:
+            at = table.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - bits) & np.uint64((1 << SEGMENT_BITS) - 1)
+            mask = np.zeros(1 << SEGMENT_BITS, bool)
+            mask[at.astype(np.int64)] = True
+            return pa.table({"segment": table.column("segment")[:1], "data": pa.array([np.packbits(mask, bitorder="little").tobytes()])})
+
+        made = posts.select("h", F.shiftrightunsigned("h", 64 - bits + SEGMENT_BITS).alias("segment") if bits > SEGMENT_BITS else F.lit(0).cast("long").alias("segment"))
+        self.map = np.zeros(1 << bits - 3, np.uint8)
+        for r in made.groupBy("segment").applyInArrow(run, "segment long, data binary").toLocalIterator():
+            self.map[r[0] << SEGMENT_BITS - 3 : r[0] + 1 << SEGMENT_BITS - 3] = np.frombuffer(r[1], np.uint8)
+
+    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, place in it, hash) of the shingles of a chunk that can be an item's."""
+        h, out = w.hashes(), []
+        rolling = Rolling(h, 1)
+        last = np.repeat(w.before[1:], w.count)
+        for size in self.sizes:
+            at = np.flatnonzero(np.arange(size, len(h) + size) <= last)
+            s = rolling.of(at, at + size)
+            place = s >> np.uint64(64 - self.bits)
+            hit = self.map[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+            out.append((at[hit], s[hit]))
+        at, s = (np.concatenate([o[i] for o in out] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, np.uint64)))
+        order = np.argsort(at, kind="stable")
+        at, s = at[order], s[order]
+        doc = np.searchsorted(w.before, at, "right") - 1
+        return doc, at - w.before[doc], s
+
+
+def suspects_of(docs: DataFrame, share: object) -> DataFrame:
+    """docs: (uid, id, text) -> (uid, id, m, words, h, p) of documents with a hit: word hashes, and hits by hash and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            w = Words(as_bytes(b.column("text")))
+            doc, place, s = share.value.hits(w)
+            some, first = np.unique(doc, return_index=True)
+            h, ends = w.hashes(), pa.array(np.append(first, len(doc)), pa.int32())
+            words = [h[w.before[d] : w.before[d + 1]].tobytes() for d in some.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column("uid").take(pa.array(some)), b.column("id").take(pa.array(some)), pa.array(w.count[some]), pa.array(words, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(s.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(place, pa.int32()))], ["uid", "id", "m", "words", "h", "p"])
+
+    return materialize(docs.mapInArrow(run, "uid long, id long, m long, words binary, h array<long>, p array<int>"), "suspects")
+
+
+def _window(words: bytes, start: int, n: int, size: int) -> np.ndarray:
+    return shingles(np.frombuffer(words, np.uint64)[start : start + n], min(size, n))
+
+
+def placed(suspects: DataFrame, posts: DataFrame, size: int) -> DataFrame:
+    """(uid, n, start, fp) of the windows of n words that share a shingle with an item of n words.
+
+    A document of fewer words than an item is one window.
     """
-    arrow_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    hits = suspects.select("uid", "m", F.explode(F.arrays_zip("h", "p")).alias("x")).select("uid", "m", "x.h", "x.p").join(posts, "h")
+    start = F.least(F.greatest(F.col("p") - F.col("at"), F.lit(0)), F.greatest(F.col("m") - F.col("n"), F.lit(0))).cast("int")
+    each = hits.select("uid", "n", start.alias("start")).distinct().groupBy("uid").agg(F.collect_list(F.struct("n", "start")).alias("windows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            uid, words, windows = (b.column(c).to_pylist() for c in ("uid", "words", "windows"))
+            rows = [(u, x["n"], x["start"], simhash(_window(t, x["start"], x["n"], size))) for u, t, w in zip(uid, words, windows, strict=True) for x in w]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array(np.array([r[3] for r in rows], np.uint64).view(np.int64))], ["uid", "n", "start", "fp"])
+
+    return suspects.select("uid", "words").join(each, "uid").mapInArrow(run, "uid long, n int, start int, fp long")
+
+
+def _blocks(fp: Column) -> Column:
+    """Array of (block, value) for every value of each block within FLIPS bits of the fingerprint's."""
+    width = 64 // BLOCKS
+    masks = F.array(*(F.lit(sum(1 << b for b in f)) for d in range(FLIPS + 1) for f in combinations(range(width), d)))
+
+    def block(k: int) -> Column:
+        value = F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
+
+    return F.flatten(F.array(*map(block, range(BLOCKS))))
+
+
+def within(windows: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns of windows, item, distance): the items of the same size whose fingerprint is within RADIUS, each once."""
+    under = lambda df, *keep: df.select(*keep, "n", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select(*keep, "n", "fp", "b.block", "b.value")
+    known = under(items, "item").withColumnRenamed("fp", "other")
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).cast("long")
+    near = under(windows, *(c for c in columns if c != "n")).join(known, ["n", "block", "value"]).where(far <= RADIUS)
+    return near.select(*columns, "item", far.alias("distance")).distinct()
+
 
-    def one(items: Items) -> DataFrame:
-        share = docs.sparkSession.sparkContext.broadcast(items)
+def verified(suspects: DataFrame, near: DataFrame, items: DataFrame, size: int, least: float) -> DataFrame:
+    """(uid, doc_id, item_id, ...): the best window, the first of equal ones, of each item that is similar enough."""
+    cases = near.join(items.select("item", "item_id", "data"), "item").groupBy("uid").agg(F.collect_list(F.struct("n", "start", "item", "item_id", "distance", "data")).alias("cases"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in chunks(batches):
-                ids = b.column("id").to_pylist()
-                rows = [(ids[d], *x) for d, *x in found_in(as_bytes(b.column("text")), share.value, size, least, short)]
-                names = ["doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 5 else pa.int64()) for k in range(6)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for u, i, m, t, cases in zip(*(b.column(c).to_pylist() for c in ("uid", "id", "m", "words", "cases")), strict=True):
+                best: dict[int, tuple] = {}
+                for c in sorted(cases, key=lambda c: c["start"]):
+                    sim = similarity(_window(t, c["start"], c["n"], size), np.frombuffer(c["data"], np.uint64))
+                    if sim >= least and sim > best.get(c["item"], (0.0,))[0]:
+                        best[c["item"]] = sim, c["item_id"], c["start"], min(c["n"], m), c["distance"]
+                rows += [(u, i, item_id, start, n, far, sim) for sim, item_id, start, n, far in best.values()]
+            names = ["uid", "doc_id", "item_id", "start_word", "n_words", "distance", "similarity"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.float64() if k == 6 else pa.int64()) for k in range(7)], names)
 
-        return source.mapInArrow(run, FOUND)
+    return suspects.select("uid", "id", "m", "words").join(cases, "uid").mapInArrow(run, f"uid long, {FOUND}")
 
-    return reduce(DataFrame.union, map(one, rounds(benchmark, size)))
 
+def _finder(benchmark: DataFrame, size: int, least: float) -> tuple[object, Callable[[DataFrame], DataFrame]]:
+    """The shared bitmap, and what finds items in (uid, id, text)."""
+    spark = benchmark.sparkSession
+    arrow_batches(spark)
+    items = items_of(benchmark, size)
+    posts = postings(items)
+    share = spark.sparkContext.broadcast(Known(items, posts, size))
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY, short: bool = False) -> DataFrame:
-    """docs without the rows in whose text an item is found; each row is judged by itself, whatever its id (short: as in contaminated)."""
-    arrow_batches(docs.sparkSession)
+    def find(docs: DataFrame) -> DataFrame:
+        suspects = suspects_of(docs, share)
+        near = within(placed(suspects, posts, size), items, ["uid", "n", "start"])
+        return verified(suspects, near, items, size, least)
 
-    def judge(items: Items) -> Column:
-        share = docs.sparkSession.sparkContext.broadcast(items)
+    return share, find
 
-        @F.arrow_udf("boolean")
-        def holds(text: pa.Array) -> pa.Array:
-            out, done = np.zeros(len(text), bool), 0
-            for b in chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])])):
-                for d, *_ in found_in(as_bytes(b.column("text")), share.value, size, least, short):
-                    out[done + d] = True
-                done += b.num_rows
-            return pa.array(out)
 
-        return holds(F.col(text_col))
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, start_word, n_words, distance, similarity): the best window of each item found in a document.
+
+    Case and marks count as they are. Null and empty texts and items match nothing; repeated items are found each by
+    its item_id, repeated documents in every row, null ids stay. Documents without a finding give no row, nor do empty
+    tables. Whole texts are searched, however long: a document's word hashes are one array. Other columns of either
+    table are not looked at, whatever their names.
+
+    An item of fewer words than a shingle is one shingle of all its words and is found wherever it stands verbatim. A
+    document of fewer words than an item is one window.
+    """
+    _, find = _finder(benchmark, size, least)
+    return find(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).drop("uid")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """docs without the rows in whose text an item is found; each row is judged by itself, whatever its id.
+
+    Rows with null or empty texts stay, repeated rows stay or go together, an empty table stays empty, and an empty
+    benchmark keeps all. Columns may have any names. Items and long texts count as in contaminated.
+    """
+    share, find = _finder(benchmark, size, least)
+
+    @F.arrow_udf("boolean")
+    def hit(text: pa.Array) -> pa.Array:
+        out, done = np.zeros(len(text), bool), 0
+        for b in chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])])):
+            out[done + np.unique(share.value.hits(Words(as_bytes(b.column("text"))))[0])] = True
+            done += b.num_rows
+        return pa.array(out)
 
-    for items in rounds(benchmark, size):
-        docs = docs.where(~judge(items))
-    return docs
+    # written with row numbers and the bitmap's word, so that only rows with a hit are shuffled with their text
+    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"), hit(F.col(text_col)).alias("hit")), "rows")
+    bad = find(rows.where("hit").select("uid", F.lit(None).cast("long").alias("id"), F.col("row")[text_col].alias("text"))).select("uid").distinct()
+    return rows.where("not hit").select("row.*").unionAll(rows.where("hit").join(bad, "uid", "left_anti").select("row.*"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), short=True)
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
