@@ -45,13 +45,11 @@ def test_substring_dedup(seed, length, write_docs):
         assert got[i] == (len(w), len(drop), " ".join(x for k, x in enumerate(w) if k not in drop))
 
 
-@pytest.mark.parametrize("seed,length", [(4, 100), (5, 40), (6, 33)])
-def test_suffix_dedup(seed, length, write_docs):
-    docs = [*texts(seed), "a" * 500, "ab" * 300, "a" * 120]
-    got = {r.doc_id: r for r in suffix_dedup.remove_later_copies(write_docs(docs), length=length).collect()}
-    seen = set()
-    for i, t in enumerate(docs):
-        b = t.encode()
+def without_later_copies(docs, length):
+    """(bytes, removed, spans, hash of the rest) of each text, in order."""
+    seen, out = set(), []
+    for t in docs:
+        b = (t or "").encode()
         drop = np.zeros(len(b) + 1, bool)
         for s in range(len(b) - length + 1):
             if b[s : s + length] in seen:
@@ -60,7 +58,45 @@ def test_suffix_dedup(seed, length, write_docs):
         drop = drop[:-1]
         kept = np.frombuffer(b, np.uint8)[~drop].tobytes()
         spans = int((np.diff(np.concatenate([[0], drop.astype(int)])) == 1).sum())
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(b), int(drop.sum()), spans, hashlib.sha256(kept).hexdigest())
+        out.append((len(b), int(drop.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("seed,length,most", [(4, 100, 1024), (5, 40, 1024), (6, 33, 1)])
+def test_suffix_dedup(seed, length, most, write_docs, monkeypatch):
+    """With one block a class, every class of several is compared window by window."""
+    monkeypatch.setattr(suffix_dedup, "MOST_BLOCKS", most)
+    docs = [*texts(seed), "a" * 500, "ab" * 300, "a" * 120, "abc" * 900, "cab" * 700]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_later_copies(write_docs(docs), length=length).collect()}
+    assert got == dict(enumerate(without_later_copies(docs, length)))
+
+
+@pytest.mark.parametrize("chunk", [1 << 19, 700])
+def test_suffix_dedup_ids_and_long_texts(chunk, spark, tmp_path, monkeypatch):
+    """Null ids come first, rows of one id follow each other as read, long documents are cut into pieces."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    docs = texts(21, n=80)
+    docs[7] = " ".join(docs)
+    docs[40] = docs[7][300:9000] + "x" * 3000 + docs[7][:5000]
+    for ids in ([None] * 80, [5 if i % 10 else i for i in range(80)], [None if i % 3 else 80 - i for i in range(80)]):
+        path = str(tmp_path / f"{ids.count(None)}")
+        spark.createDataFrame(list(zip(ids, docs, strict=True)), "doc_id long, text string").coalesce(1).write.parquet(path)
+        order = sorted(range(80), key=lambda i: (ids[i] is not None, ids[i] or 0, i))
+        want = sorted((str(ids[i]), *w) for i, w in zip(order, without_later_copies([docs[i] for i in order], 60), strict=True))
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_later_copies(spark.read.parquet(path), length=60).collect())
+        assert got == want
+
+
+def test_longest_previous_factors():
+    r = random.Random(9)
+    for _ in range(50):
+        text = bytes(r.choice(b"ab") for _ in range(r.randint(12, 120)))
+        length, starts = 10, np.arange(len(text) - 9)
+        order, common = suffix_dedup.suffix_order(np.frombuffer(text, np.uint8), starts, np.zeros(len(starts), np.int64), length)
+        assert [text[s : s + length] for s in order] == sorted(text[s : s + length] for s in starts)
+        lcp = lambda i, j: next((k for k in range(length) if text[i + k] != text[j + k]), length)  # noqa: B023, E731
+        want = [max((lcp(i, j) for j in range(i)), default=0) for i in starts.tolist()]
+        assert suffix_dedup.longest_previous_factors(order, common).tolist() == want
 
 
 def test_simhash(write_docs):

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes of a part; it grows with the corpus up to the second figure, then the number of parts does.
-PART_BYTES, MOST_PART_BYTES, LEAST_PARTS, MOST_BUCKETS = 4 << 20, 64 << 20, 48, 1 << 16
+PART_BYTES, MOST_PART_BYTES, LEAST_PARTS = 4 << 20, 64 << 20, 48
 #: A key: what it is dealt and sorted by, and two hashes that tell keys apart.
 KEY = np.dtype([("by", "<u8"), ("own", "<u8")])
 ASKED, ANSWERED = "part int, bucket int, round int, data binary", "part int, round int, bucket int, data binary"
-ELSEWHERE, EARLIER, VARIED = 1, 2, 4
+ELSEWHERE = 1
 
 
 def part_count(docs: DataFrame, text: str = "text") -> int:
@@ -42,44 +42,47 @@ def ask(part: int, round_: int, keys: np.ndarray, n_buckets: int) -> pa.Table:
 
 
 def answer(asked: DataFrame) -> DataFrame:
-    """A byte per key: ELSEWHERE if another part asked it too, EARLIER if one of smaller number did, VARIED if keys of the same `by` differ."""
+    """A byte per key: ELSEWHERE if another part asked it too."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
         data = [np.frombuffer(x, KEY) for x in table.column("data").to_pylist()]
         keys = np.concatenate(data)
-        # stable: equal keys stay in the order of their parts
         order = np.lexsort((keys["own"], keys["by"]))
         s = keys[order]
         same = (s["by"][1:] == s["by"][:-1]) & (s["own"][1:] == s["own"][:-1])
-        group = np.concatenate([[True], s["by"][1:] != s["by"][:-1]])
-        start = np.flatnonzero(group)
-        kinds = np.add.reduceat(np.concatenate([[True], ~same]).astype(np.int64), start) > 1
-        flags = np.repeat(kinds, np.diff(np.append(start, len(s)))).astype(np.uint8) * VARIED
-        flags[1:][same] |= EARLIER | ELSEWHERE
-        flags[:-1][same] |= ELSEWHERE
-        out = np.empty(len(s), np.uint8)
-        out[order] = flags
-        at = np.cumsum([len(x) for x in data])[:-1]
-        return pa.table({"part": table.column("part"), "round": table.column("round"), "bucket": table.column("bucket"), "data": pa.array([x.tobytes() for x in np.split(out, at)], pa.binary())})
+        flags = np.zeros(len(s), np.uint8)
+        flags[1:][same] = ELSEWHERE
+        flags[:-1][same] = ELSEWHERE
+        return answered(table, data, order, flags)
 
     return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
 
 
+def answered(table: pa.Table, data: list[np.ndarray], order: np.ndarray, flags: np.ndarray) -> pa.Table:
+    """The flags of keys in sorted order, dealt back to the rows that asked."""
+    out = np.empty(len(flags), np.uint8)
+    out[order] = flags
+    at = np.cumsum([len(x) for x in data])[:-1]
+    return pa.table({"part": table.column("part"), "round": table.column("round"), "bucket": table.column("bucket"), "data": pa.array([x.tobytes() for x in np.split(out, at)], pa.binary())})
+
+
 def answers(table: pa.Table, round_: int) -> np.ndarray:
     """The bytes for a part's sorted keys of a round."""
     rows = sorted((b, d) for r, b, d in zip(*(table.column(c).to_pylist() for c in ("round", "bucket", "data")), strict=True) if r == round_)
     return np.frombuffer(b"".join(d for _, d in rows), np.uint8)
 
 
-def in_rounds(base: DataFrame, questions: list[Callable[[pa.Table, pa.Table], pa.Table]], last: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Asks each question in turn, with the answers so far, then runs `last` with all of them, part by part.
+Question = Callable[[pa.Table, pa.Table], pa.Table]
+
+
+def in_rounds(base: DataFrame, questions: list[tuple[Question, Callable[[DataFrame], DataFrame]]], last: Question, schema: str) -> DataFrame:
+    """Asks each question in turn, with the answers so far, has it answered, then runs `last` with all answers, part by part.
 
     The rounds share one shuffle of the texts: Spark reuses an exchange that a plan holds more than once.
     """
     spark = base.sparkSession
     known = spark.createDataFrame([], ANSWERED)
-    for q in questions:
+    for q, reply in questions:
         asked = base.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(q, ASKED)
-        known = known.union(answer(asked))
+        known = known.union(reply(asked))
     return base.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(last, schema)

@@ -11,6 +11,9 @@ import numpy as np
 
 from tidewater.llm.base import Rolling, mix, sliding
 
+#: Windows of a run at most: in a periodic text one anchor goes on and on.
+MOST_RUN = 1024
+
 
 class Hashes:
     """Two independent hashes of any range of tokens."""
@@ -51,7 +54,13 @@ class Windows:
         edge = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]) | doc_first)
         size = np.diff(np.append(edge, len(least)))
         real = whole[edge]
-        self.run_start, self.run_size = edge[real], size[real]
+        start, size = edge[real], size[real]
+        many = -(-size // MOST_RUN)
+        if len(many) and many.max() > 1:
+            run = np.repeat(np.arange(len(many)), many)
+            skip = MOST_RUN * (np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many))
+            start, size = start[run] + skip, np.minimum(size[run] - skip, MOST_RUN)
+        self.run_start, self.run_size = start, size
         self.run_anchor = mix(least[self.run_start])
 
     def windows(self, runs: np.ndarray) -> np.ndarray:

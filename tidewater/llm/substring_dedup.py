@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.ask import ELSEWHERE, KEY, answers, ask, in_rounds, part_count
+from tidewater.llm.ask import ELSEWHERE, KEY, answer, answers, ask, in_rounds, part_count
 from tidewater.llm.base import Words, arrow_batches, as_bytes, chunks, mix, numbered, read
 from tidewater.llm.repeats import Hashes, Windows
 
@@ -126,7 +126,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return in_rounds(base, [seeds, extend], cut, RESULT)
+    return in_rounds(base, [(seeds, answer), (extend, answer)], cut, RESULT)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
