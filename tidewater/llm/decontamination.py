@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.base import Rolling, Words, arrow_batches, as_bytes, chunks, materialize, read
+from tidewater.llm.base import Rolling, Words, arrow_batches, as_bytes, chunks, materialize, mix, read
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits in which fingerprints may differ; blocks of the index; bits of a block turned over on either side of the join.
 RADIUS, BLOCKS, FLIPS = 19, 4, 2
-#: The bitmap has 64 bits for each shingle between these powers of two; it is built in segments of this power.
-LEAST_BITS, MOST_BITS, SEGMENT_BITS = 19, 30, 19
+#: The bitmap has 64 bits for each shingle between these powers of two, and is built in segments of this power. A shingle
+#: sets PROBES of them: of other shingles one in 100 000 passes.
+LEAST_BITS, MOST_BITS, SEGMENT_BITS, PROBES = 19, 30, 19, 4
 FOUND = "doc_id long, item_id long, start_word long, n_words long, distance long, similarity double"
 
 
@@ -53,6 +54,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / max(np.maximum(x, y).sum(), 1))
 
 
+def probe(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th place of hashes in a bitmap."""
+    return ((mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if k else h) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def items_of(benchmark: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(item, item_id, n, fp, data): number, words, SimHash and packed shingles of each item that has a word."""
 
@@ -84,20 +90,32 @@ class Known:
 
     def __init__(self, items: DataFrame, posts: DataFrame, size: int):
         self.sizes = sorted(r[0] for r in items.select(F.least("n", F.lit(size))).distinct().collect())
-        n = posts.select("h").distinct().count()
-        self.bits = bits = min(max(LEAST_BITS, int(64 * n).bit_length()), MOST_BITS)
+        hashes = posts.select("h").distinct()
+        self.bits = bits = min(max(LEAST_BITS, int(64 * hashes.count()).bit_length()), MOST_BITS)
 
-        def run(table: pa.Table) -> pa.Table:
-            at = table.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - bits) & np.uint64((1 << SEGMENT_BITS) - 1)
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = np.concatenate([probe(b.column("h").to_numpy().view(np.uint64), k, bits) for k in range(PROBES)])
+                yield pa.RecordBatch.from_arrays([pa.array(at >> SEGMENT_BITS), pa.array((at & (1 << SEGMENT_BITS) - 1).astype(np.int32))], ["segment", "bit"])
+
+        def segment(table: pa.Table) -> pa.Table:
             mask = np.zeros(1 << SEGMENT_BITS, bool)
-            mask[at.astype(np.int64)] = True
+            mask[table.column("bit").to_numpy()] = True
             return pa.table({"segment": table.column("segment")[:1], "data": pa.array([np.packbits(mask, bitorder="little").tobytes()])})
 
-        made = posts.select("h", F.shiftrightunsigned("h", 64 - bits + SEGMENT_BITS).alias("segment") if bits > SEGMENT_BITS else F.lit(0).cast("long").alias("segment"))
+        made = hashes.mapInArrow(spread, "segment long, bit int").groupBy("segment").applyInArrow(segment, "segment long, data binary")
         self.map = np.zeros(1 << bits - 3, np.uint8)
-        for r in made.groupBy("segment").applyInArrow(run, "segment long, data binary").toLocalIterator():
+        for r in made.toLocalIterator():
             self.map[r[0] << SEGMENT_BITS - 3 : r[0] + 1 << SEGMENT_BITS - 3] = np.frombuffer(r[1], np.uint8)
 
+    def among(self, s: np.ndarray) -> np.ndarray:
+        """Which of the hashes can be a shingle's."""
+        left = np.arange(len(s))
+        for k in range(PROBES):
+            at = probe(s[left], k, self.bits)
+            left = left[self.map[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0]
+        return left
+
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, place in it, hash) of the shingles of a chunk that can be an item's."""
         h, out = w.hashes(), []
@@ -106,8 +124,7 @@ class Known:
         for size in self.sizes:
             at = np.flatnonzero(np.arange(size, len(h) + size) <= last)
             s = rolling.of(at, at + size)
-            place = s >> np.uint64(64 - self.bits)
-            hit = self.map[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+            hit = self.among(s)
             out.append((at[hit], s[hit]))
         at, s = (np.concatenate([o[i] for o in out] or [np.zeros(0, t)]) for i, t in enumerate((np.int64, np.uint64)))
         order = np.argsort(at, kind="stable")
