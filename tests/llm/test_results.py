@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
 import corpus_pipeline
@@ -128,9 +129,12 @@ def test_dense_fingerprints_are_divided(spark, monkeypatch):
     assert got == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [1 << 20, 3])
+def test_components(hub, spark, monkeypatch):
+    """With a hub of three links, most nodes are joined by broadcast."""
+    monkeypatch.setattr(components, "HUB", hub)
     r = random.Random(1)
-    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)]
+    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(500, i) for i in range(501, 560)]
     root = {x: x for e in edges for x in e}
     changed = True
     while changed:
@@ -143,17 +147,17 @@ def test_components(spark):
     assert got == {x: c for x, c in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("unit_rows,step,kind", [(16384, 256, "float"), (40, 7, "double")])
+def test_embeddings(unit_rows, step, kind, spark, monkeypatch):
+    """Clustered and scattered vectors, one cluster of a third of all, copies: units of many and of few vectors."""
+    monkeypatch.setattr(embedding_dedup, "UNIT_ROWS", unit_rows)
+    monkeypatch.setattr(embedding_dedup, "STEP", step)
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 8))
-    x = np.concatenate([centres[rng.integers(0, 20, 300)] + 0.25 * rng.normal(size=(300, 8)), rng.normal(size=(100, 8))]).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    old = embedding_dedup.PER_PIVOT, embedding_dedup.BLOCK_ROWS
-    embedding_dedup.PER_PIVOT, embedding_dedup.BLOCK_ROWS = 25, 40
-    try:
-        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(df).collect()}
-    finally:
-        embedding_dedup.PER_PIVOT, embedding_dedup.BLOCK_ROWS = old
+    x = np.concatenate([centres[rng.integers(0, 20, 300)] + 0.25 * rng.normal(size=(300, 8)), centres[0] + 0.02 * rng.normal(size=(200, 8)), rng.normal(size=(100, 8))]).astype(np.float32)
+    x[550:570] = x[:20]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_components(df).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = u @ u.T >= 0.9
     label = np.arange(len(x))
@@ -166,6 +170,17 @@ def test_embeddings(spark):
     assert len(set(label)) < 300
 
 
+def test_embedding_units_prune(spark):
+    """Tight clusters far apart are compared among themselves: few copies, few pairs."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 64))
+    x = centres[rng.integers(0, 30, 900)] + 0.05 * rng.normal(size=(900, 64))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "key long, v array<double>, copies long")
+    _, _, work = embedding_dedup.link_vectors(df)
+    done = work.first()
+    assert done.rows < 2 * 900 and done.pairs < 900 * 900 / 5
+
+
 def test_secrets(write_docs):
     docs = ["no", "password = hunter2secret and token: abc", "secret=token:abcdefgh", "AKIA" + "Z" * 16, "x" * 10 + "a1" * 20, "login: alice " + "Zz9" * 9, "Zz9" * 9 + " alone", "Zz9" * 9 + " " * 300 + "login: alice", "see https://host.example/x with Zz9Zz9Zz9Zz9Zz9Zz9Zz9 ok", "🙂 api_key: '0123456789abcdef0123456789abcdef'"]
     got = {r.doc_id: r.spans for r in secrets.secret_report(write_docs(docs)).collect()}
@@ -247,7 +262,44 @@ def test_mixing(write_docs):
     for r in rows:
         assert abs(r.target - target[r.source]) < 1e-6 and r.source_size == size[r.source] and 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 3 * mixing.BLOCK_WORDS for s in names)
+    # a source's slots reach its target, also where it has but seven words
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
+    assert taken["tiny"] == 21
+    for r in rows:
+        assert (r.first_slot is None) == (r.taken == 0) == (r.n_slots == 0)
+
+
+def test_mixing_order(spark):
+    """Slots follow the golden ratio exactly, also far out, and every source has its share at any length."""
+    slots = [0, 1, 2, 12345, 2**31 - 1, 2**31, 2**32 + 5, 2**47 + 99]
+    got = [r.x for r in spark.createDataFrame([(i,) for i in slots], "i long").select(mixing.point(F.col("i")).alias("x")).collect()]
+    assert got == [(i * mixing.PHI) % 2**48 / 2**48 for i in slots]
+    targets = spark.createDataFrame([("a", 500.0, 0.0, 0.5), ("b", 300.0, 0.5, 0.8), (None, 199.0, 0.8, 0.999), ("t", 1.0, 0.999, 1.0)], "source string, target double, low double, high double")
+    rows = sorted(mixing.schedule(targets, 1000, 1).collect(), key=lambda r: r.slot)
+    share = {"a": 0.5, "b": 0.3, None: 0.199, "t": 0.001}
+    for n in (10, 100, 500, 1000):
+        first = Counter(r.source for r in rows[:n])
+        assert all(abs(first[s] - n * p) <= 4 for s, p in share.items())
+    for s in share:
+        assert [r.rank for r in rows if r.source == s] == list(range(sum(r.source == s for r in rows))) and sum(r.source == s for r in rows) >= round(1000 * share[s])
+    assert len({r.slot for r in rows}) == len(rows)
+
+
+def test_running_sums_over_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 3)
+    r = random.Random(2)
+    rows = [(r.choice(["a", None, "b"]), i, r.randint(0, 9)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, i long, v long")
+    got = {x.i: x.before for x in mixing.running(df, ["k"], F.floor(F.col("i") / 3), ["i"], "v", "before").collect()}
+    assert got == {i: sum(v for k2, j, v in rows if k2 == k and j < i) for k, i, _ in rows}
+
+
+def test_mixed_texts(write_docs):
+    docs = write_docs(["one two three", None, "", "four " * 200, "five six"], ["a", "a", "b", "b", None])
+    rows = {r.doc_id: r for r in mixing.mixed(docs).collect()}
+    assert rows.keys() == {0, 1, 2, 3, 4} and rows[3].text == "four " * 200 and rows[1].text is None
+    plain = {r.doc_id: (r.taken, r.first_slot, r.n_slots) for r in mixing.mix(docs).collect()}
+    assert plain == {i: (r.taken, r.first_slot, r.n_slots) for i, r in rows.items()}
 
 
 def test_decontamination(write_docs, spark):
