@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import average_rank
@@ -12,10 +12,16 @@ STATISTICS = ("r", "r2", "mue", "rmse", "rho", "tau")
 
 
 def set_results(calculated: DataFrame, measured: DataFrame, offset: bool = False) -> DataFrame:
+    """set_summary without the rows that have a null."""
+    return set_summary(calculated, measured, offset).dropna()
+
+
+def set_summary(calculated: DataFrame, measured: DataFrame, offset: bool = False) -> DataFrame:
     """measured with calc_dg and calc_er, the mean and 95 % half width of each calculation's runs, plus calc_cor.
 
     calculated has (calc_base_dir, run, dg). A directory that is measured twice fails the query, as does an offset
-    without every exp_dg. With offset, calc_dg is moved by the difference of the means. Rows with a null go.
+    without every exp_dg. With offset, calc_dg is moved by the difference of the means. This
+    is the table to write before rows with nulls go.
     """
     runs = mean_ci95(calculated, ["calc_base_dir"], "dg").select(F.col("calc_base_dir").alias("_dir"), F.col("mean").alias("_dg"), F.col("ci95").alias("_er"))
     once = F.count("*").over(Window.partitionBy("calc_base_dir")) == 1
@@ -28,7 +34,7 @@ def set_results(calculated: DataFrame, measured: DataFrame, offset: bool = False
         known = F.count(F.when(F.col("exp_dg").isNull(), 1)).over(every) == 0
         shift = F.when(known, F.avg("exp_dg").over(every) - F.avg("calc_dg").over(every)).otherwise(F.raise_error(F.lit("exp_dg is missing")).cast("double"))
         out = out.withColumn("calc_dg", F.col("calc_dg") + shift)
-    return out.dropna()
+    return out
 
 
 def pair_statistics(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -105,7 +111,3 @@ def stats_with_ci(pairs: DataFrame, x: str, y: str, x_er: str, y_er: str, order:
 def to_analyse(calculations: DataFrame, results: DataFrame, keys: list[str], reanalyse: bool = False) -> DataFrame:
     """Calculations without a stored result, or all of them."""
     return calculations if reanalyse else calculations.join(results.select(*keys).distinct(), keys, "left_anti")
-
-
-def empty_results(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.series import subsample
 from tidewater.schema import SERIES
+from tidewater.sources.scratch import settled
 
 #: Lags of the first batch; later ones double, up to the second figure.
 FIRST_BATCH, MOST_LAGS = 16, 128
@@ -32,9 +33,10 @@ def statistical_inefficiency(samples: DataFrame, keys: list[str] = SERIES, x: st
     y = y or x
     w = Window.partitionBy(*keys)
     rows = samples.select(*keys, F.col(order).alias("_o"), (F.col(x) - F.avg(x).over(w)).alias("dx"), (F.col(y) - F.avg(y).over(w)).alias("dy"))
+    rows = settled(rows)
     base = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("dx") * F.col("dy")).alias("s2"))
     state = base.select(*keys, "n", F.when(F.col("s2") != 0, F.col("s2")).otherwise(F.raise_error(F.lit("the sample covariance is zero")).cast("double")).alias("s2"), F.lit(1.0).alias("g"), F.lit(False).alias("done"))
-    state = state.checkpoint() if samples.sparkSession.sparkContext.getCheckpointDir() else state
+    state = settled(state)
     lag, step, count = 1, 1, FIRST_BATCH
     while True:
         lags = lag_schedule(lag, step, count, fast)
@@ -50,7 +52,7 @@ def statistical_inefficiency(samples: DataFrame, keys: list[str] = SERIES, x: st
         added = F.aggregate(terms, F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("over")), lambda a, s: F.struct(F.when(a["over"] | over(s), a["sum"]).otherwise(a["sum"] + 2 * s["c"] * (1 - s["t"] / n) * s["d"]).alias("sum"), (a["over"] | over(s)).alias("over")))
         merged = state.join(sums, keys, "left").withColumn("_a", F.when(~F.col("done") & (F.col("n") > lag + 1), added).otherwise(F.struct(F.lit(0.0).alias("sum"), F.lit(True).alias("over"))))
         state = merged.select(*keys, "n", "s2", (F.col("g") + F.col("_a.sum")).alias("g"), F.col("_a.over").alias("done"))
-        state = state.checkpoint() if samples.sparkSession.sparkContext.getCheckpointDir() else state.persist()
+        state = settled(state)
         if state.where("not done").isEmpty():
             return state.select(*keys, "n", F.greatest("g", F.lit(1.0)).alias("g"))
         (lag, step), count = (lags[-1][0] + lags[-1][1], lags[-1][1] + int(fast)), min(2 * count, MOST_LAGS)
@@ -74,8 +76,7 @@ def equil_chodera(means: DataFrame, keys: list[str], stride: int = 1, least: flo
     state = rows.join(middle, keys).select(*keys, "i", "n", (F.col("x") - F.col("mid")).alias("dx"))
     state = state.select(*keys, "i", (F.col("n") - F.col("i")).alias("m"), "dx", F.avg("dx").over(tail).alias("mu"), F.var_pop("dx").over(tail).alias("s2"), F.lit(1.0).alias("g"))
     state = state.withColumn("open", (F.col("i") % stride == 0) & (F.col("m") >= 2) & (F.col("s2") > 0))
-    kept = lambda df: df.checkpoint() if means.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-    state, bests, lag, step, count = kept(state), [], 1, 1, FIRST_BATCH
+    state, bests, lag, step, count = settled(state), [], 1, 1, FIRST_BATCH
     m, mu = F.col("m"), F.col("mu")
     over = lambda s: (s["t"] >= m - 1) | ((s["c"] <= 0) & (s["t"] > mintime))
     while True:
@@ -84,7 +85,7 @@ def equil_chodera(means: DataFrame, keys: list[str], stride: int = 1, least: flo
         sums = later.select(*state.columns, *(F.sum(F.col("dx") * F.col(f"x{t}")).over(tail).alias(f"p{t}") for t, _ in lags), *(F.sum(F.when(F.col(f"x{t}").isNotNull(), F.col("dx") + F.col(f"x{t}"))).over(tail).alias(f"q{t}") for t, _ in lags))
         terms = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(float(d)).alias("d"), ((F.col(f"p{t}") - mu * F.col(f"q{t}") + (m - t) * mu * mu) / F.nullif((m - t) * F.col("s2"), F.lit(0.0))).alias("c")) for t, d in lags))
         added = F.aggregate(terms, F.struct(F.lit(0.0).alias("sum"), F.lit(False).alias("over")), lambda a, s: F.struct(F.when(a["over"] | over(s), a["sum"]).otherwise(a["sum"] + 2 * s["c"] * (1 - s["t"] / m) * s["d"]).alias("sum"), (a["over"] | over(s)).alias("over")))
-        tried = kept(sums.select(*state.columns, F.when(F.col("open"), added).alias("_a")).select(*keys, "i", "m", "dx", "mu", "s2", (F.col("g") + F.coalesce("_a.sum", F.lit(0.0))).alias("g"), (F.col("open") & ~F.col("_a.over")).alias("open"), (F.col("open") & F.col("_a.over")).alias("stopped")))
+        tried = settled(sums.select(*state.columns, F.when(F.col("open"), added).alias("_a")).select(*keys, "i", "m", "dx", "mu", "s2", (F.col("g") + F.coalesce("_a.sum", F.lit(0.0))).alias("g"), (F.col("open") & ~F.col("_a.over")).alias("open"), (F.col("open") & F.col("_a.over")).alias("stopped")))
         g = F.greatest("g", F.lit(1.0))
         bests.append(tried.where("stopped").select(*keys, F.col("i").alias("t0"), g.alias("g"), ((m + 1) / g).alias("n_eff")).groupBy(*keys).agg(F.max_by(F.struct("t0", "g", "n_eff"), F.struct("n_eff", -F.col("t0"))).alias("b")))
         if tried.where("open").isEmpty():

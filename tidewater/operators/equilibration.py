@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.distributions import f_p_value, normal_quantile, t975, t_p_value
-from tidewater.functions.numeric import average_rank, half_even
-from tidewater.operators.estimator import block_mbar
-from tidewater.operators.series import block_average, block_gradient, discard_burn_in
+from tidewater.functions.numeric import average_rank, half_even, median
+from tidewater.operators.estimator import block_mbars
+from tidewater.operators.series import block_averages, block_gradient, discard_burn_in
 from tidewater.schema import STAGE, WINDOW
 
 
@@ -94,13 +92,19 @@ def equil_kpss(blocks: DataFrame, n_blocks: int = 100, level: float = 0.05, keys
     return _first_pass(kpss_tests(blocks, n_blocks, keys=keys), keys, F.col("p") > level)
 
 
-def _slices(samples: DataFrame, weights: DataFrame, first: float, last: float, intervals: int, n_blocks: int, keys: list[str]) -> DataFrame:
-    """(keys, fraction, run, a, b, time_ns): each run's mean at the start and at the end, for rising start fractions."""
+def _check_slices(first: float, last: float, intervals: int) -> None:
     if not (0 < first < 1 and 0 < last < 1 and first + last <= 1 and intervals > 1):
         raise ValueError("first and last must be fractions that sum to 1 at most, intervals above 1")
-    starts = [float(f) for f in np.linspace(0, 1 - last, intervals)]
-    parts = [block_average(samples, weights, n_blocks, f, 1.0, keys=keys).withColumn("fraction", F.lit(f)) for f in starts]
-    blocks = reduce(DataFrame.unionByName, parts)
+
+
+def _slices(samples: DataFrame, weights: DataFrame, first: float, last: float, intervals: int, n_blocks: int, keys: list[str]) -> DataFrame:
+    """(keys, fraction, run, a, b, time_ns): each run's mean at the start and at the end, for rising start fractions."""
+    _check_slices(first, last, intervals)
+    blocks = block_averages(samples, weights, n_blocks, [float(f) for f in np.linspace(0, 1 - last, intervals)], keys=keys)
+    return _ends(blocks, first, last, n_blocks, keys)
+
+
+def _ends(blocks: DataFrame, first: float, last: float, n_blocks: int, keys: list[str]) -> DataFrame:
     early, late = F.col("block") < round(first * n_blocks), F.col("block") >= round((1 - last) * n_blocks)
     return blocks.groupBy(*keys, "fraction", "run").agg(F.avg(F.when(early, F.col("dg"))).alias("a"), F.avg(F.when(late, F.col("dg"))).alias("b"), F.min("time_ns").alias("time_ns"))
 
@@ -133,28 +137,26 @@ def equil_paired_t(samples: DataFrame, weights: DataFrame, level: float = 0.05,
     return _first_pass(paired_t_tests(samples, weights, keys=keys, **options), keys, F.col("p") > level)
 
 
-def _rhat(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, r): rank-normalised R-hat of chains, all of one length."""
-    w = Window.partitionBy(*keys)
-    z = normal_quantile((average_rank(keys, value) - 0.375) / (F.count("*").over(w) + 0.25))
-    chains = rows.withColumn("z", z).groupBy(*keys, "run", "half").agg(F.avg("z").alias("m"), F.var_samp("z").alias("v"), F.count("*").alias("c"))
-    m = F.max("c")
-    return chains.groupBy(*keys).agg(F.sqrt((m * F.var_samp("m") / F.nullif(F.avg("v"), F.lit(0.0)) + m - 1) / m).alias("r"))
+def _normal_scores(keys: list[str], value: str) -> Column:
+    return normal_quantile((average_rank(keys, value) - 0.375) / (F.count("*").over(Window.partitionBy(*keys)) + 0.25))
 
 
 def gelman_rubin(samples: DataFrame, discard: float = 0.1, cutoff: float = 1.1, keys: list[str] = WINDOW, value: str = "grad") -> DataFrame:
     """(keys, rhat, converged): the larger of the rank-normalised split R-hat and that of the distances from the median.
 
-    Chains are the first and last floor(n / 2) draws of each run after the discarded fraction.
+    Chains are the first and last floor(n / 2) draws of each run after the discarded fraction. A window is sorted twice,
+    by value and by distance, in one shuffle.
     """
     kept = discard_burn_in(samples, discard, [*keys, "run"])
     w = Window.partitionBy(*keys, "run")
     rows = kept.select(*keys, "run", F.col(value).alias("v"), (F.row_number().over(w.orderBy("step")) - 1).alias("i"), F.floor(F.count("*").over(w) / 2).alias("h"), F.count("*").over(w).alias("n"))
     rows = rows.withColumn("half", F.when(F.col("i") < F.col("h"), 0).when(F.col("i") >= F.col("n") - F.col("h"), 1)).where("half is not null")
-    median = rows.groupBy(*keys).agg(F.expr("percentile(v, 0.5)").alias("_med"))
-    folded = rows.join(median, keys).withColumn("v", F.abs(F.col("v") - F.col("_med")))
-    a, b = _rhat(rows, keys, "v").withColumnRenamed("r", "bulk"), _rhat(folded, keys, "v").withColumnRenamed("r", "tail")
-    return a.join(b, keys).select(*keys, F.greatest("bulk", "tail").alias("rhat")).withColumn("converged", F.col("rhat") <= cutoff)
+    rows = rows.select(*keys, "run", "half", "v", _normal_scores(keys, "v").alias("z"), median(keys, "v").alias("_mid"))
+    rows = rows.withColumn("f", F.abs(F.col("v") - F.avg("_mid").over(Window.partitionBy(*keys)))).withColumn("zf", _normal_scores(keys, "f"))
+    chains = rows.groupBy(*keys, "run", "half").agg(*(f(c).alias(f"{n}_{c}") for c in ("z", "zf") for n, f in (("m", F.avg), ("v", F.var_samp))), F.count("*").alias("c"))
+    m = F.max("c")
+    rhat = lambda c: F.sqrt((m * F.var_samp(f"m_{c}") / F.nullif(F.avg(f"v_{c}"), F.lit(0.0)) + m - 1) / m)
+    return chains.groupBy(*keys).agg(F.greatest(rhat("z"), rhat("zf")).alias("rhat")).withColumn("converged", F.col("rhat") <= cutoff)
 
 
 def gelman_rubin_equilibrated(samples: DataFrame, windows: DataFrame, total_ns: Column, cutoff: float = 1.1, keys: list[str] = WINDOW) -> DataFrame:
@@ -179,8 +181,8 @@ def read_equil_flags(windows: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
 
 def brown_forsythe(table: DataFrame, group: str, value: str) -> DataFrame:
     """(f, df1, df2, p): whether the spreads of the groups differ, by one-way F of the distances from the medians."""
-    medians = table.groupBy(group).agg(F.expr(f"percentile({value}, 0.5)").alias("_med"))
-    rows = table.join(medians, group).withColumn("d", F.abs(F.col(value) - F.col("_med")))
+    rows = table.select(group, F.col(value).alias("v"), median([group], value).alias("_mid"))
+    rows = rows.withColumn("d", F.abs(F.col("v") - F.avg("_mid").over(Window.partitionBy(group))))
     groups = rows.groupBy(group).agg(F.avg("d").alias("m"), F.count("d").alias("n"), (F.var_pop("d") * F.count("d")).alias("within"))
     total = groups.agg(F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s2"), F.sum(F.col("n") * F.col("m")).alias("s1"), F.sum("n").alias("n"), F.sum("within").alias("w"), F.count("*").alias("k"))
     between = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("k") - 1)
@@ -188,14 +190,11 @@ def brown_forsythe(table: DataFrame, group: str, value: str) -> DataFrame:
     return out.withColumn("p", f_p_value("f", "df1", "df2"))
 
 
-def paired_t_tests_mbar(samples: DataFrame, first: float = 0.1, last: float = 0.5, intervals: int = 4, n_blocks: int = 100, keys: list[str] = STAGE) -> DataFrame:
-    """paired_t_tests on blocks that are estimated by reweighting: one solve for all blocks of a start fraction; times are null."""
-    parts = []
-    for f in (float(v) for v in np.linspace(0, 1 - last, intervals)):
-        blocks = block_mbar(samples, n_blocks, f, keys=[*keys, "run"])
-        early, late = F.col("block") < round(first * n_blocks), F.col("block") >= round((1 - last) * n_blocks)
-        parts.append(blocks.groupBy(*keys, "run").agg(F.avg(F.when(early, F.col("dg"))).alias("a"), F.avg(F.when(late, F.col("dg"))).alias("b")).withColumn("fraction", F.lit(f)).withColumn("time_ns", F.lit(None).cast("double")))
-    return paired_t(reduce(DataFrame.unionByName, parts), keys)
+def paired_t_tests_mbar(samples: DataFrame, first: float = 0.1, last: float = 0.5, intervals: int = 4, n_blocks: int = 100, keys: list[str] = STAGE, timestep_ns: float = 1.0) -> DataFrame:
+    """paired_t_tests on blocks that are estimated by reweighting: all blocks of all start fractions are one solve."""
+    _check_slices(first, last, intervals)
+    blocks = block_mbars(samples, n_blocks, [float(f) for f in np.linspace(0, 1 - last, intervals)], keys=keys, timestep_ns=timestep_ns)
+    return paired_t(_ends(blocks, first, last, n_blocks, keys), keys)
 
 
 def equil_paired_t_mbar(samples: DataFrame, level: float = 0.05, keys: list[str] = STAGE, **options: float) -> DataFrame:

@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.numeric import half_even
-from tidewater.operators.autocorrelation import decorrelated
-from tidewater.operators.series import cumulative_trapezoid, indexed
-from tidewater.operators.statistics import mean_ci95
+from tidewater.operators.series import checked, drop_unequilibrated, indexed
 from tidewater.schema import K_B, RUN, SERIES, STAGE
+from tidewater.sources.scratch import settled
 
 TOLERANCE, MOST_PASSES = 1e-9, 200
 #: Passes of the plain iteration before Newton steps start.
@@ -63,17 +62,13 @@ def _next(f: np.ndarray, n: np.ndarray, s: np.ndarray, gram: np.ndarray | None)
     return new, bool(np.abs(new - f).max() <= TOLERANCE)
 
 
-def _settled(table: DataFrame) -> DataFrame:
-    """table written to the checkpoint folder, or kept where there is none."""
-    return table.checkpoint() if table.sparkSession.sparkContext.getCheckpointDir() else table.persist()
-
-
 def solve(samples: DataFrame, keys: list[str] = RUN, state: str = "state") -> DataFrame:
     """(keys, f array, n array, passes): dimensionless free energies of all states, the first one 0, and sample counts.
 
     samples has the sampled state's number and u. The free energies are a table of one row per problem, joined to the
     samples in each pass; partitions send K and K x K sums, one row per problem takes the step. Problems that have
-    converged leave the passes. Energies of different lengths, or a state beyond them, fail the query.
+    converged leave the passes; one that has not after MOST_PASSES fails the query, as do energies of different lengths or
+    a state beyond them.
     """
     rows = samples.select(*keys, F.col(state).cast("int").alias("_s"), "u")
     types = [samples.schema[k] for k in keys]
@@ -83,7 +78,7 @@ def solve(samples: DataFrame, keys: list[str] = RUN, state: str = "state") -> Da
     k = F.when((F.col("k0") == F.col("k1")) & (F.col("s0") >= 0) & (F.col("s1") < F.col("k0")), F.col("k0")).otherwise(F.raise_error(F.lit("energies and states of a problem do not match")).cast("int"))
     states = F.sequence(F.lit(0), k - 1)
     now = counts.select(*keys, F.transform(states, lambda i: F.lit(0.0)).alias("f"), F.transform(states, lambda i: F.coalesce(F.try_element_at("by", i), F.lit(0.0))).alias("n"), F.lit(0).alias("passes"), F.lit(False).alias("done"))
-    now = _settled(now)
+    now = settled(now)
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pdf.iloc[:1].copy()
@@ -97,33 +92,21 @@ def solve(samples: DataFrame, keys: list[str] = RUN, state: str = "state") -> Da
         made = [_next(*(np.asarray(x, float) for x in (a, b, c)), np.asarray(d, float) if len(d) else None) for a, b, c, d in zip(f, n, s, g, strict=True)]
         return pd.DataFrame({"f": [m[0].tolist() for m in made], "done": [m[1] for m in made]})
 
-    for turn in range(MOST_PASSES):
+    for turn in range(MOST_PASSES + 1):
         if now.where("not done").isEmpty():
             break
+        if turn == MOST_PASSES:
+            raise RuntimeError(f"reweighting has not converged within MOST_PASSES = {MOST_PASSES} passes")
         newton = turn >= PLAIN_PASSES
         log_n = F.transform("n", lambda x: F.when(x > 0, F.log(x)))
         dealt = rows.join(now.where("not done").select(*keys, "f", log_n.alias("log_n")), keys).withColumn("_d", _log_denominator(F.col("u"), F.col("f"), F.col("log_n"))).select(*keys, "u", "f", "_d")
         sums_schema = T.StructType([*types, T.StructField("s", array), T.StructField("g", array)])
         sums = dealt.mapInPandas(_partial_sums(keys, newton), sums_schema).groupBy(*keys).applyInPandas(total, sums_schema)
         moved = now.where("not done").join(sums, keys).withColumn("_m", step("f", "n", "s", "g")).select(*keys, "_m.f", "n", (F.col("passes") + 1).alias("passes"), "_m.done")
-        now = _settled(now.where("done").unionByName(moved))
+        now = settled(now.where("done").unionByName(moved))
     return now.select(*keys, "f", "n", "passes")
 
 
-def fixed_passes(samples: DataFrame, passes: int, keys: list[str] = RUN, state: str = "state") -> DataFrame:
-    """(keys, i, f) after that many plain passes from 0, the first state held at 0, in one lazy plan."""
-    rows = samples.select(*keys, F.col(state).cast("int").alias("_s"), "u")
-    counts = rows.groupBy(*keys, "_s").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_s", "c"))).alias("by"))
-    k = rows.groupBy(*keys).agg(F.max(F.size("u")).alias("k")).join(counts, keys)
-    now = k.select(*keys, F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.lit(0.0)).alias("f"), F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.log(F.col("by")[i].cast("double"))).alias("log_n"))
-    for _ in range(passes):
-        d = rows.join(now, keys).withColumn("_d", _log_denominator(F.col("u"), F.col("f"), F.col("log_n")))
-        sums = d.select(*keys, "log_n", F.col("_d"), F.posexplode("u").alias("i", "ui")).groupBy(*keys, "log_n", "i").agg(F.sum(F.exp(-F.col("ui") - F.col("_d"))).alias("s"))
-        now = sums.groupBy(*keys, "log_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (-F.log("s")).alias("f")))), lambda x: x["f"]).alias("f"))
-        now = now.select(*keys, F.transform("f", lambda x: x - F.col("f")[0]).alias("f"), "log_n")
-    return now.select(*keys, F.posexplode("f").alias("i", "f"))
-
-
 def gram(samples: DataFrame, solved: DataFrame, keys: list[str] = RUN) -> DataFrame:
     """(keys, i, j, value) of the K x K products of the sample weights, j >= i, summed over the samples."""
     log_n = F.transform("n", lambda x: F.when(x > 0, F.log(x)))
@@ -169,9 +152,14 @@ def covariance(grams: DataFrame, solved: DataFrame, keys: list[str] = RUN) -> Da
 def mbar(samples: DataFrame, temperature_k: float = 298.0, keys: list[str] = RUN, state: str = "state") -> DataFrame:
     """(keys, dg, err) in kcal/mol between the first and the last state."""
     solved = solve(samples, keys, state)
+    return end_states(solved, gram(samples, solved, keys), temperature_k, keys)
+
+
+def end_states(solved: DataFrame, grams: DataFrame, temperature_k: float = 298.0, keys: list[str] = RUN) -> DataFrame:
+    """As mbar, of problems that are solved already."""
     k_t = K_B * temperature_k
     last = solved.select(*keys, (F.size("n") - 1).alias("j"))
-    ends = covariance(gram(samples, solved, keys), solved, keys).where("i = 0").join(last, [*keys, "j"])
+    ends = covariance(grams, solved, keys).where("i = 0").join(last, [*keys, "j"])
     return ends.select(*keys, (F.col("d_f") * k_t).alias("dg"), (F.col("err") * k_t).alias("err"))
 
 
@@ -187,45 +175,82 @@ def neighbour_slopes(pmfs: DataFrame, keys: list[str] = RUN) -> DataFrame:
     return rows.where("d is not null").select(*keys, "lam_mid", "d_pmf", (F.col("d_pmf") / F.col("d")).alias("grad"))
 
 
-def numbered_problems(samples: DataFrame, ranges: list[tuple[int, float, float]], keys: list[str] = SERIES, strict: bool = False) -> DataFrame:
-    """samples once for each range (problem, start, end) of row fractions that holds them.
-
-    strict takes the rows from start n up to below end n; otherwise the rows that truncation by fractions keeps.
-    """
+def numbered_problems(samples: DataFrame, ranges: list[tuple[int, Column, Column]], keys: list[str] = SERIES) -> DataFrame:
+    """samples once for each range (problem, start, end) of row fractions that holds them, as truncation by fractions keeps them."""
     rows = indexed(samples, keys)
-    held = F.array(*(F.struct(F.lit(p).alias("problem"), F.lit(a).alias("a"), F.lit(b).alias("b")) for p, a, b in ranges))
-    low = lambda s: half_even(F.col("n") * s["a"]) if strict else F.greatest(half_even(F.col("n") * s["a"]) - 1, F.lit(0.0))
+    held = F.array(*(F.struct(F.lit(p).alias("problem"), a.cast("double").alias("a"), b.cast("double").alias("b")) for p, a, b in ranges))
+    low = lambda s: F.greatest(half_even(F.col("n") * s["a"]) - 1, F.lit(0.0))
     inside = F.filter(held, lambda s: (F.col("i") >= low(s)) & (F.col("i") <= half_even(F.col("n") * s["b"]) - 1))
     return rows.withColumn("_p", F.explode(inside)).select(*samples.columns, "_p.problem")
 
 
-def block_mbar(samples: DataFrame, n_blocks: int = 100, start: float = 0.0, temperature_k: float = 298.0, keys: list[str] = RUN) -> DataFrame:
-    """(keys, block, dg): one estimate for each block of rows of the series after `start`."""
-    cut = [(b, round(start + (1 - start) * b / n_blocks, 5), round(start + (1 - start) * (b + 1) / n_blocks, 5)) for b in range(n_blocks)]
-    problems = numbered_problems(samples, cut, [*keys, "lam"] if "run" in keys else SERIES)
-    solved = solve(problems, [*keys, "problem"])
-    return solved.select(*keys, F.col("problem").alias("block"), (F.element_at("f", -1) * K_B * temperature_k).alias("dg"))
+def run_times(samples: DataFrame, timestep_ns: float = 1.0, keys: list[str] = STAGE) -> DataFrame:
+    """(keys, run, total_ns): the simulated time of all windows of each run."""
+    series = samples.groupBy(*keys, "lam", "run").agg(F.max("step").alias("_last"))
+    return series.groupBy(*keys, "run").agg((F.sum("_last") * F.lit(timestep_ns)).alias("total_ns"))
+
 
+def even_run_times(curves: DataFrame, samples: DataFrame, keys: list[str] = STAGE) -> DataFrame:
+    """curves (keys, run, dg ...); a stage whose runs' times are not within 1 % of their mean fails the query."""
+    mean = F.avg("total_ns").over(Window.partitionBy(*keys))
+    even = run_times(samples, keys=keys).select(*keys, "run", (F.abs(F.col("total_ns") - mean) <= 1e-8 + 0.01 * F.abs(mean)).alias("_even"))
+    return curves.join(even, [*keys, "run"]).withColumn("dg", checked(F.col("_even"), "the runs of a stage differ in time by more than 1 %", F.col("dg"))).drop("_even")
 
-def convergence(samples: DataFrame, cumulative: bool = True, fraction: float = 1.0, points: int = 20, temperature_k: float = 298.0, keys: list[str] = RUN) -> DataFrame:
-    """(keys, frac, dg) at each of `points` fractions of the run: over all rows up to it, or over its own block."""
-    step = fraction / points
-    cut = [(p, 0.0 if cumulative else round(step * (p - 1), 5), round(step * p, 5)) for p in range(1, points + 1)]
-    solved = solve(numbered_problems(samples, cut, [*keys, "lam"] if "run" in keys else SERIES), [*keys, "problem"])
-    return solved.select(*keys, F.round(F.col("problem") * step, 5).alias("frac"), (F.element_at("f", -1) * K_B * temperature_k).alias("dg"))
+
+def block_mbar(samples: DataFrame, n_blocks: int = 100, start: float = 0.0, temperature_k: float = 298.0, keys: list[str] = STAGE, timestep_ns: float = 1.0, equil_ns: float = 0.0) -> DataFrame:
+    """(keys, run, block, dg, time_ns): one estimate for each block of rows of the series after `start`.
+
+    A block's time is that of its start, between the equilibration time of all windows, equil_ns, and the run's end.
+    """
+    return block_mbars(samples, n_blocks, [start], temperature_k, keys, timestep_ns, equil_ns).drop("fraction")
 
 
-def ti_convergence(samples: DataFrame, weights: DataFrame, cumulative: bool = True, fraction: float = 1.0, points: int = 20, keys: list[str] = STAGE) -> DataFrame:
-    """As convergence, by thermodynamic integration: (keys, run, frac, dg) from sums of blocks, each row read once."""
-    rows, series = indexed(samples, [*keys, "lam", "run"]), [*keys, "lam", "run"]
-    ends = [half_even(F.col("n") * F.lit(round(fraction * p / points, 5))) for p in range(points + 1)]
+def block_mbars(samples: DataFrame, n_blocks: int, starts: list[float], temperature_k: float = 298.0, keys: list[str] = STAGE, timestep_ns: float = 1.0, equil_ns: float = 0.0) -> DataFrame:
+    """block_mbar for several start fractions, told apart by `fraction`, in one solve."""
+    cut = [(s, b, round(s + (1 - s) * b / n_blocks, 5), round(s + (1 - s) * b / n_blocks + (1 - s) / n_blocks, 5)) for s in starts for b in range(n_blocks)]
+    problems = numbered_problems(samples, [(p, F.lit(a), F.lit(e)) for p, (_, _, a, e) in enumerate(cut)], [*keys, "lam", "run"])
+    solved = solve(problems, [*keys, "run", "problem"])
+    what = F.array(*(F.struct(F.lit(float(s)).alias("fraction"), F.lit(b).alias("block"), F.lit(a).alias("at")) for s, b, a, _ in cut))[F.col("problem")]
+    rows = solved.join(run_times(samples, timestep_ns, keys), [*keys, "run"]).withColumn("_w", what)
+    return rows.select(*keys, "run", "_w.fraction", "_w.block", (F.element_at("f", -1) * K_B * temperature_k).alias("dg"), ((F.col("total_ns") - equil_ns) * F.col("_w.at") + equil_ns).alias("time_ns"))
+
+
+def _fractions(samples: DataFrame, fraction: float | DataFrame) -> tuple[DataFrame, list[str]]:
+    """samples with the fraction of them to take, `_f`, and the keys by which a table of fractions gives it."""
+    if isinstance(fraction, DataFrame):
+        on = [c for c in fraction.columns if c != "fraction"]
+        return samples.join(fraction.withColumnRenamed("fraction", "_f"), on), on
+    return samples.withColumn("_f", F.lit(float(fraction))), []
+
+
+def convergence(samples: DataFrame, cumulative: bool = True, fraction: float | DataFrame = 1.0, points: int = 20, temperature_k: float = 298.0, keys: list[str] = STAGE) -> DataFrame:
+    """(keys, run, frac, dg) at each of `points` fractions of the run: over all rows up to it, or over its own block.
+
+    fraction bounds the rows; as a table (some of the keys, fraction) it bounds those of each key. The runs of a stage
+    have to agree in time to 1 %.
+    """
+    rows, _ = _fractions(samples, fraction)
+    end = lambda p: F.round(F.col("_f") * p / points, 5)
+    cut = [(p, F.lit(0.0) if cumulative else end(p - 1), end(p)) for p in range(1, points + 1)]
+    solved = solve(numbered_problems(rows, cut, [*keys, "lam", "run"]), [*keys, "run", "_f", "problem"])
+    curves = solved.select(*keys, "run", F.round(F.col("problem") * F.col("_f") / points, 5).alias("frac"), (F.element_at("f", -1) * K_B * temperature_k).alias("dg"))
+    return even_run_times(curves, samples, keys)
+
+
+def ti_convergence(samples: DataFrame, weights: DataFrame, cumulative: bool = True, fraction: float | DataFrame = 1.0, points: int = 20, keys: list[str] = STAGE) -> DataFrame:
+    """As convergence, by thermodynamic integration: sums of blocks, each row read once."""
+    series = [*keys, "lam", "run"]
+    rows, _ = _fractions(samples, fraction)
+    rows = indexed(rows, series)
+    ends = [half_even(F.col("n") * F.round(F.col("_f") * p / points, 5)) for p in range(points + 1)]
     point = reduce(lambda a, p: F.when(F.col("i") < ends[p], F.lit(p)).otherwise(a), range(points, 0, -1), F.lit(None).cast("int"))
-    sums = rows.withColumn("p", point).where("p is not null").groupBy(*series, "p").agg(F.sum("grad").alias("s"), F.count("*").alias("c"))
+    sums = rows.withColumn("p", point).where("p is not null").groupBy(*series, "_f", "p").agg(F.sum("grad").alias("s"), F.count("*").alias("c"))
     if cumulative:
         w = Window.partitionBy(*series).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("s", F.sum("s").over(w)).withColumn("c", F.sum("c").over(w))
     means = sums.join(weights.select(*keys, "lam", "weight"), [*keys, "lam"])
-    return means.groupBy(*keys, "run", F.round(F.col("p") * fraction / points, 5).alias("frac")).agg(F.sum(F.col("s") / F.col("c") * F.col("weight")).alias("dg"))
+    curves = means.groupBy(*keys, "run", F.round(F.col("p") * F.col("_f") / points, 5).alias("frac")).agg(F.sum(F.col("s") / F.col("c") * F.col("weight")).alias("dg"))
+    return even_run_times(curves, samples, keys)
 
 
 def roll_up_convergence(curves: DataFrame, multipliers: DataFrame, child: str, keys: list[str], corrections: DataFrame | None = None) -> DataFrame:
@@ -237,25 +262,24 @@ def roll_up_convergence(curves: DataFrame, multipliers: DataFrame, child: str, k
     return rows.groupBy(*keys, "run", "frac").agg(F.sum(F.col("dg") * F.col("multiplier")).alias("dg"))
 
 
-def comparative_convergence(samples: DataFrame, weights: DataFrame, keys: list[str] = STAGE, group: str = "calc", energy_time_ns: float = 1.0, equil_ns: float = 0.0, points: int = 20) -> DataFrame:
-    """(keys, run, frac, dg, time_ns): curves of several calculations, each cut to the shortest one's total time."""
-    total = samples.groupBy(*keys, "lam", "run").agg((F.max("step") * energy_time_ns).alias("t")).groupBy(*keys, "run").agg(F.sum("t").alias("t")).groupBy(group).agg(F.min("t").alias("t"))
-    spans = {r[group]: r["t"] for r in total.collect()}
-    least = min(spans.values(), default=0.0)
-    parts = [ti_convergence(samples.where(F.col(group) == g), weights, True, (least - equil_ns) / (t - equil_ns), points, keys).withColumn("time_ns", F.round(equil_ns + F.col("frac") * (t - equil_ns), 6)) for g, t in sorted(spans.items())]
-    return reduce(DataFrame.unionByName, parts)
+def comparative_convergence(samples: DataFrame, weights: DataFrame | None = None, windows: DataFrame | None = None, timestep_ns: float = 1.0, energy_freq: int = 1, cumulative: bool = True, points: int = 20, keys: list[str] = STAGE, group: str = "calc") -> DataFrame:
+    """(keys, run, frac, dg, time_ns): curves of several calculations, each cut to the shortest one's total time.
 
-
-def mean_curves(curves: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, mean, ci95) of the runs' curves at each point."""
-    return mean_ci95(curves, keys, "dg")
-
-
-def decorrelated_samples(samples: DataFrame, keys: list[str] = SERIES) -> DataFrame:
-    """samples thinned by each series' inefficiency, before an estimate."""
-    return decorrelated(samples, keys)
-
-
-def integrated_slopes(slopes: DataFrame, keys: list[str] = RUN) -> DataFrame:
-    """Slopes back to a profile: cumulative integral of grad over lam_mid."""
-    return cumulative_trapezoid(slopes, keys, "lam_mid", "grad", "profile")
+    With weights by integration, without by reweighting. With windows only equilibrated rows are taken, and the
+    calculations' equilibration times, of all windows of a run, have to be equal to three places. Times are those of all
+    runs together.
+    """
+    total = run_times(samples, timestep_ns, keys).groupBy(group).agg(F.sum("total_ns").alias("_t"), F.countDistinct("run").alias("_r"))
+    if windows is None:
+        spans = total.withColumn("_b", F.lit(0.0))
+    else:
+        every = Window.partitionBy(F.lit(0))  # one row per calculation
+        equil = windows.groupBy(group).agg(F.sum("equil_time_ns").alias("_e"))
+        same = F.max(F.round("_e", 3)).over(every) == F.min(F.round("_e", 3)).over(every)
+        spans = total.join(equil, group).withColumn("_b", checked(same, "equilibration times differ between calculations", F.col("_e") * F.col("_r")))
+        samples = drop_unequilibrated(samples, windows, timestep_ns, energy_freq)
+    least = F.min("_t").over(Window.partitionBy(F.lit(0)))
+    spans = settled(spans.select(group, "_t", "_b", ((least - F.col("_b")) / (F.col("_t") - F.col("_b"))).alias("fraction")))
+    share = spans.select(group, "fraction")
+    curves = convergence(samples, cumulative, share, points, keys=keys) if weights is None else ti_convergence(samples, weights, cumulative, share, points, keys)
+    return curves.join(spans, group).select(*keys, "run", "frac", "dg", F.round(F.col("_b") + F.col("frac") * (F.col("_t") - F.col("_b")), 6).alias("time_ns"))

@@ -11,7 +11,7 @@ from tidewater.schema import SERIES, STAGE
 LEVELS = ("all", "calc", "leg", "stage", "lam", "run")
 
 
-def _levels(table: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+def levels(table: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Sums at every level of the hierarchy, with the level's name; keys below a level are null."""
     names = F.element_at(F.array(*(F.lit(n) for n in ["all", *keys])), (F.lit(len(keys) + 1) - F.bit_count(F.grouping_id())).cast("int"))
     return table.rollup(*keys).agg(F.sum(value).alias(out), names.alias("level"))
@@ -22,12 +22,12 @@ def total_simtime(samples: DataFrame, timestep_ns: float, keys: list[str] = SERI
     last = samples.groupBy(*keys).agg(F.max("step").alias("_last"))
     if every is not None:
         last = every.select(*keys).distinct().join(last, keys, "left")
-    return _levels(last.withColumn("_t", F.coalesce("_last", F.lit(0)) * F.lit(timestep_ns)), keys, "_t", "simtime_ns")
+    return levels(last.withColumn("_t", F.coalesce("_last", F.lit(0)) * F.lit(timestep_ns)), keys, "_t", "simtime_ns")
 
 
 def total_gpu_time(gpu: DataFrame, keys: list[str] = SERIES) -> DataFrame:
     """(keys, level, gpu_hours) at every level, from one row per series."""
-    return _levels(gpu, keys, "gpu_hours", "gpu_hours")
+    return levels(gpu, keys, "gpu_hours", "gpu_hours")
 
 
 def equil_time(windows: DataFrame, keys: list[str] = STAGE) -> DataFrame:

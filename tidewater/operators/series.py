@@ -17,7 +17,7 @@ def indexed(samples: DataFrame, keys: list[str] = SERIES, order: str = "step") -
     return samples.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
 
 
-def _check(ok: Column, message: str, value: Column) -> Column:
+def checked(ok: Column, message: str, value: Column) -> Column:
     """value where ok, else the query fails with the message."""
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast("double"))
 
@@ -30,10 +30,16 @@ def truncate_fraction(samples: DataFrame, start: float = 0.0, end: float = 1.0,
     return indexed(samples, keys).where((F.col("i") >= low) & (F.col("i") <= high)).select(*samples.columns)
 
 
+def cut_to_shortest(samples: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
+    """samples whose runs all end with the shortest run of their window, as means across runs by step need it."""
+    shortest = samples.groupBy(*keys, "run").count().groupBy(*keys).agg(F.min("count").alias("_least"))
+    return indexed(samples, [*keys, "run"]).join(shortest, keys).where("i < _least").select(*samples.columns)
+
+
 def drop_unequilibrated(samples: DataFrame, windows: DataFrame, timestep_ns: float, energy_freq: int, keys: list[str] = WINDOW) -> DataFrame:
     """Rows from each window's equilibration time on; a window without one fails the query."""
     first = F.greatest(F.floor(F.col("equil_time_ns") / (timestep_ns * energy_freq)) - 1, F.lit(0))
-    at = windows.select(*keys, _check(F.col("equil_time_ns").isNotNull(), "equilibration time is not set", F.col("equil_time_ns")).alias("equil_time_ns"))
+    at = windows.select(*keys, checked(F.col("equil_time_ns").isNotNull(), "equilibration time is not set", F.col("equil_time_ns")).alias("equil_time_ns"))
     return indexed(samples, [*keys, "run"]).join(at, keys).where(F.col("i") >= first).select(*samples.columns)
 
 
@@ -86,7 +92,7 @@ def rolling_mean(samples: DataFrame, block: int, keys: list[str] = SERIES, value
     w = Window.partitionBy(*keys).orderBy("step").rowsBetween(-block, -1)
     rows = indexed(samples, keys)
     mean = F.when(F.col("i") >= block, F.avg(value).over(w))
-    return rows.withColumn("rolling", _check(F.col("n") >= block, "the block is longer than the series", mean))
+    return rows.withColumn("rolling", checked(F.col("n") >= block, "the block is longer than the series", mean))
 
 
 def block_gradient(samples: DataFrame, block: int, block_ns: float, keys: list[str] = WINDOW) -> DataFrame:
@@ -110,16 +116,23 @@ def block_average(samples: DataFrame, weights: DataFrame, n_blocks: int = 100, s
     Each series is cut to [round(start n), round(end n)) first; fewer rows than blocks fail the query. The time of a
     block is that of an even grid from the first to the last row's time.
     """
+    return block_averages(samples, weights, n_blocks, [start], end, time, keys).drop("fraction")
+
+
+def block_averages(samples: DataFrame, weights: DataFrame, n_blocks: int, starts: list[float], end: float = 1.0, time: Column | None = None, keys: list[str] = STAGE) -> DataFrame:
+    """block_average for several start fractions at once, told apart by `fraction`: the series are sorted and read once."""
     series = [*keys, "lam", "run"]
     rows = indexed(samples, series).withColumn("_time", F.col("step").cast("double") if time is None else time)
-    rows = rows.withColumn("a", half_even(F.col("n") * F.lit(start))).where((F.col("i") >= F.col("a")) & (F.col("i") < half_even(F.col("n") * F.lit(end))))
-    rows = rows.withColumn("m", half_even(F.col("n") * F.lit(end)) - F.col("a")).withColumn("block", block_of(F.col("i") - F.col("a"), F.col("m"), n_blocks))
-    means = rows.groupBy(*series, "m", "block").agg(F.avg("grad").alias("mean"), F.min("_time").alias("first"), F.max("_time").alias("last"))
-    w = Window.partitionBy(*series)
+    cuts = F.array(*(F.struct(F.lit(float(f)).alias("fraction"), half_even(F.col("n") * F.lit(float(f))).alias("a")) for f in starts))
+    rows = rows.where(F.col("i") < half_even(F.col("n") * F.lit(end))).withColumn("_c", F.explode(F.filter(cuts, lambda c: F.col("i") >= c["a"])))
+    m, i = half_even(F.col("n") * F.lit(end)) - F.col("_c.a"), F.col("i") - F.col("_c.a")
+    rows = rows.select(*series, F.col("_c.fraction").alias("fraction"), m.alias("m"), block_of(i, m, n_blocks).alias("block"), "grad", "_time")
+    means = rows.groupBy(*series, "fraction", "m", "block").agg(F.avg("grad").alias("mean"), F.min("_time").alias("first"), F.max("_time").alias("last"))
+    w = Window.partitionBy(*series, "fraction")
     means = means.withColumn("t0", F.min("first").over(w)).withColumn("t1", F.max("last").over(w))
-    enough = _check(F.col("m") >= n_blocks, "not enough data for the blocks", F.col("mean"))
+    enough = checked(F.col("m") >= n_blocks, "not enough data for the blocks", F.col("mean"))
     at = F.col("t0") + (F.col("t1") - F.col("t0")) * F.col("block") / max(n_blocks - 1, 1)
-    return means.join(weights.select(*keys, "lam", "weight"), [*keys, "lam"]).groupBy(*keys, "run", "block").agg(F.sum(enough * F.col("weight")).alias("dg"), F.sum(at).alias("time_ns"))
+    return means.join(weights.select(*keys, "lam", "weight"), [*keys, "lam"]).groupBy(*keys, "fraction", "run", "block").agg(F.sum(enough * F.col("weight")).alias("dg"), F.sum(at).alias("time_ns"))
 
 
 def same_times(blocks: DataFrame, keys: list[str] = STAGE) -> DataFrame:
@@ -128,7 +141,7 @@ def same_times(blocks: DataFrame, keys: list[str] = STAGE) -> DataFrame:
     last = F.max("time_ns").over(Window.partitionBy(*keys, "run"))
     out = blocks.withColumn("_last", last).withColumn("_even", F.max("_last").over(w) - F.min("_last").over(w) <= 1e-8 + 1e-5 * F.abs(F.max("_last").over(w)))
     ok = F.col("_even") & F.col("dg").isNotNull() & ~F.isnan("dg")
-    return out.withColumn("dg", _check(ok, "run times differ or values are missing", F.col("dg"))).select(*blocks.columns)
+    return out.withColumn("dg", checked(ok, "run times differ or values are missing", F.col("dg"))).select(*blocks.columns)
 
 
 def smooth3(table: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions.distributions import chi2_p_value, normal_quantile, t975
 from tidewater.functions.numeric import average_rank, half_even
-from tidewater.operators.series import cumulative_trapezoid, smooth3, subsample
+from tidewater.operators.series import checked, cumulative_trapezoid, smooth3, subsample
 from tidewater.schema import SERIES, STAGE, WINDOW
 
 ORIGINS = {"inter": "sem_inter", "intra": "sem_intra", "inter_delta_g": "sem_inter_dg"}
@@ -26,18 +30,19 @@ def window_stats(stats: DataFrame, weights: DataFrame, timestep_ns: float, energ
     """Per window: variances and errors within and between runs, mean, inefficiency (also as a time), weighted error.
 
     g_ns multiplies by the timestep alone, as the reported inefficiencies always did; g_sample_ns by the time of a row.
+    Where weights has the relative cost of each window, it is carried on, and costs that differ within a stage fail the
+    query.
     """
     runs = F.count("*")
     out = stats.groupBy(*keys).agg(runs.alias("n_runs"), F.avg("var").alias("var_intra"), (F.avg("squared_sem") / runs).alias("s2_intra"), (F.var_pop("mean") / runs).alias("s2_inter"), F.avg("mean").alias("mean"), F.avg("g").alias("g"))
     out = out.withColumn("sem_intra", F.sqrt("s2_intra")).withColumn("sem_inter", F.sqrt("s2_inter")).withColumn("sem_tot", F.sqrt(F.col("s2_intra") + F.col("s2_inter"))).drop("s2_intra", "s2_inter")
     out = out.withColumn("g_ns", F.col("g") * timestep_ns).withColumn("g_sample_ns", F.col("g") * timestep_ns * energy_freq)
-    return out.join(weights.select(*keys, "weight"), keys).withColumn("sem_inter_dg", F.col("sem_inter") * F.col("weight"))
-
-
-def one_cost(windows: DataFrame, keys: list[str] = STAGE) -> DataFrame:
-    """(keys, relative_cost); windows of one stage with different costs fail the query."""
-    same = F.min("relative_cost") == F.max("relative_cost")
-    return windows.groupBy(*keys).agg(F.when(same, F.min("relative_cost")).otherwise(F.raise_error(F.lit("relative costs differ within a stage")).cast("double")).alias("relative_cost"))
+    more = []
+    if "relative_cost" in weights.columns:
+        stage = Window.partitionBy(*(k for k in keys if k != "lam"))
+        same = F.min("relative_cost").over(stage) == F.max("relative_cost").over(stage)
+        more = [checked(same, "relative costs differ within a stage", F.col("relative_cost")).alias("relative_cost")]
+    return out.join(weights.select(*keys, "weight", *more), keys).withColumn("sem_inter_dg", F.col("sem_inter") * F.col("weight"))
 
 
 def time_normalised_sems(stats: DataFrame, times: DataFrame, origin: str = "inter", smoothen: bool = True, keys: list[str] = STAGE) -> DataFrame:
@@ -55,9 +60,18 @@ def mean_ci95(table: DataFrame, keys: list[str], value: str) -> DataFrame:
     return table.groupBy(*keys).agg(n.alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_sd")).select(*keys, "n", "mean", (t975(F.col("n") - 1) * F.col("_sd") / F.sqrt("n")).alias("ci95"))
 
 
-def thermodynamic_integration(samples: DataFrame, weights: DataFrame, keys: list[str] = STAGE) -> DataFrame:
-    """(keys, run, dg): trapezoid integral of each run's mean gradients."""
+def thermodynamic_integration(samples: DataFrame, weights: DataFrame | None = None, keys: list[str] = STAGE) -> DataFrame:
+    """(keys, run, dg): trapezoid integral of each run's mean gradients.
+
+    Without weights they follow from the means, one row per window with its runs: the samples are read once.
+    """
     means = samples.groupBy(*keys, "lam", "run").agg(F.avg("grad").alias("mean"))
+    if weights is None:
+        windows = means.groupBy(*keys, "lam").agg(F.collect_list(F.struct("run", "mean")).alias("_runs"))
+        w = Window.partitionBy(*keys).orderBy("lam")
+        weight = 0.5 * (F.coalesce(F.lead("lam").over(w), F.col("lam")) - F.coalesce(F.lag("lam").over(w), F.col("lam")))
+        each = windows.select(*keys, weight.alias("weight"), "_runs").select(*keys, "weight", F.explode("_runs").alias("_r"))
+        return each.groupBy(*keys, F.col("_r.run").alias("run")).agg(F.sum(F.col("_r.mean") * F.col("weight")).alias("dg"))
     return means.join(weights.select(*keys, "lam", "weight"), [*keys, "lam"]).groupBy(*keys, "run").agg(F.sum(F.col("mean") * F.col("weight")).alias("dg"))
 
 
@@ -103,12 +117,28 @@ def probability_plot(table: DataFrame, keys: list[str], value: str) -> DataFrame
 
 
 def gaussian_kde(table: DataFrame, keys: list[str], value: str, points: int = 100) -> DataFrame:
-    """(keys, x, density): Gaussian kernel density with Scott's bandwidth on an even grid over the values' range."""
-    rows = table.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v"))
-    stats = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"), (F.stddev_samp("v") * F.pow(F.count("*"), -0.2)).alias("h"))
-    grid = stats.where("h > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", F.col("lo") + (F.col("hi") - F.col("lo")) / (points - 1) * F.col("k"))
-    z = (F.col("x") - F.col("v")) / F.col("h")
-    return grid.join(rows, keys).groupBy(*keys, "k", "x", "n", "h").agg(F.sum(F.exp(-0.5 * z * z)).alias("s")).select(*keys, "x", (F.col("s") / (F.col("n") * F.col("h") * (2 * 3.141592653589793) ** 0.5)).alias("density"))
+    """(keys, x, density): Gaussian kernel density with Scott's bandwidth on an even grid over the values' range.
+
+    Batches add up their rows' kernels on the grid, so what is shuffled is a grid for each batch and key.
+    """
+    rows = table.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    stats = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"), (F.stddev_samp("_v") * F.pow(F.count("*"), -0.2)).alias("_h")).where("_h > 0")
+    held = rows.join(stats, keys)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False):
+                lo, hi, n, h = (part[c].iloc[0] for c in ("_lo", "_hi", "_n", "_h"))
+                x, sums = np.linspace(lo, hi, points), np.zeros(points)
+                v = part["_v"].to_numpy()
+                for s in range(0, len(v), 4096):
+                    sums += np.exp(-0.5 * ((x - v[s : s + 4096, None]) / h) ** 2).sum(axis=0)
+                yield pd.DataFrame([[*key, x.tolist(), (sums / (n * h * (2 * np.pi) ** 0.5)).tolist()]], columns=[*keys, "_x", "_d"])
+
+    array = T.ArrayType(T.DoubleType())
+    sums = held.mapInPandas(add, T.StructType([*(held.schema[k] for k in keys), T.StructField("_x", array), T.StructField("_d", array)]))
+    cells = sums.select(*keys, F.posexplode(F.arrays_zip("_x", "_d")).alias("_k", "_c")).select(*keys, "_k", "_c._x", "_c._d")
+    return cells.groupBy(*keys, "_k").agg(F.first("_x").alias("x"), F.sum("_d").alias("density")).drop("_k")
 
 
 def shapiro_wilk(table: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -118,27 +148,30 @@ def shapiro_wilk(table: DataFrame, keys: list[str], value: str) -> DataFrame:
     approximation of p was fitted to 5000 values at most; beyond, it is carried on.
     """
     win = Window.partitionBy(*keys)
+    n, k, m, mm, m1, m2 = (F.col(c) for c in ("_n", "_k", "_m", "_mm", "_m1", "_m2"))
     # missing values stand behind the n others and take no part
-    rows = table.select(*keys, F.col(value).alias("v"), F.row_number().over(win.orderBy(F.asc_nulls_last(value))).alias("k"), F.count(value).over(win).alias("n"))
-    rows = rows.withColumn("m", F.when((F.col("n") >= 4) & (F.col("k") <= F.col("n")), normal_quantile((F.col("k") - 0.375) / (F.col("n") + 0.25))))
-    rows = rows.withColumn("mm", F.sum(F.col("m") * F.col("m")).over(win)).withColumn("m1", F.max("m").over(win)).withColumn("m2", F.max(F.when(F.col("k") == F.col("n") - 1, F.col("m"))).over(win))
-    u = 1 / F.sqrt(F.nullif("n", F.lit(0)))
+    rows = table.select(*keys, F.col(value).alias("_v"), F.row_number().over(win.orderBy(F.asc_nulls_last(value))).alias("_k"), F.count(value).over(win).alias("_n"))
+    rows = rows.withColumn("_m", F.when((n >= 4) & (k <= n), normal_quantile((k - 0.375) / (n + 0.25))))
+    rows = rows.withColumn("_mm", F.sum(m * m).over(win)).withColumn("_m1", F.max(m).over(win)).withColumn("_m2", F.max(F.when(k == n - 1, m)).over(win))
+    u = 1 / F.sqrt(F.nullif(n, F.lit(0)))
     poly = lambda cs: reduce(lambda a, c: a * u + c, cs, F.lit(0.0))
     # fixed values of the published approximation, highest power first
-    last = poly([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0.0]) + F.col("m1") / F.sqrt("mm")
-    second = poly([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0]) + F.col("m2") / F.sqrt("mm")
-    rows = rows.withColumn("a1", last).withColumn("a2", F.when(F.col("n") > 5, second))
-    phi = F.when(F.col("n") > 5, (F.col("mm") - 2 * F.col("m1") ** 2 - 2 * F.col("m2") ** 2) / (1 - 2 * F.col("a1") ** 2 - 2 * F.col("a2") ** 2)).otherwise((F.col("mm") - 2 * F.col("m1") ** 2) / (1 - 2 * F.col("a1") ** 2))
-    edge = F.least(F.col("k"), F.col("n") + 1 - F.col("k"))
-    size = F.when(edge == 1, F.col("a1")).when((edge == 2) & (F.col("n") > 5), F.col("a2"))
-    rows = rows.withColumn("a", F.coalesce(size * F.signum(F.col("k") - (F.col("n") + 1) / 2.0), F.col("m") / F.sqrt(phi)))
-    out = rows.groupBy(*keys, "n").agg((F.sum(F.col("a") * F.col("v")) ** 2 / F.nullif(F.var_pop("v") * F.count("v"), F.lit(0.0))).alias("w"))
-    n, ln = F.col("n").cast("double"), F.log("n")
+    a1 = poly([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0.0]) + m1 / F.sqrt(mm)
+    a2 = F.when(n > 5, poly([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0]) + m2 / F.sqrt(mm))
+    rows = rows.withColumn("_a1", a1).withColumn("_a2", a2)
+    a1, a2 = F.col("_a1"), F.col("_a2")
+    phi = F.when(n > 5, (mm - 2 * m1**2 - 2 * m2**2) / (1 - 2 * a1**2 - 2 * a2**2)).otherwise((mm - 2 * m1**2) / (1 - 2 * a1**2))
+    edge = F.least(k, n + 1 - k)
+    size = F.when(edge == 1, a1).when((edge == 2) & (n > 5), a2)
+    rows = rows.withColumn("_a", F.coalesce(size * F.signum(k - (n + 1) / 2.0), m / F.sqrt(phi)))
+    out = rows.groupBy(*keys, "_n").agg((F.sum(F.col("_a") * F.col("_v")) ** 2 / F.nullif(F.var_pop("_v") * F.count("_v"), F.lit(0.0))).alias("_w"))
+    n, ln, w = n.cast("double"), F.log("_n"), F.col("_w")
     small_mu, small_sd = 0.544 - 0.39978 * n + 0.025054 * n * n - 0.0006714 * n * n * n, F.exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * n * n * n)
     large_mu, large_sd = -1.5861 - 0.31082 * ln - 0.083751 * ln * ln + 0.0038915 * ln * ln * ln, F.exp(-0.4803 - 0.082676 * ln + 0.0030302 * ln * ln)
-    z = F.when(n <= 11, (-F.log(-2.273 + 0.459 * n - F.log(1 - F.col("w"))) - small_mu) / small_sd).otherwise((F.log(1 - F.col("w")) - large_mu) / large_sd)
+    z = F.when(n <= 11, (-F.log(-2.273 + 0.459 * n - F.log(1 - w)) - small_mu) / small_sd).otherwise((F.log(1 - w) - large_mu) / large_sd)
     upper = chi2_p_value(z * z, F.lit(1.0)) / 2
-    return out.select(*keys, "n", "w", z.alias("_z"), upper.alias("_u")).select(*keys, "n", "w", F.when(F.col("_z") >= 0, F.col("_u")).otherwise(1 - F.col("_u")).alias("p"))
+    out = out.select(*keys, "_n", "_w", z.alias("_z"), upper.alias("_u"))
+    return out.select(*keys, F.col("_n").alias("n"), F.col("_w").alias("w"), F.when(F.col("_z") >= 0, F.col("_u")).otherwise(1 - F.col("_u")).alias("p"))
 
 
 def equil_vs_total(windows: DataFrame, simtime: DataFrame, keys: list[str] = WINDOW) -> DataFrame:

@@ -1,62 +1,19 @@
-"""Registered queries over the driver's tables, each with DuckDB SQL where SQL can express it.
-
-Doubles are rounded to six places on both sides, as the order of sums differs between engines.
-"""
+"""Queries over the driver's tables: series, statistics, tests, hierarchies and agreement; and all that are registered."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import agreement, autocorrelation, equilibration, estimator, geometry, rollup, schedule, series, statistics
-from tidewater.plans import analyse
+from tidewater.plans import analyse, estimator_queries, reader_queries
+from tidewater.plans.registry import BLOCK, BLOCK_NS, BLOCKS, ORACLE_SQL, QUERIES, T975, R, normal_quantile_sql, query, shown, t_tail_sql, upper_normal_sql, with_even, with_samples
 from tidewater.schema import STAGE
 from tidewater.sources.tables import STEP, TIMESTEP_NS, frames_from_embeddings, hierarchy_from_orders, samples_from_events, states_from_embeddings, table
 from tidewater.streaming import monitor
 
-BLOCKS, BLOCK = 100, 20
-BLOCK_NS = BLOCK * STEP * TIMESTEP_NS
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def shown(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns with doubles rounded to six places (and no negative zero), whole numbers as long."""
-    types = dict(df.dtypes)
-    kinds = {"double": lambda c: (F.round(c, 6) + 0.0), "int": lambda c: F.col(c).cast("long"), "smallint": lambda c: F.col(c).cast("long")}
-    return df.select(*(kinds.get(types[c], F.col)(c).alias(c) for c in columns or df.columns))
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-SAMPLES = f"""raw AS (
-  SELECT CAST(CASE event_type WHEN 'click' THEN 0.0 WHEN 'error' THEN 0.125 WHEN 'purchase' THEN 0.25 WHEN 'signup' THEN 0.5 WHEN 'view' THEN 1.0 END AS DOUBLE) AS lam,
-         CAST(user_id % 5 + 1 AS BIGINT) AS run, value AS grad,
-         row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY ts, event_id) - 1 AS i
-  FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup', 'view') AND user_id IS NOT NULL),
-shortest AS (SELECT lam, min(c) AS n FROM (SELECT lam, run, count(*) AS c FROM raw GROUP BY lam, run) GROUP BY lam),
-samples AS (SELECT raw.lam, run, i, CAST((i + 1) * {STEP} AS BIGINT) AS step, grad, n FROM raw JOIN shortest USING (lam) WHERE i < n),
-weights AS (
-  SELECT lam, CAST(row_number() OVER (ORDER BY lam) - 1 AS BIGINT) AS lam_index,
-         0.5 * (coalesce(lead(lam) OVER (ORDER BY lam), lam) - coalesce(lag(lam) OVER (ORDER BY lam), lam)) AS weight
-  FROM (SELECT DISTINCT lam FROM samples))"""
-R = lambda x, name: f"round({x}, 6) + 0 AS {name}"
-
-
-def with_samples(body: str, *more: str) -> str:
-    return "WITH " + ", ".join([SAMPLES, *more]) + " " + body
+#: All registered queries; those of the other two modules come with their import.
+__all__ = ["ORACLE_SQL", "QUERIES", "estimator_queries", "reader_queries"]
 
 
 @query("samples_from_events", with_samples(f"SELECT lam, run, step, {R('grad', 'grad')} FROM samples"))
@@ -64,6 +21,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(samples_from_events(spark, d), "lam", "run", "step", "grad")
 
 
+@query("cut_to_shortest", with_even(f"SELECT lam, run, step, {R('grad', 'grad')} FROM samples"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(even(spark, d), "lam", "run", "step", "grad")
+
+
 @query("lambda_weights", with_samples(f"SELECT lam, lam_index, {R('weight', 'weight')} FROM weights"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(series.lambda_weights(samples_from_events(spark, d)), "lam", "lam_index", "weight")
@@ -106,6 +68,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(series.select_runs(samples_from_events(spark, d), [1, 3], 5), "lam", "run", "step")
 
 
+def even(spark: SparkSession, d: str) -> DataFrame:
+    """Samples whose runs end with the shortest of their window, as means across runs need them."""
+    return series.cut_to_shortest(samples_from_events(spark, d))
+
+
 def _windows(s: DataFrame) -> DataFrame:
     """A windows table as a setup would have it: each window's time grows with its lam."""
     return series.lambda_weights(s).withColumn("equilibrated", F.col("lam") < 1).withColumn("equil_time_ns", 0.01 + 0.02 * F.col("lam")).withColumn("runtime_constant", F.lit(0.0005)).withColumn("relative_cost", F.lit(1.0))
@@ -138,14 +105,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 SLOPES = f"slopes AS (SELECT lam, i, avg(g) AS gradient FROM (SELECT lam, i, (rolling - lag(rolling, {BLOCK}) OVER (PARTITION BY lam, run ORDER BY i)) / {BLOCK_NS!r}::DOUBLE AS g FROM rolled) WHERE i >= {2 * BLOCK} GROUP BY lam, i)"
 
 
-@query("block_gradient", with_samples(f"SELECT lam, CAST(i AS BIGINT) AS i, round(gradient + 1e-7, 4) + 0 AS gradient FROM slopes", ROLLING, SLOPES))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(series.block_gradient(samples_from_events(spark, d), BLOCK, BLOCK_NS).withColumn("gradient", F.round(F.col("gradient") + 1e-7, 4)), "lam", "i", "gradient")
 
 
-@query("equil_block_gradient", with_samples(f"SELECT lam, first IS NOT NULL AS equilibrated, round((first + 1) * {STEP * TIMESTEP_NS!r}::DOUBLE, 6) + 0 AS equil_time_ns, round((first + 1) * {STEP * TIMESTEP_NS!r}::DOUBLE + {2 * BLOCK_NS!r}::DOUBLE, 6) + 0 AS time_shifted_ns FROM (SELECT lam, min(CASE WHEN turn THEN i END) - {2 * BLOCK} AS first FROM (SELECT lam, i, sign(gradient) <> sign(lag(gradient) OVER (PARTITION BY lam ORDER BY i)) AS turn FROM slopes) GROUP BY lam)", ROLLING, SLOPES))
+@query("equil_block_gradient", with_even(f"SELECT lam, first IS NOT NULL AS equilibrated, round((first + 1) * {STEP * TIMESTEP_NS!r}::DOUBLE, 6) + 0 AS equil_time_ns, round((first + 1) * {STEP * TIMESTEP_NS!r}::DOUBLE + {2 * BLOCK_NS!r}::DOUBLE, 6) + 0 AS time_shifted_ns FROM (SELECT lam, min(CASE WHEN turn THEN i END) - {2 * BLOCK} AS first FROM (SELECT lam, i, sign(gradient) <> sign(lag(gradient) OVER (PARTITION BY lam ORDER BY i)) AS turn FROM slopes) GROUP BY lam)", ROLLING, SLOPES))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(equilibration.equil_block_gradient(samples_from_events(spark, d), F.col("step") * TIMESTEP_NS, BLOCK, BLOCK_NS), "lam", "equilibrated", "equil_time_ns", "time_shifted_ns")
+    return shown(equilibration.equil_block_gradient(even(spark, d), F.col("step") * TIMESTEP_NS, BLOCK, BLOCK_NS), "lam", "equilibrated", "equil_time_ns", "time_shifted_ns")
 
 
 def blocks_sql(name: str, start: str = "0.0") -> str:
@@ -157,10 +121,6 @@ def blocks_sql(name: str, start: str = "0.0") -> str:
   JOIN (SELECT lam, run, CAST(min(step) AS DOUBLE) AS t0, CAST(max(step) AS DOUBLE) AS t1 FROM {name}_rows GROUP BY lam, run) USING (lam, run) JOIN weights USING (lam) GROUP BY run, block)"""
 
 
-@query("block_average", with_samples(f"SELECT run, CAST(block AS BIGINT) AS block, {R('dg + 1e-8', 'dg')}, round(time_ns, 2) + 0 AS time_ns FROM blocks", blocks_sql("blocks")))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
-    return shown(series.same_times(series.block_average(s, series.lambda_weights(s), BLOCKS)).withColumn("time_ns", F.round("time_ns", 2)).withColumn("dg", F.col("dg") + 1e-8), "run", "block", "dg", "time_ns")
 
 
 @query("smooth3", with_samples("SELECT lam, run, round(avg(mean) OVER (PARTITION BY run ORDER BY lam ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) + 0 AS smooth FROM means", MEANS))
@@ -198,9 +158,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(statistics.series_stats(s, autocorrelation.statistical_inefficiency(s)), "lam", "run", "mean", "var", "squared_sem", "g")
 
 
-@query("window_stats", with_samples(f"SELECT lam, CAST(n_runs AS BIGINT) AS n_runs, {', '.join(R(c, c) for c in ('var_intra', 'mean', 'g', 'sem_intra', 'sem_inter', 'sem_tot'))}, {R('sem_inter * weight', 'sem_inter_dg')} FROM wstats", MEANS, INEFFICIENCY, STATS))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(analyse.gradient_data(samples_from_events(spark, d), TIMESTEP_NS, STEP), "lam", "n_runs", "var_intra", "mean", "g", "sem_intra", "sem_inter", "sem_tot", "sem_inter_dg")
 
 
 def _stats_and_times(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -272,9 +229,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(statistics.kruskal_wallis(samples_from_events(spark, d)).withColumn("h", F.round("h", 5)), "lam", "h", "df", "p")
 
 
-@query("probability_plot")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(statistics.probability_plot(samples_from_events(spark, d, cut=False), ["lam", "run"], "grad"))
 
 
 @query("gaussian_kde", with_samples("SELECT e.lam, e.run, round(lo + (hi - lo) / 99 * k, 6) + 0 AS x, round(sum(exp(-0.5 * pow((lo + (hi - lo) / 99 * k - grad) / h, 2))) / (e.n * h * sqrt(2 * pi())), 6) + 0 AS density FROM (SELECT lam, run, min(grad) AS lo, max(grad) AS hi, count(*) AS n, stddev_samp(grad) * pow(count(*), -0.2) AS h FROM samples GROUP BY lam, run) e, range(0, 100) t(k), samples s WHERE s.lam = e.lam AND s.run = e.run GROUP BY e.lam, e.run, k, lo, hi, e.n, h"))
@@ -282,71 +236,39 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(statistics.gaussian_kde(samples_from_events(spark, d), ["lam", "run"], "grad"), "lam", "run", "x", "density")
 
 
-@query("shapiro_wilk")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(statistics.shapiro_wilk(samples_from_events(spark, d, cut=False), ["lam", "run"], "grad"))
 
 
-@query("half_difference_tests", with_samples(f"SELECT fraction, round(avg(s) * 1e6, 4) + 0 AS gradient, round({T4} * stddev_samp(s) / sqrt(count(*)) * 1e6, 4) + 0 AS ci95 FROM (SELECT fraction, run, (avg(CASE WHEN block >= mid THEN dg END) - avg(CASE WHEN block < mid THEN dg END)) / any_value(gap) AS s FROM (SELECT b.run, b.block, b.dg, f / 100.0 AS fraction, f + round_even((100 - f) / 2.0, 0) AS mid, (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f + round_even((100 - f) / 2.0, 0)) - (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f) AS gap FROM blocks b, (VALUES (0), (10), (30), (60)) c(f) WHERE b.block >= f) GROUP BY fraction, run) GROUP BY fraction", blocks_sql("blocks")))
+@query("half_difference_tests", with_even(f"SELECT fraction, round(avg(s) * 1e6, 4) + 0 AS gradient, round({T4} * stddev_samp(s) / sqrt(count(*)) * 1e6, 4) + 0 AS ci95 FROM (SELECT fraction, run, (avg(CASE WHEN block >= mid THEN dg END) - avg(CASE WHEN block < mid THEN dg END)) / any_value(gap) AS s FROM (SELECT b.run, b.block, b.dg, f / 100.0 AS fraction, f + round_even((100 - f) / 2.0, 0) AS mid, (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f + round_even((100 - f) / 2.0, 0)) - (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f) AS gap FROM blocks b, (VALUES (0), (10), (30), (60)) c(f) WHERE b.block >= f) GROUP BY fraction, run) GROUP BY fraction", blocks_sql("blocks")))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
+    s = even(spark, d)
     t = equilibration.half_difference_tests(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS)
     return t.select("fraction", (F.round(F.col("gradient") * 1e6, 4) + 0.0).alias("gradient"), (F.round(F.col("ci95") * 1e6, 4) + 0.0).alias("ci95"))
 
 
-@query("kpss_tests")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
-    return shown(equilibration.kpss_tests(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS), "fraction", "statistic", "p")
 
 
 STARTS = {"q0": "0.0", "q1": repr(0.5 / 3), "q2": repr(1.0 / 3), "q3": "0.5"}
 SLICES = ", ".join(blocks_sql(n, v) for n, v in STARTS.items()) + ", slices AS (" + " UNION ALL ".join(f"SELECT {v}::DOUBLE AS fraction, run, avg(CASE WHEN block < 10 THEN dg END) AS a, avg(CASE WHEN block >= 50 THEN dg END) AS b FROM {n} GROUP BY run" for n, v in STARTS.items()) + ")"
 
 
-@query("geweke_statistics", with_samples("SELECT round(fraction, 6) + 0 AS fraction, round(avg(a - b) / sqrt(var_samp(a) / count(*) + var_samp(b) / count(*)), 6) + 0 AS t, round(pow(var_samp(a) + var_samp(b), 2) * (count(*) - 1) / (pow(var_samp(a), 2) + pow(var_samp(b), 2)), 6) + 0 AS df FROM slices GROUP BY fraction", SLICES))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
-    return shown(equilibration.geweke_tests(s, series.lambda_weights(s), n_blocks=BLOCKS), "fraction", "t", "df")
 
 
-@query("equil_geweke")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
-    return shown(equilibration.equil_geweke(s, series.lambda_weights(s)), "equilibrated", "fraction")
 
 
-@query("paired_t_tests", with_samples("SELECT round(fraction, 6) + 0 AS fraction, round(t, 6) + 0 AS t, round(1 - sin(atan(abs(t) / 2)) * (1 + pow(cos(atan(abs(t) / 2)), 2) / 2), 6) + 0 AS p FROM (SELECT fraction, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t FROM slices GROUP BY fraction)", SLICES))
+@query("paired_t_tests", with_even("SELECT round(fraction, 6) + 0 AS fraction, round(t, 6) + 0 AS t, round(1 - sin(atan(abs(t) / 2)) * (1 + pow(cos(atan(abs(t) / 2)), 2) / 2), 6) + 0 AS p FROM (SELECT fraction, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t FROM slices GROUP BY fraction)", SLICES))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
+    s = even(spark, d)
     return shown(equilibration.paired_t_tests(s, series.lambda_weights(s), n_blocks=BLOCKS), "fraction", "t", "p")
 
 
-@query("gelman_rubin")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(equilibration.gelman_rubin(samples_from_events(spark, d)), "lam", "rhat", "converged")
 
 
-@query("chodera")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(autocorrelation.chodera_windows(samples_from_events(spark, d), ["lam"]), "lam", "t0", "g", "n_eff", "equilibrated")
 
 
-@query("brown_forsythe", with_samples("SELECT round(((s2 - s1 * s1 / n) / (k - 1)) / (w / (n - k)), 6) + 0 AS f, CAST(k - 1 AS DOUBLE) AS df1, CAST(n - k AS DOUBLE) AS df2 FROM (SELECT sum(c * m * m) AS s2, sum(c * m) AS s1, sum(c) AS n, sum(w) AS w, count(*) AS k FROM (SELECT lam, avg(d) AS m, count(*) AS c, var_pop(d) * count(*) AS w FROM (SELECT lam, abs(grad - median(grad) OVER (PARTITION BY lam)) AS d FROM samples WHERE lam IN (0.0, 0.25)) GROUP BY lam))"))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(equilibration.brown_forsythe(samples_from_events(spark, d).where("lam in (0.0, 0.25)"), "lam", "grad"), "f", "df1", "df2")
 
 
-@query("ti_convergence", with_samples("SELECT run, round(p / 20.0, 5) + 0 AS frac, round(sum(s / c * weight), 6) + 0 AS dg FROM (SELECT lam, run, p, sum(s) OVER w AS s, sum(c) OVER w AS c FROM (SELECT lam, run, p, sum(grad) AS s, count(*) AS c FROM (SELECT *, (SELECT min(p) FROM range(1, 21) t(p) WHERE i < round_even(n * round(p / 20.0, 5), 0)) AS p FROM samples) WHERE p IS NOT NULL GROUP BY lam, run, p) WINDOW w AS (PARTITION BY lam, run ORDER BY p)) JOIN weights USING (lam) GROUP BY run, p"))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
-    return shown(estimator.ti_convergence(s, series.lambda_weights(s)), "run", "frac", "dg")
 
 
-@query("squared_sem_convergence")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
-    return shown(series.squared_sem_convergence(estimator.ti_convergence(s, series.lambda_weights(s))), "frac", "squared_sem", "sem")
 
 
 @query("total_simtime", with_samples("SELECT CASE WHEN grouping(lam) = 1 THEN 'all' WHEN grouping(run) = 1 THEN 'lam' ELSE 'run' END AS level, coalesce(lam, -1) AS lam, coalesce(run, 0) AS run, round(sum(last) * 0.000004, 6) + 0 AS simtime_ns FROM (SELECT lam, run, max(step) AS last FROM samples GROUP BY lam, run) GROUP BY ROLLUP (lam, run)"))
@@ -385,13 +307,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(statistics.mean_ci95(_leg_runs(spark, d), ["calc", "leg"], "dg").where("n = 5"), "calc", "leg", "n", "mean", "ci95")
 
 
-@query("results_table")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    h, keys = hierarchy_from_orders(spark, d), ["calc", "leg"]
-    times = h.groupBy(*keys).agg((F.sum("value") / 1e6).alias("t"))
-    sim = rollup._levels(times, keys, "t", "simtime_ns")
-    gpu = rollup._levels(times.withColumn("t", F.col("t") * 0.21), keys, "t", "gpu_hours")
-    return shown(rollup.results_table(_leg_runs(spark, d), sim, gpu, keys), "node", "level", "dg", "dg_ci", "simtime_ns", "gpu_hours", "gpu_share")
 
 
 @query("relative_cost", f"WITH {HIERARCHY} SELECT calc, round(sum(value) / count(*) / 0.21, 4) + 0 AS relative_cost FROM h GROUP BY calc")
@@ -400,36 +315,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return rollup.relative_cost(t, t, ["calc"]).select("calc", (F.round("relative_cost", 4) + 0.0).alias("relative_cost"))
 
 
-STATES = "st AS (SELECT vec_id, vec_id % 5 + 1 AS run, label % 4 AS s, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE), CAST(embedding[3] AS DOUBLE), CAST(embedding[4] AS DOUBLE)] AS u FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), cnt AS (SELECT run, s AS j, count(*) AS c FROM st GROUP BY run, s), f0 AS (SELECT run, CAST(j AS BIGINT) AS j, 0.0::DOUBLE AS f FROM (SELECT DISTINCT run FROM st), range(0, 4) t(j))"
-
-
-def _pass(k: int) -> str:
-    return f"d{k} AS (SELECT st.vec_id, st.run, st.u, ln(sum(c * exp(f - u[CAST(cnt.j AS INTEGER) + 1]))) AS d FROM st JOIN cnt ON st.run = cnt.run JOIN f{k} ON f{k}.run = st.run AND f{k}.j = cnt.j GROUP BY st.vec_id, st.run, st.u), g{k} AS (SELECT run, CAST(j AS BIGINT) AS j, -ln(sum(exp(-u[CAST(j AS INTEGER) + 1] - d))) AS f FROM d{k}, range(0, 4) t(j) GROUP BY run, j), f{k + 1} AS (SELECT g{k}.run, g{k}.j, g{k}.f - z.f AS f FROM g{k} JOIN g{k} z ON z.run = g{k}.run AND z.j = 0)"
-
-
-@query("mbar_three_passes", f"WITH {STATES}, {_pass(0)}, {_pass(1)}, {_pass(2)} SELECT CAST(run AS BIGINT) AS run, j AS i, round(f, 6) + 0 AS f FROM f3")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(estimator.fixed_passes(states_from_embeddings(spark, d), 3), "run", "i", "f")
-
-
-@query("mbar")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(estimator.mbar(states_from_embeddings(spark, d)), "run", "dg", "err")
-
-
-@query("mbar_overlap")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = states_from_embeddings(spark, d)
-    solved = estimator.solve(rows)
-    return shown(estimator.overlap(estimator.gram(rows, solved), solved), "run", "i", "j", "value")
-
-
-@query("mbar_neighbour_slopes")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    lam = F.array(*(F.lit(k / 3) for k in range(4)))
-    return shown(estimator.neighbour_slopes(estimator.pmf(estimator.solve(states_from_embeddings(spark, d)), lam)), "run", "lam_mid", "d_pmf", "grad")
-
-
 PAIRS = "p AS (SELECT p_brand AS brand, p_partkey AS k, p_retailprice AS x, CAST(p_size AS DOUBLE) AS y FROM part)"
 
 
@@ -452,17 +337,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(agreement.kendall_tau(_pairs(spark, d), ["brand"], "x", "y"))
 
 
-@query("bootstrap_statistics")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    means = _pairs(spark, d).groupBy("brand").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.stddev_samp("x").alias("xe"), F.stddev_samp("y").alias("ye"))
-    return shown(agreement.stats_with_ci(means, "x", "y", "xe", "ye", "brand"))
 
 
-@query("set_results", "WITH runs AS (SELECT s_nationkey AS nk, s_acctbal AS dg FROM supplier), c AS (SELECT nk, avg(dg) AS m, count(*) AS n FROM runs GROUP BY nk) SELECT n_name AS name, round(m + n_regionkey, 6) + 0 AS calc_dg FROM c JOIN nation ON n_nationkey = nk WHERE n > 1")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("calc_base_dir"), F.col("s_acctbal").alias("dg"))
-    measured = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("calc_base_dir"), F.col("n_name").alias("name"), F.lit(1.0).alias("exp_dg"), F.lit(0.1).alias("exp_er"), F.col("n_regionkey").cast("double").alias("calc_cor"))
-    return shown(agreement.set_results(runs, measured), "name", "calc_dg")
 
 
 @query("to_analyse", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
@@ -481,11 +357,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(geometry.rmsd(frames_from_embeddings(spark, d), F.col("atom") < 10, F.col("resname") == "LIG"), "run", "frame", "rmsd")
 
 
-@query("comparative_convergence")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
-    two = s.withColumn("calc", F.when(F.col("run") <= 3, F.lit("a")).otherwise(F.lit("b")))
-    return shown(estimator.comparative_convergence(two, series.lambda_weights(two), energy_time_ns=TIMESTEP_NS), "calc", "run", "frac", "dg", "time_ns")
 
 
 @query("subsample", with_samples("SELECT lam, run, step FROM samples JOIN g USING (lam, run) WHERE samples.i % CAST(floor(g) AS BIGINT) = 0", INEFFICIENCY))
@@ -522,59 +393,296 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(series.gradient_convergence(curves), "lam", "run", "frac", "grad_shift")
 
 
-@query("convergence_axis", with_samples("SELECT run, round(f / 20.0, 5) + 0 AS frac, round(CASE WHEN f = 0 THEN 0 ELSE f / 20.0 * (4.0 - 0.5) + 0.5 END, 6) + 0 AS time_ns FROM (SELECT DISTINCT run FROM samples), range(0, 21) t(f)"))
+@query("block_gradient", with_even("SELECT lam, CAST(i AS BIGINT) AS i, round(gradient, 6) + 0 AS gradient FROM slopes", ROLLING, SLOPES))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
-    times = s.select(*STAGE).distinct().select(*STAGE, F.lit(4.0).alias("total_ns"), F.lit(0.1).alias("equil_ns"), F.lit(5).alias("n_runs"))
-    return shown(series.convergence_axis(estimator.ti_convergence(s, series.lambda_weights(s)), times), "run", "frac", "time_ns")
+    return shown(series.block_gradient(even(spark, d), BLOCK, BLOCK_NS), "lam", "i", "gradient")
 
 
-@query("roll_up_convergence", f"WITH {HIERARCHY}, {LEG_RUNS} SELECT calc, run, round(sum((dg + run) * (CASE WHEN leg = 'NATION_0' THEN -1 ELSE 1 END)), 6) + 0 AS dg FROM lr GROUP BY calc, run")
+@query("block_average", with_even("SELECT run, CAST(block AS BIGINT) AS block, round(dg, 9) + 0 AS dg, round(time_ns, 2) + 0 AS time_ns FROM blocks", blocks_sql("blocks")))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    curves = _leg_runs(spark, d).select("calc", "leg", "run", F.lit(1.0).alias("frac"), "dg")
-    sign = curves.select("leg").distinct().withColumn("multiplier", F.when(F.col("leg") == "NATION_0", -1.0).otherwise(1.0))
-    extra = curves.select("leg", "run").distinct().withColumn("dg", F.col("run").cast("double"))
-    return shown(estimator.roll_up_convergence(curves, sign, "leg", ["calc"], extra), "calc", "run", "dg")
+    s = even(spark, d)
+    return shown(series.same_times(series.block_average(s, series.lambda_weights(s), BLOCKS)), "run", "block", "dg", "time_ns", dg=9, time_ns=2)
 
 
-@query("equil_multiwindow")
+@query("window_stats", with_samples(f"SELECT lam, CAST(n_runs AS BIGINT) AS n_runs, {', '.join(R(c, c) for c in ('var_intra', 'mean', 'g', 'sem_intra', 'sem_inter', 'sem_tot'))}, {R('sem_inter * weight', 'sem_inter_dg')}, round(g * {TIMESTEP_NS!r}::DOUBLE, 12) + 0 AS g_ns, round(g * {STEP * TIMESTEP_NS!r}::DOUBLE, 9) + 0 AS g_sample_ns, 1.0::DOUBLE AS relative_cost FROM wstats", MEANS, INEFFICIENCY, STATS))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = samples_from_events(spark, d)
+    return shown(analyse.gradient_data(s, TIMESTEP_NS, STEP, _windows(s)), "lam", "n_runs", "var_intra", "mean", "g", "sem_intra", "sem_inter", "sem_tot", "sem_inter_dg", "g_ns", "g_sample_ns", "relative_cost", g_ns=12, g_sample_ns=9)
+
+
+Q = lambda p: f"({normal_quantile_sql(p)})"
+
+
+@query("probability_plot", with_samples(f"SELECT lam, run, CAST(k AS BIGINT) AS k, round({Q('p')}, 6) + 0 AS theoretical, round(grad, 6) + 0 AS ordered FROM (SELECT *, CASE WHEN k = n THEN pow(0.5, 1.0 / n) WHEN k = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (k - 0.3175) / (n + 0.365) END AS p FROM (SELECT lam, run, grad, n, row_number() OVER (PARTITION BY lam, run ORDER BY grad) AS k FROM samples))"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(statistics.probability_plot(samples_from_events(spark, d), ["lam", "run"], "grad"))
+
+
+#: Royston's weights, written out; every series here has more than 11 values.
+SHAPIRO = [
+    f"ordered AS (SELECT lam, run, n, grad, row_number() OVER (PARTITION BY lam, run ORDER BY grad) AS k FROM samples), m AS (SELECT *, {Q('(k - 0.375) / (n + 0.25)')} AS m FROM ordered)",
+    "ends AS (SELECT lam, run, n, sum(m * m) AS mm, max(m) AS m1, max(CASE WHEN k = n - 1 THEN m END) AS m2, 1 / sqrt(n) AS u FROM m GROUP BY lam, run, n)",
+    "a AS (SELECT *, -2.706056 * pow(u, 5) + 4.434685 * pow(u, 4) - 2.07119 * pow(u, 3) - 0.147981 * pow(u, 2) + 0.221157 * u + m1 / sqrt(mm) AS a1, -3.582633 * pow(u, 5) + 5.682633 * pow(u, 4) - 1.752461 * pow(u, 3) - 0.293762 * pow(u, 2) + 0.042981 * u + m2 / sqrt(mm) AS a2 FROM ends)",
+    "w AS (SELECT lam, run, m.n, pow(sum(grad * CASE WHEN k = 1 THEN -a1 WHEN k = m.n THEN a1 WHEN k = 2 THEN -a2 WHEN k = m.n - 1 THEN a2 ELSE m / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END), 2) / (var_pop(grad) * count(*)) AS w FROM m JOIN a USING (lam, run) GROUP BY lam, run, m.n)",
+    "z AS (SELECT *, (ln(1 - w) - (-1.5861 - 0.31082 * ln(n) - 0.083751 * pow(ln(n), 2) + 0.0038915 * pow(ln(n), 3))) / exp(-0.4803 - 0.082676 * ln(n) + 0.0030302 * pow(ln(n), 2)) AS z FROM w)",
+]
+
+
+@query("shapiro_wilk", with_samples(f"SELECT lam, run, CAST(n AS BIGINT) AS n, round(w, 6) + 0 AS w, round({upper_normal_sql('z')}, 6) + 0 AS p FROM z", *SHAPIRO))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(statistics.shapiro_wilk(samples_from_events(spark, d), ["lam", "run"], "grad"))
+
+
+HALVES = "SELECT fraction, avg(s) AS gradient, 2.7764451051977987 * stddev_samp(s) / sqrt(count(*)) AS ci95 FROM (SELECT fraction, run, (avg(CASE WHEN block >= mid THEN dg END) - avg(CASE WHEN block < mid THEN dg END)) / any_value(gap) AS s FROM (SELECT b.run, b.block, b.dg, f / 100.0 AS fraction, f + round_even((100 - f) / 2.0, 0) AS mid, (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f + round_even((100 - f) / 2.0, 0)) - (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f) AS gap FROM blocks b, (VALUES (0), (10), (30), (60)) c(f) WHERE b.block >= f) GROUP BY fraction, run) GROUP BY fraction"
+
+
+@query("equil_multiwindow", with_even(f"SELECT min(fraction) FILTER (abs(gradient) < ci95) IS NOT NULL AS equilibrated, round(min(fraction) FILTER (abs(gradient) < ci95), 6) + 0 AS fraction FROM ({HALVES})", blocks_sql("blocks")))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
     return shown(equilibration.equil_multiwindow(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS), "equilibrated", "fraction")
 
 
-@query("equil_kpss")
+@query("write_back_equilibration", with_even(f"SELECT lam, lam < 1 OR f IS NOT NULL AS equilibrated, round(coalesce(f * {TIMESTEP_NS!r}::DOUBLE * last, 0.01 + 0.02 * lam), 6) + 0 AS equil_time_ns FROM (SELECT lam, max(step) AS last FROM samples WHERE run = 1 GROUP BY lam), (SELECT min(fraction) FILTER (abs(gradient) < ci95) AS f FROM ({HALVES}))", blocks_sql("blocks")))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
+    s = even(spark, d)
+    found = equilibration.equil_multiwindow(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS)
+    times = s.where("run = 1").groupBy(*STAGE, "lam").agg((F.max("step") * TIMESTEP_NS).alias("total_ns"))
+    return shown(equilibration.write_back_equilibration(_windows(s), found, times), "lam", "equilibrated", "equil_time_ns")
+
+
+#: The level test on the mean series of blocks, with its automatic number of lags.
+KPSS = [
+    "mean AS (SELECT block, avg(dg) AS x FROM blocks GROUP BY block), dev AS (SELECT f / 100.0 AS fraction, block - f AS i, 100 - f AS n, x - avg(x) OVER (PARTITION BY f) AS e FROM mean, (VALUES (0), (10), (30), (50)) c(f) WHERE block >= f)",
+    "auto AS (SELECT a.fraction, a.n, k, sum(a.e * b.e) AS v FROM range(0, 60) r(k) JOIN dev a ON true JOIN dev b ON b.fraction = a.fraction AND b.i = a.i + k GROUP BY ALL)",
+    "lags AS (SELECT fraction, n, least(trunc(1.1447 * pow(pow(s1 / s0, 2), 1 / 3.0) * pow(n, 1 / 3.0)), n - 1) AS l FROM (SELECT fraction, n, sum(CASE WHEN k = 0 THEN v / n ELSE v / (n / 2.0) END) AS s0, sum(k * v / (n / 2.0)) AS s1 FROM auto WHERE k <= trunc(pow(n, 2 / 9.0)) GROUP BY fraction, n))",
+    "s2 AS (SELECT fraction, n, sum(CASE WHEN k = 0 THEN v ELSE 2 * v * (1 - k / (l + 1)) END) / n AS s2 FROM auto JOIN lags USING (fraction, n) WHERE k <= l GROUP BY fraction, n)",
+    "eta AS (SELECT fraction, sum(c * c) / any_value(n * n * s2) AS eta FROM (SELECT fraction, sum(e) OVER (PARTITION BY fraction ORDER BY i) AS c FROM dev) JOIN s2 USING (fraction) GROUP BY fraction)",
+    "kpss AS (SELECT fraction, eta AS statistic, CASE WHEN eta <= 0.347 THEN 0.1 WHEN eta <= 0.463 THEN 0.1 - 0.05 * (eta - 0.347) / 0.116 WHEN eta <= 0.574 THEN 0.05 - 0.025 * (eta - 0.463) / 0.111 WHEN eta <= 0.739 THEN 0.025 - 0.015 * (eta - 0.574) / 0.165 ELSE 0.01 END AS p FROM eta)",
+]
+
+
+@query("kpss_tests", with_even(f"SELECT {R('fraction', 'fraction')}, {R('statistic', 'statistic')}, {R('p', 'p')} FROM kpss", blocks_sql("blocks"), *KPSS))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
+    return shown(equilibration.kpss_tests(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS), "fraction", "statistic", "p")
+
+
+@query("equil_kpss", with_even("SELECT min(fraction) FILTER (p > 0.05) IS NOT NULL AS equilibrated, round(min(fraction) FILTER (p > 0.05), 6) + 0 AS fraction FROM kpss", blocks_sql("blocks"), *KPSS))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
     return shown(equilibration.equil_kpss(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS), "equilibrated", "fraction")
 
 
-@query("equil_paired_t")
+GEWEKE = "geweke AS (SELECT fraction, avg(a - b) / sqrt(var_samp(a) / count(*) + var_samp(b) / count(*)) AS t, pow(var_samp(a) + var_samp(b), 2) * (count(*) - 1) / (pow(var_samp(a), 2) + pow(var_samp(b), 2)) AS df FROM slices GROUP BY fraction)"
+PAIRED = "paired AS (SELECT fraction, t, 1 - sin(atan(abs(t) / 2)) * (1 + pow(cos(atan(abs(t) / 2)), 2) / 2) AS p FROM (SELECT fraction, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t FROM slices GROUP BY fraction))"
+
+
+@query("geweke_statistics", with_even(f"SELECT {R('fraction', 'fraction')}, {R('t', 't')}, {R('df', 'df')}, round({t_tail_sql('t', 'df')}, 6) + 0 AS p FROM geweke", SLICES, GEWEKE))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
+    s = even(spark, d)
+    return shown(equilibration.geweke_tests(s, series.lambda_weights(s), n_blocks=BLOCKS), "fraction", "t", "df", "p")
+
+
+@query("equil_geweke", with_even(f"SELECT min(fraction) FILTER (p > 0.2) IS NOT NULL AS equilibrated, round(min(fraction) FILTER (p > 0.2), 6) + 0 AS fraction FROM (SELECT fraction, {t_tail_sql('t', 'df')} AS p FROM geweke)", SLICES, GEWEKE))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
+    return shown(equilibration.equil_geweke(s, series.lambda_weights(s)), "equilibrated", "fraction")
+
+
+@query("equil_paired_t", with_even("SELECT min(fraction) FILTER (p > 0.05) IS NOT NULL AS equilibrated, round(min(fraction) FILTER (p > 0.05), 6) + 0 AS fraction FROM paired", SLICES, PAIRED))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
     return shown(equilibration.equil_paired_t(s, series.lambda_weights(s), n_blocks=BLOCKS), "equilibrated", "fraction")
 
 
-@query("gelman_rubin_equilibrated")
+def rhat_sql(kept: str) -> list[str]:
+    """Rank-normalised split R-hat of the rows (lam, run, i, grad) that `kept` selects."""
+    scores = lambda v: Q(f"(rank() OVER (PARTITION BY lam ORDER BY {v}) + (count(*) OVER (PARTITION BY lam, {v}) - 1) / 2.0 - 0.375) / (count(*) OVER (PARTITION BY lam) + 0.25)")
+    return [
+        f"kept AS (SELECT lam, run, grad AS v, row_number() OVER (PARTITION BY lam, run ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY lam, run) AS m FROM ({kept}))",
+        "halves AS (SELECT lam, run, i >= m - m // 2 AS late, v, abs(v - median(v) OVER (PARTITION BY lam)) AS f FROM kept WHERE i < m // 2 OR i >= m - m // 2)",
+        f"scored AS (SELECT lam, run, late, p.z, p.fz FROM (SELECT lam, run, late, {scores('v')} AS z, {scores('f')} AS fz FROM halves) p)",
+        "chains AS (SELECT lam, run, late, avg(z) AS m, var_samp(z) AS v, avg(fz) AS fm, var_samp(fz) AS fv, count(*) AS c FROM scored GROUP BY lam, run, late)",
+        "rhat AS (SELECT lam, greatest(sqrt((max(c) * var_samp(m) / avg(v) + max(c) - 1) / max(c)), sqrt((max(c) * var_samp(fm) / avg(fv) + max(c) - 1) / max(c))) AS rhat FROM chains GROUP BY lam)",
+    ]
+
+
+@query("gelman_rubin", with_even(f"SELECT lam, {R('rhat', 'rhat')}, rhat <= 1.1 AS converged FROM rhat", *rhat_sql("SELECT * FROM samples WHERE i >= round_even(n * 0.1, 0)")))
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = samples_from_events(spark, d)
+    return shown(equilibration.gelman_rubin(even(spark, d)), "lam", "rhat", "converged")
+
+
+@query("gelman_rubin_equilibrated", with_even(f"SELECT lam, {R('rhat', 'rhat')}, rhat <= 1.1 AS converged FROM rhat", *rhat_sql("SELECT * FROM samples WHERE i >= round_even(n * (0.01 + 0.02 * lam), 0)")))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
     return shown(equilibration.gelman_rubin_equilibrated(s, _windows(s), F.lit(1.0)), "lam", "rhat", "converged")
 
 
-@query("mbar_convergence")
+#: Every start, by sums from the end of a window's mean series; the lags grow by one more each time.
+CHODERA = [
+    "mean AS (SELECT lam, i, n - i AS m, avg(grad) - (SELECT avg(grad) FROM samples s WHERE s.lam = samples.lam) AS x FROM samples GROUP BY lam, i, n)",
+    "start AS (SELECT lam, i, m, avg(x) OVER w AS mu, var_pop(x) OVER w AS s2 FROM mean WINDOW w AS (PARTITION BY lam ORDER BY i DESC))",
+    "prod AS (SELECT a.lam, a.i, j, 1 + j * (j + 1) // 2 AS t, j + 1 AS inc, sum(a.x * b.x) OVER w AS p, sum(a.x + b.x) OVER w AS q FROM range(0, 120) r(j) JOIN mean a ON true JOIN mean b ON b.lam = a.lam AND b.i = a.i + 1 + j * (j + 1) // 2 WINDOW w AS (PARTITION BY a.lam, j ORDER BY a.i DESC))",
+    "c AS (SELECT lam, i, m, j, t, inc, (p - mu * q + (m - t) * mu * mu) / ((m - t) * s2) AS c FROM prod JOIN start USING (lam, i) WHERE m >= 2 AND s2 > 0)",
+    "stop AS (SELECT lam, i, min(CASE WHEN t >= m - 1 OR c <= 0 AND t > 3 THEN j END) AS stop FROM c GROUP BY lam, i)",
+    "g AS (SELECT lam, i, any_value(m) AS m, greatest(1 + coalesce(sum(CASE WHEN stop IS NULL OR j < stop THEN 2 * c * (1 - t / CAST(m AS DOUBLE)) * inc END), 0), 1) AS g FROM c JOIN stop USING (lam, i) GROUP BY lam, i)",
+]
+
+
+@query("chodera", with_even("SELECT lam, CAST(i AS BIGINT) AS t0, round(g, 6) + 0 AS g, round((m + 1) / g, 6) + 0 AS n_eff, (m + 1) / g >= 50 AS equilibrated FROM (SELECT *, row_number() OVER (PARTITION BY lam ORDER BY (m + 1) / g DESC, i) AS r FROM g) WHERE r = 1", *CHODERA))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(autocorrelation.chodera_windows(even(spark, d), ["lam"]), "lam", "t0", "g", "n_eff", "equilibrated")
+
+
+@query("brown_forsythe", with_samples(f"SELECT round(f, 6) + 0 AS f, df1, df2, round({t_tail_sql('sqrt(f)', 'df2')}, 6) + 0 AS p FROM (SELECT ((s2 - s1 * s1 / n) / (k - 1)) / (w / (n - k)) AS f, CAST(k - 1 AS DOUBLE) AS df1, CAST(n - k AS DOUBLE) AS df2 FROM (SELECT sum(c * m * m) AS s2, sum(c * m) AS s1, sum(c) AS n, sum(w) AS w, count(*) AS k FROM (SELECT lam, avg(d) AS m, count(*) AS c, var_pop(d) * count(*) AS w FROM (SELECT lam, abs(grad - median(grad) OVER (PARTITION BY lam)) AS d FROM samples WHERE lam IN (0.0, 0.25)) GROUP BY lam)))"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(equilibration.brown_forsythe(samples_from_events(spark, d).where("lam in (0.0, 0.25)"), "lam", "grad"), "f", "df1", "df2", "p")
+
+
+def curves_sql(cumulative: bool = True, fraction: str = "1.0") -> list[str]:
+    """Integration at 20 fractions of the rows, which `fraction` bounds."""
+    so_far = "sum(s) OVER w AS s, sum(c) OVER w AS c" if cumulative else "s, c"
+    return [
+        f"part AS (SELECT lam, run, p, sum(grad) AS s, count(*) AS c FROM (SELECT *, (SELECT min(p) FROM range(1, 21) t(p) WHERE i < round_even(n * round({fraction} * p / 20.0, 5), 0)) AS p FROM samples) WHERE p IS NOT NULL GROUP BY lam, run, p)",
+        f"curves AS (SELECT run, p, round(p * {fraction} / 20.0, 5) AS frac, sum(s / c * weight) AS dg FROM (SELECT lam, run, p, {so_far} FROM part WINDOW w AS (PARTITION BY lam, run ORDER BY p)) JOIN weights USING (lam) GROUP BY run, p)",
+    ]
+
+
+@query("ti_convergence", with_even("SELECT run, round(frac, 5) + 0 AS frac, round(dg, 6) + 0 AS dg FROM curves", *curves_sql()))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
+    return shown(estimator.ti_convergence(s, series.lambda_weights(s)), "run", "frac", "dg")
+
+
+@query("ti_convergence_blocks", with_even("SELECT run, round(frac, 5) + 0 AS frac, round(dg, 6) + 0 AS dg FROM curves", *curves_sql(False)))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
+    return shown(estimator.ti_convergence(s, series.lambda_weights(s), False), "run", "frac", "dg")
+
+
+@query("squared_sem_convergence", with_even("SELECT round(frac, 5) + 0 AS frac, round(var_pop(dg) / count(*), 6) + 0 AS squared_sem, round(sqrt(var_pop(dg) / count(*)), 6) + 0 AS sem FROM curves GROUP BY frac", *curves_sql()))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
+    return shown(series.squared_sem_convergence(estimator.ti_convergence(s, series.lambda_weights(s))), "frac", "squared_sem", "sem")
+
+
+@query("convergence_axis", with_even("SELECT run, round(frac, 5) + 0 AS frac, round(dg, 6) + 0 AS dg, round(frac * 3.5 + 0.5, 6) + 0 AS time_ns FROM curves UNION ALL SELECT DISTINCT run, 0.0, NULL, 0.0 FROM samples", *curves_sql()))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = even(spark, d)
+    times = s.select(*STAGE).distinct().select(*STAGE, F.lit(4.0).alias("total_ns"), F.lit(0.1).alias("equil_ns"), F.lit(5).alias("n_runs"))
+    return shown(series.convergence_axis(estimator.ti_convergence(s, series.lambda_weights(s)), times), "run", "frac", "dg", "time_ns")
+
+
+def two_calculations(s: DataFrame) -> DataFrame:
+    """Runs 1 to 3 as one calculation, the others as another, which is shorter in all."""
+    return s.withColumn("calc", F.when(F.col("run") <= 3, F.lit("a")).otherwise(F.lit("b")))
+
+
+TOTALS = f"totals AS (SELECT calc, total, min(total) OVER () AS least FROM (SELECT CASE WHEN run <= 3 THEN 'a' ELSE 'b' END AS calc, sum(last) * {TIMESTEP_NS!r}::DOUBLE AS total FROM (SELECT lam, run, max(step) AS last FROM samples GROUP BY lam, run) GROUP BY 1))"
+SHARE = "(SELECT least / total FROM totals WHERE calc = CASE WHEN run <= 3 THEN 'a' ELSE 'b' END)"
+
+
+@query("comparative_convergence", with_even("SELECT calc, run, round(frac, 5) + 0 AS frac, round(dg, 6) + 0 AS dg, round(frac * total, 6) + 0 AS time_ns FROM curves JOIN totals ON calc = CASE WHEN run <= 3 THEN 'a' ELSE 'b' END", TOTALS, *curves_sql(fraction=SHARE)))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    two = two_calculations(even(spark, d))
+    return shown(estimator.comparative_convergence(two, series.lambda_weights(two), timestep_ns=TIMESTEP_NS), "calc", "run", "frac", "dg", "time_ns")
+
+
+@query("comparative_convergence_blocks", with_even("SELECT calc, run, round(frac, 5) + 0 AS frac, round(dg, 6) + 0 AS dg, round(frac * total, 6) + 0 AS time_ns FROM curves JOIN totals ON calc = CASE WHEN run <= 3 THEN 'a' ELSE 'b' END", TOTALS, *curves_sql(False, SHARE)))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    two = two_calculations(even(spark, d))
+    return shown(estimator.comparative_convergence(two, series.lambda_weights(two), timestep_ns=TIMESTEP_NS, cumulative=False), "calc", "run", "frac", "dg", "time_ns")
+
+
+#: Equilibrated rows of each window, and the times before them, 0.01 + 0.02 lam a run.
+BURNT = [
+    "every AS (SELECT * FROM samples), burnt AS (SELECT sum(0.01 + 0.02 * lam) AS one FROM weights)",
+    f"spans AS (SELECT calc, total, one * runs AS b, (min(total) OVER () - one * runs) / (total - one * runs) AS f FROM (SELECT CASE WHEN run <= 3 THEN 'a' ELSE 'b' END AS calc, count(DISTINCT run) AS runs, sum(last) * {TIMESTEP_NS!r}::DOUBLE AS total FROM (SELECT lam, run, max(step) AS last FROM every GROUP BY lam, run) GROUP BY 1), burnt)",
+    f"left_over AS (SELECT lam, run, grad, row_number() OVER (PARTITION BY lam, run ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY lam, run) AS n FROM every WHERE i >= greatest(floor((0.01 + 0.02 * lam) / ({TIMESTEP_NS!r}::DOUBLE * {STEP})) - 1, 0))",
+]
+
+
+@query("comparative_convergence_equilibrated", with_even("SELECT calc, run, round(frac, 5) + 0 AS frac, round(dg, 6) + 0 AS dg, round(b + frac * (total - b), 6) + 0 AS time_ns FROM curves JOIN spans ON calc = CASE WHEN run <= 3 THEN 'a' ELSE 'b' END", *BURNT, *(c.replace("FROM samples)", "FROM left_over)") for c in curves_sql(fraction="(SELECT f FROM spans WHERE calc = CASE WHEN run <= 3 THEN 'a' ELSE 'b' END)"))))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    two = two_calculations(even(spark, d))
+    return shown(estimator.comparative_convergence(two, series.lambda_weights(two), _windows(two), TIMESTEP_NS, STEP), "calc", "run", "frac", "dg", "time_ns")
+
+
+@query("roll_up_convergence", f"WITH {HIERARCHY}, {LEG_RUNS} SELECT calc, run, f AS frac, round(sum((dg * f + run) * (CASE WHEN leg = 'NATION_0' THEN -1 ELSE 1 END)), 6) + 0 AS dg FROM lr, (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) v(f) GROUP BY calc, run, f")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    curves = _leg_runs(spark, d).withColumn("frac", F.explode(F.array(F.lit(0.5), F.lit(1.0)))).select("calc", "leg", "run", "frac", (F.col("dg") * F.col("frac")).alias("dg"))
+    sign = curves.select("leg").distinct().withColumn("multiplier", F.when(F.col("leg") == "NATION_0", -1.0).otherwise(1.0))
+    extra = curves.select("leg", "run").distinct().withColumn("dg", F.col("run").cast("double"))
+    return shown(estimator.roll_up_convergence(curves, sign, "leg", ["calc"], extra), "calc", "run", "frac", "dg")
+
+
+@query("total_gpu_time", f"WITH {HIERARCHY} SELECT CASE WHEN grouping(calc) = 1 THEN 'all' WHEN grouping(leg) = 1 THEN 'calc' ELSE 'leg' END AS level, coalesce(calc, '') AS calc, coalesce(leg, '') AS leg, round(sum(value) / 1e6, 4) + 0 AS gpu_hours FROM h GROUP BY ROLLUP (calc, leg)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    gpu = hierarchy_from_orders(spark, d).groupBy("calc", "leg").agg((F.sum("value") / 1e6).alias("gpu_hours"))
+    t = rollup.total_gpu_time(gpu, ["calc", "leg"])
+    return shown(t.select("level", F.coalesce("calc", F.lit("")).alias("calc"), F.coalesce("leg", F.lit("")).alias("leg"), "gpu_hours"), gpu_hours=4)
+
+
+NODES = "nodes AS (SELECT calc, leg, run, dg FROM lr UNION ALL SELECT calc, NULL, run, sum(CASE WHEN leg = 'NATION_0' THEN -dg ELSE dg END) FROM lr GROUP BY calc, run), spent AS (SELECT calc, leg, sum(value) / 1e6 AS t FROM h GROUP BY ROLLUP (calc, leg))"
+
+
+@query("results_table", f"""WITH {HIERARCHY}, {LEG_RUNS}, {NODES}
+SELECT concat_ws('/', n.calc, n.leg) AS node, CASE WHEN n.leg IS NULL THEN 'calc' ELSE 'leg' END AS level, round_even(avg(dg), 2) + 0 AS dg, round_even({T975}[count(*) - 1] * stddev_samp(dg) / sqrt(count(*)), 2) + 0 AS dg_ci, round_even(any_value(t), 0) + 0 AS simtime_ns, round_even(any_value(t) * 0.21, 0) + 0 AS gpu_hours, round_even(any_value(t) * 0.21 / (SELECT t * 0.21 FROM spent WHERE calc IS NULL), 3) + 0 AS gpu_share
+FROM nodes n JOIN spent s ON s.calc = n.calc AND s.leg IS NOT DISTINCT FROM n.leg GROUP BY n.calc, n.leg
+UNION ALL SELECT calc || '/bound/restraint_corr', 'restraint_corr', round_even(avg(run * 0.5), 2) + 0, 0.0, 0.0, 0.0, 0.0 FROM (SELECT DISTINCT calc, run FROM lr) GROUP BY calc""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    h, keys, legs = hierarchy_from_orders(spark, d), ["calc", "leg"], _leg_runs(spark, d)
+    runs = legs.select("calc", "leg", "run", "dg").unionByName(rollup.combine_legs(legs, ["calc"], ("NATION_0",)).select("calc", F.lit(None).cast("string").alias("leg"), "run", "dg"))
+    times = h.groupBy(*keys).agg((F.sum("value") / 1e6).alias("t"))
+    sim = rollup.levels(times, keys, "t", "simtime_ns")
+    gpu = rollup.levels(times.withColumn("t", F.col("t") * 0.21), keys, "t", "gpu_hours")
+    extra = legs.select("calc", "run").distinct().withColumn("dg", F.col("run") * 0.5)
+    return shown(rollup.results_table(runs, sim, gpu, keys, extra), "node", "level", "dg", "dg_ci", "simtime_ns", "gpu_hours", "gpu_share")
+
+
+@query("runtime_to_cycles", with_samples("SELECT lam, round(CASE WHEN a < p THEN ceil(least((p - a) / n_runs, a / n_runs) * 10) / 10 ELSE 0 END, 6) + 0 AS extra_ns, CAST(round_even(CASE WHEN a < p THEN ceil(least((p - a) / n_runs, a / n_runs) * 10) / 10 ELSE 0 END / 0.1, 0) AS BIGINT) AS cycles FROM (SELECT lam, n_runs, total_ns * n_runs AS a, least(sem_dg / sqrt(0.0005), 30.0 * n_runs) AS p FROM sems)", MEANS, INEFFICIENCY, STATS, SEMS))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s, stats, times = _stats_and_times(spark, d)
+    return shown(schedule.runtime_to_cycles(schedule.optimal_runtime(stats, times, _windows(s)), 0.1), "lam", "extra_ns", "cycles")
+
+
+BOOTSTRAP = [
+    "means AS (SELECT row_number() OVER (ORDER BY brand) AS pos, avg(x) AS x, avg(y) AS y, stddev_samp(x) AS xe, stddev_samp(y) AS ye, count(*) OVER () AS n FROM p GROUP BY brand)",
+    "slots AS (SELECT rep, pos, " + ", ".join(f"(CAST('0x' || substr(md5('42:' || rep || ':' || pos || ':{u}'), 1, 13) AS BIGINT) + 0.5) / pow(16, 13) AS u{u}" for u in "iabcd") + ", n FROM means, range(0, 1000) r(rep))",
+    "picked AS (SELECT rep, s.pos AS k, m.x + sqrt(-2 * ln(ua)) * cos(2 * pi() * ub) * xe / 1.96 AS x, m.y + sqrt(-2 * ln(uc)) * cos(2 * pi() * ud) * ye / 1.96 AS y FROM slots s JOIN means m ON m.pos = floor(ui * s.n) + 1)",
+    "both_sets AS (SELECT rep, k, x, y FROM picked UNION ALL SELECT -1, pos, x, y FROM means)",
+    "ranked AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY x) + (count(*) OVER (PARTITION BY rep, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY rep ORDER BY y) + (count(*) OVER (PARTITION BY rep, y) - 1) / 2.0 AS ry FROM both_sets)",
+    "taus AS (SELECT a.rep, sum(sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(CAST(sum(CASE WHEN a.x <> b.x THEN 1 ELSE 0 END) AS DOUBLE) * sum(CASE WHEN a.y <> b.y THEN 1 ELSE 0 END)) AS tau FROM both_sets a JOIN both_sets b ON a.rep = b.rep AND a.k < b.k GROUP BY a.rep)",
+    "every AS (SELECT rep, r, r2, mue, rmse, rho, tau FROM (SELECT rep, corr(x, y) AS r, regr_r2(y, x) AS r2, avg(abs(x - y)) AS mue, sqrt(avg((x - y) * (x - y))) AS rmse FROM both_sets GROUP BY rep) JOIN (SELECT rep, corr(rx, ry) AS rho FROM ranked GROUP BY rep) USING (rep) JOIN taus USING (rep))",
+    "long AS (" + " UNION ALL ".join(f"SELECT rep, '{c}' AS stat, {c} AS v FROM every" for c in agreement.STATISTICS) + ")",
+]
+
+
+@query("bootstrap_statistics", f"WITH {PAIRS}, {', '.join(BOOTSTRAP)} SELECT stat, round(max(v) FILTER (rep = -1), 6) + 0 AS value, round(quantile_cont(v, 0.05) FILTER (rep >= 0), 6) + 0 AS p05, round(quantile_cont(v, 0.95) FILTER (rep >= 0), 6) + 0 AS p95 FROM long GROUP BY stat")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    means = _pairs(spark, d).groupBy("brand").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.stddev_samp("x").alias("xe"), F.stddev_samp("y").alias("ye"))
+    return shown(agreement.stats_with_ci(means, "x", "y", "xe", "ye", "brand"))
+
+
+SUPPLIERS = f"c AS (SELECT s_nationkey AS nk, avg(s_acctbal) AS m, CASE WHEN count(*) > 1 THEN {T975}[count(*) - 1] * stddev_samp(s_acctbal) / sqrt(count(*)) END AS er FROM supplier GROUP BY s_nationkey)"
+
+
+def _measured(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    runs = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("calc_base_dir"), F.col("s_acctbal").alias("dg"))
+    return runs, table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("calc_base_dir"), F.col("n_name").alias("name"), (F.col("n_nationkey") * 1.5).alias("exp_dg"), F.lit(0.1).alias("exp_er"), F.col("n_regionkey").cast("double").alias("calc_cor"))
+
+
+@query("set_results", f"WITH {SUPPLIERS} SELECT n_name AS name, round(m + n_regionkey, 6) + 0 AS calc_dg, round(er, 6) + 0 AS calc_er FROM c JOIN nation ON n_nationkey = nk WHERE er IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(estimator.convergence(states_from_embeddings(spark, d), points=5), "run", "frac", "dg")
+    return shown(agreement.set_results(*_measured(spark, d)), "name", "calc_dg", "calc_er")
 
 
-@query("block_mbar")
+@query("set_results_offset", f"WITH {SUPPLIERS}, s AS (SELECT n_name AS name, m + n_regionkey AS dg, er, n_nationkey * 1.5 AS exp_dg FROM nation LEFT JOIN c ON n_nationkey = nk) SELECT name, round(dg + (SELECT avg(exp_dg) - avg(dg) FROM s), 6) + 0 AS calc_dg, round(er, 6) + 0 AS calc_er FROM s WHERE er IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(estimator.block_mbar(states_from_embeddings(spark, d), 4), "run", "block", "dg")
+    return shown(agreement.set_results(*_measured(spark, d), offset=True), "name", "calc_dg", "calc_er")
 
 
-@query("stage_analyse")
+@query("rmsd_time_axis", "SELECT CAST(vec_id % 5 + 1 AS BIGINT) AS run, vec_id AS frame, round(2.0 * (row_number() OVER w - 1) / (count(*) OVER (PARTITION BY vec_id % 5) - 1), 6) + 0 AS time_ns FROM embeddings WHERE embedding IS NOT NULL WINDOW w AS (PARTITION BY vec_id % 5 ORDER BY vec_id)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """The mean of a stage's analysis, with gradients and states of the embeddings' series."""
-    s = states_from_embeddings(spark, d).drop("state").withColumn("grad", F.col("u")[3] - F.col("u")[0])
-    w = series.lambda_weights(s).withColumn("equilibrated", F.lit(True)).withColumn("equil_time_ns", F.lit(0.0))
-    none = s.select("calc", "leg", "stage", "lam", "run").distinct().withColumn("failed", F.lit(False))
-    return shown(analyse.stage_analyse(s, w, none, TIMESTEP_NS, STEP)["mean"], "n", "mean", "ci95")
+    frames = frames_from_embeddings(spark, d).select(*STAGE, "lam", "run", "frame").distinct()
+    return shown(geometry.rmsd_time_axis(frames, F.lit(2.0)), "run", "frame", "time_ns")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.schema import SERIES
+
 #: The lam of each event type, and the time of a step.
 LAM = {"click": 0.0, "error": 0.125, "purchase": 0.25, "signup": 0.5, "view": 1.0}
 STEP, TIMESTEP_NS, N_RUNS, N_STATES = 200, 4e-6, 5, 4
@@ -14,26 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples_from_events(spark: SparkSession, sf_dir: str, cut: bool = True) -> DataFrame:
-    """samples of one stage: windows by event type, runs by user, values in order of time.
-
-    With cut, the runs of a window end with the shortest of them, as means across runs need it; without, all rows stay.
-    """
+def samples_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples of one stage: windows by event type, runs by user, values in order of time; runs differ in length."""
     lam = F.create_map(*(x for k, v in LAM.items() for x in (F.lit(k), F.lit(v))))[F.col("event_type")]
     rows = table(spark, sf_dir, "events").where(F.col("event_type").isin(list(LAM)) & F.col("user_id").isNotNull())
-    rows = rows.select(lam.alias("lam"), (F.pmod("user_id", F.lit(N_RUNS)) + 1).cast("int").alias("run"), "ts", "event_id", F.col("value").alias("grad"))
-    shortest = rows.groupBy("lam", "run").count().groupBy("lam").agg(F.min("count").alias("_n"))
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("lam", "run").orderBy("ts", "event_id")) - 1)
-    if cut:
-        rows = rows.join(shortest, "lam").where("i < _n")
-    return rows.select(F.lit("events").alias("calc"), F.lit("free").alias("leg"), F.lit("all").alias("stage"), "lam", "run", ((F.col("i") + 1) * STEP).cast("long").alias("step"), "grad")
+    rows = rows.select(F.lit("events").alias("calc"), F.lit("free").alias("leg"), F.lit("all").alias("stage"), lam.alias("lam"), (F.pmod("user_id", F.lit(N_RUNS)) + 1).cast("int").alias("run"), "ts", "event_id", F.col("value").alias("grad"))
+    at = F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts", "event_id"))
+    return rows.select(*SERIES, (at * STEP).cast("long").alias("step"), "grad")
 
 
 def states_from_embeddings(spark: SparkSession, sf_dir: str, k: int = N_STATES) -> DataFrame:
-    """(keys, lam, run, step, state, u): the first k components as energies, the label as the sampled state."""
+    """(keys, lam, run, step, state, u): the first k components as energies, the label as the sampled state, steps in order of vec_id."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
+    at = F.row_number().over(Window.partitionBy(F.pmod("label", F.lit(k)), F.pmod("vec_id", F.lit(N_RUNS))).orderBy("vec_id"))
     u = F.transform(F.slice("embedding", 1, k), lambda x: x.cast("double"))
-    return rows.select(F.lit("embeddings").alias("calc"), F.lit("free").alias("leg"), F.lit("all").alias("stage"), (F.pmod("label", F.lit(k)) / float(k - 1)).alias("lam"), (F.pmod("vec_id", F.lit(N_RUNS)) + 1).cast("int").alias("run"), F.col("vec_id").alias("step"), F.pmod("label", F.lit(k)).cast("int").alias("state"), u.alias("u"))
+    return rows.select(F.lit("embeddings").alias("calc"), F.lit("free").alias("leg"), F.lit("all").alias("stage"), (F.pmod("label", F.lit(k)) / float(k - 1)).alias("lam"), (F.pmod("vec_id", F.lit(N_RUNS)) + 1).cast("int").alias("run"), (at * STEP).cast("long").alias("step"), F.pmod("label", F.lit(k)).cast("int").alias("state"), u.alias("u"))
 
 
 def frames_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
