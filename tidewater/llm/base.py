@@ -21,7 +21,7 @@ SPACES = (9, 10, 11, 12, 13, 32)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 #: Text bytes that a task turns into arrays at once; a longer single document is one chunk.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch, so that a batch of long documents stays small.
 BATCH_ROWS = "512"
 
