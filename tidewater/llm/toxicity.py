@@ -1,14 +1,17 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A word enters as a few numbers: how toxic its hashed whole form and its hashed character prefixes and grams are in the
-labelled sample (a document's own contribution taken out while training). The network reads windows of words in both
-directions, attention pools its states, and a document's score is that of its most toxic window, all overlapping windows
-of the whole text being scored. Everything is trained in numpy on a bounded sample of labelled documents.
+A word enters as vectors that are learned with the network: one for its hashed whole form, and the mean of those of its
+hashed prefixes and grams of characters. Beside them stand a few numbers that need no steps to learn: how toxic its form
+and its characters are in the labelled sample, a document's own contribution taken out while training. The network
+reads windows of WINDOW words in both directions, attention pools its states, and a document's score is that of its most
+toxic window. Windows overlap: one starts at every STRIDE-th word and at the last WINDOW words, so that no word is left out
+and any run of WINDOW - STRIDE + 1 words is whole in some window. Everything is trained in numpy on a bounded sample of
+labelled documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +22,20 @@ from pyspark.sql import functions as F
 from tidewater.llm.base import BYTE_VALUES, Rolling, arrow_batches, as_bytes, chunks, read
 from tidewater.llm.quality import fold
 
-#: Labelled documents that are trained on at most; words of a window, and between the starts of windows.
-MOST_LABELLED, WINDOW, STRIDE, THRESHOLD = 8192, 24, 12, 0.3
-TABLE_BITS, HIDDEN, ATTENTION, EPOCHS, RATE, BATCH = 18, 8, 8, 16, 0.01, 256
+#: Labelled documents that are trained on at most, and bytes of their texts; both bound the driver's share.
+MOST_LABELLED, MOST_BYTES = 8192, 64 << 20
+#: Words of a window, and between the starts of windows.
+WINDOW, STRIDE, THRESHOLD = 24, 12, 0.3
+TABLE_BITS, HIDDEN, ATTENTION, EPOCHS, RATE, BATCH = 18, 8, 8, 10, 0.01, 256
 PREFIXES, GRAM = tuple(range(3, 12)), 5
-CHANNELS = 5
+#: Numbers of a word from the labels, and length of each of its two learned vectors, which stand in tables of this many bits.
+CHANNELS, EMBED, EMBED_BITS = 5, 6, 13
+INPUTS = CHANNELS + 2 * EMBED
+#: Steps at least, which small samples reach by more passes than EPOCHS.
+LEAST_STEPS = 160
+#: The vectors' share of the learning rate, what they lose in a step, how often they are left out in training; every
+#: HELD-th document is not learned from but fits the scale of the scores.
+EMBED_RATE, DECAY, LEFT_OUT, HELD = 0.1, 1e-3, 0.5, 10
 #: Weight of the prior in a feature's count.
 PRIOR = 3.0
 
@@ -70,6 +82,19 @@ def channels(value: np.ndarray, slots: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return np.stack([value[whole], low[:, :k].max(axis=1), own[:, :k].sum(axis=1) / there, low[:, k:].max(axis=1), np.ones(len(whole))], axis=1).astype(np.float32) / 2
 
 
+def embed_slots(slots: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the two tables for each word, and how many character rows count; the last row, zeros, stands for none."""
+    shift = TABLE_BITS - EMBED_BITS
+    chars = np.where(slots[1] >= 0, slots[1] >> shift, 1 << EMBED_BITS)
+    return slots[0] >> shift, chars, np.maximum((slots[1] >= 0).sum(axis=1), 1).astype(np.float32)
+
+
+def embedded(tables: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The learned inputs of words: (words, 2 * EMBED)."""
+    word, chars, n = rows
+    return np.concatenate([tables[0][word], tables[1][chars].sum(axis=1) / n[:, None]], axis=1)
+
+
 def windows_of(before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first word, words) of all windows; a document of fewer words than a window has one."""
     n = np.diff(before)
@@ -93,10 +118,10 @@ class Network:
         make = lambda *s: (r.normal(size=s) / np.sqrt(s[0])).astype(np.float32)
         self.p = {"out": make(2 * HIDDEN), "bias": np.full(1, -2, np.float32), "att": make(2 * HIDDEN, ATTENTION), "pick": make(ATTENTION)}
         for d in "fb":
-            self.p |= {f"x{d}": make(CHANNELS, 3 * HIDDEN), f"h{d}": make(HIDDEN, 3 * HIDDEN)}
+            self.p |= {f"x{d}": make(INPUTS, 3 * HIDDEN), f"h{d}": make(HIDDEN, 3 * HIDDEN)}
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-        """x: (windows, words, channels), mask: words that are there -> logits."""
+        """x: (windows, words, inputs), mask: words that are there -> logits."""
         n, t, h = len(x), x.shape[1], HIDDEN
         states, tape = np.empty((t, n, 2 * h), np.float32), []
         for k, d in enumerate("fb"):
@@ -117,7 +142,8 @@ class Network:
         pooled = np.einsum("tn,tnh->nh", a, states)
         return pooled @ self.p["out"] + self.p["bias"], (x, states, e, a, pooled, tape)
 
-    def backward(self, dlogit: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
+    def backward(self, dlogit: np.ndarray, kept: tuple) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the parameters and of the inputs."""
         x, states, e, a, pooled, tape = kept
         h, g = HIDDEN, {k: np.zeros_like(v) for k, v in self.p.items()}
         g["out"], g["bias"] = pooled.T @ dlogit, dlogit.sum(keepdims=True)
@@ -128,6 +154,7 @@ class Network:
         g["pick"] = np.einsum("tn,tna->a", da, e)
         g["att"] = np.einsum("tnh,tna->ha", states, de)
         dstates = a[:, :, None] * dpool + de @ self.p["att"].T
+        dx = np.zeros_like(x)
         carry = {0: np.zeros_like(tape[0][2]), 1: np.zeros_like(tape[0][2])}
         for k, s, last, z, r, c, u in reversed(tape):
             d = "fb"[k]
@@ -139,12 +166,14 @@ class Network:
             g[f"x{d}"] += x[:, s].T @ dinto
             g[f"h{d}"] += last.T @ du
             carry[k] = dn * (1 - z) + du @ self.p[f"h{d}"].T
-        return g
+            dx[:, s] += dinto @ self.p[f"x{d}"].T
+        return g, dx
 
 
 @dataclass
 class Model:
     value: np.ndarray
+    tables: np.ndarray
     net: Network
     #: a document's score is sigmoid(slope * its largest logit + shift)
     slope: float
@@ -154,93 +183,152 @@ class Model:
         t = Tokens(texts)
         # words that repeat in the chunk are looked up once
         _, first, back = np.unique(t.keys(), return_index=True, return_inverse=True)
-        x = np.zeros((len(back) + 1, CHANNELS), np.float32)
+        x = np.zeros((len(first) + 1, INPUTS), np.float32)
         if len(first):
-            x[:-1] = channels(self.value, t.features(first))[back]
-        return best_windows(self.net, x, t.before)[0]
+            slots = t.features(first)
+            x[:-1] = np.concatenate([channels(self.value, slots), embedded(self.tables, embed_slots(slots))], axis=1)
+        kind = np.append(back.ravel(), len(first))
+        return best_windows(self.net, lambda doc, at: x[kind[at]], t.before)[0]
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         return _sigmoid(self.slope * self.logits(texts) + self.shift)
 
 
-def gather(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, WINDOW, channels) and the mask of the words that are there; the last row of x, zeros, stands for none."""
+def gather(start: np.ndarray, size: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, WINDOW): the words of windows, n_words where there is none, and the mask of those that are there."""
     mask = np.arange(WINDOW) < size[:, None]
-    return x[np.where(mask, start[:, None] + np.arange(WINDOW), len(x) - 1)], mask
+    return np.where(mask, start[:, None] + np.arange(WINDOW), n_words), mask
 
 
-def best_windows(net: Network, x: np.ndarray, before: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each document the largest logit of its windows, and that window's first word and size."""
+def best_windows(net: Network, inputs: Callable[[np.ndarray, np.ndarray], np.ndarray], before: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document the largest logit of its windows, and that window's first word and size.
+
+    inputs gives the inputs of words (windows, WINDOW) of documents (windows).
+    """
     doc, start, size = windows_of(before)
-    logit = np.concatenate([np.zeros(0, np.float32), *(net.forward(*gather(x, start[i : i + step], size[i : i + step]))[0] for i in range(0, len(doc), step))])
+    out = [np.zeros(0, np.float32)]
+    for i in range(0, len(doc), step):
+        at, mask = gather(start[i : i + step], size[i : i + step], int(before[-1]))
+        out.append(net.forward(inputs(doc[i : i + step], at), mask)[0])
+    logit = np.concatenate(out)
     order = np.lexsort((-logit, doc))
     top = order[np.concatenate([[True], doc[order][1:] != doc[order][:-1]])] if len(doc) else order
     return logit[top], start[top], size[top]
 
 
+class Adam:
+    """Steps of parameters by running means of gradients and of their squares."""
+
+    def __init__(self) -> None:
+        self.state: dict[str, tuple] = {}
+        self.step = 0
+
+    def move(self, name: str, grad: np.ndarray, rate: float) -> np.ndarray:
+        m, v = self.state.get(name, (0.0, 0.0))
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        self.state[name] = m, v
+        return rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-7)
+
+
 def train(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Model:
     """texts with their labels (0 or 1); without both labels every score is the share of toxic ones."""
     rng, prior = np.random.default_rng(seed), float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
     odds = np.log(prior / (1 - prior))
+    tables = np.zeros((2, (1 << EMBED_BITS) + 1, EMBED), np.float32)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 + (1 << TABLE_BITS)), Network(seed), 0.0, float(odds))
+        return Model(np.zeros(1 + (1 << TABLE_BITS)), tables, Network(seed), 0.0, float(odds))
+    # in how many documents of each label a slot occurs; every word's kind, and the slots of each kind
     size, seen = 1 << TABLE_BITS, np.zeros((2, 1 << TABLE_BITS))
-    groups, n_words = range(0, len(texts), 64), 0
-    for i in groups:
+    words, before, kinds = [], [np.zeros(1, np.int64)], []
+    for i in range(0, len(texts), 64):
         t = Tokens(texts[i : i + 64])
-        n_words += len(t.start)
+        keys, first, back = np.unique(t.keys(), return_index=True, return_inverse=True)
+        slots = t.features(first)
+        kinds.append((keys, slots[0].astype(np.int32), slots[1].astype(np.int32)))
+        words.append(keys[back.ravel()])
+        before.append(t.before[1:] + before[-1][-1])
         doc = np.repeat(np.arange(len(t.before) - 1), np.diff(t.before))
-        slots = t.features(np.arange(len(t.start)))
-        pair = np.unique(np.concatenate([doc * size + slots[0], (doc[:, None] * size + slots[1])[slots[1] >= 0]]))
+        own = np.unique(doc * len(keys) + back.ravel()) if len(keys) else np.zeros(0, np.int64)
+        doc, kind = own // max(len(keys), 1), own % max(len(keys), 1)
+        chars = slots[1][kind]
+        pair = np.unique(np.concatenate([doc * size + slots[0][kind], (doc[:, None] * size + chars)[chars >= 0]]))
         for label in (0, 1):
             seen[label] += np.bincount(pair[y[i + pair // size] == label] % size, minlength=size)
+    before = np.concatenate(before)
+    keys, first = np.unique(np.concatenate([k[0] for k in kinds]), return_index=True)
+    slots = tuple(np.concatenate([k[j] for k in kinds])[first].astype(np.int64) for j in (1, 2))
+    kind = np.append(np.searchsorted(keys, np.concatenate(words)), len(keys)).astype(np.int32)
+    del kinds, words
     value_of = lambda toxic, clean: np.append(np.log((toxic + PRIOR * prior) / (clean + PRIOR * (1 - prior))) - odds, 0).astype(np.float32)
     value = value_of(seen[1], seen[0])
-    # what a document's words are worth without itself
+    # what a document's words are worth without itself, by its label; the last row stands for no word
     less = [value_of(seen[1], np.maximum(seen[0] - 1, 0)), value_of(np.maximum(seen[1] - 1, 0), seen[0])]
-    # features are hashed anew, as only the few channels of each word have room here
-    x, before, done = np.zeros((n_words + 1, CHANNELS), np.float32), [np.zeros(1, np.int64)], 0
-    for i in groups:
-        t = Tokens(texts[i : i + 64])
-        slots = t.features(np.arange(len(t.start)))
-        label = np.repeat(y[i : i + len(t.before) - 1], np.diff(t.before))
-        x[done : done + len(label)] = np.where(label[:, None] == 1, channels(less[1], slots), channels(less[0], slots))
-        before.append(t.before[1:] + done)
-        done += int(t.before[-1])
-    before = np.concatenate(before)
-    del slots, t
-    net, state, step = Network(seed), {}, 0
+    worth = np.zeros((2, len(keys) + 1, CHANNELS), np.float32)
+    for label in (0, 1):
+        worth[label, :-1] = channels(less[label], slots)
+    rows = embed_slots((np.append(slots[0], 0), np.concatenate([slots[1], np.full((1, slots[1].shape[1]), -1)])))
+    part = lambda k: tuple(r[k] for r in rows)
+
+    def learned() -> np.ndarray:
+        out = np.concatenate([embedded(tables, part(slice(i, i + 16384))) for i in range(0, len(keys) + 1, 16384)])
+        out[-1] = 0
+        return out
+
+    def inputs(vectors: np.ndarray, label: np.ndarray, at: np.ndarray) -> np.ndarray:
+        k = kind[at]
+        return np.concatenate([worth[label[:, None], k], vectors[k]], axis=2)
+
+    net, adam = Network(seed), Adam()
     all_doc, all_start, all_size = windows_of(before)
-    for epoch in range(EPOCHS):
+    taught = np.arange(len(y)) % HELD > 0
+    taught |= y[taught].min() == y[taught].max()
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(2 * int(taught.sum()) // BATCH, 1)))
+    for epoch in range(epochs):
         if epoch % 4 == 0:
             if epoch == 0:
                 # at first the window with the most telling word stands for its document
-                top = np.maximum(x[:, 0], np.maximum(x[:, 1], x[:, 3]))
-                top[-1] = -9
-                at = np.arange(WINDOW)
-                rank = np.concatenate([top[np.where(at < n[:, None], a[:, None] + at, len(top) - 1)].max(axis=1) for a, n in ((all_start[i : i + 8192], all_size[i : i + 8192]) for i in range(0, len(all_start), 8192))])
+                top = np.maximum(worth[:, :, 0], np.maximum(worth[:, :, 1], worth[:, :, 3]))
+                top[:, -1] = -9
+                rank = np.concatenate([top[y[all_doc[i : i + 8192], None], kind[gather(all_start[i : i + 8192], all_size[i : i + 8192], len(kind) - 1)[0]]].max(axis=1) for i in range(0, len(all_start), 8192)])
                 order = np.lexsort((-rank, all_doc))
                 pick = order[np.concatenate([[True], all_doc[order][1:] != all_doc[order][:-1]])]
                 start, length = all_start[pick], all_size[pick]
             else:
-                _, start, length = best_windows(net, x, before)
+                vectors = learned()
+                _, start, length = best_windows(net, lambda doc, at: inputs(vectors, y[doc], at), before)  # noqa: B023
             # and of documents that aren't toxic, another window at random
-            clean = np.flatnonzero(y == 0)
-            some = np.flatnonzero(y[all_doc] == 0)
+            clean = np.flatnonzero((y == 0) & taught)
+            some = np.flatnonzero((y[all_doc] == 0) & taught[all_doc])
             some = some[rng.integers(0, len(some), len(clean))]
-            start, length, target = np.concatenate([start, all_start[some]]), np.concatenate([length, all_size[some]]), np.concatenate([y, np.zeros(len(some))])
+            start, length, target = np.concatenate([start[taught], all_start[some]]), np.concatenate([length[taught], all_size[some]]), np.concatenate([y[taught], np.zeros(len(some), np.int64)])
         order = rng.permutation(len(start))
         for i in range(0, len(order), BATCH):
-            rows = order[i : i + BATCH]
-            logit, kept = net.forward(*gather(x, start[rows], length[rows]), keep=True)
-            grad = net.backward(((_sigmoid(logit) - target[rows]) / len(rows)).astype(np.float32), kept)
-            step += 1
+            pick = order[i : i + BATCH]
+            at, mask = gather(start[pick], length[pick], len(kind) - 1)
+            # the kinds of the batch, each looked up once
+            used, back = np.unique(kind[at], return_inverse=True)
+            mine = part(used)
+            vectors = embedded(tables, mine)
+            vectors[used == len(keys)] = 0
+            there = (rng.random(at.shape) >= LEFT_OUT).astype(np.float32)[:, :, None] / (1 - LEFT_OUT)
+            x = np.concatenate([worth[target[pick][:, None], kind[at]], vectors[back.reshape(at.shape)] * there], axis=2)
+            logit, kept = net.forward(x, mask, keep=True)
+            grad, dx = net.backward(((_sigmoid(logit) - target[pick]) / len(pick)).astype(np.float32), kept)
+            adam.step += 1
+            rate = RATE * (1 - epoch / epochs)
             for k, g in grad.items():
-                m, v = state.get(k, (0.0, 0.0))
-                m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-                state[k] = m, v
-                net.p[k] = (net.p[k] - RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    top = best_windows(net, x, before)[0].astype(float)
+                net.p[k] = (net.p[k] - adam.move(k, g, rate)).astype(np.float32)
+            per = np.zeros((len(used), 2 * EMBED), np.float32)
+            np.add.at(per, back.ravel(), (dx[:, :, CHANNELS:] * there * mask[:, :, None]).reshape(-1, 2 * EMBED))
+            g = np.zeros_like(tables)
+            np.add.at(g[0], mine[0], per[:, :EMBED])
+            np.add.at(g[1], mine[1], np.repeat((per[:, EMBED:] / mine[2][:, None])[:, None], mine[1].shape[1], axis=1))
+            tables = ((1 - DECAY) * tables - adam.move("tables", g, EMBED_RATE * rate)).astype(np.float32)
+            tables[:, -1] = 0
+    vectors = learned()
+    top = best_windows(net, lambda doc, at: inputs(vectors, y[doc], at), before)[0].astype(float)
+    held = ~taught if not taught.all() and y[~taught].min() != y[~taught].max() else np.ones(len(y), bool)
+    top, y = top[held], y[held]
     slope, shift = 1.0, 0.0
     for _ in range(50):  # Newton steps of the logistic fit, slightly held back
         q = _sigmoid(slope * top + shift)
@@ -249,17 +337,23 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Model:
         hess = np.array([[(w * top * top).sum() + 0.1, (w * top).sum()], [(w * top).sum(), w.sum()]])
         move = np.linalg.solve(hess, g)
         slope, shift = slope - float(np.clip(move[0], -0.5, 0.5)), shift - float(np.clip(move[1], -0.5, 0.5))
-    return Model(value.astype(np.float32), net, max(slope, 0.01), shift)
+    return Model(value.astype(np.float32), tables, net, max(slope, 0.01), shift)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of about `most` training rows, chosen by a hash of the id; all of them if there are fewer."""
+def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Texts and labels of about `most` training rows and `most_bytes` of text, chosen by a hash of the id; all of them if there are fewer."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
     known = known.where(fold(F.col("_id"), 4) != 2)
     n = known.count()
-    if n > most:
-        known = known.where(F.pmod(F.xxhash64("_id"), F.lit(n)) < most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(known, F.col("_doc") == F.col("_id")).select("_id", F.coalesce("text", F.lit("")).alias("text"), "_y").toArrow()
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
+
+    def drawn(share: float) -> DataFrame:
+        rows = known if share >= 1 else known.where(place < int(share * (1 << 40)))
+        return docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(rows, F.col("_doc") == F.col("_id")).select("_id", F.coalesce("text", F.lit("")).alias("text"), "_y")
+
+    share = min(1.0, most / max(n, 1))
+    held = drawn(share).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = drawn(share * min(1.0, most_bytes / max(held, 1))).toArrow()
     texts, y, ids = as_bytes(rows.column("text").combine_chunks()), rows.column("_y").to_numpy(), rows.column("_id").to_numpy()
     del rows
     order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
@@ -269,8 +363,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted.
 
-    Rows of labels with a null label or doc_id are left out. Null and empty texts are one window without words. With
-    no label, or only one of the two, every score is the share of toxic labels (0.5 without any).
+    Rows of labels with a null label or doc_id are left out; other columns of either table are not looked at. Null and
+    empty texts are one window without words; repeated rows and null ids are scored each by themselves; long texts are
+    scored in all their windows; an empty table gives no rows. With no label, or only one of the two, every score is the
+    share of toxic labels (0.5 without any).
     """
     arrow_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, label)))
