@@ -30,8 +30,9 @@ win AS (SELECT doc_id, s, array_to_string(ws[s:s + {length - 1}], ' ') AS t FROM
 twice AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
 gone AS (SELECT DISTINCT doc_id, s + k AS i FROM (SELECT doc_id, s FROM win WHERE t IN (SELECT t FROM twice)), range(0, {length}) r(k)),
 each AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
+heads AS (SELECT doc_id, count(*) AS n_heads FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone b WHERE b.doc_id = g.doc_id AND b.i = g.i - 1) GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, CAST(coalesce(n_heads, 0) AS BIGINT) AS n_repeats FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN heads USING (doc_id)"""
 
 
 EMBEDDING_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END)) = 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),

@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.ask import ELSEWHERE, KEY, answer, answers, ask, in_rounds, part_count
-from tidewater.llm.base import Words, arrow_batches, as_bytes, chunks, mix, numbered, read
+from tidewater.llm.base import Words, arrow_batches, as_bytes, chunks, numbered, read
 from tidewater.llm.repeats import Hashes, Windows
 
 WINDOW_WORDS, SEED_WORDS = 35, 8
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_repeats long, kept string"
 
 
 Chunk = tuple[pa.RecordBatch, Words, np.ndarray, Windows]
@@ -63,11 +63,12 @@ def _candidates(found: list[Chunk], known: pa.Table) -> Iterator[tuple[np.ndarra
     """Of each chunk: the starts of the windows with a repeated anchor, and their keys."""
     h, n = _anchors(found)
     repeated = h[(n > 1) | (answers(known, 1) & ELSEWHERE > 0)]
-    for _, _, words, win in found:
+    for _, w, words, win in found:
         at = np.minimum(np.searchsorted(repeated, win.run_anchor), max(len(repeated) - 1, 0))
         runs = np.flatnonzero(repeated[at] == win.run_anchor) if len(repeated) else np.zeros(0, np.int64)
         starts = win.windows(runs)
-        yield starts, _keys(*Hashes(words, mix(words)).of(starts, starts + win.length))
+        # words told apart by both tables of byte values: what one of them takes for equal, the other doesn't
+        yield starts, _keys(*Hashes(words, w.hashes(1) if len(starts) else words).of(starts, starts + win.length))
 
 
 def _kept(w: Words, drop: np.ndarray) -> list[bytes]:
@@ -86,11 +87,13 @@ def _kept(w: Words, drop: np.ndarray) -> list[bytes]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = WINDOW_WORDS, texts: bool = True) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept text.
+    """One row per input row: doc_id, n_words, n_removed, kept_sha256, n_repeats and, if asked for, the kept text.
 
     A window repeats if its words start anywhere else, in the same document or another, rows that repeat a document
-    included; overlapping occurrences count. Null and empty texts and those of fewer words than a window keep what
-    they have; a null doc_id keeps its row.
+    included; overlapping occurrences count. n_repeats counts the maximal repeats, the longest passages that repeated
+    windows cover. Null and empty texts and those of fewer words than a window keep what they have; a null doc_id keeps
+    its row; an empty table gives no rows. Long texts are taken whole: a document's words are one chunk. Other columns
+    are not looked at, whatever their names.
     """
     arrow_batches(docs.sparkSession)
     parts = part_count(docs, text_col)
@@ -120,11 +123,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for (b, w, _, win), (starts, keys) in zip(whole, found, strict=True):
                 drop = win.covered(starts[twice[done : done + len(keys)]])
                 done += len(keys)
-                removed = np.diff(np.concatenate([[0], np.cumsum(drop)])[w.before])
+                count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[w.before])  # noqa: B023, E731
+                heads = drop.copy()
+                heads[1:] &= ~drop[:-1]
+                first = w.before[:-1][w.count > 0]
+                heads[first] = drop[first]
                 kept = _kept(w, drop)
-                out += zip(b.column("doc_id").to_pylist(), w.count.tolist(), removed.tolist(), (hashlib.sha256(k).hexdigest() for k in kept), (k.decode() if texts else None for k in kept), strict=True)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                out += zip(b.column("doc_id").to_pylist(), w.count.tolist(), count(drop).tolist(), (hashlib.sha256(k).hexdigest() for k in kept), count(heads).tolist(), (k.decode() if texts else None for k in kept), strict=True)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_repeats", "kept"])
 
     return in_rounds(base, [(seeds, answer), (extend, answer)], cut, RESULT)
 
