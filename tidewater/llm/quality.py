@@ -185,14 +185,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
     """One row per row of docs: doc_id, held_out, score, predicted.
 
     Rows of labels with a null label or doc_id are left out; several labels of a document all count. Without any
-    training label every score is 0.5. Null texts are empty; an empty table gives no rows.
+    training label every score is 0.5. Null texts are empty, long ones are counted whole; repeated rows and null ids are
+    scored each by themselves; an empty table gives no rows. Other columns of either table are not looked at.
     """
     out = score(*trained(docs, labels, label))
     return out.select(F.col("id").alias("doc_id"), (fold(F.col("id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose own text scores THRESHOLD or more; scored in place, so that no text is shuffled."""
+    """The rows of docs whose own text scores THRESHOLD or more; scored in place, so that no text is shuffled.
+
+    Null and empty texts are scored as empty ones; repeated rows stay or go together; an empty table stays empty, and
+    without any training label all rows stay. Columns may have any names.
+    """
     _, model = trained(docs, labels, label, text_col=text_col)
 
     @F.arrow_udf("double")

@@ -192,6 +192,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null and empty texts have fingerprint zero and link like any other; repeated rows share a component; a null
     doc_id keeps its row and is no component's smallest id unless no other id is there. An empty table gives none.
+    Whole texts are fingerprinted, however long; other columns are not looked at, whatever their names.
     """
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     named = grouped(fps, radius)
@@ -202,7 +203,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group of near duplicates: that of the smallest doc_id (null last), the first if rows share it."""
+    """docs with one row of each group of near duplicates: that of the smallest doc_id (null last), the first if rows share it.
+
+    Null and empty texts are one group, as are texts without words; an empty table stays empty. Whole texts are
+    fingerprinted, however long. Columns may have any names.
+    """
     arrow_batches(docs.sparkSession)
 
     @F.arrow_udf("bigint")

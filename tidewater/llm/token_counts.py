@@ -27,7 +27,7 @@ SPACE_MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: A public vocabulary with scores; read by the driver only.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words whose counts a task keeps; it starts anew when they are more.
-KEPT_WORDS = 1 << 20
+KEPT_WORDS = 1 << 18
 
 
 class Unigram:
@@ -97,17 +97,24 @@ class Unigram:
         if len(known) > KEPT_WORDS:
             known.clear()
         out = np.empty(len(keys), np.int64)
-        for i, (key, a, b) in enumerate(zip(keys.tolist(), start[where].tolist(), end[where].tolist(), strict=True)):
-            n = known.get(key)
+        for i, (a, b) in enumerate(zip(start[where].tolist(), end[where].tolist(), strict=True)):
+            word = buf[a:b].tobytes()
+            n = known.get(word)
             if n is None:
-                n = known[key] = self.count(buf[a:b].tobytes().decode().replace(" ", SPACE_MARK))
+                n = known[word] = self.count(word.decode().replace(" ", SPACE_MARK))
             out[i] = n
         total = np.concatenate([[0], np.cumsum(out[back])])
         return np.diff(total[np.searchsorted(start, at)])
 
 
 def token_counts(docs: DataFrame, vocabulary: Unigram, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens. Null and empty texts have 0; a null doc_id keeps its row."""
+    """One row per input row: doc_id, n_tokens.
+
+    Null and empty texts have 0; a null doc_id keeps its row, repeated rows are counted each by themselves; an empty
+    table gives no rows. Long texts are counted whole, word by word; a word's ways are held for all its characters.
+    Other columns are not looked at, whatever their names. Within a chunk of texts, words are told apart by 64-bit
+    hashes; counts kept from chunk to chunk by the words themselves.
+    """
     arrow_batches(docs.sparkSession)
     # one vocabulary: its size is that of its file
     share = docs.sparkSession.sparkContext.broadcast(vocabulary)
