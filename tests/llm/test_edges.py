@@ -99,3 +99,60 @@ def test_short_items_in_long_documents(spark, tmp_path):
     assert len(want) == 8 and got == want
     kept = corpus_pipeline.decontamination_stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
     assert {r.doc_id for r in kept.collect()} == {4}
+
+
+def test_clashing_columns_of_labels_and_benchmark(spark, odd_docs, labels, benchmark):
+    """Columns that the operators use inside, in the second table."""
+    more = labels.selectExpr("*", *(f"cast(null as long) as {c}" for c in ("id", "y", "_id", "_y", "_doc", "f", "text", "score")))
+    assert toxicity.toxicity_scores(odd_docs, more).count() == 8 and quality.quality_scores(odd_docs, more).count() == 8
+    items = benchmark.selectExpr("*", *(f"cast(null as long) as {c}" for c in ("item", "n", "fp", "data", "h", "at", "uid")))
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(odd_docs, items).collect()} == {(1, 0), (None, 0), (6, None)}
+
+
+def test_no_labels_and_no_items(odd_docs, labels, benchmark):
+    for rows in (toxicity.toxicity_scores(odd_docs, labels.where("false")), quality.quality_scores(odd_docs, labels.where("false"))):
+        assert {r.score for r in rows.collect()} == {0.5}
+    assert decontamination.clean(odd_docs, benchmark.where("false")).count() == 8
+
+
+LONG = ["x" * 1_500_000, " ".join(f"w{i}" for i in range(120_000)), "tail words"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_long_word_and_many_words(name, write_docs, benchmark, labels):
+    """A word of over a megabyte, and a megabyte of different words."""
+    rows = operators(benchmark, labels)[name](write_docs(LONG)).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2]
+    by = {r.doc_id: r for r in rows}
+    if name == "suffix":
+        # all windows but the first repeat it, and cover all bytes but the first
+        assert (by[0].n_bytes, by[0].n_removed, bytes(by[0].kept)) == (1_500_000, 1_499_999, b"x")
+    if name == "substring":
+        assert by[1].n_words == 120_000 and by[1].n_removed == 0 and by[0].n_words == 1
+    if name == "mixing":
+        assert by[1].size == 120_000 and by[0].size == 1
+
+
+@pytest.fixture(scope="module")
+def odd_dir(tmp_path_factory, odd_docs, no_docs, labels, benchmark):
+    """Odd and empty tables in files, as the pipeline reads them."""
+    out = {}
+    for kind, docs in (("odd", odd_docs), ("empty", no_docs)):
+        path = str(tmp_path_factory.mktemp(kind))
+        docs.write.parquet(f"{path}/documents.parquet")
+        labels.write.parquet(f"{path}/labels.parquet")
+        benchmark.write.parquet(f"{path}/benchmark.parquet")
+        out[kind] = path
+    return out
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd_dir, odd_docs):
+    assert corpus_pipeline.run(spark, odd_dir["empty"]).collect() == []
+    docs = spark.read.parquet(f"{odd_dir['odd']}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, odd_dir["odd"])
+        assert out.count() <= 8, name
+        if name != "mixing":
+            assert out.columns == odd_docs.columns, name
+    rows = corpus_pipeline.run(spark, odd_dir["odd"])
+    assert rows.count() <= 8 and {"taken", "first_slot", "n_slots"} <= set(rows.columns)

@@ -324,7 +324,7 @@ def test_decontamination(write_docs, spark):
         for i, item in enumerate(items):
             best = max(sum((grams(w[s : s + len(item)]) & grams(item)).values()) / sum((grams(w[s : s + len(item)]) | grams(item)).values()) for s in range(len(w) - len(item) + 1))
             assert ((d, i) in got) == (best >= 0.8), (d, i, best)
-    assert set(got) <= want | {k for k, v in got.items() if v.similarity >= 0.8}
+    assert all(v.similarity >= 0.8 for v in got.values()) and len(got) >= len(want) / 2
 
 
 def edited(r, item, words, edits):
@@ -396,22 +396,86 @@ def test_held_out_quality_and_toxicity(spark):
 
 
 def test_gradient_of_the_network():
-    """Backpropagation against differences."""
+    """Backpropagation against differences, for parameters and inputs."""
     net = toxicity.Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     rng = np.random.default_rng(0)
-    x, mask = rng.normal(size=(3, 6, toxicity.CHANNELS)), np.array([[1] * 6, [1] * 4 + [0] * 2, [0] * 6], bool)
-    logit, kept = net.forward(x, mask, keep=True)
-    grads = net.backward(np.ones(3), kept)
-    for name, g in grads.items():
-        at = tuple(rng.integers(0, d) for d in net.p[name].shape)
-        old = net.p[name][at]
-        net.p[name][at] = old + 1e-3
+    x, mask = rng.normal(size=(3, 6, toxicity.INPUTS)), np.array([[1] * 6, [1] * 4 + [0] * 2, [0] * 6], bool)
+    _, kept = net.forward(x, mask, keep=True)
+    grads, dx = net.backward(np.ones(3), kept)
+
+    def difference(values, at):
+        old = values[at]
+        values[at] = old + 1e-3
         up = net.forward(x, mask)[0].astype(float).sum()
-        net.p[name][at] = old - 1e-3
+        values[at] = old - 1e-3
         down = net.forward(x, mask)[0].astype(float).sum()
-        net.p[name][at] = old
-        assert abs((up - down) / 2e-3 - g[at]) < 5e-3 * max(1, abs(g[at])), name
+        values[at] = old
+        return (up - down) / 2e-3
+
+    for name, g in grads.items():
+        at = tuple(rng.integers(0, d) for d in net.p[name].shape)
+        assert abs(difference(net.p[name], at) - g[at]) < 5e-3 * max(1, abs(g[at])), name
+    for at in ((0, 0, 0), (1, 3, 7), (0, 5, toxicity.INPUTS - 1)):
+        assert abs(difference(x, at) - dx[at]) < 5e-3 * max(1, abs(dx[at])), at
+
+
+def plain_logit(net, x):
+    """One window's logit, unit by unit."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    h, both = toxicity.HIDDEN, []
+    for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+        state, out = np.zeros(h), {}
+        for t in order:
+            into, own = x[t] @ net.p[f"x{d}"], state @ net.p[f"h{d}"]
+            z, r = sigmoid(into[:h] + own[:h]), sigmoid(into[h : 2 * h] + own[h : 2 * h])
+            state = (1 - z) * state + z * np.tanh(into[2 * h :] + r * own[2 * h :])
+            out[t] = state
+        both.append([out[t] for t in range(len(x))])
+    states = [np.concatenate([f, b]) for f, b in zip(*both, strict=True)]
+    weight = np.exp([np.tanh(s @ net.p["att"]) @ net.p["pick"] for s in states])
+    return sum(w * s for w, s in zip(weight / weight.sum(), states, strict=True)) @ net.p["out"] + net.p["bias"][0]
+
+
+def test_window_scores_against_plain_loops():
+    """A document's logit is the largest of its windows', which overlap and leave no word out."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 12))) for _ in range(90)]
+    texts_, y = [], []
+    for i in range(80):
+        y.append(int(i % 4 == 0))
+        texts_.append(" ".join(r.choice(words[:60] if not y[-1] else words) for _ in range(r.choice([1, 5, 24, 30, 61]))).encode())
+    model = toxicity.train(texts_, np.array(y))
+    assert model.tables.any()
+    for text in [*texts_[:12], texts_[0] + b" " + texts_[5] * 3]:
+        t = toxicity.Tokens([text])
+        n = len(t.start)
+        slots = t.features(np.arange(n))
+        x = np.concatenate([toxicity.channels(model.value, slots), toxicity.embedded(model.tables, toxicity.embed_slots(slots))], axis=1).astype(float)
+        starts = sorted({*range(0, max(n - toxicity.WINDOW, 0) + 1, toxicity.STRIDE), max(n - toxicity.WINDOW, 0)})
+        # beyond a short document's words, windows are padded with zeros
+        windows = [np.concatenate([x[s : s + toxicity.WINDOW], np.zeros((max(toxicity.WINDOW - n, 0), x.shape[1]))]) for s in starts]
+        padded = lambda w: model.net.forward(w[None].astype(np.float32), (np.arange(toxicity.WINDOW) < n)[None])[0][0]  # noqa: B023, E731
+        want = max(plain_logit(model.net, w) if n >= toxicity.WINDOW else padded(w) for w in windows)
+        assert abs(model.logits([text])[0] - want) < 1e-3
+
+
+def test_ridge_against_dense_equations(spark, write_docs):
+    """The partitions' sums give the dense solution, and the scores are its calibrated products."""
+    docs = texts(31, n=120)
+    y = np.array([float(i % 3 > 0) for i in range(120)])
+    stats = quality.statistics(write_docs(docs))
+    labelled = stats.join(spark.createDataFrame(list(enumerate(y.tolist())), "id long, y double"), "id").select("f", "y")
+    model = quality.fit(stats, labelled)
+    f = quality.statistics_of([t.encode() for t in docs])
+    assert np.allclose(model.mean, f.mean(axis=0)) and np.allclose(model.scale, np.where(f.std(axis=0) > 0, f.std(axis=0), 1.0))
+    z = np.column_stack([np.sqrt(2 / quality.N_FOURIER) * np.cos(np.clip((f - model.mean) / model.scale, -8, 8) @ model.weights + model.shift), np.ones(120)])
+    beta = np.linalg.solve(z.T @ z + quality.RIDGE * 120 * np.eye(z.shape[1]) / quality.N_FOURIER, z.T @ y)
+    assert np.allclose(z @ beta, model.raw_scores(f), atol=1e-6)
+    got = {r.id: r.score for r in quality.score(stats, model).collect()}
+    assert np.allclose([got[i] for i in range(120)], model.scores(f))
+    order = np.argsort(z @ beta)
+    assert (np.diff(model.scores(f)[order]) >= -1e-12).all()
 
 
 def test_isotonic():
@@ -424,13 +488,17 @@ def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "secrets":
+            before_secrets = kept
         out = corpus_pipeline.materialize(stage(spark, kept, SF), name)
         assert out.columns == docs.columns and 0 < out.count() <= kept.count()
         kept = out
-    again = simhash_dedup.simhash_components(kept).groupBy("component_id").count().where("count > 1").count()
-    assert again == 0 or name == "secrets"
+    # masking can make texts alike again, so groups are looked for before it
+    single = simhash_dedup.simhash_components(before_secrets).groupBy("component_id").count().where("count > 1").count()
+    assert single == 0
     assert decontamination.contaminated(kept, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0
     # masking leaves no certain secret of the first kinds
     assert secrets.secret_report(kept).where("n_access + n_hex > 0").count() == 0
     mixed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert mixed.count() == kept.count() and mixed.where("taken > 3 * size").count() == 0
+    assert mixed.columns[:3] == docs.columns[:3] and mixed.where("text is null and size > 0 or taken > 0 and first_slot is null").count() == 0
