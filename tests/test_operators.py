@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewater.functions import distributions as dist
+from tidewater.functions.numeric import average_rank, median
 from tidewater.operators import agreement, autocorrelation, equilibration, estimator, geometry, rollup, schedule, series, statistics
 from tidewater.plans import analyse, queries
 from tidewater.sources.tables import LAM
@@ -395,3 +396,95 @@ def test_queries_on_single_series_keep_all_rows(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string, user_id long, ts long, value double").write.parquet(str(tmp_path / "events.parquet"))
     assert {r.run: r.n for r in queries.QUERIES["shapiro_wilk"](spark, str(tmp_path)).collect()} == sizes
     assert {r.run: r["count"] for r in queries.QUERIES["probability_plot"](spark, str(tmp_path)).groupBy("run").count().collect()} == sizes
+
+
+def states(spark, n_runs=2, n=120, k=3, seed=4, uneven=False):
+    """Samples of k harmonic states, with energies in all of them."""
+    rng, rows = np.random.default_rng(seed), []
+    for run in range(1, n_runs + 1):
+        for s in range(k):
+            for i in range(n + (40 if uneven and run == 1 else 0)):
+                x = rng.normal() / math.sqrt(1 + s)
+                rows.append(("c", "free", "s", s / (k - 1), run, (i + 1) * 10, s, [float((1 + j) * x * x / 2) for j in range(k)]))
+    return spark.createDataFrame(rows, "calc string, leg string, stage string, lam double, run int, step long, state int, u array<double>")
+
+
+def test_estimates_that_have_not_converged_fail(spark, monkeypatch):
+    rows = states(spark)
+    assert estimator.solve(rows).count() == 2
+    monkeypatch.setattr(estimator, "MOST_PASSES", 2)
+    with pytest.raises(RuntimeError, match="MOST_PASSES = 2"):
+        estimator.solve(rows)
+
+
+def test_runs_must_agree_in_time(spark):
+    assert estimator.convergence(states(spark), points=2).count() == 4
+    with pytest.raises(PySparkException, match="more than 1 %"):
+        estimator.convergence(states(spark, uneven=True), points=2).collect()
+    data = {(k, r): np.arange(100.0 + 30 * (r == 1)) for k in range(2) for r in (1, 2)}
+    rows = make(spark, data)
+    with pytest.raises(PySparkException, match="more than 1 %"):
+        estimator.ti_convergence(rows, series.lambda_weights(rows)).collect()
+    even = series.cut_to_shortest(rows)
+    assert even.groupBy("run").count().select("count").distinct().collect()[0][0] == 200
+    assert estimator.ti_convergence(even, series.lambda_weights(even), points=4).count() == 8
+
+
+def test_blocks_by_reweighting(spark):
+    """Each block's estimate is that of its own rows, at the time of its start."""
+    rows = states(spark, n_runs=1, n=40)
+    got = {r.block: r for r in estimator.block_mbar(rows, 4, timestep_ns=0.5, equil_ns=30.0).collect()}
+    assert {b: r.time_ns for b, r in got.items()} == {b: pytest.approx((600 - 30) * b / 4 + 30) for b in range(4)}
+    # a block shares a row with the one before
+    own = rows.where("step between 200 and 300")
+    one = estimator.solve(own).first().f[-1]
+    assert got[2].dg == pytest.approx(one * 298.0 * 8.314462618 / 4184, rel=1e-6)
+
+
+def test_costs_of_a_stage_must_agree(spark):
+    rng = np.random.default_rng(5)
+    rows = make(spark, {(k, r): rng.normal(size=50) for k in range(2) for r in (1, 2)})
+    w = series.lambda_weights(rows)
+    assert analyse.gradient_data(rows, 1.0, 1, w.withColumn("relative_cost", F.lit(2.0))).first().relative_cost == 2.0
+    with pytest.raises(PySparkException, match="costs differ"):
+        analyse.gradient_data(rows, 1.0, 1, w.withColumn("relative_cost", F.col("lam"))).collect()
+
+
+def test_comparative_convergence_checks_equilibration(spark):
+    data = {(k, r): np.arange(200.0) for k in range(2) for r in (1, 2)}
+    two = make(spark, data).withColumn("calc", F.when(F.col("run") == 1, F.lit("a")).otherwise(F.lit("b")))
+    w = series.lambda_weights(two)
+    windows = w.withColumn("equil_time_ns", F.lit(2000.0))
+    assert estimator.comparative_convergence(two, w, windows, points=4, energy_freq=100).count() == 8
+    apart = w.withColumn("equil_time_ns", F.when(F.col("calc") == "a", 2000.0).otherwise(3000.0))
+    with pytest.raises(PySparkException, match="differ between calculations"):
+        estimator.comparative_convergence(two, w, apart, points=4, energy_freq=100).collect()
+
+
+def test_shapiro_published_example_and_names(spark):
+    """Weights of eleven men, a published example; key columns may have any names."""
+    men = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
+    df = spark.createDataFrame([("men", float(x)) for x in men] + [("few", 1.0), ("few", 2.0), ("few", 4.0)], "k string, v double")
+    got = {r.k: r for r in statistics.shapiro_wilk(df, ["k"], "v").collect()}
+    assert got["men"].n == 11 and got["men"].w == pytest.approx(0.79, abs=0.005) and got["men"].p == pytest.approx(0.0067, abs=0.0005)
+    assert got["few"].n == 3 and got["few"].w is None
+    dense = statistics.gaussian_kde(df.where("k = 'men'"), ["k"], "v", 400).toPandas()
+    x, h = np.array(men, float), np.std(men, ddof=1) * len(men) ** -0.2
+    want = [np.exp(-0.5 * ((g - x) / h) ** 2).sum() / (len(men) * h * math.sqrt(2 * math.pi)) for g in np.linspace(x.min(), x.max(), 400)]
+    assert sorted(dense.density) == pytest.approx(sorted(want))
+
+
+def test_median_and_ranks(spark):
+    rows = [("a", float(v)) for v in (5, 1, 1, 3)] + [("b", float(v)) for v in (2, 9, 4)] + [("b", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    mids = {r.k: r.m for r in df.withColumn("m", median(["k"], "v")).groupBy("k").agg(F.avg("m").alias("m")).collect()}
+    assert mids == {"a": 2.0, "b": 4.0}
+    ranks = sorted((r.v, r.r) for r in df.where("k = 'a'").withColumn("r", average_rank(["k"], "v")).collect())
+    assert ranks == [(1.0, 1.5), (1.0, 1.5), (3.0, 3.0), (5.0, 4.0)]
+
+
+def test_integration_needs_no_weights(spark):
+    rng = np.random.default_rng(8)
+    rows = make(spark, {(k, r): rng.normal(size=20) for k in range(4) for r in (1, 2)}, [0.0, 0.1, 0.5, 1.0])
+    with_ = {r.run: r.dg for r in statistics.thermodynamic_integration(rows, series.lambda_weights(rows)).collect()}
+    assert {r.run: r.dg for r in statistics.thermodynamic_integration(rows).collect()} == pytest.approx(with_)

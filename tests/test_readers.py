@@ -2,42 +2,44 @@
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tidewater.sources import files
-from tidewater.sources.sinks import write_samples, write_table
+from tidewater.sources.sinks import write_report, write_samples, write_table
 
+#: The layout is the simulation's; all values are made up here, and what is expected is worked out from them.
+STEPS = [(100, -250.5, 12.25, 0.5, 1.75, (-31.0, -20.5, -6.25)), (200, -249.0, -3.5, 2.0, 3.0, (4.0, 5.5, 9.0))]
 SIMFILE = """#This file was generated on a Tuesday
 #Alchemical array is\t\t (0.0, 0.105, 1.0)
-#Generating temperature is \t25°C
+#Generating temperature is \t30°C
 #Energy was saved every 100 steps
 #   [step]      [potential kcal/mol]       [gradient kcal/mol]
-     100           -1.83644679e+04            5.14119283e+02            5.98152538e-01            1.67251601e+00    -3.5e+02    -3.0e+02    -2.5e+02
-     200           -1.83000000e+04            1.00000000e+00            2.0                       3.0                1.0         2.0         4.5
-"""
-RESULT = """lead in#Overlap matrix
-0.3659 0.2730
-0.2442 0.2453
+""" + "".join(f"     {s}    {p:e}   {g:e}    {f:e}   {b:e}   " + "   ".join(f"{x:e}" for x in u) + "\n" for s, p, g, f, b, u in STEPS)
+MATRIX = [[0.6, 0.4], [0.3, 0.7]]
+SLOPES = [(0.0, 0.2, -1.5, 0.04), (0.2, 1.0, 2.4, 0.08)]
+PROFILE = [(0.0, 0.0, 0.0), (1.0, 0.9, 0.09)]
+LINES = lambda rows: "\n".join(" ".join(map(str, r)) for r in rows)
+RESULT = f"""lead in#Overlap matrix
+{LINES(MATRIX)}
 #DG from neighbouring lambda in kcal/mol
-0.0000 0.0090 -2.6387 0.0028
-0.9800 1.0000 0.5527 0.0004
+{LINES(SLOPES)}
 #PMF from MBAR in kcal/mol
-0.0000 0.0000 0.0000
-1.0000 2.6135 0.0379
+{LINES(PROFILE)}
 #TI average gradients and standard deviation in kcal/mol
-0.0000 -246.4003 129.0098
+0.0 -7.5 3.25
 #MBAR free energy difference in kcal/mol:
-2.613516, 0.037911  #WARNING SUBSAMPLING DISABLED
+0.9, 0.09  #WARNING SUBSAMPLING DISABLED
 #TI free energy difference in kcal/mol:
-3.208594
+1.1
 """
-CONFIG = "### a comment\nnmoves = 25000\ntimestep = 4 * femtosecond\nnmoves = 1\nenergy frequency = 100\nlambda array = 0.0, 0.5, 1.0\nodd = a = b\n"
+CONFIG = "### a comment\nnmoves = 5000\ntimestep = 2 * femtosecond\nnmoves = 1\nenergy frequency = 50\nlambda array = 0.0, 0.5, 1.0\nodd = a = b\n"
 
 
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     top = tmp_path_factory.mktemp("tree") / "calc" / "bound" / "restrain" / "output" / "lambda_0.105" / "run_02"
     top.mkdir(parents=True)
-    for name, text in (("simfile.dat", SIMFILE), ("mbar.dat", RESULT), ("run.cfg", CONFIG), ("a.out", "start\nSimulation took 86 s\n"), ("b.out", "Particle coordinate is NaN\n"), ("corr.txt", "1 -7.08 kcal / mol\n2 -7.5 kcal / mol\n")):
+    for name, text in (("simfile.dat", SIMFILE), ("mbar.dat", RESULT), ("run.cfg", CONFIG), ("a.out", "start\nSimulation took 45 s\n"), ("b.out", "Particle coordinate is NaN\n"), ("corr.txt", "1 -1.25 kcal / mol\n2 -2.5 kcal / mol\n")):
         (top / name).write_text(text)
     return str(top)
 
@@ -48,45 +50,49 @@ KEYS = ("calc", "bound", "restrain", 0.105, 2)
 def test_samples(spark, tree):
     rows = sorted(files.read_samples(spark, f"{tree}/simfile.dat").collect(), key=lambda r: r.step)
     assert [tuple(r)[:5] for r in rows] == [KEYS] * 2
-    assert rows[0].step == 100 and rows[0].grad == 514.119283 and rows[0].u == [-350.0, -300.0, -250.0]
+    assert [(r.step, r.potential, r.grad, r.fwd, r.bwd, tuple(r.u)) for r in rows] == STEPS
     ends = files.read_samples(spark, f"{tree}/simfile.dat", endstate=True)
-    assert sorted(r.grad for r in ends.collect()) == [3.5, 100.0]
+    assert sorted(r.grad for r in ends.collect()) == sorted(u[-1] - u[0] for *_, u in STEPS)
     header = files.read_header(spark, f"{tree}/simfile.dat")
-    assert header.first().temperature_k == pytest.approx(298.15)
+    assert header.first().temperature_k == pytest.approx(303.15)
     scaled = files.scale_to_energy(files.read_samples(spark, f"{tree}/simfile.dat"), header)
-    assert min(r.grad for r in scaled.collect()) == pytest.approx(298.15 * 0.0019872043)
+    assert sorted(r.grad for r in scaled.collect()) == pytest.approx(sorted(g * 303.15 * 8.314462618 / 4184 for _, _, g, *_ in STEPS))
 
 
 def test_results(spark, tree):
     r = files.read_mbar_result(spark, f"{tree}/mbar.dat").first()
-    assert (r.dg, r.err) == (2.613516, 0.037911)
-    assert {(r.i, r.j): r.value for r in files.read_overlap(spark, f"{tree}/mbar.dat").collect()} == {(0, 0): 0.3659, (0, 1): 0.2730, (1, 0): 0.2442, (1, 1): 0.2453}
-    assert sorted((r.lam_i, r.pmf, r.err) for r in files.read_mbar_pmf(spark, f"{tree}/mbar.dat").collect()) == [(0.0, 0.0, 0.0), (1.0, 2.6135, 0.0379)]
+    assert (r.dg, r.err) == (0.9, 0.09)
+    assert {(r.i, r.j): r.value for r in files.read_overlap(spark, f"{tree}/mbar.dat").collect()} == {(i, j): v for i, row in enumerate(MATRIX) for j, v in enumerate(row)}
+    assert sorted((r.lam_i, r.pmf, r.err) for r in files.read_mbar_pmf(spark, f"{tree}/mbar.dat").collect()) == PROFILE
     slopes = sorted((r.lam_mid, r.grad, r.err) for r in files.read_mbar_gradients(spark, f"{tree}/mbar.dat").collect())
-    assert slopes[0] == pytest.approx((0.0045, -293.088, 0.311), rel=1e-3) and slopes[1] == pytest.approx((0.99, 27.635, 0.02), rel=1e-3)
+    want = [((a + b) / 2, dg / (b - a), err / (b - a)) for a, b, dg, err in SLOPES]
+    assert [x for row in slopes for x in row] == pytest.approx([x for row in want for x in row])
     with pytest.raises(PySparkException):
         files.read_mbar_result(spark, f"{tree}/run.cfg").collect()
 
 
 def test_config(spark, tree):
     config = files.read_config(spark, f"{tree}/run.cfg")
-    assert files.config_option(config, "nmoves").first().value == "25000"
+    assert files.config_option(config, "nmoves").first().value == "5000"
     assert files.config_option(config, "odd").first().value == "a"
     with pytest.raises(PySparkException):
         files.config_option(config, "missing").collect()
     m = files.sim_meta(config).first()
-    assert (m.timestep_ns, m.nmoves, m.energy_freq, m.time_per_cycle_ns, m.lambda_array) == (4e-6, 25000, 100, 0.1, [0.0, 0.5, 1.0])
+    assert (m.timestep_ns, m.nmoves, m.energy_freq, m.time_per_cycle_ns, m.lambda_array) == (2e-6, 5000, 50, 0.01, [0.0, 0.5, 1.0])
 
 
 def test_logs(spark, tree):
     logs = files.read_job_logs(spark, f"{tree}/*.out")
-    assert files.gpu_time(logs).first().gpu_hours == pytest.approx(86 / 3600)
+    assert files.gpu_time(logs).first().gpu_hours == pytest.approx(45 / 3600)
     assert files.failed_runs(logs).first().failed is True
     assert files.failed_runs(logs.where("line like 'Sim%'")).first().failed is False
     every = files.read_samples(spark, f"{tree}/simfile.dat")
     assert files.failed_runs(logs.where("false"), every=every).first().failed is False
-    assert files.nan_failures(logs).first().nan_failure in (True, False)
-    assert sorted(tuple(r)[1:] for r in files.read_restraint_corrections(spark, f"{tree}/corr.txt").collect()) == [(1, -7.08), (2, -7.5)]
+    # the newest log decides
+    for newest, want in (("b.out", True), ("a.out", False)):
+        dated = logs.withColumn("modified", F.when(F.col("file").endswith(newest), F.lit("2024-02-01").cast("timestamp")).otherwise(F.lit("2024-01-01").cast("timestamp")))
+        assert files.nan_failures(dated).first().nan_failure is want
+    assert sorted(tuple(r)[1:] for r in files.read_restraint_corrections(spark, f"{tree}/corr.txt").collect()) == [(1, -1.25), (2, -2.5)]
 
 
 def test_clean_altloc(spark):
@@ -97,12 +103,12 @@ def test_clean_altloc(spark):
 
 def test_measured_values(spark, tmp_path):
     good = tmp_path / "good.csv"
-    good.write_text("calc_base_dir,name,exp_dg,exp_er,calc_cor\nt4l,t4l,-9.06,0.5,0\n/abs,x,,0.5,0\n")
+    good.write_text("calc_base_dir,name,exp_dg,exp_er,calc_cor\nmade/up,first,-3.5,0.25,0\n/abs,x,,0.25,0\n")
     rows = {r.name: r for r in files.read_exp_dgs(spark, str(good), "/base").collect()}
-    assert rows["t4l"].calc_base_dir == "/base/t4l" and rows["t4l"].exp_dg == -9.06 and rows["t4l"].calc_dg is None
+    assert rows["first"].calc_base_dir == "/base/made/up" and rows["first"].exp_dg == -3.5 and rows["first"].calc_dg is None
     assert rows["x"].calc_base_dir == "/abs" and rows["x"].exp_dg is None
     bad = tmp_path / "bad.csv"
-    bad.write_text("calc_base_dir,name,exp_dg,exp_er\nt4l,t4l,-9.06,0.5\n")
+    bad.write_text("calc_base_dir,name,exp_dg,exp_er\nmade/up,first,-3.5,0.25\n")
     with pytest.raises(ValueError):
         files.read_exp_dgs(spark, str(bad), "/base")
     assert files.read_exp_dgs(spark, None, "/base").count() == 0
@@ -115,3 +121,5 @@ def test_sinks(spark, tree, tmp_path):
     assert sorted(r.step for r in back.collect()) == [100, 200]
     write_table(samples.select("step"), str(tmp_path / "t"))
     assert spark.read.csv(str(tmp_path / "t"), header=True).columns == ["step"]
+    write_report(samples.select("run", "grad"), str(tmp_path / "r"))
+    assert sorted(r.grad for r in spark.read.json(str(tmp_path / "r")).collect()) == sorted(g for _, _, g, *_ in STEPS)
