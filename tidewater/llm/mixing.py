@@ -114,10 +114,10 @@ def _uses(sizes: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     return took, targets
 
 
-def _sizes(docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sizes(docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     place = F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(source_col), F.lit("")), F.lit("mix"))
-    return docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), place.alias("place"))
+    return docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), place.alias("place"), *(c.alias("mark") for c in more))
 
 
 def _said(rows: DataFrame, took: DataFrame, targets: DataFrame, *columns: str) -> DataFrame:
@@ -147,13 +147,19 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     One row per row of docs, read n_slots times from first_slot on; rows of which nothing is taken stay, with taken 0. A
     column of docs that has one of the six names is replaced. Nulls, repeats, long and empty texts count as in mix.
+
+    docs is read twice, and its rows are numbered each time by their place in the scan, so it has to be files; a row
+    whose text is another the second time fails the query.
     """
-    rows = materialize(docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("row"), *(F.col(c) for c in {id_col, text_col, source_col})), "rows")
-    sizes = materialize(_sizes(rows, F.col("row"), id_col, text_col, source_col), "sizes")
-    took, targets = _uses(sizes, block_words)
-    said = _said(sizes, took, targets, F.col("row").alias("_row"))
-    new = [c for c in said.columns if c != "_row"]
-    return rows.select("_doc", "row").join(said, F.col("row") == F.col("_row")).select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c not in new), *new)
+    mark = F.xxhash64(F.col(id_col).cast("string"), text_col)
+    row = F.monotonically_increasing_id()
+    sizes = materialize(_sizes(docs, row, id_col, text_col, source_col, mark), "sizes")
+    took, targets = _uses(sizes.drop("mark"), block_words)
+    said = _said(sizes, took, targets, F.col("row").alias("_row"), F.col("mark").alias("_mark"))
+    new = [c for c in said.columns if not c.startswith("_")]
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), row.alias("row"), mark.alias("mark")).join(said, F.col("row") == F.col("_row"), "left")
+    size = F.when(F.col("mark") == F.col("_mark"), F.col("size")).otherwise(F.raise_error(F.lit("rows are numbered otherwise when read again; write them to files first")).cast("long"))
+    return rows.withColumn("size", size).select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c not in new), *new)
 
 
 def op6_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
