@@ -2,10 +2,11 @@
 
 An item of n words is compared with windows of n words. A window can only be like it if they share a shingle, and the
 shingle says where the window has to start, so windows are placed by a join on shingles. Windows so placed, and items,
-get a SimHash. Fingerprints within RADIUS bits agree, in one of BLOCKS blocks, up to RADIUS // BLOCKS bits; items and
-windows are written under every value of a block within half of these bits each, and joined on size, block and value: no
-fingerprint within the radius is lost, whatever the number of items. Each candidate is then verified by the exact
-weighted similarity: the sum of the smaller over the sum of the larger shingle weights.
+get a SimHash. Fingerprints within RADIUS bits agree, in one of BLOCKS blocks, up to RADIUS // BLOCKS bits. Items are
+written under every value within these bits of each of their blocks, windows under the blocks' own values, and both are
+joined on size, block and value: no fingerprint within the radius is lost, and a window, of which there are ever more,
+costs one row a block. Each candidate is then verified by the exact weighted similarity: the sum of the smaller over the
+sum of the larger shingle weights.
 
 Every step on items is a Spark job. What tasks hold of the benchmark is a bitmap of its shingles' hashes, of at most
 2 ** MOST_BITS bits, that says which documents need a look; what it lets through in vain, the join drops.
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from tidewater.llm.base import Rolling, Words, arrow_batches, as_bytes, chunks, materialize, mix, read
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits in which fingerprints may differ; blocks of the index; bits of a block turned over on either side of the join.
-RADIUS, BLOCKS, FLIPS = 19, 4, 2
+#: Bits in which fingerprints may differ, and blocks of the index: of 10 or 11 bits, each within 2 bits, so that a window
+#: meets a fifth of the items of its size.
+RADIUS, BLOCKS = 17, 6
 #: The bitmap has 64 bits for each shingle between these powers of two, and is built in segments of this power. A shingle
 #: sets PROBES of them: of other shingles one in 100 000 passes.
 LEAST_BITS, MOST_BITS, SEGMENT_BITS, PROBES = 19, 30, 19, 4
@@ -170,13 +172,14 @@ def placed(suspects: DataFrame, posts: DataFrame, size: int) -> DataFrame:
     return suspects.select("uid", "words").join(each, "uid").mapInArrow(run, "uid long, n int, start int, fp long")
 
 
-def _blocks(fp: Column) -> Column:
-    """Array of (block, value) for every value of each block within FLIPS bits of the fingerprint's."""
-    width = 64 // BLOCKS
-    masks = F.array(*(F.lit(sum(1 << b for b in f)) for d in range(FLIPS + 1) for f in combinations(range(width), d)))
+def blocks_of(fp: Column, flips: int) -> Column:
+    """Array of (block, value) for every value of each block within `flips` bits of the fingerprint's."""
+    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 
     def block(k: int) -> Column:
-        value = F.shiftrightunsigned(fp, width * k).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+        width = edges[k + 1] - edges[k]
+        value = F.shiftrightunsigned(fp, edges[k]).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+        masks = F.array(*(F.lit(sum(1 << b for b in f)) for d in range(flips + 1) for f in combinations(range(width), d)))
         return F.transform(masks, lambda m: F.struct(F.lit(k).alias("block"), value.bitwiseXOR(m).alias("value")))
 
     return F.flatten(F.array(*map(block, range(BLOCKS))))
@@ -184,10 +187,10 @@ def _blocks(fp: Column) -> Column:
 
 def within(windows: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
     """(columns of windows, item, distance): the items of the same size whose fingerprint is within RADIUS, each once."""
-    under = lambda df, *keep: df.select(*keep, "n", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select(*keep, "n", "fp", "b.block", "b.value")
-    known = under(items, "item").withColumnRenamed("fp", "other")
+    under = lambda df, flips, *keep: df.select(*keep, "n", "fp", F.explode(blocks_of(F.col("fp"), flips)).alias("b")).select(*keep, "n", "fp", "b.block", "b.value")
+    known = under(items, RADIUS // BLOCKS, "item").withColumnRenamed("fp", "other")
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).cast("long")
-    near = under(windows, *(c for c in columns if c != "n")).join(known, ["n", "block", "value"]).where(far <= RADIUS)
+    near = under(windows, 0, *(c for c in columns if c != "n")).join(known, ["n", "block", "value"]).where(far <= RADIUS)
     return near.select(*columns, "item", far.alias("distance")).distinct()
 
 
