@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewater.llm.exact_dedup import LOWER, UPPER
 from tidewater.llm.secrets import KINDS, MIXED, SCOPE, WIDE
 
 
@@ -42,8 +43,12 @@ r AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JO
 lowest AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
 SELECT vec_id, CAST(count(l.b) AS BIGINT) AS n_links, any_value(component_id) AS component_id, vec_id = any_value(component_id) AS kept FROM lowest LEFT JOIN l ON l.a = vec_id GROUP BY vec_id"""
 
+EXACT_SQL = f"""WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n"""
+
 ORACLE_SQL = {
     "op1_secret_scans": secrets_sql(),
     "op3_substring_dedup": substring_sql(),
     "op5_embedding_near_dedup": EMBEDDING_SQL,
+    "op11_exact_dedup": EXACT_SQL,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidewater.llm.decontamination import op8_benchmark_decontamination
 from tidewater.llm.embedding_dedup import op5_embedding_near_dedup
+from tidewater.llm.exact_dedup import op11_exact_dedup
 from tidewater.llm.mixing import op6_mixing_sources
 from tidewater.llm.oracles import ORACLE_SQL
 from tidewater.llm.quality import op9_quality_classifier
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
