@@ -46,9 +46,20 @@ SELECT vec_id, CAST(count(l.b) AS BIGINT) AS n_links, any_value(component_id) AS
 EXACT_SQL = f"""WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256 FROM n"""
 
+SEARCH_SQL = f"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(ts) AS term FROM b) GROUP BY ALL),
+total AS (SELECT count(*) FILTER (len(ts) > 0) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d),
+m AS (SELECT doc_id, 75 + (25 * len(ts) * n) // l AS m FROM d, total),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, total GROUP BY term),
+s AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20"""
+
 ORACLE_SQL = {
     "op1_secret_scans": secrets_sql(),
     "op3_substring_dedup": substring_sql(),
     "op5_embedding_near_dedup": EMBEDDING_SQL,
     "op11_exact_dedup": EXACT_SQL,
+    "op12_ranked_lexical_search": SEARCH_SQL,
 }

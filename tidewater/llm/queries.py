@@ -8,6 +8,7 @@ from tidewater.llm.exact_dedup import op11_exact_dedup
 from tidewater.llm.mixing import op6_mixing_sources
 from tidewater.llm.oracles import ORACLE_SQL
 from tidewater.llm.quality import op9_quality_classifier
+from tidewater.llm.ranked_search import op12_ranked_lexical_search
 from tidewater.llm.secrets import op1_secret_scans
 from tidewater.llm.simhash_dedup import op10_simhash_near_dedup
 from tidewater.llm.substring_dedup import op3_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
