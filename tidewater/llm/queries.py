@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidewater.llm.decontamination import op8_benchmark_decontamination
 from tidewater.llm.embedding_dedup import op5_embedding_near_dedup
 from tidewater.llm.exact_dedup import op11_exact_dedup
+from tidewater.llm.hard_negatives import op13_hard_negatives
 from tidewater.llm.mixing import op6_mixing_sources
 from tidewater.llm.oracles import ORACLE_SQL
 from tidewater.llm.quality import op9_quality_classifier
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
