@@ -253,14 +253,14 @@ def mined(vectors: DataFrame, every: int = 100, positives: int = POSITIVES, nega
     components aren't finite take no part; a null vec_id is no anchor, keeps its label and comes last among equal scores.
     Rows that repeat an id are rows of their own, so an anchor's twin can be its positive and both anchors give rows. Only
     vectors of equal length have a score, empty ones 0; scores beyond 64 bits fail the query, as do components from LARGEST
-    on. A positive with a negative
-    score has no negatives. Other columns count for nothing, empty tables give none. The table has to be files or settled.
+    on. A positive with a negative score has no negatives. Other columns count for nothing, empty tables give none. The
+    table has to be files or settled.
     """
     spark = vectors.sparkSession
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     v = F.col("embedding").cast("array<double>")
-    fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("long")
     rows = vectors.select(F.monotonically_increasing_id().alias("_uid"), F.col("vec_id").cast("long").alias("id"), label.alias("y"), v.alias("v"), fine.alias("fine"))
     rows = materialize(rows.where("fine").drop("fine"), "vectors")
