@@ -13,7 +13,7 @@ from tidewater.operators import equilibration, estimator, series
 from tidewater.plans import analyse
 from tidewater.plans.registry import T975, query, shown
 from tidewater.schema import K_B
-from tidewater.sources.tables import STEP, TIMESTEP_NS, states_from_embeddings
+from tidewater.sources.tables import STEP, TIMESTEP_NS, states_apart_from_embeddings, states_from_embeddings
 
 K_T = f"{K_B * 298.0!r}::DOUBLE"
 #: u as doubles, the sampled state s, and the place i of n of each row in its series.
@@ -62,6 +62,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(solved.select("run", "i", "x.f", "x.n"))
 
 
+#: Six states that overlap little: the plain equations take some thousand passes.
+_APART = [
+    "x AS (SELECT vec_id % 6 AS s, (vec_id % 6) * 2.5::DOUBLE + CAST(embedding[1] AS DOUBLE) * 8 AS x FROM embeddings WHERE embedding IS NOT NULL)",
+    "st AS (SELECT s, [" + ", ".join(f"(x - {2.5 * j!r}) * (x - {2.5 * j!r}) / 2 + {8.0 * j!r}" for j in range(6)) + "]::DOUBLE[] AS u FROM x)",
+    "cnt AS (SELECT [" + ", ".join(f"CAST(count(*) FILTER (s = {j}) AS DOUBLE)" for j in range(6)) + "] AS n FROM st)",
+    "it AS (SELECT 0 AS k, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS f UNION ALL SELECT k + 1, [0.0, " + ", ".join(f"ln(s1 / s{j})" for j in range(2, 7)) + "] FROM (SELECT k, "
+    + ", ".join(f"sum(exp(-u[{j}] - d)) AS s{j}" for j in range(1, 7)) + " FROM (SELECT k, u, ln(" + " + ".join(f"n[{j}] * exp(f[{j}] - u[{j}])" for j in range(1, 7)) + ") AS d FROM it, cnt, st WHERE k < 3000) GROUP BY k))",
+]
+
+
+@query("mbar_states_apart", "WITH RECURSIVE " + ", ".join(_APART) + " SELECT CAST(j - 1 AS BIGINT) AS i, round(f[j], 6) + 0 AS f, n[j] AS n FROM it, cnt, range(1, 7) r(j) WHERE k = 3000")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    solved = estimator.solve(states_apart_from_embeddings(spark, d)).select(F.posexplode(F.arrays_zip("f", "n")).alias("i", "x"))
+    return shown(solved.select("i", "x.f", "x.n"), "i", "f", "n")
+
+
 @query("mbar_overlap", solved_sql("SELECT CAST(run AS BIGINT) AS run, i - 1 AS i, j - 1 AS j, round(g * n[j], 6) + 0 AS value FROM gram JOIN sol USING (run)", ALL_ROWS, *GRAM[:2]))
 def _(spark: SparkSession, d: str) -> DataFrame:
     rows = states_from_embeddings(spark, d)

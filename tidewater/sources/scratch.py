@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(table: DataFrame) -> DataFrame:
-    """table computed once and written to the checkpoint folder: nothing is held in memory, and its plan ends here."""
-    context = table.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(table.sparkSession))
-    return table.checkpoint()
+    """table computed once, written to the shared folder and read back: its plan ends here, its size is known to the planner."""
+    path = f"{shared_folder(table.sparkSession)}/settled-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -33,6 +33,19 @@ def states_from_embeddings(spark: SparkSession, sf_dir: str, k: int = N_STATES)
     return rows.select(F.lit("embeddings").alias("calc"), F.lit("free").alias("leg"), F.lit("all").alias("stage"), (F.pmod("label", F.lit(k)) / float(k - 1)).alias("lam"), (F.pmod("vec_id", F.lit(N_RUNS)) + 1).cast("int").alias("run"), (at * STEP).cast("long").alias("step"), F.pmod("label", F.lit(k)).cast("int").alias("state"), u.alias("u"))
 
 
+def states_apart_from_embeddings(spark: SparkSession, sf_dir: str, k: int = 6, apart: float = 2.5, rise: float = 8.0) -> DataFrame:
+    """(keys, lam, run, state, u): a sample for each vector in one of k harmonic states that overlap little, in turn by vec_id.
+
+    State j has its middle at j * apart, in units of its width, and lies j * rise higher; a sample is as far from its
+    state's middle as eight times the vector's first component.
+    """
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null and vec_id is not null")
+    state = F.pmod("vec_id", F.lit(k)).cast("int")
+    x = state * apart + F.col("embedding")[0].cast("double") * 8.0
+    u = F.array(*((x - j * apart) * (x - j * apart) / 2.0 + j * rise for j in range(k)))
+    return rows.select(F.lit("embeddings").alias("calc"), F.lit("free").alias("leg"), F.lit("apart").alias("stage"), (state / float(k - 1)).alias("lam"), F.lit(1).alias("run"), state.alias("state"), u.alias("u"))
+
+
 def frames_from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coords: 21 atoms in three axes from 63 components of each vector; atoms 3 to 20 are water."""
     rows = table(spark, sf_dir, "embeddings").where("embedding is not null")
