@@ -373,7 +373,7 @@ def test_multi_index_finds_all_within_radius(spark):
     probes = [r.choice(prints) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 40))) for _ in range(80)]
     items = spark.createDataFrame([(i, i % 3, signed(p)) for i, p in enumerate(prints)], "item long, n int, fp long")
     windows = spark.createDataFrame([(i, i % 3, 0, signed(p)) for i, p in enumerate(probes)], "uid long, n int, start int, fp long")
-    got = sorted((x.uid, x.item, x.distance) for x in decontamination.within(windows, items, ["uid", "n", "start"]).collect())
+    got = sorted((x.uid, x.item, x.distance) for x in windows.join(decontamination.within(windows, items), ["n", "fp"]).collect())
     assert got == sorted((i, j, (p ^ q).bit_count()) for i, p in enumerate(probes) for j, q in enumerate(prints) if i % 3 == j % 3 and (p ^ q).bit_count() <= decontamination.RADIUS)
 
 
@@ -502,3 +502,39 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert mixed.count() == kept.count() and mixed.where("taken > 3 * size").count() == 0
     assert mixed.columns[:3] == docs.columns[:3] and mixed.where("text is null and size > 0 or taken > 0 and first_slot is null").count() == 0
+
+
+def thue_morse(n):
+    """A word of n bytes of two letters; of it and its mirror, polynomial hashes modulo 2**64 agree for every odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_long_words_are_told_apart(n, write_docs, spark):
+    one, two = thue_morse(n)
+    same = [f"w{i}" for i in range(34)]
+    texts = [" ".join([*same, one]), " ".join([*same, two])]
+    rows = substring_dedup.remove_repeats(write_docs(texts)).collect()
+    assert [r.n_removed for r in rows] == [0, 0]
+    found = decontamination.contaminated(write_docs(["x y " + one]), spark.createDataFrame([(1, two), (2, one)], "item_id long, text string"))
+    assert [r.item_id for r in found.collect()] == [2]
+    vocabulary = token_counts.Unigram.from_model(token_counts.MODEL)
+    together = sum(r.n_tokens for r in token_counts.token_counts(write_docs([one + "b " + two]), vocabulary).collect())
+    apart = [r.n_tokens for t in (one + "b", two) for r in token_counts.token_counts(write_docs([t]), vocabulary).collect()]
+    assert together == sum(apart)
+    # bytes: the windows of one are not those of the other, and a text of one letter in a thousand isn't either
+    want = without_later_copies([one, two], 100)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_later_copies(write_docs([one, two])).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Rows that repeat one labelled id, and null texts, count like others; very long texts are left out."""
+    docs = spark.range(30000).selectExpr("1L as doc_id", "cast(null as string) as text").union(spark.range(2, 500).selectExpr("id as doc_id", "repeat('word ', 200) as text"))
+    docs = docs.union(spark.createDataFrame([(7, "x" * 200_000)], "doc_id long, text string"))
+    labels = spark.range(500).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    texts, y = toxicity.sample(docs, labels, most=300)
+    assert 0 < len(texts) == len(y) <= 300
+    texts, _ = toxicity.sample(docs, labels, most=50_000, most_bytes=1 << 20)
+    assert sum(len(t) + toxicity.ROW_BYTES for t in texts) <= 1 << 20 and max(map(len, texts)) <= 1 << 16

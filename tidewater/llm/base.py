@@ -5,6 +5,7 @@ Everything here works on one Arrow batch inside a task, or plans one Spark step;
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -25,6 +26,9 @@ CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch, so that a batch of long documents stays small.
 BATCH_ROWS = "512"
 
+#: Bytes from which a word is known by a digest.
+LONG = 512
+
 _RNG = np.random.default_rng(20240229)
 BYTE_VALUES = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -88,7 +92,7 @@ class Words:
         self.count = np.diff(self.before)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return Rolling(BYTE_VALUES[seed][self.buf], seed).of(self.start, self.end)
+        return hashes_of(self.buf, self.start, self.end, seed)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,7 +123,10 @@ def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hash of any range of a sequence from prefix sums: equal ranges have equal hashes, wherever they stand."""
+    """Hash of any range of a sequence from prefix sums: equal ranges have equal hashes, wherever they stand.
+
+    Only for ranges of fewer than 1024 tokens; see hashes_of.
+    """
 
     def __init__(self, values: np.ndarray, seed: int = 0):
         power, self.inverse = _powers(len(values) + 1, seed)
@@ -130,6 +137,14 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
 
 
+def hashes_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each range of bytes. Modulo 2**64 some ranges of 1024 bytes and more agree whatever the base, so LONG ones get a digest."""
+    out = Rolling(BYTE_VALUES[seed][buf], seed).of(start, end)
+    for i in np.flatnonzero(end - start >= LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([seed])).digest(), "little")
+    return out
+
+
 def sliding(a: np.ndarray, w: int, op) -> np.ndarray:
     """op over each w neighbours of a, by doubling."""
     k, out = 1, a

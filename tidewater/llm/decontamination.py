@@ -185,13 +185,16 @@ def blocks_of(fp: Column, flips: int) -> Column:
     return F.flatten(F.array(*map(block, range(BLOCKS))))
 
 
-def within(windows: DataFrame, items: DataFrame, columns: list[str]) -> DataFrame:
-    """(columns of windows, item, distance): the items of the same size whose fingerprint is within RADIUS, each once."""
+def within(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(n, fp, item, distance): of each size and fingerprint of windows, the items of that size within RADIUS, each once.
+
+    Windows of one fingerprint are looked up as one, so a passage in many documents is one row of the index.
+    """
     under = lambda df, flips, *keep: df.select(*keep, "n", "fp", F.explode(blocks_of(F.col("fp"), flips)).alias("b")).select(*keep, "n", "fp", "b.block", "b.value")
     known = under(items, RADIUS // BLOCKS, "item").withColumnRenamed("fp", "other")
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).cast("long")
-    near = under(windows, 0, *(c for c in columns if c != "n")).join(known, ["n", "block", "value"]).where(far <= RADIUS)
-    return near.select(*columns, "item", far.alias("distance")).distinct()
+    near = under(windows.select("n", "fp").distinct(), 0).join(known, ["n", "block", "value"]).where(far <= RADIUS)
+    return near.select("n", "fp", "item", far.alias("distance")).distinct()
 
 
 def verified(suspects: DataFrame, near: DataFrame, items: DataFrame, size: int, least: float) -> DataFrame:
@@ -224,7 +227,8 @@ def _finder(benchmark: DataFrame, size: int, least: float) -> tuple[object, Call
 
     def find(docs: DataFrame) -> DataFrame:
         suspects = suspects_of(docs, share)
-        near = within(placed(suspects, posts, size), items, ["uid", "n", "start"])
+        windows = materialize(placed(suspects, posts, size), "windows")
+        near = windows.join(within(windows, items), ["n", "fp"]).select("uid", "n", "start", "item", "distance")
         return verified(suspects, near, items, size, least)
 
     return share, find

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.base import BYTE_VALUES, Rolling, Words, arrow_batches, as_bytes, chunks, materialize, mix, read
+from tidewater.llm.base import Rolling, Words, arrow_batches, as_bytes, chunks, hashes_of, materialize, mix, read
 
 N_FOURIER, LENGTH_SCALE, RIDGE, BINS, THRESHOLD = 256, 4.0, 1e-3, 2000, 0.3
 #: Byte classes that are counted, in the order of the counts.
@@ -51,7 +51,7 @@ def statistics_of(texts: list[bytes]) -> np.ndarray:
     gram_keys = Rolling(h).of(grams, grams + 3) if len(h) else np.zeros(0, np.uint64)
     line_end = np.flatnonzero(w.buf == 10)
     line_start = np.concatenate([[0], line_end[:-1] + 1])
-    line_keys = Rolling(BYTE_VALUES[0][w.buf]).of(line_start, line_end)
+    line_keys = hashes_of(w.buf, line_start, line_end)
     line_doc = np.searchsorted(w.doc_at, line_start, "right") - 1
     by = lambda x: np.bincount(doc, x, minlength=n) / words
     mean = by(length)

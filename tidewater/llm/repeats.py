@@ -11,8 +11,9 @@ import numpy as np
 
 from tidewater.llm.base import Rolling, mix, sliding
 
-#: Windows of a run at most: in a periodic text one anchor goes on and on.
-MOST_RUN = 1024
+#: Windows of a run at most: in a periodic text one anchor goes on and on. What is hashed at once, a run's tokens, stays
+#: below the 1024 that hashes tell apart.
+MOST_RUN = 512
 
 
 class Hashes:

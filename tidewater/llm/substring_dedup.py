@@ -1,10 +1,10 @@
 """Substring deduplication by seed and extend: every word inside a passage that also stands elsewhere is removed.
 
 Seeds are winnowed anchors: in each window of `length` words the run of SEED_WORDS words with the least hash. Parts of
-the corpus ask hash buckets which anchors stand at two places (the join on seeds). Around such an anchor, matches are
-extended both ways, by comparing all windows that hold it; overlapping repeated windows join to the maximal repeats
-over the threshold, which are cut out. No pair of documents is formed, so a passage in a million documents costs each
-of its copies the same.
+the corpus ask hash buckets which anchors stand at two places (the join on seeds). Around such an anchor all windows that
+hold it are compared, which extends a match both ways word by word as far as windows repeat; windows that overlap join to
+the repeated passages, which are cut out. No pair of documents is formed, so a passage in a million documents costs each
+of its copies the same. Two repeats of different partners that overlap or touch are one passage here.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def _candidates(found: list[Chunk], known: pa.Table) -> Iterator[tuple[np.ndarra
         at = np.minimum(np.searchsorted(repeated, win.run_anchor), max(len(repeated) - 1, 0))
         runs = np.flatnonzero(repeated[at] == win.run_anchor) if len(repeated) else np.zeros(0, np.int64)
         starts = win.windows(runs)
-        # words told apart by both tables of byte values: what one of them takes for equal, the other doesn't
+        # words by two hashes each, long ones by two digests
         yield starts, _keys(*Hashes(words, w.hashes(1) if len(starts) else words).of(starts, starts + win.length))
 
 
@@ -90,8 +90,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, n_repeats and, if asked for, the kept text.
 
     A window repeats if its words start anywhere else, in the same document or another, rows that repeat a document
-    included; overlapping occurrences count. n_repeats counts the maximal repeats, the longest passages that repeated
-    windows cover. Null and empty texts and those of fewer words than a window keep what they have; a null doc_id keeps
+    included; overlapping occurrences count. n_repeats counts the repeated passages, the longest runs of words that
+    repeated windows cover. Null and empty texts and those of fewer words than a window keep what they have; a null doc_id keeps
     its row; an empty table gives no rows. Long texts are taken whole: a document's words are one chunk. Other columns
     are not looked at, whatever their names.
     """

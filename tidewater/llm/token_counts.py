@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.base import BYTE_VALUES, Rolling, arrow_batches, as_bytes, chunks, read
+from tidewater.llm.base import arrow_batches, as_bytes, chunks, hashes_of, read
 
 SPACE_MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: A public vocabulary with scores; read by the driver only.
@@ -92,7 +92,7 @@ class Unigram:
             first[1:] |= buf[:-1] == 10
         start = np.flatnonzero(first)
         end = np.append(start[1:], len(buf))
-        keys, where, back = np.unique(Rolling(BYTE_VALUES[0][buf]).of(start, end), return_index=True, return_inverse=True)
+        keys, where, back = np.unique(hashes_of(buf, start, end), return_index=True, return_inverse=True)
         known = self._counts
         if len(known) > KEPT_WORDS:
             known.clear()

@@ -16,14 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.base import BYTE_VALUES, Rolling, arrow_batches, as_bytes, chunks, read
 from tidewater.llm.quality import fold
 
-#: Labelled documents that are trained on at most, and bytes of their texts; both bound the driver's share.
-MOST_LABELLED, MOST_BYTES = 8192, 64 << 20
+#: Labelled documents that are trained on at most, and bytes of their texts, each of at most a share of them and counted
+#: as some bytes more; they bound the driver's share, whatever repeats.
+MOST_LABELLED, MOST_BYTES, TEXT_SHARE, ROW_BYTES = 8192, 64 << 20, 16, 64
 #: Words of a window, and between the starts of windows.
 WINDOW, STRIDE, THRESHOLD = 24, 12, 0.3
 TABLE_BITS, HIDDEN, ATTENTION, EPOCHS, RATE, BATCH = 18, 8, 8, 10, 0.01, 256
@@ -341,19 +342,28 @@ def train(texts: list[bytes], y: np.ndarray, seed: int = 5) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, most_bytes: int = MOST_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of about `most` training rows and `most_bytes` of text, chosen by a hash of the id; all of them if there are fewer."""
+    """Texts and labels of at most `most` training rows and `most_bytes` of text, chosen by a hash of the id; all of them if there are fewer.
+
+    Of rows that repeat an id as many are taken as still fit; texts of over a TEXT_SHARE-th of most_bytes are left out.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
     known = known.where(fold(F.col("_id"), 4) != 2)
     n = known.count()
     place = F.pmod(F.xxhash64("_id"), F.lit(1 << 40))
+    size = F.octet_length("text") + ROW_BYTES
 
     def drawn(share: float) -> DataFrame:
         rows = known if share >= 1 else known.where(place < int(share * (1 << 40)))
-        return docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(rows, F.col("_doc") == F.col("_id")).select("_id", F.coalesce("text", F.lit("")).alias("text"), "_y")
+        texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= most_bytes // TEXT_SHARE)
+        return texts.join(rows, F.col("_doc") == F.col("_id")).select("_id", "text", "_y")
 
     share = min(1.0, most / max(n, 1))
-    held = drawn(share).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = drawn(share * min(1.0, most_bytes / max(held, 1))).toArrow()
+    held = drawn(share).agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    order = [place, F.xxhash64("text"), F.col("_y")]
+    # the running sum is over `most` rows at most
+    first = drawn(share * min(1.0, most_bytes / max(held, 1))).orderBy(*order).limit(most)
+    first = first.withColumn("_sum", F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = first.where(F.col("_sum") <= most_bytes).toArrow()
     texts, y, ids = as_bytes(rows.column("text").combine_chunks()), rows.column("_y").to_numpy(), rows.column("_id").to_numpy()
     del rows
     order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
@@ -365,7 +375,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
 
     Rows of labels with a null label or doc_id are left out; other columns of either table are not looked at. Null and
     empty texts are one window without words; repeated rows and null ids are scored each by themselves; long texts are
-    scored in all their windows; an empty table gives no rows. With no label, or only one of the two, every score is the
+    scored whole, in windows at every STRIDE-th word; an empty table gives no rows. With no label, or only one of the two, every score is the
     share of toxic labels (0.5 without any).
     """
     arrow_batches(docs.sparkSession)
