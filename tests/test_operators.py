@@ -9,9 +9,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidewater.functions import distributions as dist
-from tidewater.functions.numeric import average_rank, median
+from tidewater.functions import ranges
 from tidewater.operators import agreement, autocorrelation, equilibration, estimator, geometry, rollup, schedule, series, statistics
 from tidewater.plans import analyse, queries
+from tidewater.schema import COORDS
 from tidewater.sources.tables import LAM
 
 
@@ -523,12 +524,29 @@ def test_shapiro_published_example_and_names(spark):
     assert sorted(dense.density) == pytest.approx(sorted(want))
 
 
+@pytest.mark.parametrize("kind", ["apart", "mirrored", "flat", "line", "point"])
+def test_rmsd_by_singular_vectors(spark, kind):
+    """The least distance over all rotations, by another method; mirror images and atoms in a plane, a line or a point too."""
+    rng = np.random.default_rng(3)
+    keep = {"flat": [1, 1, 0], "line": [1, 0, 0], "point": [0, 0, 0]}.get(kind, [1, 1, 1])
+    first = rng.normal(size=(6, 3)) * keep
+    frames = [first] + [(-first if kind == "mirrored" else rng.normal(size=(6, 3)) * keep) + rng.normal(size=3) for _ in range(4)]
+    rows = [("c", "l", "s", 0.0, 1, f, a, "A", "A", *map(float, x[a])) for f, x in enumerate(frames) for a in range(6)]
+    got = {r.frame: r.rmsd for r in geometry.rmsd(spark.createDataFrame(rows, COORDS), F.lit(True)).collect()}
+    y = first - first.mean(axis=0)
+    for f, x in enumerate(frames):
+        x = x - x.mean(axis=0)
+        u, s, vt = np.linalg.svd(x.T @ y)
+        s[-1] *= np.sign(np.linalg.det(u) * np.linalg.det(vt))
+        assert got[f] == pytest.approx(math.sqrt(max((x**2).sum() + (y**2).sum() - 2 * s.sum(), 0) / 6), abs=1e-6)
+
+
 def test_median_and_ranks(spark):
     rows = [("a", float(v)) for v in (5, 1, 1, 3)] + [("b", float(v)) for v in (2, 9, 4)] + [("b", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    mids = {r.k: r.m for r in df.withColumn("m", median(["k"], "v")).groupBy("k").agg(F.avg("m").alias("m")).collect()}
+    mids = {r.k: r.m for r in ranges.medians(df, ["k"], "v", "m").collect()}
     assert mids == {"a": 2.0, "b": 4.0}
-    ranks = sorted((r.v, r.r) for r in df.where("k = 'a'").withColumn("r", average_rank(["k"], "v")).collect())
+    ranks = sorted((r.v, r.r) for r in ranges.ranked(df.where("k = 'a'"), ["k"], "v", "r").collect())
     assert ranks == [(1.0, 1.5), (1.0, 1.5), (3.0, 3.0), (5.0, 4.0)]
 
 

@@ -1,4 +1,4 @@
-"""Spaced values, interpolation and ranks as DataFrame operations."""
+"""Rounding and interpolation as DataFrame operations."""
 
 from __future__ import annotations
 
@@ -36,18 +36,3 @@ def interpolate(points: DataFrame, at: str, table: DataFrame, keys: list[str], x
         same = same & (F.col(k) == F.col(f"_k_{k}"))
     value = F.when(F.col("x1").isNull() | (here <= F.col("x0")), F.col("y0")).when(here >= F.col("x1"), F.col("y1")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (here - F.col("x0")) / (F.col("x1") - F.col("x0")))
     return points.join(s, same & inside).withColumn(out, value).select(*points.columns, out)
-
-
-def average_rank(keys: list[str], value: str) -> Column:
-    """Rank within keys, ties sharing the mean of their ranks."""
-    ranked = Window.partitionBy(*keys).orderBy(value)
-    # the rows that tie with this one, in the same sorted window
-    peers = ranked.rangeBetween(Window.currentRow, Window.currentRow)
-    return F.rank().over(ranked) + (F.count("*").over(peers) - 1) / 2.0
-
-
-def median(keys: list[str], value: str) -> Column:
-    """Median of each key's values that are not null, as a window over them: the middle rows of the sorted group."""
-    w = Window.partitionBy(*keys)
-    n, k = F.count(value).over(w), F.row_number().over(w.orderBy(F.asc_nulls_last(value)))
-    return F.when((k == F.floor((n + 1) / 2)) | (k == F.floor(n / 2) + 1), F.col(value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.numeric import average_rank
+from tidewater.functions.ranges import ranked
 from tidewater.operators.statistics import mean_ci95
 
 STATISTICS = ("r", "r2", "mue", "rmse", "rho", "tau")
@@ -45,7 +45,8 @@ def pair_statistics(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFr
 
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """(keys, rho): correlation of average ranks."""
-    return pairs.select(*keys, average_rank(keys, x).alias("_rx"), average_rank(keys, y).alias("_ry")).groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"))
+    rows = ranked(ranked(pairs.select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), keys, "_x", "_rx"), keys, "_y", "_ry")
+    return rows.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"))
 
 
 def kendall_tau(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

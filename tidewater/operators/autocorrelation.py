@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewater.functions import ranges
+from tidewater.functions.ranges import longest, positions, with_keys
 from tidewater.operators.series import subsample
 from tidewater.schema import SERIES
 from tidewater.sources.scratch import settled
@@ -24,16 +26,30 @@ def lag_schedule(first: int, step: int, count: int, fast: bool) -> list[tuple[in
     return out
 
 
+def in_ranges(rows: DataFrame, keys: list[str], halo: int) -> tuple[DataFrame, WindowSpec]:
+    """Rows with a place i in their series, in ranges of places, and the window of a range; _own is false for the `halo` rows that it has of the one before."""
+    if not halo:
+        return rows.withColumn("_own", F.lit(True)), Window.partitionBy(*keys).orderBy("_o")
+    size = max(ranges.RANGE, 2 * halo)
+    own = rows.withColumn("_r", F.floor(F.col("i") / size)).withColumn("_own", F.lit(True))
+    before = own.where(F.col("i") % size >= size - halo).withColumn("_r", F.col("_r") + 1).withColumn("_own", F.lit(False))
+    return own.unionByName(before), Window.partitionBy(*keys, "_r").orderBy("i")
+
+
 def statistical_inefficiency(samples: DataFrame, keys: list[str] = SERIES, x: str = "grad", y: str | None = None, fast: bool = False, mintime: int = 3, order: str = "step") -> DataFrame:
     """(keys, n, g): g = 1 + 2 * sum of C(t) (1 - t / n), up to the first C(t) <= 0 with t > mintime; at least 1.
 
     C is the normalised (cross-)correlation of x and y. A series whose covariance is zero fails the query. Each pass
-    takes the next lags of the series that have not stopped; what returns to the driver is whether any is left.
+    takes the next lags of the series that have not stopped; what returns to the driver is whether any is left. A long
+    series goes by ranges, each with as many rows of the one before as the largest lag of the pass.
     """
     y = y or x
-    w = Window.partitionBy(*keys)
-    rows = samples.select(*keys, F.col(order).alias("_o"), (F.col(x) - F.avg(x).over(w)).alias("dx"), (F.col(y) - F.avg(y).over(w)).alias("dy"))
-    rows = settled(rows)
+    means = samples.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    rows = with_keys(samples.select(*keys, F.col(order).alias("_o"), F.col(x).alias("_x"), F.col(y).alias("_y")), means.drop("n"), keys)
+    rows = rows.select(*keys, "_o", (F.col("_x") - F.col("_mx")).alias("dx"), (F.col("_y") - F.col("_my")).alias("dy"))
+    most = longest(samples, keys)
+    # the places in a long series say in which range a row is; a shorter one is one range
+    rows = settled(positions(rows, keys, "_o").drop("n") if most > ranges.LONG else rows.withColumn("i", F.lit(0)))
     base = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("dx") * F.col("dy")).alias("s2"))
     state = base.select(*keys, "n", F.when(F.col("s2") != 0, F.col("s2")).otherwise(F.raise_error(F.lit("the sample covariance is zero")).cast("double")).alias("s2"), F.lit(1.0).alias("g"), F.lit(False).alias("done"))
     state = settled(state)
@@ -41,10 +57,10 @@ def statistical_inefficiency(samples: DataFrame, keys: list[str] = SERIES, x: st
     while True:
         lags = lag_schedule(lag, step, count, fast)
         open_rows = rows.join(state.where("not done and n > " + str(lag + 1)).select(*keys), keys, "left_semi")
-        by_order = Window.partitionBy(*keys).orderBy("_o")
-        # one pass over the sorted series gives the products of all lags
-        shifted = open_rows.select(*keys, *(((F.col("dx") * F.lag("dy", t).over(by_order)) + (F.col("dy") * F.lag("dx", t).over(by_order))).alias(f"p{t}") for t, _ in lags))
-        sums = shifted.groupBy(*keys).agg(*(F.sum(f"p{t}").alias(f"p{t}") for t, _ in lags))
+        open_rows, by_order = in_ranges(open_rows, keys, lags[-1][0] if most > ranges.LONG else 0)
+        # one pass over the sorted ranges gives the products of all lags
+        shifted = open_rows.select(*keys, "_own", *(((F.col("dx") * F.lag("dy", t).over(by_order)) + (F.col("dy") * F.lag("dx", t).over(by_order))).alias(f"p{t}") for t, _ in lags))
+        sums = shifted.where("_own").groupBy(*keys).agg(*(F.sum(f"p{t}").alias(f"p{t}") for t, _ in lags))
         n = F.col("n")
         terms = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(float(d)).alias("d"), (F.col(f"p{t}") / F.nullif(2.0 * (n - t) * F.col("s2"), F.lit(0.0))).alias("c")) for t, d in lags))
         # lags at or beyond n - 1 end a series, as does the first correlation below zero

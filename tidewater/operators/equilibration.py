@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.distributions import f_p_value, normal_quantile, t975, t_p_value
-from tidewater.functions.numeric import average_rank, half_even, median
+from tidewater.functions.numeric import half_even
+from tidewater.functions.ranges import medians, positions, ranked, with_keys
 from tidewater.operators.estimator import block_mbars
 from tidewater.operators.series import block_averages, block_gradient, discard_burn_in
 from tidewater.schema import STAGE, WINDOW
+from tidewater.sources.scratch import settled
 
 
 def equil_block_gradient(samples: DataFrame, times: Column, block: int, block_ns: float, threshold: float | None = None, keys: list[str] = WINDOW) -> DataFrame:
@@ -137,22 +139,25 @@ def equil_paired_t(samples: DataFrame, weights: DataFrame, level: float = 0.05,
     return _first_pass(paired_t_tests(samples, weights, keys=keys, **options), keys, F.col("p") > level)
 
 
-def _normal_scores(keys: list[str], value: str) -> Column:
-    return normal_quantile((average_rank(keys, value) - 0.375) / (F.count("*").over(Window.partitionBy(*keys)) + 0.25))
+def _normal_scores(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """rows, which have the rows of their key as _c, with the normal quantiles of the value's ranks."""
+    return ranked(rows, keys, value, "_rank").withColumn("_p", (F.col("_rank") - 0.375) / (F.col("_c") + 0.25)).withColumn(out, normal_quantile(F.col("_p"))).drop("_rank", "_p")
 
 
 def gelman_rubin(samples: DataFrame, discard: float = 0.1, cutoff: float = 1.1, keys: list[str] = WINDOW, value: str = "grad") -> DataFrame:
     """(keys, rhat, converged): the larger of the rank-normalised split R-hat and that of the distances from the median.
 
-    Chains are the first and last floor(n / 2) draws of each run after the discarded fraction. A window is sorted twice,
-    by value and by distance, in one shuffle.
+    Chains are the first and last floor(n / 2) draws of each run after the discarded fraction. Ranks and the median are
+    those of all chains of a window together.
     """
     kept = discard_burn_in(samples, discard, [*keys, "run"])
-    w = Window.partitionBy(*keys, "run")
-    rows = kept.select(*keys, "run", F.col(value).alias("v"), (F.row_number().over(w.orderBy("step")) - 1).alias("i"), F.floor(F.count("*").over(w) / 2).alias("h"), F.count("*").over(w).alias("n"))
+    rows = positions(kept.select(*keys, "run", "step", F.col(value).alias("v")), [*keys, "run"], "step").withColumn("h", F.floor(F.col("n") / 2))
     rows = rows.withColumn("half", F.when(F.col("i") < F.col("h"), 0).when(F.col("i") >= F.col("n") - F.col("h"), 1)).where("half is not null")
-    rows = rows.select(*keys, "run", "half", "v", _normal_scores(keys, "v").alias("z"), median(keys, "v").alias("_mid"))
-    rows = rows.withColumn("f", F.abs(F.col("v") - F.avg("_mid").over(Window.partitionBy(*keys)))).withColumn("zf", _normal_scores(keys, "f"))
+    # ranked twice and cut at the median: computed once
+    rows = settled(rows.select(*keys, "run", "half", "v"))
+    of = rows.groupBy(*keys).agg(F.count("*").alias("_c")).join(medians(rows, keys, "v", "_mid"), keys)
+    rows = with_keys(rows, of, keys).withColumn("f", F.abs(F.col("v") - F.col("_mid")))
+    rows = _normal_scores(_normal_scores(rows, keys, "v", "z"), keys, "f", "zf")
     chains = rows.groupBy(*keys, "run", "half").agg(*(f(c).alias(f"{n}_{c}") for c in ("z", "zf") for n, f in (("m", F.avg), ("v", F.var_samp))), F.count("*").alias("c"))
     m = F.max("c")
     rhat = lambda c: F.sqrt((m * F.var_samp(f"m_{c}") / F.nullif(F.avg(f"v_{c}"), F.lit(0.0)) + m - 1) / m)
@@ -162,9 +167,8 @@ def gelman_rubin(samples: DataFrame, discard: float = 0.1, cutoff: float = 1.1,
 def gelman_rubin_equilibrated(samples: DataFrame, windows: DataFrame, total_ns: Column, cutoff: float = 1.1, keys: list[str] = WINDOW) -> DataFrame:
     """gelman_rubin with each window's own equilibrated fraction discarded; a window without a time fails the query."""
     share = windows.select(*keys, F.when(F.col("equil_time_ns").isNotNull(), F.col("equil_time_ns") / total_ns).otherwise(F.raise_error(F.lit("equilibration time is not set")).cast("double")).alias("_f"))
-    w = Window.partitionBy(*keys, "run")
-    rows = samples.join(share, keys).withColumn("_i", F.row_number().over(w.orderBy("step")) - 1).withColumn("_n", F.count("*").over(w))
-    return gelman_rubin(rows.where(F.col("_i") >= half_even(F.col("_n") * F.col("_f"))).select(*samples.columns), 0.0, cutoff, keys)
+    rows = positions(samples.join(share, keys), [*keys, "run"], "step")
+    return gelman_rubin(rows.where(F.col("i") >= half_even(F.col("n") * F.col("_f"))).select(*samples.columns), 0.0, cutoff, keys)
 
 
 def write_back_equilibration(windows: DataFrame, result: DataFrame, run_ns: DataFrame, keys: list[str] = STAGE) -> DataFrame:
@@ -181,8 +185,8 @@ def read_equil_flags(windows: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
 
 def brown_forsythe(table: DataFrame, group: str, value: str) -> DataFrame:
     """(f, df1, df2, p): whether the spreads of the groups differ, by one-way F of the distances from the medians."""
-    rows = table.select(group, F.col(value).alias("v"), median([group], value).alias("_mid"))
-    rows = rows.withColumn("d", F.abs(F.col("v") - F.avg("_mid").over(Window.partitionBy(group))))
+    rows = table.select(group, F.col(value).alias("v"))
+    rows = with_keys(rows, medians(rows, [group], "v", "_mid"), [group]).withColumn("d", F.abs(F.col("v") - F.col("_mid")))
     groups = rows.groupBy(group).agg(F.avg("d").alias("m"), F.count("d").alias("n"), (F.var_pop("d") * F.count("d")).alias("within"))
     total = groups.agg(F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s2"), F.sum(F.col("n") * F.col("m")).alias("s1"), F.sum("n").alias("n"), F.sum("within").alias("w"), F.count("*").alias("k"))
     between = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("k") - 1)

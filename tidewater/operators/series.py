@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import half_even
+from tidewater.functions.ranges import positions
 from tidewater.schema import RUN, SERIES, STAGE, WINDOW
 
 
 def indexed(samples: DataFrame, keys: list[str] = SERIES, order: str = "step") -> DataFrame:
     """samples with i, the 0-based place of each row in its series, and n, the rows of the series."""
-    w = Window.partitionBy(*keys)
-    return samples.withColumn("i", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count("*").over(w))
+    return positions(samples, keys, order)
 
 
 def checked(ok: Column, message: str, value: Column) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.distributions import chi2_p_value, normal_quantile, t975
-from tidewater.functions.numeric import average_rank, half_even
+from tidewater.functions.numeric import half_even
+from tidewater.functions.ranges import positions, ranked
 from tidewater.operators.series import checked, cumulative_trapezoid, smooth3, subsample
 from tidewater.schema import SERIES, STAGE, WINDOW
 
@@ -97,9 +98,9 @@ def window_moments(samples: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
 
 def kruskal_wallis(samples: DataFrame, keys: list[str] = WINDOW, level: float = 0.05, value: str = "grad") -> DataFrame:
     """(keys, h, df, p, differ): whether the runs of a window differ; windows of one run are left out."""
-    ranked = samples.withColumn("_rank", average_rank(keys, value))
+    placed = ranked(samples, keys, value, "_rank")
     ties = samples.groupBy(*keys, value).agg(F.count("*").cast("double").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"), F.sum("t").alias("n"))
-    runs = ranked.groupBy(*keys, "run").agg((F.sum("_rank") * F.sum("_rank") / F.count("*")).alias("part")).groupBy(*keys).agg(F.sum("part").alias("parts"), (F.count("*") - 1).alias("df"))
+    runs = placed.groupBy(*keys, "run").agg((F.sum("_rank") * F.sum("_rank") / F.count("*")).alias("part")).groupBy(*keys).agg(F.sum("part").alias("parts"), (F.count("*") - 1).alias("df"))
     n = F.col("n")
     h = (12.0 / (n * (n + 1)) * F.col("parts") - 3 * (n + 1)) / F.nullif(1 - F.col("ties") / (n * n * n - n), F.lit(0.0))
     out = runs.join(ties, keys).where("df > 0").select(*keys, h.alias("h"), "df")
@@ -108,11 +109,9 @@ def kruskal_wallis(samples: DataFrame, keys: list[str] = WINDOW, level: float =
 
 def probability_plot(table: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, k, theoretical, ordered): sorted values against normal quantiles of their median ranks."""
-    w = Window.partitionBy(*keys)
-    n, k = F.count(value).over(w), F.row_number().over(w.orderBy(value))
     last = F.pow(F.lit(0.5), 1.0 / F.col("n"))
     p = F.when(F.col("k") == F.col("n"), last).when(F.col("k") == 1, 1 - last).otherwise((F.col("k") - 0.3175) / (F.col("n") + 0.365))
-    rows = table.where(F.col(value).isNotNull()).select(*keys, k.alias("k"), n.alias("n"), F.col(value).alias("ordered"))
+    rows = positions(table.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("ordered")), keys, "ordered").withColumn("k", F.col("i") + 1)
     return rows.select(*keys, "k", normal_quantile(p).alias("theoretical"), "ordered")
 
 

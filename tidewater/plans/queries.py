@@ -73,6 +73,11 @@ def even(spark: SparkSession, d: str) -> DataFrame:
     return series.cut_to_shortest(samples_from_events(spark, d))
 
 
+def weights(spark: SparkSession, d: str) -> DataFrame:
+    """The windows' weights, which cutting their runs doesn't change: a scan without a sort."""
+    return series.lambda_weights(samples_from_events(spark, d))
+
+
 def _windows(s: DataFrame) -> DataFrame:
     """A windows table as a setup would have it: each window's time grows with its lam."""
     return series.lambda_weights(s).withColumn("equilibrated", F.col("lam") < 1).withColumn("equil_time_ns", 0.01 + 0.02 * F.col("lam")).withColumn("runtime_constant", F.lit(0.0005)).withColumn("relative_cost", F.lit(1.0))
@@ -105,8 +110,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 SLOPES = f"slopes AS (SELECT lam, i, avg(g) AS gradient FROM (SELECT lam, i, (rolling - lag(rolling, {BLOCK}) OVER (PARTITION BY lam, run ORDER BY i)) / {BLOCK_NS!r}::DOUBLE AS g FROM rolled) WHERE i >= {2 * BLOCK} GROUP BY lam, i)"
 
 
-
-
 @query("equil_block_gradient", with_even(f"SELECT lam, first IS NOT NULL AS equilibrated, round((first + 1) * {STEP * TIMESTEP_NS!r}::DOUBLE, 6) + 0 AS equil_time_ns, round((first + 1) * {STEP * TIMESTEP_NS!r}::DOUBLE + {2 * BLOCK_NS!r}::DOUBLE, 6) + 0 AS time_shifted_ns FROM (SELECT lam, min(CASE WHEN turn THEN i END) - {2 * BLOCK} AS first FROM (SELECT lam, i, sign(gradient) <> sign(lag(gradient) OVER (PARTITION BY lam ORDER BY i)) AS turn FROM slopes) GROUP BY lam)", ROLLING, SLOPES))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(equilibration.equil_block_gradient(even(spark, d), F.col("step") * TIMESTEP_NS, BLOCK, BLOCK_NS), "lam", "equilibrated", "equil_time_ns", "time_shifted_ns")
@@ -121,8 +124,6 @@ def blocks_sql(name: str, start: str = "0.0") -> str:
   JOIN (SELECT lam, run, CAST(min(step) AS DOUBLE) AS t0, CAST(max(step) AS DOUBLE) AS t1 FROM {name}_rows GROUP BY lam, run) USING (lam, run) JOIN weights USING (lam) GROUP BY run, block)"""
 
 
-
-
 @query("smooth3", with_samples("SELECT lam, run, round(avg(mean) OVER (PARTITION BY run ORDER BY lam ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) + 0 AS smooth FROM means", MEANS))
 def _(spark: SparkSession, d: str) -> DataFrame:
     means = samples_from_events(spark, d).groupBy("lam", "run").agg(F.avg("grad").alias("mean"))
@@ -158,8 +159,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(statistics.series_stats(s, autocorrelation.statistical_inefficiency(s)), "lam", "run", "mean", "var", "squared_sem", "g")
 
 
-
-
 def _stats_and_times(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     s = samples_from_events(spark, d)
     return s, analyse.gradient_data(s, TIMESTEP_NS, STEP), s.groupBy(*STAGE, "lam").agg((F.max("step") * TIMESTEP_NS).alias("total_ns"))
@@ -229,46 +228,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(statistics.kruskal_wallis(samples_from_events(spark, d)).withColumn("h", F.round("h", 5)), "lam", "h", "df", "p")
 
 
-
-
 @query("gaussian_kde", with_samples("SELECT e.lam, e.run, round(lo + (hi - lo) / 99 * k, 6) + 0 AS x, round(sum(exp(-0.5 * pow((lo + (hi - lo) / 99 * k - grad) / h, 2))) / (e.n * h * sqrt(2 * pi())), 6) + 0 AS density FROM (SELECT lam, run, min(grad) AS lo, max(grad) AS hi, count(*) AS n, stddev_samp(grad) * pow(count(*), -0.2) AS h FROM samples GROUP BY lam, run) e, range(0, 100) t(k), samples s WHERE s.lam = e.lam AND s.run = e.run GROUP BY e.lam, e.run, k, lo, hi, e.n, h"))
 def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(statistics.gaussian_kde(samples_from_events(spark, d), ["lam", "run"], "grad"), "lam", "run", "x", "density")
 
 
-
-
 @query("half_difference_tests", with_even(f"SELECT fraction, round(avg(s) * 1e6, 4) + 0 AS gradient, round({T4} * stddev_samp(s) / sqrt(count(*)) * 1e6, 4) + 0 AS ci95 FROM (SELECT fraction, run, (avg(CASE WHEN block >= mid THEN dg END) - avg(CASE WHEN block < mid THEN dg END)) / any_value(gap) AS s FROM (SELECT b.run, b.block, b.dg, f / 100.0 AS fraction, f + round_even((100 - f) / 2.0, 0) AS mid, (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f + round_even((100 - f) / 2.0, 0)) - (SELECT max(time_ns) FROM blocks g WHERE g.run = 1 AND g.block = f) AS gap FROM blocks b, (VALUES (0), (10), (30), (60)) c(f) WHERE b.block >= f) GROUP BY fraction, run) GROUP BY fraction", blocks_sql("blocks")))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    t = equilibration.half_difference_tests(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS)
+    t = equilibration.half_difference_tests(series.block_average(s, weights(spark, d), BLOCKS), BLOCKS)
     return t.select("fraction", (F.round(F.col("gradient") * 1e6, 4) + 0.0).alias("gradient"), (F.round(F.col("ci95") * 1e6, 4) + 0.0).alias("ci95"))
 
 
-
-
 STARTS = {"q0": "0.0", "q1": repr(0.5 / 3), "q2": repr(1.0 / 3), "q3": "0.5"}
 SLICES = ", ".join(blocks_sql(n, v) for n, v in STARTS.items()) + ", slices AS (" + " UNION ALL ".join(f"SELECT {v}::DOUBLE AS fraction, run, avg(CASE WHEN block < 10 THEN dg END) AS a, avg(CASE WHEN block >= 50 THEN dg END) AS b FROM {n} GROUP BY run" for n, v in STARTS.items()) + ")"
 
 
-
-
-
-
 @query("paired_t_tests", with_even("SELECT round(fraction, 6) + 0 AS fraction, round(t, 6) + 0 AS t, round(1 - sin(atan(abs(t) / 2)) * (1 + pow(cos(atan(abs(t) / 2)), 2) / 2), 6) + 0 AS p FROM (SELECT fraction, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) AS t FROM slices GROUP BY fraction)", SLICES))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(equilibration.paired_t_tests(s, series.lambda_weights(s), n_blocks=BLOCKS), "fraction", "t", "p")
-
-
-
-
-
-
-
-
-
-
+    return shown(equilibration.paired_t_tests(s, weights(spark, d), n_blocks=BLOCKS), "fraction", "t", "p")
 
 
 @query("total_simtime", with_samples("SELECT CASE WHEN grouping(lam) = 1 THEN 'all' WHEN grouping(run) = 1 THEN 'lam' ELSE 'run' END AS level, coalesce(lam, -1) AS lam, coalesce(run, 0) AS run, round(sum(last) * 0.000004, 6) + 0 AS simtime_ns FROM (SELECT lam, run, max(step) AS last FROM samples GROUP BY lam, run) GROUP BY ROLLUP (lam, run)"))
@@ -302,11 +281,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(rollup.apply_restraint_correction(runs, extra, "NATION_0"), "calc", "leg", "run", "dg")
 
 
-@query("mean_ci95", f"WITH {HIERARCHY}, {LEG_RUNS} SELECT calc, leg, CAST(count(*) AS BIGINT) AS n, round(avg(dg), 6) + 0 AS mean, round({T4} * stddev_samp(dg) / sqrt(count(*)), 6) + 0 AS ci95 FROM lr GROUP BY calc, leg HAVING count(*) = 5")
+@query("mean_ci95", f"WITH {HIERARCHY}, {LEG_RUNS} SELECT calc, leg, CAST(count(*) AS BIGINT) AS n, round(avg(dg), 6) + 0 AS mean, round({T975}[count(*) - 1] * stddev_samp(dg) / sqrt(count(*)), 6) + 0 AS ci95 FROM lr GROUP BY calc, leg")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(statistics.mean_ci95(_leg_runs(spark, d), ["calc", "leg"], "dg").where("n = 5"), "calc", "leg", "n", "mean", "ci95")
-
-
+    return shown(statistics.mean_ci95(_leg_runs(spark, d), ["calc", "leg"], "dg"), "calc", "leg", "n", "mean", "ci95")
 
 
 @query("relative_cost", f"WITH {HIERARCHY} SELECT calc, round(sum(value) / count(*) / 0.21, 4) + 0 AS relative_cost FROM h GROUP BY calc")
@@ -337,10 +314,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(agreement.kendall_tau(_pairs(spark, d), ["brand"], "x", "y"))
 
 
-
-
-
-
 @query("to_analyse", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -352,11 +325,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(statistics.average_waters(frames_from_embeddings(spark, d), 0, 0.3, 50.0), "run", "waters")
 
 
-@query("rmsd")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    return shown(geometry.rmsd(frames_from_embeddings(spark, d), F.col("atom") < 10, F.col("resname") == "LIG"), "run", "frame", "rmsd")
+_AT = [(i, j) for i in range(4) for j in range(i, 4)]
+_M = {ij: f"m{i}{j}" for i, j in _AT for ij in ((i, j), (j, i))}
+_TRACE = "(m00 + m11 + m22 + m33)"
+#: Superposition of atoms 0 to 9 on the first frame's: the key matrix, raised and squared 42 times, leaves the quaternion of the best turn.
+SUPERPOSED = [
+    "xyz AS (SELECT vec_id, vec_id % 5 AS r, a, CAST(embedding[3 * a + 1] AS DOUBLE) AS x, CAST(embedding[3 * a + 2] AS DOUBLE) AS y, CAST(embedding[3 * a + 3] AS DOUBLE) AS z FROM embeddings, range(0, 10) t(a) WHERE embedding IS NOT NULL)",
+    "ref AS (SELECT a, x AS rx, y AS ry, z AS rz FROM xyz WHERE vec_id = (SELECT vec_id FROM xyz ORDER BY r, vec_id LIMIT 1))",
+    "fitted AS (SELECT vec_id, r, a, " + ", ".join(f"{c}, avg({c}) OVER w AS c{c}, r{c}, avg(r{c}) OVER w AS d{c}" for c in "xyz") + " FROM xyz JOIN ref USING (a) WINDOW w AS (PARTITION BY vec_id))",
+    "h AS (SELECT vec_id, " + ", ".join(f"sum(({a} - c{a}) * (r{b} - d{b})) AS s{a}{b}" for a in "xyz" for b in "xyz") + ", (" + " + ".join(f"sum(({c} - c{c}) ** 2) + sum((r{c} - d{c}) ** 2)" for c in "xyz") + ") / 2 AS bound FROM fitted GROUP BY vec_id)",
+    "sq AS (SELECT vec_id, 0 AS k, sxx + syy + szz + bound AS m00, syz - szy AS m01, szx - sxz AS m02, sxy - syx AS m03, sxx - syy - szz + bound AS m11, sxy + syx AS m12, szx + sxz AS m13, syy - sxx - szz + bound AS m22, syz + szy AS m23, szz - sxx - syy + bound AS m33 FROM h UNION ALL SELECT vec_id, k + 1, "
+    + ", ".join("(" + " + ".join(f"{_M[i, k]} * {_M[k, j]}" for k in range(4)) + f") / {_TRACE} / {_TRACE}" for i, j in _AT) + " FROM sq WHERE k < 42)",
+    "quat AS (SELECT vec_id, q[1] AS qw, q[2] AS qx, q[3] AS qy, q[4] AS qz, list_dot_product(q, q) AS n FROM (SELECT vec_id, CASE greatest(m00, m11, m22, m33) WHEN m00 THEN [m00, m01, m02, m03] WHEN m11 THEN [m01, m11, m12, m13] WHEN m22 THEN [m02, m12, m22, m23] ELSE [m03, m13, m23, m33] END AS q FROM sq WHERE k = 42))",
+    "off AS (SELECT vec_id, r, a, x - cx AS x, y - cy AS y, z - cz AS z, rx - dx AS rx, ry - dy AS ry, rz - dz AS rz, qw, qx, qy, qz, n FROM fitted JOIN quat USING (vec_id) WHERE a < 3)",
+]
+_TURNED = ["((qw * qw + qx * qx - qy * qy - qz * qz) * x + 2 * (qx * qy - qw * qz) * y + 2 * (qx * qz + qw * qy) * z) / n", "(2 * (qx * qy + qw * qz) * x + (qw * qw - qx * qx + qy * qy - qz * qz) * y + 2 * (qy * qz - qw * qx) * z) / n", "(2 * (qx * qz - qw * qy) * x + 2 * (qy * qz + qw * qx) * y + (qw * qw - qx * qx - qy * qy + qz * qz) * z) / n"]
 
 
+@query("rmsd", "WITH RECURSIVE " + ", ".join(SUPERPOSED) + " SELECT CAST(r + 1 AS BIGINT) AS run, vec_id AS frame, round(sqrt(avg(" + " + ".join(f"({t} - r{c}) ** 2" for t, c in zip(_TURNED, "xyz", strict=True)) + ")), 6) + 0 AS rmsd FROM off GROUP BY r, vec_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(geometry.rmsd(frames_from_embeddings(spark, d), F.col("atom") < 10, F.col("resname") == "LIG"), "run", "frame", "rmsd")
 
 
 @query("subsample", with_samples("SELECT lam, run, step FROM samples JOIN g USING (lam, run) WHERE samples.i % CAST(floor(g) AS BIGINT) = 0", INEFFICIENCY))
@@ -401,7 +389,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("block_average", with_even("SELECT run, CAST(block AS BIGINT) AS block, round(dg, 9) + 0 AS dg, round(time_ns, 2) + 0 AS time_ns FROM blocks", blocks_sql("blocks")))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(series.same_times(series.block_average(s, series.lambda_weights(s), BLOCKS)), "run", "block", "dg", "time_ns", dg=9, time_ns=2)
+    return shown(series.same_times(series.block_average(s, weights(spark, d), BLOCKS)), "run", "block", "dg", "time_ns", dg=9, time_ns=2)
 
 
 @query("window_stats", with_samples(f"SELECT lam, CAST(n_runs AS BIGINT) AS n_runs, {', '.join(R(c, c) for c in ('var_intra', 'mean', 'g', 'sem_intra', 'sem_inter', 'sem_tot'))}, {R('sem_inter * weight', 'sem_inter_dg')}, round(g * {TIMESTEP_NS!r}::DOUBLE, 12) + 0 AS g_ns, round(g * {STEP * TIMESTEP_NS!r}::DOUBLE, 9) + 0 AS g_sample_ns, 1.0::DOUBLE AS relative_cost FROM wstats", MEANS, INEFFICIENCY, STATS))
@@ -439,13 +427,13 @@ HALVES = "SELECT fraction, avg(s) AS gradient, 2.7764451051977987 * stddev_samp(
 @query("equil_multiwindow", with_even(f"SELECT min(fraction) FILTER (abs(gradient) < ci95) IS NOT NULL AS equilibrated, round(min(fraction) FILTER (abs(gradient) < ci95), 6) + 0 AS fraction FROM ({HALVES})", blocks_sql("blocks")))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(equilibration.equil_multiwindow(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS), "equilibrated", "fraction")
+    return shown(equilibration.equil_multiwindow(series.block_average(s, weights(spark, d), BLOCKS), BLOCKS), "equilibrated", "fraction")
 
 
 @query("write_back_equilibration", with_even(f"SELECT lam, lam < 1 OR f IS NOT NULL AS equilibrated, round(coalesce(f * {TIMESTEP_NS!r}::DOUBLE * last, 0.01 + 0.02 * lam), 6) + 0 AS equil_time_ns FROM (SELECT lam, max(step) AS last FROM samples WHERE run = 1 GROUP BY lam), (SELECT min(fraction) FILTER (abs(gradient) < ci95) AS f FROM ({HALVES}))", blocks_sql("blocks")))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    found = equilibration.equil_multiwindow(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS)
+    found = equilibration.equil_multiwindow(series.block_average(s, weights(spark, d), BLOCKS), BLOCKS)
     times = s.where("run = 1").groupBy(*STAGE, "lam").agg((F.max("step") * TIMESTEP_NS).alias("total_ns"))
     return shown(equilibration.write_back_equilibration(_windows(s), found, times), "lam", "equilibrated", "equil_time_ns")
 
@@ -464,13 +452,13 @@ KPSS = [
 @query("kpss_tests", with_even(f"SELECT {R('fraction', 'fraction')}, {R('statistic', 'statistic')}, {R('p', 'p')} FROM kpss", blocks_sql("blocks"), *KPSS))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(equilibration.kpss_tests(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS), "fraction", "statistic", "p")
+    return shown(equilibration.kpss_tests(series.block_average(s, weights(spark, d), BLOCKS), BLOCKS), "fraction", "statistic", "p")
 
 
 @query("equil_kpss", with_even("SELECT min(fraction) FILTER (p > 0.05) IS NOT NULL AS equilibrated, round(min(fraction) FILTER (p > 0.05), 6) + 0 AS fraction FROM kpss", blocks_sql("blocks"), *KPSS))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(equilibration.equil_kpss(series.block_average(s, series.lambda_weights(s), BLOCKS), BLOCKS), "equilibrated", "fraction")
+    return shown(equilibration.equil_kpss(series.block_average(s, weights(spark, d), BLOCKS), BLOCKS), "equilibrated", "fraction")
 
 
 GEWEKE = "geweke AS (SELECT fraction, avg(a - b) / sqrt(var_samp(a) / count(*) + var_samp(b) / count(*)) AS t, pow(var_samp(a) + var_samp(b), 2) * (count(*) - 1) / (pow(var_samp(a), 2) + pow(var_samp(b), 2)) AS df FROM slices GROUP BY fraction)"
@@ -480,19 +468,19 @@ PAIRED = "paired AS (SELECT fraction, t, 1 - sin(atan(abs(t) / 2)) * (1 + pow(co
 @query("geweke_statistics", with_even(f"SELECT {R('fraction', 'fraction')}, {R('t', 't')}, {R('df', 'df')}, round({t_tail_sql('t', 'df')}, 6) + 0 AS p FROM geweke", SLICES, GEWEKE))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(equilibration.geweke_tests(s, series.lambda_weights(s), n_blocks=BLOCKS), "fraction", "t", "df", "p")
+    return shown(equilibration.geweke_tests(s, weights(spark, d), n_blocks=BLOCKS), "fraction", "t", "df", "p")
 
 
 @query("equil_geweke", with_even(f"SELECT min(fraction) FILTER (p > 0.2) IS NOT NULL AS equilibrated, round(min(fraction) FILTER (p > 0.2), 6) + 0 AS fraction FROM (SELECT fraction, {t_tail_sql('t', 'df')} AS p FROM geweke)", SLICES, GEWEKE))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(equilibration.equil_geweke(s, series.lambda_weights(s)), "equilibrated", "fraction")
+    return shown(equilibration.equil_geweke(s, weights(spark, d)), "equilibrated", "fraction")
 
 
 @query("equil_paired_t", with_even("SELECT min(fraction) FILTER (p > 0.05) IS NOT NULL AS equilibrated, round(min(fraction) FILTER (p > 0.05), 6) + 0 AS fraction FROM paired", SLICES, PAIRED))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(equilibration.equil_paired_t(s, series.lambda_weights(s), n_blocks=BLOCKS), "equilibrated", "fraction")
+    return shown(equilibration.equil_paired_t(s, weights(spark, d), n_blocks=BLOCKS), "equilibrated", "fraction")
 
 
 def rhat_sql(kept: str) -> list[str]:
@@ -551,26 +539,26 @@ def curves_sql(cumulative: bool = True, fraction: str = "1.0") -> list[str]:
 @query("ti_convergence", with_even("SELECT run, round(frac, 5) + 0 AS frac, round(dg, 6) + 0 AS dg FROM curves", *curves_sql()))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(estimator.ti_convergence(s, series.lambda_weights(s)), "run", "frac", "dg")
+    return shown(estimator.ti_convergence(s, weights(spark, d)), "run", "frac", "dg")
 
 
 @query("ti_convergence_blocks", with_even("SELECT run, round(frac, 5) + 0 AS frac, round(dg, 6) + 0 AS dg FROM curves", *curves_sql(False)))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(estimator.ti_convergence(s, series.lambda_weights(s), False), "run", "frac", "dg")
+    return shown(estimator.ti_convergence(s, weights(spark, d), False), "run", "frac", "dg")
 
 
 @query("squared_sem_convergence", with_even("SELECT round(frac, 5) + 0 AS frac, round(var_pop(dg) / count(*), 6) + 0 AS squared_sem, round(sqrt(var_pop(dg) / count(*)), 6) + 0 AS sem FROM curves GROUP BY frac", *curves_sql()))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
-    return shown(series.squared_sem_convergence(estimator.ti_convergence(s, series.lambda_weights(s))), "frac", "squared_sem", "sem")
+    return shown(series.squared_sem_convergence(estimator.ti_convergence(s, weights(spark, d))), "frac", "squared_sem", "sem")
 
 
 @query("convergence_axis", with_even("SELECT run, round(frac, 5) + 0 AS frac, round(dg, 6) + 0 AS dg, round(frac * 3.5 + 0.5, 6) + 0 AS time_ns FROM curves UNION ALL SELECT DISTINCT run, 0.0, NULL, 0.0 FROM samples", *curves_sql()))
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = even(spark, d)
     times = s.select(*STAGE).distinct().select(*STAGE, F.lit(4.0).alias("total_ns"), F.lit(0.1).alias("equil_ns"), F.lit(5).alias("n_runs"))
-    return shown(series.convergence_axis(estimator.ti_convergence(s, series.lambda_weights(s)), times), "run", "frac", "dg", "time_ns")
+    return shown(series.convergence_axis(estimator.ti_convergence(s, weights(spark, d)), times), "run", "frac", "dg", "time_ns")
 
 
 def two_calculations(s: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.ranges import positions
 from tidewater.schema import SERIES
 
 #: The lam of each event type, and the time of a step.
@@ -21,8 +22,7 @@ def samples_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     lam = F.create_map(*(x for k, v in LAM.items() for x in (F.lit(k), F.lit(v))))[F.col("event_type")]
     rows = table(spark, sf_dir, "events").where(F.col("event_type").isin(list(LAM)) & F.col("user_id").isNotNull())
     rows = rows.select(F.lit("events").alias("calc"), F.lit("free").alias("leg"), F.lit("all").alias("stage"), lam.alias("lam"), (F.pmod("user_id", F.lit(N_RUNS)) + 1).cast("int").alias("run"), "ts", "event_id", F.col("value").alias("grad"))
-    at = F.row_number().over(Window.partitionBy(*SERIES).orderBy("ts", "event_id"))
-    return rows.select(*SERIES, (at * STEP).cast("long").alias("step"), "grad")
+    return positions(rows, SERIES, "ts", "event_id").select(*SERIES, ((F.col("i") + 1) * STEP).cast("long").alias("step"), "grad")
 
 
 def states_from_embeddings(spark: SparkSession, sf_dir: str, k: int = N_STATES) -> DataFrame:
