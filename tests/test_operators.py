@@ -13,6 +13,7 @@ from tidewater.functions import ranges
 from tidewater.operators import agreement, autocorrelation, equilibration, estimator, geometry, rollup, schedule, series, statistics
 from tidewater.plans import analyse, queries
 from tidewater.schema import COORDS
+from tidewater.sources import sinks
 from tidewater.sources.tables import LAM
 
 
@@ -541,6 +542,16 @@ def test_rmsd_by_singular_vectors(spark, kind):
         assert got[f] == pytest.approx(math.sqrt(max((x**2).sum() + (y**2).sum() - 2 * s.sum(), 0) / 6), abs=1e-6)
 
 
+def test_bucketed_series_need_no_shuffle(spark, tmp_path):
+    s = make(spark, {(k, r): np.arange(40.0) + r for k in range(3) for r in (1, 2)})
+    sinks.write_sample_table(s, "tide_samples", 4, str(tmp_path / "t"))
+    rows = series.rolling_mean(spark.table("tide_samples"), 5)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    key = ["lam", "run", "i", "rolling"]
+    assert sorted(map(tuple, rows.select(key).collect()), key=str) == sorted(map(tuple, series.rolling_mean(s, 5).select(key).collect()), key=str)
+    spark.sql("drop table tide_samples")
+
+
 def test_median_and_ranks(spark):
     rows = [("a", float(v)) for v in (5, 1, 1, 3)] + [("b", float(v)) for v in (2, 9, 4)] + [("b", None)]
     df = spark.createDataFrame(rows, "k string, v double")

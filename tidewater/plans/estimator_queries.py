@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import equilibration, estimator, series
 from tidewater.plans import analyse
-from tidewater.plans.registry import T975, query, shown
+from tidewater.plans.registry import ORACLE_SQL, T975, query, shown
 from tidewater.schema import K_B
 from tidewater.sources.tables import STEP, TIMESTEP_NS, states_apart_from_embeddings, states_from_embeddings
 
@@ -134,10 +134,31 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(equilibration.equil_paired_t_mbar(states_from_embeddings(spark, d), n_blocks=10), "equilibrated", "fraction")
 
 
-@query("stage_analyse", solved_sql(f"SELECT CAST(count(*) AS BIGINT) AS n, round(avg(f[4]) * {K_T}, 6) + 0 AS mean, round({T975}[count(*) - 1] * stddev_samp(f[4]) * {K_T} / sqrt(count(*)), 6) + 0 AS ci95 FROM sol", ALL_ROWS))
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """The mean of a stage's analysis, with gradients and states of the embeddings' series."""
+def analysed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A stage's analysis, with gradients and states of the embeddings' series."""
     s = states_from_embeddings(spark, d).drop("state").withColumn("grad", F.col("u")[3] - F.col("u")[0])
     w = series.lambda_weights(s).withColumn("equilibrated", F.lit(True)).withColumn("equil_time_ns", F.lit(0.0))
     none = s.select("calc", "leg", "stage", "lam", "run").distinct().withColumn("failed", F.lit(False))
-    return shown(analyse.stage_analyse(s, w, none, TIMESTEP_NS, STEP)["mean"], "n", "mean", "ci95")
+    return analyse.stage_analyse(s, w, none, TIMESTEP_NS, STEP)
+
+
+@query("stage_analyse", solved_sql(f"SELECT CAST(count(*) AS BIGINT) AS n, round(avg(f[4]) * {K_T}, 6) + 0 AS mean, round({T975}[count(*) - 1] * stddev_samp(f[4]) * {K_T} / sqrt(count(*)), 6) + 0 AS ci95 FROM sol", ALL_ROWS))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of a stage's analysis."""
+    return shown(analysed(spark, d)["mean"], "n", "mean", "ci95")
+
+
+@query("stage_analyse_runs", ORACLE_SQL["mbar"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of a stage's analysis: all rows are equilibrated, so they are the estimates of whole runs."""
+    return shown(analysed(spark, d)["runs"], "run", "dg", "err")
+
+
+@query("stage_analyse_overlap", ORACLE_SQL["mbar_overlap"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(analysed(spark, d)["overlap"], "run", "i", "j", "value")
+
+
+@query("stage_analyse_window_means", "WITH s AS (SELECT label % 4 / 3.0::DOUBLE AS lam, vec_id % 5 AS run, CAST(embedding[4] AS DOUBLE) - CAST(embedding[1] AS DOUBLE) AS grad FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), m AS (SELECT lam, run, avg(grad) AS mean FROM s GROUP BY lam, run) SELECT round(lam, 6) + 0 AS lam, CAST(count(*) AS BIGINT) AS n_runs, round(avg(mean), 6) + 0 AS mean, round(stddev_pop(mean) / sqrt(count(*)), 6) + 0 AS sem_inter FROM m GROUP BY lam")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return shown(analysed(spark, d)["window_stats"], "lam", "n_runs", "mean", "sem_inter")

@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import agreement, statistics
+from tidewater.operators import agreement, series, statistics
 from tidewater.plans.registry import T975, query, shown, with_samples
 from tidewater.schema import K_B
 from tidewater.sources import files, sinks
 from tidewater.sources.scratch import shared_folder
-from tidewater.sources.tables import samples_from_events, table
+from tidewater.sources.tables import STEP, TIMESTEP_NS, samples_from_events, table
+from tidewater.streaming import monitor
 
 
 def _lines(rows: DataFrame, file: Column, lines: list[Column], lam: Column | None = None, run: Column | None = None) -> DataFrame:
@@ -200,6 +201,42 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(spark.read.parquet(path).where("stage = '0.25'"), "run", "step", "grad")
 
 
+def bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """The events' samples, read back from a table of whole series."""
+    name = f"samples_{uuid.uuid4().hex}"
+    sinks.write_sample_table(samples_from_events(spark, d), name, 5, _new_folder(spark, "table"))
+    return spark.table(name)
+
+
+@query("bucketed_samples", with_samples("SELECT lam, run, CAST(i AS BIGINT) AS i, step, round(grad, 6) + 0 AS grad FROM samples WHERE i < round_even(n * 0.5, 0)"))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The first half of each series of a bucketed table."""
+    rows = series.indexed(bucketed(spark, d))
+    return shown(rows.where(F.col("i") < F.bround(F.col("n") * 0.5)), "lam", "run", "i", "step", "grad")
+
+
+#: A stage of many runs: steps and gradients from the events, every seventh step missing; a log for each status and priority of the orders.
+_LIVE = [
+    "told AS (SELECT lam, run, i, grad FROM samples WHERE i % 7 <> 3)",
+    "steps AS (SELECT lam, run, max(i + 1) * 0.0008 AS simtime_ns, count(*) AS rows, sum(gap) AS gaps, avg(grad) AS mean, var_pop(grad) AS variance FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY lam, run ORDER BY i) > 1 THEN 1 ELSE 0 END AS gap FROM told) GROUP BY lam, run)",
+    "said AS (SELECT o_custkey % 7 + 1 AS run, o_orderpriority AS file, sum(CASE WHEN o_orderstatus = 'O' THEN 10 + o_custkey % 100 ELSE 0 END) AS s, bool_or(o_orderstatus = 'O') AS took, bool_or(o_orderstatus = 'P') AS bad, max(o_orderdate) AS m FROM orders WHERE o_orderstatus <> 'F' OR o_custkey % 7 = 6 GROUP BY ALL)",
+    "logs AS (SELECT 0.5::DOUBLE AS lam, run, sum(s) / 3600.0 AS gpu_hours, count(*) FILTER (NOT took) AS open_logs, arg_max(bad, (m, file)) AS nan_failure FROM said GROUP BY run)",
+]
+
+
+@query("live_runs", with_samples("SELECT lam, run, round(simtime_ns, 6) + 0 AS simtime_ns, CAST(coalesce(rows, 0) AS BIGINT) AS rows, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, round(mean, 6) + 0 AS mean, round(variance, 6) + 0 AS variance, round(coalesce(gpu_hours, 0), 6) + 0 AS gpu_hours, CAST(coalesce(open_logs, 0) AS BIGINT) AS open_logs, coalesce(nan_failure, false) AS nan_failure, coalesce(open_logs = 0, false) AS finished FROM steps FULL JOIN logs USING (lam, run)", *_LIVE))
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The state of an ensemble from lines of samples and logs, as the stream keeps it."""
+    s = series.indexed(samples_from_events(spark, d)).where("i % 7 <> 3")
+    samples = s.select("lam", "run", F.concat_ws(" ", F.col("step").cast("string"), F.lit("0"), F.col("grad").cast("string")).alias("value"))
+    o = table(spark, d, "orders").where("o_orderstatus <> 'F' or o_custkey % 7 = 6")
+    took = F.concat_ws(" ", F.lit(files.TOOK), (F.col("o_custkey") % 100 + 10).cast("string"), F.lit("s"))
+    line = F.when(F.col("o_orderstatus") == "O", took).when(F.col("o_orderstatus") == "P", F.lit(f"error: {files.FAILURES[0]}")).otherwise(F.lit("started"))
+    logs = o.select(F.lit(0.5).alias("lam"), (F.col("o_custkey") % 7 + 1).cast("int").alias("run"), F.col("o_orderpriority").alias("file"), F.col("o_orderdate").cast("timestamp").alias("modified"), line.alias("value"))
+    live = monitor.runs_now(monitor.run_lines(samples, logs, ["lam", "run"]), TIMESTEP_NS, STEP, ["lam", "run"])
+    return shown(live.drop("stalled"))
+
+
 HIERARCHY = "SELECT n_regionkey AS region, s_nationkey AS nk, avg(s_acctbal) AS mean, count(*) AS n, CASE WHEN count(*) > 1 THEN " + T975 + "[count(*) - 1] * stddev_samp(s_acctbal) / sqrt(count(*)) END AS ci95 FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_regionkey, s_nationkey"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidewater.schema import STAGE
+from tidewater.schema import SERIES, STAGE
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -12,6 +12,15 @@ def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") ->
     samples.write.mode(mode).partitionBy(*STAGE).parquet(path)
 
 
+def write_sample_table(samples: DataFrame, name: str, buckets: int, path: str | None = None, mode: str = "errorifexists") -> None:
+    """A table bucketed by series and sorted by step: windows over a series of it start without a shuffle.
+
+    path puts the files outside the warehouse. Buckets are whole series, so there have to be many more series than tasks.
+    """
+    rows = samples.repartition(buckets, *SERIES).write.mode(mode).bucketBy(buckets, *SERIES).sortBy("step")
+    (rows if path is None else rows.option("path", path)).saveAsTable(name)
+
+
 def write_table(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A results or summary table as CSV files with a header; a set's summary is written before rows with nulls go."""
     table.write.mode(mode).option("header", "true").csv(path)
