@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.base import materialize, read
+from tidewater.llm.base import arrow_batches, materialize, read
 from tidewater.llm.components import components
 
 COSINE = 0.9
@@ -276,6 +276,7 @@ def embedding_components(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     are vectors of their own. A null vec_id keeps its row and is never a component's smallest id if there is another.
     An empty table gives no rows; other columns are not looked at, whatever their names.
     """
+    arrow_batches(vectors.sparkSession)
     element = vectors.schema[vector_col].dataType.elementType
     # single precision goes through the shuffles as it is, all else as double; 0 is added as -0.0 equals it
     kind = "float" if isinstance(element, T.FloatType) else "double"
