@@ -38,8 +38,28 @@ def texts(seed, n=60, words=120, vocab=300):
 @pytest.mark.parametrize("seed,length", [(1, 35), (2, 10), (3, 4)])
 def test_substring_dedup(seed, length, write_docs):
     docs = texts(seed)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(write_docs(docs), length=length).collect()}
+    rows = substring_dedup.remove_repeats(write_docs(docs), length=length).collect()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows}
     split = [WORD.findall(t) for t in docs]
+    # matches with the first place of their words, extended word by word until they differ
+    first, matches = {}, Counter()
+    for i, w in enumerate(split):
+        for s in range(len(w) - length + 1):
+            first.setdefault(tuple(w[s : s + length]), []).append((i, s))
+    for i, w in enumerate(split):
+        s = 0
+        while s <= len(w) - length:
+            places = first[tuple(w[s : s + length])]
+            if len(places) == 1:
+                s += 1
+                continue
+            (j, p), k = places[0], 1
+            at = lambda k: first.get(tuple(w[s + k : s + k + length]), [None])  # noqa: B023, E731
+            while s + k <= len(w) - length and len(at(k)) > 1 and at(k)[0] == (j, p + k):
+                k += 1
+            matches[i] += 1
+            s += k
+    assert {r.doc_id: r.n_repeats for r in rows} == {i: matches[i] for i in range(len(docs))}
     seen = Counter(tuple(w[s : s + length]) for w in split for s in range(len(w) - length + 1))
     for i, w in enumerate(split):
         drop = {s + k for s in range(len(w) - length + 1) if seen[tuple(w[s : s + length])] > 1 for k in range(length)}

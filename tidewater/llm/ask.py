@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 PART_BYTES, MOST_PART_BYTES, LEAST_PARTS = 4 << 20, 64 << 20, 48
 #: A key: what it is dealt and sorted by, and two hashes that tell keys apart.
 KEY = np.dtype([("by", "<u8"), ("own", "<u8")])
+#: A key with where it stands first in the part that asks; and an answer, whether it stands elsewhere and where it stands first of all.
+PLACED = np.dtype([("by", "<u8"), ("own", "<u8"), ("doc", "<i8"), ("pos", "<i4")])
+FIRST = np.dtype([("flag", "u1"), ("doc", "<i8"), ("pos", "<i4")])
 ASKED, ANSWERED = "part int, bucket int, round int, data binary", "part int, round int, bucket int, data binary"
 ELSEWHERE = 1
 
@@ -58,18 +61,35 @@ def answer(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
 
 
+def firsts(asked: DataFrame) -> DataFrame:
+    """As answer for PLACED keys, with each key's first place by document and position."""
+
+    def run(table: pa.Table) -> pa.Table:
+        data = [np.frombuffer(x, PLACED) for x in table.column("data").to_pylist()]
+        keys = np.concatenate(data)
+        order = np.lexsort((keys["pos"], keys["doc"], keys["own"], keys["by"]))
+        s = keys[order]
+        head = np.concatenate([[True], (s["by"][1:] != s["by"][:-1]) | (s["own"][1:] != s["own"][:-1])])
+        at, many = np.flatnonzero(head), np.diff(np.append(np.flatnonzero(head), len(s)))
+        out = np.empty(len(s), FIRST)
+        out["flag"], out["doc"], out["pos"] = np.repeat((many > 1) * ELSEWHERE, many), np.repeat(s["doc"][at], many), np.repeat(s["pos"][at], many)
+        return answered(table, data, order, out)
+
+    return asked.groupBy("bucket").applyInArrow(run, ANSWERED)
+
+
 def answered(table: pa.Table, data: list[np.ndarray], order: np.ndarray, flags: np.ndarray) -> pa.Table:
     """The flags of keys in sorted order, dealt back to the rows that asked."""
-    out = np.empty(len(flags), np.uint8)
+    out = np.empty_like(flags)
     out[order] = flags
     at = np.cumsum([len(x) for x in data])[:-1]
     return pa.table({"part": table.column("part"), "round": table.column("round"), "bucket": table.column("bucket"), "data": pa.array([x.tobytes() for x in np.split(out, at)], pa.binary())})
 
 
-def answers(table: pa.Table, round_: int) -> np.ndarray:
-    """The bytes for a part's sorted keys of a round."""
+def answers(table: pa.Table, round_: int, kind: np.dtype | type = np.uint8) -> np.ndarray:
+    """The bytes, or other answers, for a part's sorted keys of a round."""
     rows = sorted((b, d) for r, b, d in zip(*(table.column(c).to_pylist() for c in ("round", "bucket", "data")), strict=True) if r == round_)
-    return np.frombuffer(b"".join(d for _, d in rows), np.uint8)
+    return np.frombuffer(b"".join(d for _, d in rows), kind)
 
 
 Question = Callable[[pa.Table, pa.Table], pa.Table]

@@ -28,10 +28,11 @@ def secrets_sql() -> str:
 def substring_sql(length: int = 35) -> str:
     return f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, s, array_to_string(ws[s:s + {length - 1}], ' ') AS t FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {length} + 2, 1))) AS s FROM w)),
-twice AS (SELECT t FROM win GROUP BY t HAVING count(*) > 1),
+twice AS (SELECT t, min((doc_id, s)) AS f FROM win GROUP BY t HAVING count(*) > 1),
+again AS (SELECT doc_id, s, f[1] AS d, f[2] AS p FROM win JOIN twice USING (t)),
 gone AS (SELECT DISTINCT doc_id, s + k AS i FROM (SELECT doc_id, s FROM win WHERE t IN (SELECT t FROM twice)), range(0, {length}) r(k)),
 each AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM w),
-heads AS (SELECT doc_id, count(*) AS n_heads FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone b WHERE b.doc_id = g.doc_id AND b.i = g.i - 1) GROUP BY doc_id),
+heads AS (SELECT doc_id, count(*) AS n_heads FROM again g WHERE NOT EXISTS (SELECT 1 FROM again b WHERE b.doc_id = g.doc_id AND b.s = g.s - 1 AND b.d = g.d AND b.p = g.p - 1) GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, CAST(coalesce(n_heads, 0) AS BIGINT) AS n_repeats FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN heads USING (doc_id)"""
 
