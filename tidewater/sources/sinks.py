@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidewater.schema import SERIES, STAGE
+from tidewater.schema import RUN, STAGE
 
 
 def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -13,11 +13,12 @@ def write_samples(samples: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_sample_table(samples: DataFrame, name: str, buckets: int, path: str | None = None, mode: str = "errorifexists") -> None:
-    """A table bucketed by series and sorted by step: windows over a series of it start without a shuffle.
+    """A table bucketed by runs and sorted by window and step: windows over a series of it start without a shuffle.
 
-    path puts the files outside the warehouse. Buckets are whole series, so there have to be many more series than tasks.
+    path puts the files outside the warehouse. Buckets are by calc, leg, stage and run (Spark doesn't use those by lam, a
+    floating number), and hold all windows of a run, so there have to be many more runs than tasks.
     """
-    rows = samples.repartition(buckets, *SERIES).write.mode(mode).bucketBy(buckets, *SERIES).sortBy("step")
+    rows = samples.repartition(buckets, *RUN).write.mode(mode).bucketBy(buckets, *RUN).sortBy("lam", "step")
     (rows if path is None else rows.option("path", path)).saveAsTable(name)
 
 
