@@ -156,3 +156,16 @@ def test_pipeline_on_odd_and_empty_tables(spark, odd_dir, odd_docs):
             assert out.columns == odd_docs.columns, name
     rows = corpus_pipeline.run(spark, odd_dir["odd"])
     assert rows.count() <= 8 and {"taken", "first_slot", "n_slots"} <= set(rows.columns)
+
+
+def test_megabyte_texts_in_stages(spark, write_docs, labels, benchmark, tmp_path):
+    """A word of over a megabyte, a megabyte of words, and an item in the middle of one, through what the stages call."""
+    hit = " ".join([LONG[1], "one two three four five six seven", LONG[1][::-1]])
+    docs = write_docs([*LONG, hit])
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, benchmark).collect()} == {(3, 0)}
+    assert sorted(r.doc_id for r in decontamination.clean(docs, benchmark).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in simhash_dedup.one_of_each(docs).collect()) == [0, 1, 2, 3]
+    assert quality.accepted(docs, labels.where("false")).count() == 4 and mixing.mixed(docs).count() == 4
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {0, 1, 2}

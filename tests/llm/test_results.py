@@ -1,6 +1,8 @@
 """Operators against brute force on small tables."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -558,3 +560,18 @@ def test_toxicity_sample_is_bounded(spark):
     assert 0 < len(texts) == len(y) <= 300
     texts, _ = toxicity.sample(docs, labels, most=50_000, most_bytes=1 << 20)
     assert sum(len(t) + toxicity.ROW_BYTES for t in texts) <= 1 << 20 and max(map(len, texts)) <= 1 << 16
+
+
+def test_thresholds_are_the_best_deal():
+    """Of all ways to deal the radius to groups, none expects fewer candidates; all pairs within the radius meet in a group."""
+    g = np.random.default_rng(2)
+    x = (g.random((400, 64)) < g.random(64)).astype(float)
+    x[:, 10:14] = x[:, [9]]
+    both, p = x.T @ x, x.mean(axis=0)
+    radius = simhash_dedup.RADIUS
+    price = lambda b, t: simhash_dedup.candidates(p, b, 400, t) + 4.0 * 400 * sum(math.comb(len(b), d) for d in range(t + 1)) if t >= 0 else 0.0
+    cost = lambda deal: sum(price(b, t) for b, t in deal)
+    chosen = simhash_dedup.thresholds(400, both)
+    assert sum(t + 1 for _, t in chosen) == radius + 1 and len({b for bits, _ in chosen for b in bits}) == sum(len(bits) for bits, _ in chosen)
+    deals = [list(zip(groups, d, strict=True)) for m in range(2, radius + 2) for groups in [simhash_dedup.bit_groups(400, both, m)] for d in itertools.product(range(-1, 3), repeat=m) if sum(t + 1 for t in d) == radius + 1]
+    assert cost(chosen) == pytest.approx(min(map(cost, deals)))
