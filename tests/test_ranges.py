@@ -53,7 +53,7 @@ def test_series_of_many_ranges(spark, short):
 
     def found():
         return [rows_of(x) for x in (
-            series.truncate_fraction(s, 0.2, 0.7), series.cut_to_shortest(s), series.block_average(s, w, 20), series.rolling_mean(s, 7), series.discard_burn_in(s, 0.3),
+            series.truncate_fraction(s, 0.2, 0.7), series.cut_to_shortest(s), series.block_average(s, w, 20), series.rolling_mean(s, 7), series.block_gradient(s, 7, 0.5), series.discard_burn_in(s, 0.3),
             autocorrelation.statistical_inefficiency(s), autocorrelation.statistical_inefficiency(s, fast=True), equilibration.gelman_rubin(s), statistics.kruskal_wallis(s),
             equilibration.brown_forsythe(s, "lam", "grad"), statistics.probability_plot(s, ["lam"], "grad"), agreement.spearman(s.withColumn("y", F.col("grad") * F.col("run")), ["lam"], "grad", "y"),
         )]

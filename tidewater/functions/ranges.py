@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewater.sources.scratch import settled
@@ -91,6 +91,20 @@ def positions(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return out.withColumn("i", (F.col("_before") + place)).withColumn("n", F.col("_n")).drop("_range", "_before", "_n")
 
 
+def in_ranges(rows: DataFrame, keys: list[str], order: str, halo: int, most: int) -> tuple[DataFrame, WindowSpec]:
+    """rows and a window in which each has the `halo` rows before it; only rows with _own are the window's, the rest neighbours.
+
+    Rows of keys that may be long (most) need their place i and go by ranges of places, each with the last rows of the one
+    before; other keys are one window in `order`.
+    """
+    if most <= LONG:
+        return rows.withColumn("_own", F.lit(True)), Window.partitionBy(*keys).orderBy(order)
+    size = max(RANGE, 2 * halo)
+    own = rows.withColumn("_r", F.floor(F.col("i") / size)).withColumn("_own", F.lit(True))
+    before = own.where(F.col("i") % size >= size - halo).withColumn("_r", F.col("_r") + 1).withColumn("_own", F.lit(False))
+    return own.unionByName(before), Window.partitionBy(*keys, "_r").orderBy("i")
+
+
 def ranked(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """rows with `out`, the rank of the value within the key, ties sharing the mean of their ranks."""
     if longest(rows, keys) <= LONG:

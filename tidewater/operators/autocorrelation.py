@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import ranges
-from tidewater.functions.ranges import longest, positions, with_keys
+from tidewater.functions.ranges import in_ranges, longest, positions, with_keys
 from tidewater.operators.series import subsample
 from tidewater.schema import SERIES
 from tidewater.sources.scratch import settled
@@ -26,16 +26,6 @@ def lag_schedule(first: int, step: int, count: int, fast: bool) -> list[tuple[in
     return out
 
 
-def in_ranges(rows: DataFrame, keys: list[str], halo: int) -> tuple[DataFrame, WindowSpec]:
-    """Rows with a place i in their series, in ranges of places, and the window of a range; _own is false for the `halo` rows that it has of the one before."""
-    if not halo:
-        return rows.withColumn("_own", F.lit(True)), Window.partitionBy(*keys).orderBy("_o")
-    size = max(ranges.RANGE, 2 * halo)
-    own = rows.withColumn("_r", F.floor(F.col("i") / size)).withColumn("_own", F.lit(True))
-    before = own.where(F.col("i") % size >= size - halo).withColumn("_r", F.col("_r") + 1).withColumn("_own", F.lit(False))
-    return own.unionByName(before), Window.partitionBy(*keys, "_r").orderBy("i")
-
-
 def statistical_inefficiency(samples: DataFrame, keys: list[str] = SERIES, x: str = "grad", y: str | None = None, fast: bool = False, mintime: int = 3, order: str = "step") -> DataFrame:
     """(keys, n, g): g = 1 + 2 * sum of C(t) (1 - t / n), up to the first C(t) <= 0 with t > mintime; at least 1.
 
@@ -57,7 +47,7 @@ def statistical_inefficiency(samples: DataFrame, keys: list[str] = SERIES, x: st
     while True:
         lags = lag_schedule(lag, step, count, fast)
         open_rows = rows.join(state.where("not done and n > " + str(lag + 1)).select(*keys), keys, "left_semi")
-        open_rows, by_order = in_ranges(open_rows, keys, lags[-1][0] if most > ranges.LONG else 0)
+        open_rows, by_order = in_ranges(open_rows, keys, "_o", lags[-1][0], most)
         # one pass over the sorted ranges gives the products of all lags
         shifted = open_rows.select(*keys, "_own", *(((F.col("dx") * F.lag("dy", t).over(by_order)) + (F.col("dy") * F.lag("dx", t).over(by_order))).alias(f"p{t}") for t, _ in lags))
         sums = shifted.where("_own").groupBy(*keys).agg(*(F.sum(f"p{t}").alias(f"p{t}") for t, _ in lags))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import half_even
-from tidewater.functions.ranges import positions
+from tidewater.functions.ranges import in_ranges, longest, positions
 from tidewater.schema import RUN, SERIES, STAGE, WINDOW
 
 
@@ -89,16 +89,17 @@ def time_axis(samples: DataFrame, start: Column, end: Column, keys: list[str] =
 
 def rolling_mean(samples: DataFrame, block: int, keys: list[str] = SERIES, value: str = "grad") -> DataFrame:
     """indexed samples with `rolling`, the mean of the `block` rows before each row; null before there are as many."""
-    w = Window.partitionBy(*keys).orderBy("step").rowsBetween(-block, -1)
-    rows = indexed(samples, keys)
-    mean = F.when(F.col("i") >= block, F.avg(value).over(w))
-    return rows.withColumn("rolling", checked(F.col("n") >= block, "the block is longer than the series", mean))
+    rows, w = in_ranges(indexed(samples, keys), keys, "step", block, longest(samples, keys))
+    mean = F.when(F.col("i") >= block, F.avg(value).over(w.rowsBetween(-block, -1)))
+    out = rows.withColumn("rolling", checked(F.col("n") >= block, "the block is longer than the series", mean))
+    return out.where("_own").select(*samples.columns, "i", "n", "rolling")
 
 
 def block_gradient(samples: DataFrame, block: int, block_ns: float, keys: list[str] = WINDOW) -> DataFrame:
     """(keys, i, gradient): slope between neighbouring rolling means, averaged over the runs of a window."""
-    w = Window.partitionBy(*keys, "run").orderBy("i")
-    rows = rolling_mean(samples, block, [*keys, "run"]).withColumn("earlier", F.lag("rolling", block).over(w))
+    series = [*keys, "run"]
+    rows, w = in_ranges(rolling_mean(samples, block, series), series, "i", block, longest(samples, series))
+    rows = rows.withColumn("earlier", F.lag("rolling", block).over(w)).where("_own")
     slope = (F.col("rolling") - F.col("earlier")) / F.lit(block_ns)
     return rows.where(F.col("i") >= 2 * block).groupBy(*keys, "i").agg(F.avg(slope).alias("gradient"))
 
