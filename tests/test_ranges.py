@@ -44,6 +44,16 @@ def test_positions_ranks_and_medians(spark, short):
     assert dict(plain[2])["b"] == str(np.median(b)) and len(plain[0]) == len(plain[1]) == 651
 
 
+def test_orders_by_time_and_name(spark, short):
+    rows = [("a", f"2024-01-01 00:{m:02d}:{s:02d}", f"n{m * 7 % 60:02d}{s:02d}", 60 * m + s) for m in range(5) for s in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, "k string, t string, name string, id long").withColumn("t", F.col("t").cast("timestamp"))
+    short()
+    out = ranges.positions(df, ["k"], "t", "id")
+    assert out.where("i * 2 <> id or n <> 150").isEmpty()
+    names = [r.name for r in ranges.positions(df, ["k"], "name").orderBy("i").collect()]
+    assert names == sorted(names)
+
+
 def test_series_of_many_ranges(spark, short):
     """Indices, truncation, blocks, inefficiencies, R-hat and rank tests by ranges."""
     rng = np.random.default_rng(6)

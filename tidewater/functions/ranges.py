@@ -57,9 +57,9 @@ def with_keys(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ranged(rows: DataFrame, keys: list[str], value: Column, most: int) -> DataFrame:
-    """rows with _range, rising with the value, equal values in one; nulls come first, NaN last."""
+    """rows with _range, rising with the value, equal values in one; nulls come first, NaN last, and what is no number is one range."""
     n = min(MOST_RANGES, max(1, -(-most // RANGE)))
-    v = value.cast("double")
+    v = value.try_cast("double")
     cuts = rows.groupBy(*keys).agg(F.percentile_approx(v, [k / n for k in range(1, n)] or [0.5], FINER * n).alias("_cuts"))
     # written, so that all that follows has the same cuts
     out = with_keys(rows, settled(cuts), keys).withColumn("_v", v)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.ranges import ranked
+from tidewater.functions.ranges import positions, ranked
 from tidewater.operators.statistics import mean_ci95
 
 STATISTICS = ("r", "r2", "mue", "rmse", "rho", "tau")
@@ -30,10 +30,9 @@ def set_summary(calculated: DataFrame, measured: DataFrame, offset: bool = False
     dg = F.when(F.col("_once"), F.col("_dg") + F.col("calc_cor")).otherwise(F.raise_error(F.lit("a directory is measured more than once")).cast("double"))
     out = rows.withColumn("calc_dg", dg).withColumn("calc_er", F.col("_er")).select(*measured.columns, "calc_dg", "calc_er")
     if offset:
-        every = Window.partitionBy(F.lit(0))
-        known = F.count(F.when(F.col("exp_dg").isNull(), 1)).over(every) == 0
-        shift = F.when(known, F.avg("exp_dg").over(every) - F.avg("calc_dg").over(every)).otherwise(F.raise_error(F.lit("exp_dg is missing")).cast("double"))
-        out = out.withColumn("calc_dg", F.col("calc_dg") + shift)
+        known = F.count_if(F.col("exp_dg").isNull()) == 0
+        shift = F.when(known, F.avg("exp_dg") - F.avg("calc_dg")).otherwise(F.raise_error(F.lit("exp_dg is missing")).cast("double"))
+        out = out.crossJoin(F.broadcast(out.agg(shift.alias("_shift")))).withColumn("calc_dg", F.col("calc_dg") + F.col("_shift")).drop("_shift")
     return out
 
 
@@ -90,7 +89,8 @@ def bootstrap(pairs: DataFrame, x: str, y: str, x_er: str, y_er: str, order: str
 
     The noise has the deviation error / 1.96. Rows and noise come from md5 of seed, replicate and position.
     """
-    rows = pairs.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)).alias("_at"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(x_er).alias("_xe"), F.col(y_er).alias("_ye"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("_n"))
+    rows = pairs.select(F.lit(0).alias("_all"), F.col(order).alias("_o"), F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(x_er).alias("_xe"), F.col(y_er).alias("_ye"))
+    rows = positions(rows, ["_all"], "_o").select((F.col("i") + 1).alias("_at"), F.col("n").alias("_n"), "_x", "_y", "_xe", "_ye")
     draw = lambda what: uniform(F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_at").cast("string"), F.lit(what))
     normal = lambda a, b: F.sqrt(-2 * F.log(draw(a))) * F.cos(2 * 3.141592653589793 * draw(b))
     slots = rows.select("_at", "_n").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

@@ -502,12 +502,14 @@ def comparative_convergence(samples: DataFrame, weights: DataFrame | None = None
     if windows is None:
         spans = total.withColumn("_b", F.lit(0.0))
     else:
-        every = Window.partitionBy(F.lit(0))  # one row per calculation
         equil = windows.groupBy(group).agg(F.sum("equil_time_ns").alias("_e"))
-        same = F.max(F.round("_e", 3)).over(every) == F.min(F.round("_e", 3)).over(every)
-        spans = total.join(equil, group).withColumn("_b", checked(same, "equilibration times differ between calculations", F.col("_e") * F.col("_r")))
+        known = total.join(equil, group)
+        ends = known.agg((F.max(F.round("_e", 3)) == F.min(F.round("_e", 3))).alias("_same"))
+        same = F.col("_same")
+        spans = known.crossJoin(F.broadcast(ends)).withColumn("_b", checked(same, "equilibration times differ between calculations", F.col("_e") * F.col("_r")))
         samples = drop_unequilibrated(samples, windows, timestep_ns, energy_freq)
-    least = F.min("_t").over(Window.partitionBy(F.lit(0)))
+    least = F.col("_shortest")
+    spans = spans.crossJoin(F.broadcast(spans.agg(F.min("_t").alias("_shortest"))))
     spans = settled(spans.select(group, "_t", "_b", ((least - F.col("_b")) / (F.col("_t") - F.col("_b"))).alias("fraction")))
     share = spans.select(group, "fraction")
     curves = convergence(samples, cumulative, share, points, keys=keys) if weights is None else ti_convergence(samples, weights, cumulative, share, points, keys)
