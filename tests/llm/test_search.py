@@ -102,6 +102,7 @@ def test_ranked(seed, block, cells, write_docs, write_items, monkeypatch):
     """Many ties, copies in a third of the documents, a term in all of them; blocks of few items, segments of few documents."""
     monkeypatch.setattr(ranked_search, "BLOCK", block)
     monkeypatch.setattr(ranked_search, "CELLS", cells)
+    monkeypatch.setattr(ranked_search, "TERMS", 40 if cells == 1 else 1 << 18)
     r = random.Random(seed)
     words = [*(f"w{k}" for k in range(60)), "Éa", "東京", "e-mail", "A.B", "x\x00y"]
     some = lambda k: " ".join(r.choices(words, [1 / (1 + j) for j in range(len(words))], k=k))

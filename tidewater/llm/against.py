@@ -35,8 +35,7 @@ def sides(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     size, queries = 0, None
     for batch in batches:
-        first = batch.column("_row").true_count
-        first = batch.num_rows - first
+        first = batch.num_rows - batch.column("_row").true_count
         if first:
             held.append(batch.slice(0, first))
         if first == batch.num_rows:

@@ -28,8 +28,9 @@ from tidewater.llm.base import arrow_batches, as_bytes, materialize, read
 BEST = 20
 #: In bytes of UTF-8, a term is a run of these once A to Z are in lower case.
 TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Queries of a block; cells (documents times terms) of a segment's table of positions, and its documents at most.
-BLOCK, CELLS, SEGMENT = 1024, 1 << 24, 8192
+#: Queries of a block, and terms of its queries, repeats included, about; cells (documents times terms) of a segment's table
+#: of positions, and its documents at most.
+BLOCK, TERMS, CELLS, SEGMENT = 1024, 1 << 18, 1 << 24, 8192
 #: Entries that a query reads from a list at once, at first and at most.
 FIRST_READ, MOST_READ = 8, 256
 #: The bitmap of the queries' terms has 64 bits for each between these powers of two; what it lets through in vain, the block drops.
@@ -153,7 +154,7 @@ def best_positions(segment: Segment, terms: np.ndarray, counts: np.ndarray, top:
 
 def _search(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the size of segments follows from the block's terms, so the queries are read first
+        # the size of segments follows from the block's terms, so rows come in small tables
         tables = sides(batches, 64)
         asked = next(tables, None)
         if asked is None:
@@ -166,7 +167,7 @@ def _search(k: int):
         ends = np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))[:-1]
         own, counts = np.split(at, ends), np.split(asked.column("tf").combine_chunks().flatten().to_numpy(zero_copy_only=False), ends)
         tops = [Top(k) for _ in own]
-        docs, most = [], max(64, min(SEGMENT, CELLS // max(len(vocabulary), 1)))
+        docs, most = [], max(1, min(SEGMENT, CELLS // max(len(vocabulary), 1)))
 
         def through() -> None:
             segment = Segment(pa.concat_tables(docs), vocabulary, weight)
@@ -175,9 +176,10 @@ def _search(k: int):
             docs.clear()
 
         for table in tables:
-            docs.append(table)
-            if 64 * len(docs) >= most:
-                through()
+            for at in range(0, len(table), most):
+                docs.append(table.slice(at, most))
+                if sum(map(len, docs)) >= most:
+                    through()
         if docs:
             through()
         many = [len(t.rows) for t in tops]
@@ -210,7 +212,8 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     queries = asked.join(weights, "term").groupBy("_uid", "id").agg(F.collect_list(F.struct("term", "tf", "w")).alias("t"))
     queries = materialize(queries.select("_uid", "id", F.col("t.term").alias("terms"), F.col("t.tf").alias("tf"), F.col("t.w").alias("w")), "queries")
     rows = posts.where(F.size("terms") > 0).select("_uid", "id", "terms", "tf", F.expr(f"75L + (25L * n * {n}L) div {max(total, 1)}L").alias("m"))
-    blocks = max(1, -(-queries.count() // BLOCK))
+    many, terms = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    blocks = max(1, -(-many // BLOCK), -(-terms // TERMS))
     found = meet(queries, rows, n, blocks, _search(k), FOUND)
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "doc")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score", "item")
