@@ -207,6 +207,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null and empty texts are one group, as are texts without words; an empty table stays empty. Whole texts are
     fingerprinted, however long. Columns may have any names.
+
+    docs is read twice, and its rows are numbered each time by their place in the scan, so it has to be files; a row that
+    is another the second time fails the query.
     """
     arrow_batches(docs.sparkSession)
 
@@ -214,12 +217,14 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def print_of(text: pa.Array) -> pa.Array:
         return pa.array(np.concatenate([np.zeros(0, np.int64), *(fingerprints_of(as_bytes(b.column("text"))).view(np.int64) for b in chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])])))]))
 
-    # written with its row numbers and fingerprints: both are then the same wherever they are read
-    rows = materialize(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("at"), print_of(F.col(text_col)).alias("fp")), "numbered")
+    at, mark = F.monotonically_increasing_id(), F.xxhash64(F.col(id_col).cast("string"), text_col)
+    rows = materialize(docs.select(F.col(id_col).alias("id"), at.alias("at"), mark.alias("mark"), print_of(F.col(text_col)).alias("fp")), "numbered")
     named = grouped(rows, radius)
-    per_print = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "at")).alias("first"))
-    stays = named.join(per_print, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.at").alias("stays"))
-    return rows.join(stays, rows["at"] == stays["stays"], "left_semi").select("row.*")
+    per_print = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "at", "mark")).alias("first"))
+    stays = named.join(per_print, "fp").groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.at").alias("stays"), F.col("first.mark").alias("known"))
+    kept = docs.select(F.struct(*docs.columns).alias("row"), at.alias("at"), mark.alias("mark")).join(stays, F.col("at") == F.col("stays"))
+    same = F.when(F.col("mark") == F.col("known"), True).otherwise(F.raise_error(F.lit("rows are numbered otherwise when read again; write them to files first")).cast("boolean"))
+    return kept.where(same).select("row.*")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
