@@ -566,3 +566,20 @@ def test_integration_needs_no_weights(spark):
     rows = make(spark, {(k, r): rng.normal(size=20) for k in range(4) for r in (1, 2)}, [0.0, 0.1, 0.5, 1.0])
     with_ = {r.run: r.dg for r in statistics.thermodynamic_integration(rows, series.lambda_weights(rows)).collect()}
     assert {r.run: r.dg for r in statistics.thermodynamic_integration(rows).collect()} == pytest.approx(with_)
+
+
+def test_batches_of_rows_that_no_problem_holds(spark):
+    """The longer calculation's rows behind the shortest one's time are in Arrow batches of their own."""
+    rng = np.random.default_rng(12)
+    rows = [(c, "f", "s", k / 2.0, 1, (i + 1) * 10, k, [float(x) for x in rng.normal(size=3)]) for c, n in (("a", 40), ("b", 10)) for k in range(3) for i in range(n)]
+    samples = spark.createDataFrame(rows, "calc string, leg string, stage string, lam double, run int, step long, state int, u array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    curve = lambda s: {(r.calc, r.frac): r.dg for r in estimator.comparative_convergence(s, points=2).collect()}
+    want = curve(samples)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = curve(samples)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(got) == {("a", 0.125), ("a", 0.25), ("b", 0.5), ("b", 1.0)}
+    assert got == pytest.approx(want, abs=1e-6)

@@ -58,9 +58,9 @@ class Rows:
         if self.owner is None:
             yield 0, slice(None)
             return
-        # packed by problem, so that its rows stand together
+        # packed by problem, so that its rows stand together; no problem may hold any of them
         first = np.flatnonzero(np.diff(self.owner, prepend=-1))
-        for a, e in zip(first, np.append(first[1:], len(self.owner)), strict=True):
+        for a, e in zip(first, [*first[1:], len(self.owner)][: len(first)], strict=True):
             yield int(self.owner[a]), self.at[a:e]
 
 
