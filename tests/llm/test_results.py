@@ -388,6 +388,49 @@ def test_decontamination_recall_under_edits(write_docs, spark):
     assert all(got[k] <= want[k] + 1e-9 for k in got)
 
 
+def test_windows_with_parts_in_another_order(write_docs, spark):
+    """No shingle of a window whose halves have changed places says where it starts."""
+    item = [f"a{i}" for i in range(100)] + [f"b{i}" for i in range(100)]
+    around = [[f"x{i}" for i in range(300)], [f"y{i}" for i in range(250)]]
+    docs = [" ".join(around[0] + item[100:] + item[:100] + around[1]), " ".join(around[0]), " ".join(item[100:] + item[:100])]
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.start_word, r.n_words, r.similarity) for r in decontamination.contaminated(write_docs(docs), bench).collect()}
+    assert got == {0: (7, 300, 200, pytest.approx(192 / 200)), 2: (7, 0, 200, pytest.approx(192 / 200))}
+    assert [r.doc_id for r in decontamination.clean(write_docs(docs), bench).collect()] == [1]
+
+
+def test_all_windows_with_enough_shingles_are_placed(write_docs, spark):
+    """Against all windows, one by one; and their fingerprints against those of single windows."""
+    r = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    items = [[r.choice(words) for _ in range(n)] for n in (1, 3, 5, 8, 20, 20, 35)]
+    docs = []
+    for i in range(40):
+        item = list(items[i % 7])
+        at = r.randrange(len(item))
+        docs.append([r.choice(words) for _ in range(r.randint(0, 40))] + item[at:] + item[:at] + [r.choice(words) for _ in range(r.randint(0, 20))])
+    table = spark.createDataFrame([(i, i, " ".join(w)) for i, w in enumerate(docs)], "uid long, id long, text string")
+    known = decontamination.items_of(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"))
+    posts = decontamination.postings(known)
+    suspects = decontamination.suspects_of(table, spark.sparkContext.broadcast(decontamination.Known(known, posts, 5)))
+    rows = decontamination.placed(suspects, posts, 5, 0.8).collect()
+    got = {(x.uid, x.n, x.start): x.fp for x in rows}
+    assert len(got) == len(rows)
+    text = {x.uid: x.words for x in suspects.collect()}
+    assert all(np.array([fp]).view(np.uint64)[0] == decontamination.simhash(decontamination._window(bytes(text[u]), s, n, 5)) for (u, n, s), fp in got.items())
+    some = 0
+    for d, w in enumerate(docs):
+        for item in items:
+            n, size = len(item), min(5, len(item))
+            grams = lambda x, size=size: Counter(tuple(x[k : k + size]) for k in range(max(len(x) - size + 1, 1)))
+            for s in range(max(len(w) - n, 0) + 1):
+                a, b = grams(w[s : s + n]), grams(item)
+                if sum((a & b).values()) / sum((a | b).values()) >= 0.8:
+                    some += 1
+                    assert (d, n, s) in got
+    assert some > 40
+
+
 def test_multi_index_finds_all_within_radius(spark):
     r = random.Random(8)
     signed = lambda x: int(np.array([x], np.uint64).view(np.int64)[0])

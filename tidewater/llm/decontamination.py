@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, weighted-shingle verification.
 
-An item of n words is compared with windows of n words. A window can only be like it if they share a shingle, and the
-shingle says where the window has to start, so windows are placed by a join on shingles. Windows so placed, and items,
+An item of n words is compared with windows of n words. A window can only be like it if they share so many shingles as
+the similarity asks for, wherever in the item these stand. A join on shingles gives the places in a document where one of
+an item of n words stands, and every window of n words with enough of these places is looked at. Such windows, and items,
 get a SimHash. Fingerprints within RADIUS bits agree, in one of BLOCKS blocks, up to RADIUS // BLOCKS bits. Items are
 written under every value within these bits of each of their blocks, windows under the blocks' own values, and both are
 joined on size, block and value: no fingerprint within the radius is lost, and a window, of which there are ever more,
@@ -31,6 +32,8 @@ RADIUS, BLOCKS = 17, 6
 #: The bitmap has 64 bits for each shingle between these powers of two, and is built in segments of this power. A shingle
 #: sets PROBES of them: of other shingles one in 100 000 passes.
 LEAST_BITS, MOST_BITS, SEGMENT_BITS, PROBES = 19, 30, 19, 4
+#: Places of a document whose bits are summed at once, and windows that a task holds before it sends them on.
+AT_ONCE, HELD = 1 << 13, 1 << 18
 FOUND = "doc_id long, item_id long, start_word long, n_words long, distance long, similarity double"
 
 
@@ -49,6 +52,19 @@ def simhash(s: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(s), bitorder="little").view(np.uint64)[0])
 
 
+def simhashes(s: np.ndarray, starts: np.ndarray, many: int) -> np.ndarray:
+    """SimHash of the windows of `many` shingles at rising starts, from running sums over AT_ONCE places at a time."""
+    out, done = [np.zeros(0, np.uint64)], 0
+    while done < len(starts):
+        first = starts[done]
+        at = starts[done : np.searchsorted(starts, first + AT_ONCE)] - first
+        bits = np.unpackbits(s[first : first + at[-1] + many].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+        out.append(np.packbits(2 * (sums[at + many] - sums[at]) > many, axis=1, bitorder="little").view(np.uint64)[:, 0])
+        done += len(at)
+    return np.concatenate(out)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two lists of shingles; the weight is the number of occurrences."""
     values, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -76,15 +92,14 @@ def items_of(benchmark: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def postings(items: DataFrame) -> DataFrame:
-    """(h, n, at): which shingle stands at which place of items of n words."""
+    """(h, n): which shingle stands in items of n words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [np.frombuffer(x, np.int64) for x in b.column("data").to_pylist()]
-            many = [len(s) for s in own]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(np.repeat(b.column("n").to_numpy(), many)), pa.array(np.concatenate([np.zeros(0, np.int32), *(np.arange(m, dtype=np.int32) for m in many)]))], ["h", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(np.repeat(b.column("n").to_numpy(), [len(s) for s in own]))], ["h", "n"])
 
-    return materialize(items.select("n", "data").mapInArrow(run, "h long, n int, at int").distinct(), "postings")
+    return materialize(items.select("n", "data").mapInArrow(run, "h long, n int").distinct(), "postings")
 
 
 class Known:
@@ -154,20 +169,47 @@ def _window(words: bytes, start: int, n: int, size: int) -> np.ndarray:
     return shingles(np.frombuffer(words, np.uint64)[start : start + n], min(size, n))
 
 
-def placed(suspects: DataFrame, posts: DataFrame, size: int) -> DataFrame:
-    """(uid, n, start, fp) of the windows of n words that share a shingle with an item of n words.
+def placed(suspects: DataFrame, posts: DataFrame, size: int, least: float) -> DataFrame:
+    """(uid, n, start, fp) of all windows of n words that can have the similarity `least` to an item of n words.
 
-    A document of fewer words than an item is one window.
+    Of a and b shingles, so similar ones share least / (1 + least) * (a + b). Every window in which as many stand in
+    items of n words is given, whatever their order. A document of fewer words than an item is one window.
     """
     hits = suspects.select("uid", "m", F.explode(F.arrays_zip("h", "p")).alias("x")).select("uid", "m", "x.h", "x.p").join(posts, "h")
-    start = F.least(F.greatest(F.col("p") - F.col("at"), F.lit(0)), F.greatest(F.col("m") - F.col("n"), F.lit(0))).cast("int")
-    each = hits.select("uid", "n", start.alias("start")).distinct().groupBy("uid").agg(F.collect_list(F.struct("n", "start")).alias("windows"))
+    one = F.least("n", F.lit(size)) - 1
+    enough = F.greatest(F.ceil(F.lit(least / (1 + least)) * (F.col("n") + F.least("n", "m") - 2 * one) - 1e-9), F.lit(1))
+    each = hits.groupBy("uid", "m", "n").agg(F.sort_array(F.collect_list("p")).alias("p")).withColumn("enough", enough.cast("int"))
+    each = each.where(F.size("p") >= F.col("enough")).groupBy("uid").agg(F.collect_list(F.struct("n", "enough", "p")).alias("sizes"))
+
+    def windows(words: bytes, n: int, enough: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and SimHashes of one document's windows of n words with enough hits at the places p."""
+        s = shingles(np.frombuffer(words, np.uint64), min(size, n))
+        m = len(words) // 8
+        many = min(n, m) - min(size, n) + 1
+        hit = np.zeros(len(s) + 1, np.int32)
+        hit[p + 1] = 1
+        before = np.cumsum(hit, dtype=np.int32)
+        starts = np.flatnonzero(before[many : many + max(m - n, 0) + 1] - before[: max(m - n, 0) + 1] >= enough)
+        return starts, simhashes(s, starts, many)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        size_of = [len(r[2]) for r in rows]
+        columns = [np.repeat(np.array([r[0] for r in rows], np.int64), size_of), np.repeat(np.array([r[1] for r in rows], np.int32), size_of), np.concatenate([r[2] for r in rows]).astype(np.int32), np.concatenate([r[3] for r in rows]).view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["uid", "n", "start", "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for b in batches:
-            uid, words, windows = (b.column(c).to_pylist() for c in ("uid", "words", "windows"))
-            rows = [(u, x["n"], x["start"], simhash(_window(t, x["start"], x["n"], size))) for u, t, w in zip(uid, words, windows, strict=True) for x in w]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array(np.array([r[3] for r in rows], np.uint64).view(np.int64))], ["uid", "n", "start", "fp"])
+            for i in range(b.num_rows):
+                uid, words, sizes = b.column("uid")[i].as_py(), b.column("words")[i].as_py(), b.column("sizes")[i].values
+                for n, need, p in zip(*sizes.flatten(), strict=True):
+                    rows.append((uid, n.as_py(), *windows(words, n.as_py(), need.as_py(), p.values.to_numpy())))
+                    held += len(rows[-1][2])
+                    if held > HELD:
+                        yield made(rows)
+                        rows, held = [], 0
+        if rows:
+            yield made(rows)
 
     return suspects.select("uid", "words").join(each, "uid").mapInArrow(run, "uid long, n int, start int, fp long")
 
@@ -227,7 +269,7 @@ def _finder(benchmark: DataFrame, size: int, least: float) -> tuple[object, Call
 
     def find(docs: DataFrame) -> DataFrame:
         suspects = suspects_of(docs, share)
-        windows = materialize(placed(suspects, posts, size), "windows")
+        windows = materialize(placed(suspects, posts, size, least), "windows")
         near = windows.join(within(windows, items), ["n", "fp"]).select("uid", "n", "start", "item", "distance")
         return verified(suspects, near, items, size, least)
 
