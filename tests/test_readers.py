@@ -4,6 +4,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tidewater.plans import reader_queries
+from tidewater.plans.registry import QUERIES
 from tidewater.sources import files
 from tidewater.sources.sinks import write_report, write_samples, write_table
 
@@ -123,3 +125,12 @@ def test_sinks(spark, tree, tmp_path):
     assert spark.read.csv(str(tmp_path / "t"), header=True).columns == ["step"]
     write_report(samples.select("run", "grad"), str(tmp_path / "r"))
     assert sorted(r.grad for r in spark.read.json(str(tmp_path / "r")).collect()) == sorted(g for _, _, g, *_ in STEPS)
+
+
+def test_no_task_makes_the_files_of_all_parts(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id as p_partkey", "cast(id % 50 + 1 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(reader_queries, "PARTS", 100)
+    lines = reader_queries._config(spark, str(tmp_path))
+    files = lines.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct("file").alias("n")).collect()
+    assert len(files) > 5 and sum(r.n for r in files) == 1000 and max(r.n for r in files) < 200
+    assert QUERIES["read_config"](spark, str(tmp_path)).count() == 5000

@@ -67,11 +67,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return shown(files.scale_to_energy(s, files.parse_header(_headers(spark, d))), "lam", "run", "grad")
 
 
+#: Parts of which a task makes configuration files.
+PARTS = 1 << 16
+
+
 def _config(spark: SparkSession, d: str) -> DataFrame:
     """A configuration file for each part: a later line of an option, and what follows a second =, count for nothing."""
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     lines = [F.lit("### settings"), F.concat(F.lit("nmoves = "), size, F.lit("00")), F.lit("timestep = 4 * femtosecond"), F.lit("nmoves = 1"), F.concat(F.lit(" energy frequency=  "), size), F.lit("lambda array = 0.0, 0.5, 1.0"), F.concat(F.lit("name = "), key, F.lit(" = again")), F.lit("no option")]
-    return _lines(table(spark, d, "part"), key, lines)
+    # a few bytes of a part become eight lines that are sorted where they are made, so the number of tasks goes by parts
+    parts = table(spark, d, "part").select("p_partkey", "p_size")
+    return _lines(parts.repartition(parts.count() // PARTS + 1, "p_partkey"), key, lines)
 
 
 @query("read_config", "SELECT CAST(p_partkey AS VARCHAR) AS file, unnest(['nmoves', 'timestep', 'energy frequency', 'lambda array', 'name']) AS option, unnest([p_size || '00', '4 * femtosecond', CAST(p_size AS VARCHAR), '0.0, 0.5, 1.0', CAST(p_partkey AS VARCHAR)]) AS value FROM part")
