@@ -169,3 +169,11 @@ def test_megabyte_texts_in_stages(spark, write_docs, labels, benchmark, tmp_path
     for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {0, 1, 2}
+
+
+def test_mixing_is_several_small_plans(write_docs):
+    """The driver holds one plan at a time; sums of groups, slots and uses in one plan took 32 exchanges."""
+    docs = write_docs(["word " * (i % 50) for i in range(300)], [f"s{i % 4}" for i in range(300)])
+    for df in (mixing.mix(docs), mixing.mixed(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") < 8

@@ -5,6 +5,7 @@ sources alternate evenly at every length of the mix. A slot takes the next block
 runs of words of the source's documents in hashed order, read again from the start when they are used up. What the
 points leave a source short of its target, some blocks at most, it is granted in slots behind the schedule. Ranks of
 slots and places of documents are sums over groups of groups, carried on level by level, so no source is one task.
+Sums of groups, what sources lack and what is taken are small tables that are written, so that no plan holds another.
 """
 
 from __future__ import annotations
@@ -53,12 +54,13 @@ def running(df: DataFrame, keys: list[str], group: Column, order: list, value: s
     """df with `out`, the sum of `value` over the rows of the same keys before this one, by group, then by order.
 
     Groups are small and many: their sums are added up first, group by group of GROUP_ROWS groups and so on for as many
-    levels; then each group is summed by itself. No task holds more than a group, but for the last level's.
+    levels; then each group is summed by itself. No task holds more than a group, but for the last level's. The sums of
+    the groups are written, as each level reads them twice.
     """
     rows = df.withColumn("_group", group)
     sums = rows.groupBy(*keys, "_group").agg(F.sum(value).alias("_sum")).withColumnRenamed("_group", "_g")
     if levels > 1:
-        sums = running(sums, keys, F.floor(F.col("_g") / GROUP_ROWS), ["_g"], "_sum", "_before", levels - 1)
+        sums = running(materialize(sums, "sums"), keys, F.floor(F.col("_g") / GROUP_ROWS), ["_g"], "_sum", "_before", levels - 1)
     else:
         sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     offsets = sums.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_g").alias("_go"), F.col("_before").alias("_off"))
@@ -91,7 +93,7 @@ def schedule(targets: DataFrame, n_slots: int, block_words: int = BLOCK_WORDS) -
     have = dealt.groupBy("source").agg(F.count("*").alias("have")).withColumnRenamed("source", "_s")
     wanted = F.ceil(F.round("target") / block_words)
     short = targets.join(have, targets["source"].eqNullSafe(have["_s"]), "left").select("source", F.coalesce("have", F.lit(0)).alias("have"), (wanted - F.coalesce("have", F.lit(0))).alias("lack")).where("lack > 0")
-    granted = running(short, [], F.pmod(F.xxhash64("source"), F.lit(GROUP_ROWS)), ["source"], "lack", "from").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lack") - 1)))
+    granted = running(materialize(short, "short"), [], F.pmod(F.xxhash64("source"), F.lit(GROUP_ROWS)), ["source"], "lack", "from").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lack") - 1)))
     return ranked.unionByName(granted.select("source", (F.lit(n_slots) + F.col("from") + F.col("k")).alias("slot"), (F.col("have") + F.col("k")).alias("rank")))
 
 
@@ -111,7 +113,7 @@ def _uses(sizes: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
     words = F.least(F.col("to"), (F.col("block") + 1) * block_words) - F.greatest(F.col("from"), F.col("block") * block_words)
     blocks = slots.select(F.col("source").alias("slot_source"), "slot", "rank")
     took = uses.join(blocks, (F.col("block") == F.col("rank")) & F.col("source").eqNullSafe(F.col("slot_source"))).groupBy("row").agg(F.sum(words).alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
-    return took, targets
+    return materialize(took, "took"), targets
 
 
 def _sizes(docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
