@@ -85,3 +85,24 @@ def test_no_task_has_a_whole_series(spark, monkeypatch):
     most = out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert most < 400_000  # of four partitions
+
+
+def test_rows_of_series_are_not_broadcast(spark, short):
+    """Equal keys and few values make small files of many rows; what is broadcast is the table of a row for each key."""
+    rng = np.random.default_rng(7)
+    s = make(spark, {(k, r): np.round(rng.normal(size=150), 1) for k in range(2) for r in (1, 2, 3)})
+
+    def broadcast(df, column):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+        found = [i for i, line in enumerate(lines) if "BroadcastExchange" in line]
+        below = [next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines)) for i in found]
+        return [line for i, j in zip(found, below, strict=True) for line in lines[i:j] if "FileScan" in line and column in line]
+
+    # the rows' files are below this, joins of them above
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    short()
+    found = broadcast(equilibration.gelman_rubin(s), "half:int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not found

@@ -155,7 +155,8 @@ def gelman_rubin(samples: DataFrame, discard: float = 0.1, cutoff: float = 1.1,
     rows = rows.withColumn("half", F.when(F.col("i") < F.col("h"), 0).when(F.col("i") >= F.col("n") - F.col("h"), 1)).where("half is not null")
     # ranked twice and cut at the median: computed once
     rows = settled(rows.select(*keys, "run", "half", "v"))
-    of = rows.groupBy(*keys).agg(F.count("*").alias("_c")).join(medians(rows, keys, "v", "_mid"), keys)
+    # written, so that this side is known to be the smaller one: the rows' file is small too, and would be broadcast whole
+    of = settled(rows.groupBy(*keys).agg(F.count("*").alias("_c")).join(medians(rows, keys, "v", "_mid"), keys))
     rows = with_keys(rows, of, keys).withColumn("f", F.abs(F.col("v") - F.col("_mid")))
     rows = _normal_scores(_normal_scores(rows, keys, "v", "z"), keys, "f", "zf")
     chains = rows.groupBy(*keys, "run", "half").agg(*(f(c).alias(f"{n}_{c}") for c in ("z", "zf") for n, f in (("m", F.avg), ("v", F.var_samp))), F.count("*").alias("c"))
@@ -186,7 +187,7 @@ def read_equil_flags(windows: DataFrame, keys: list[str] = WINDOW) -> DataFrame:
 def brown_forsythe(table: DataFrame, group: str, value: str) -> DataFrame:
     """(f, df1, df2, p): whether the spreads of the groups differ, by one-way F of the distances from the medians."""
     rows = table.select(group, F.col(value).alias("v"))
-    rows = with_keys(rows, medians(rows, [group], "v", "_mid"), [group]).withColumn("d", F.abs(F.col("v") - F.col("_mid")))
+    rows = with_keys(rows, settled(medians(rows, [group], "v", "_mid")), [group]).withColumn("d", F.abs(F.col("v") - F.col("_mid")))
     groups = rows.groupBy(group).agg(F.avg("d").alias("m"), F.count("d").alias("n"), (F.var_pop("d") * F.count("d")).alias("within"))
     total = groups.agg(F.sum(F.col("n") * F.col("m") * F.col("m")).alias("s2"), F.sum(F.col("n") * F.col("m")).alias("s1"), F.sum("n").alias("n"), F.sum("within").alias("w"), F.count("*").alias("k"))
     between = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("n")) / (F.col("k") - 1)
